@@ -31,6 +31,31 @@ EXACT_FORMATS = (
 # Whitespace trimmed before parsing.
 _WS = " \t\n\r\f\u000b"
 
+_FRACTIONS = (".SSS", ",SSS", ":SSS")
+
+
+def _grouped_patterns(formats) -> list[str]:
+    """Merge formats that differ only by a trailing fraction into one pattern with
+    optional sections, e.g. ``HH:mm:ss`` + ``HH:mm:ss.SSS`` -> ``HH:mm:ss[.SSS]``.
+
+    The separators make the formats mutually exclusive, so one parse per group
+    gives the same result as trying each format in turn -- with half the parse
+    attempts and generated code.
+    """
+    groups: dict[str, list[str]] = {}
+    for f in formats:
+        base, frac = f, ""
+        for suffix in _FRACTIONS:
+            if f.endswith(suffix):
+                base, frac = f[: -len(suffix)], suffix
+        groups.setdefault(base, [])
+        if frac:
+            groups[base].append(frac)
+    return [base + "".join(f"[{x}]" for x in fracs) for base, fracs in groups.items()]
+
+
+PARSE_PATTERNS = tuple(_grouped_patterns(EXACT_FORMATS))
+
 
 def _try(s: Column, fmt: str) -> Column:
     return F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
@@ -45,7 +70,7 @@ def parse_timestamp(c: Column | str, base_date: str = "1970-01-01") -> Column:
     c = F.col(c) if isinstance(c, str) else c
     s = F.btrim(c, F.lit(_WS))
     parts = []
-    for fmt in EXACT_FORMATS:
+    for fmt in PARSE_PATTERNS:
         if fmt.startswith("HH"):
             parts.append(_try(F.concat(F.lit(base_date + " "), s), "yyyy-MM-dd " + fmt))
         else:
