@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import LINE, PATH, TEXT
+from ..plans.sizing import broadcast_if_small
 
 # Line terminators: \n, \r\n and \r all end a line (the text source's default).
 # Broadcast the split table when it has at most this many rows (it has one row
@@ -31,8 +32,18 @@ class LogFileNotFoundError(FileNotFoundError):
     pass
 
 
-def _scan(spark: SparkSession, paths, encoding: str | None = None, line_sep: str | None = None) -> DataFrame:
+def text_reader(spark: SparkSession, recursive: bool = False, glob: str | None = None):
     reader = spark.read.format("text")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader
+
+
+def _scan(spark: SparkSession, paths, encoding: str | None = None, line_sep: str | None = None,
+          recursive: bool = False, glob: str | None = None) -> DataFrame:
+    reader = text_reader(spark, recursive, glob)
     if encoding:
         reader = reader.option("encoding", encoding)
     if line_sep:
@@ -47,14 +58,16 @@ def _scan(spark: SparkSession, paths, encoding: str | None = None, line_sep: str
 
 
 def read_lines(spark: SparkSession, paths, *, encoding: str | None = None, line_sep: str | None = None,
+               recursive: bool = False, glob: str | None = None,
                broadcast_rows: int = SPLIT_TABLE_BROADCAST_ROWS) -> DataFrame:
-    """``(path, line_no, text)`` of every line of the given files or globs.
+    """``(path, line_no, text)`` of every line of the given files, folders or globs.
 
-    ``path`` is the file URI as Spark reports it.  A missing file raises
-    ``LogFileNotFoundError`` when the plan is built.
+    ``recursive``/``glob`` walk folders like the workspace scan.  ``path`` is the
+    file URI as Spark reports it.  A missing file raises ``LogFileNotFoundError``
+    when the plan is built.
     """
     try:
-        raw = _scan(spark, paths, encoding, line_sep)
+        raw = _scan(spark, paths, encoding, line_sep, recursive, glob)
     except Exception as exc:  # AnalysisException: PATH_NOT_FOUND
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             raise LogFileNotFoundError(str(exc).splitlines()[0]) from None
@@ -62,8 +75,7 @@ def read_lines(spark: SparkSession, paths, *, encoding: str | None = None, line_
     splits = raw.groupBy(PATH, "_split").agg(F.min("_id").alias("_min_id"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(PATH).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select(PATH, "_split", "_min_id", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    n_splits = splits.count()  # materialises the small table and checks its size
-    side = F.broadcast(splits) if n_splits <= broadcast_rows else splits
+    side = broadcast_if_small(splits, broadcast_rows)
     numbered = raw.join(side, [PATH, "_split"])
     return numbered.select(PATH, (F.col("_before") + F.col("_id") - F.col("_min_id") + 1).cast("long").alias(LINE),
                            TEXT)

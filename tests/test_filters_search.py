@@ -1,0 +1,158 @@
+import pytest
+from pyspark.sql import functions as F
+
+from logweave.functions import predicates as P
+from logweave.functions.fields import fields_of
+from logweave.operators import filters as FL
+from logweave.operators import search as S
+from logweave.plans import rules as R
+from tests.conftest import rows_df
+
+FILTER_ROWS = [
+    (1, "INFO", "Auth", "User logged in"),
+    (2, "ERROR", "Auth", "Login failed: timeout"),
+    (3, "WARN", "Network", "Retry attempt"),
+    (4, "ERROR", "DB", "Connection refused"),
+    (5, "INFO", "Network", "Request complete"),
+]
+
+
+@pytest.fixture()
+def frows(spark):
+    return rows_df(spark, FILTER_ROWS, ["Level", "Module", "Message"])
+
+
+def lines(df):
+    return sorted(r.line_no for r in df.select("line_no").collect())
+
+
+@pytest.mark.parametrize("rules,expected", [
+    ([], [1, 2, 3, 4, 5]),
+    ([R.FilterRule.include_where("Level", "ERROR")], [2, 4]),
+    ([R.FilterRule.exclude_where("Module", "Auth")], [3, 4, 5]),
+    ([R.FilterRule.include_text("timeout", case_sensitive=True)], [2]),
+    ([R.FilterRule.include_text("TIMEOUT", case_sensitive=False)], [2]),
+    ([R.FilterRule.include_text("TIMEOUT", case_sensitive=True)], []),
+    ([R.FilterRule.include_regex("failed|refused")], [2, 4]),
+    ([R.FilterRule.exclude_regex("^INFO$", "Level")], [2, 3, 4]),
+    ([R.FilterRule.include_where("Level", "ERROR"), R.FilterRule.exclude_where("Module", "DB")], [2]),
+    ([R.FilterRule.include_where("NonExistentField", "value")], []),
+    ([R.FilterRule.exclude_where("NonExistentField", "value")], [1, 2, 3, 4, 5]),
+    ([R.FilterRule.exclude_text("auth", False, "Module")], [3, 4, 5]),
+])
+def test_filter_rules(spark, frows, rules, expected):
+    assert lines(FL.apply_filters(frows, rules, spark=spark)) == expected
+
+
+def test_include_exclude_partition_rows(spark, frows):
+    inc = lines(FL.apply_filters(frows, [R.FilterRule.include_text("e", False)]))
+    exc = lines(FL.apply_filters(frows, [R.FilterRule.exclude_text("e", False)]))
+    assert sorted(inc + exc) == [1, 2, 3, 4, 5] and not set(inc) & set(exc)
+
+
+SEARCH_ROWS = [
+    (1, "INFO", "User logged in"),
+    (2, "ERROR", "Login timeout occurred"),
+    (3, "WARN", "Retry scheduled"),
+    (4, "ERROR", "Timeout threshold exceeded"),
+    (5, "INFO", "Request complete"),
+]
+
+
+@pytest.fixture()
+def srows(spark):
+    return rows_df(spark, SEARCH_ROWS, ["Level", "Message"])
+
+
+@pytest.mark.parametrize("q,expected", [
+    (R.SearchQuery("Timeout"), [2, 4]),
+    (R.SearchQuery("timeout", case_sensitive=True), [2]),
+    (R.SearchQuery(r"time\w+", is_regex=True), [2, 4]),
+    (R.SearchQuery("log", whole_word=True), []),
+    (R.SearchQuery("log"), [1, 2]),
+    (R.SearchQuery("ERROR", field="Level"), [2, 4]),
+    (R.SearchQuery("ERROR", field="Message"), []),
+    (R.SearchQuery(""), []),
+])
+def test_search(spark, srows, q, expected):
+    assert sorted({r.line_no for r in S.search(srows, q, spark=spark).collect()}) == expected
+
+
+def test_search_match_index(spark, srows):
+    hits = S.search(srows, R.SearchQuery("timeout", case_sensitive=True), spark=spark).collect()
+    assert [(h.line_no, h.field, h.match_index) for h in hits] == [(2, "Message", 6)]
+
+
+def test_search_index_utf16(spark):
+    df = rows_df(spark, [(1, "\U0001F600x ab")], ["Message"])
+    hits = S.search(df, R.SearchQuery("ab"), spark=spark).collect()
+    assert hits[0].match_index == 4
+
+
+def test_whole_word_regex_wrap_has_no_group(spark):
+    # "a|b" with whole word becomes \ba|b\b: "xa" does not match \ba, "bx" does not match b\b... but "ab c" matches \ba
+    df = rows_df(spark, [(1, "xb"), (2, "ax"), (3, "xa")], ["M"])
+    got = sorted(r.line_no for r in S.search(df, R.SearchQuery("a|b", is_regex=True, whole_word=True), spark=spark).collect())
+    assert got == [1, 2]
+
+
+def test_find_next_prev_wraps(spark):
+    df = rows_df(spark, [(i, t) for i, t in enumerate(["x", "hit", "x", "x", "hit", "x"], start=1)], ["M"])
+    out = {r.line_no: (r.next_match, r.prev_match) for r in
+           S.find_next_prev(df, F.col("M") == "hit", block_lines=2).collect()}
+    assert out == {1: (2, 5), 2: (5, 5), 3: (5, 2), 4: (5, 2), 5: (2, 2), 6: (2, 5)}
+
+
+def test_find_next_single_hit_is_itself(spark):
+    df = rows_df(spark, [(1, "a"), (2, "hit"), (3, "b")], ["M"])
+    out = {r.line_no: r.next_match for r in S.find_next_prev(df, F.col("M") == "hit").collect()}
+    assert out == {1: 2, 2: 2, 3: 2}
+
+
+def test_nearest_visible(spark):
+    df = rows_df(spark, [(i, "v" if i in (2, 6) else "h") for i in range(1, 9)], ["M"])
+    out = {r.line_no: r.nearest_line for r in S.nearest_visible(df, F.col("M") == "v", block_lines=3).collect()}
+    assert out == {1: 2, 2: 2, 3: 2, 4: 2, 5: 6, 6: 6, 7: 6, 8: 6}
+
+
+def test_search_hidden(spark, srows):
+    visible = P.filters_predicate([R.FilterRule.include_where("Level", "ERROR")], fields_of(srows))
+    out = {r.line_no: r.hidden for r in S.search_hidden(srows, R.SearchQuery("e"), visible).collect()}
+    assert out[2] is False and out[1] is True
+
+
+TIME_ROWS = [(1, "2024-01-15 10:00:00", "a"), (2, "2024-01-15 10:05:00", "b"),
+             (3, "2024-01-15 10:10:00", "c"), (4, "not a timestamp", "d")]
+
+
+@pytest.mark.parametrize("start,end,expected", [
+    ("2024-01-15 10:02:00", "2024-01-15 10:08:00", [2]),
+    ("2024-01-15 10:05:00", None, [2, 3]),
+    (None, "2024-01-15 10:05:00", [1, 2]),
+    ("2024-01-15 09:00:00", "2024-01-15 11:00:00", [1, 2, 3]),
+    (None, None, [1, 2, 3, 4]),
+    ("garbage", None, [1, 2, 3, 4]),
+])
+def test_time_range(spark, start, end, expected):
+    df = rows_df(spark, TIME_ROWS, ["Timestamp", "Message"])
+    assert lines(FL.time_range(df, "Timestamp", start, end)) == expected
+
+
+def test_time_range_without_field(spark):
+    df = rows_df(spark, TIME_ROWS, ["Timestamp", "Message"])
+    assert lines(FL.time_range(df, None, "2024-01-15 10:02:00", None)) == [1, 2, 3, 4]
+
+
+def test_view_filter_and_presets(spark, frows):
+    from logweave.operators.tags import flag_rows
+    tagged = flag_rows(frows, [R.FlagRule.field_value("Level", "ERROR")])
+    vf = R.ViewFilter(text="o", exclude_text="refused", only_flagged=True)
+    assert lines(FL.view(tagged, vf)) == [2]
+    presets = [R.FilterPreset("errs", only_flagged=True), R.FilterPreset("net", filter_text="network")]
+    c = FL.preset_counts(tagged, presets).collect()[0]
+    assert (c.errs, c.net) == (2, 2)
+
+
+def test_visible_presets(spark):
+    df = spark.createDataFrame([("a", None), ("b", "Apache"), ("c", "other")], "name string, profile_scope string")
+    assert sorted(r.name for r in FL.visible_presets(df, "apache").collect()) == ["a", "b"]

@@ -1,0 +1,89 @@
+import pytest
+
+from logweave.functions.fields import FieldSpace
+from logweave.operators import parse as PA
+from logweave.plans.profile import InvalidProfileError, LogProfile
+from tests.conftest import lines_df
+
+
+def collect(df, *cols):
+    return [tuple(r[c] for c in cols) for r in df.orderBy("line_no").collect()]
+
+
+def test_delimited_double_pipe(spark):
+    df = PA.parse_delimited(lines_df(spark, ["2024-01-15||ERROR||Auth||Login failed"]), "||",
+                            ["Timestamp", "Level", "Module", "Message"])
+    assert collect(df, "Timestamp", "Level", "Module", "Message", "RawText") == [
+        ("2024-01-15", "ERROR", "Auth", "Login failed", None)]
+
+
+def test_delimited_extra_parts_dropped_missing_empty(spark):
+    df = PA.parse_delimited(lines_df(spark, ["a||b||c||d||e", "a||b"]), "||", ["A", "B", "C"])
+    assert collect(df, "A", "B", "C") == [("a", "b", "c"), ("a", "b", "")]
+
+
+def test_delimited_fallback_and_counts(spark):
+    df = PA.parse_delimited(lines_df(spark, ["a|b", "no delimiter here", "c|d"]), "|", ["X", "Y"])
+    rows = collect(df, "is_parsed", "X", "RawText")
+    assert rows == [(True, "a", None), (False, None, "no delimiter here"), (True, "c", None)]
+    st = PA.parse_stats(df).collect()[0]
+    assert (st.parsed, st.fallback) == (2, 1)
+
+
+def test_delimited_tab_and_trailing_empty(spark):
+    df = PA.parse_delimited(lines_df(spark, ["a\tb\t"]), "\t", ["A", "B", "C"])
+    assert collect(df, "A", "B", "C") == [("a", "b", "")]
+
+
+REGEX = r"^(?<Timestamp>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s+(?<Level>\w+)\s+(?<Module>\w+)\s+(?<Message>.+)$"
+
+
+def test_regex_parse_and_fallback(spark):
+    lines = lines_df(spark, ["2024-01-15 10:00:00 ERROR Auth Login failed", "   at Foo.Bar()"])
+    df = PA.parse_regex(lines, REGEX, spark)
+    assert collect(df, "is_parsed", "Level", "Message", "RawText") == [
+        (True, "ERROR", "Login failed", None), (False, None, None, "   at Foo.Bar()")]
+
+
+def test_regex_unmatched_optional_group_is_empty(spark):
+    df = PA.parse_regex(lines_df(spark, ["ab", "a"]), r"(?<x>a)(?<y>b)?", spark)
+    assert collect(df, "x", "y") == [("a", "b"), ("a", "")]
+
+
+def test_regex_row_containing_separator_takes_exact_path(spark):
+    df = PA.parse_regex(lines_df(spark, ["k=\u0001v"]), r"k=(?<v>.*)", spark)
+    assert collect(df, "v") == [("\u0001v",)]
+
+
+def test_invalid_regex_profile_rejected(spark):
+    with pytest.raises(InvalidProfileError):
+        PA.parse_regex(lines_df(spark, ["x"]), "[invalid(", spark)
+
+
+def test_profile_guard():
+    with pytest.raises(InvalidProfileError):
+        LogProfile.delimited("|", ["A", "a"]).validate()
+    with pytest.raises(InvalidProfileError):
+        LogProfile.delimited("", ["A"]).validate()
+    with pytest.raises(InvalidProfileError):
+        LogProfile.regex(r"(\d+)").validate()
+
+
+def test_raw_parse_keeps_blank_lines(spark):
+    df = PA.parse_raw(lines_df(spark, ["a", "", "b"]))
+    assert collect(df, "RawText", "is_parsed") == [("a", True), ("", True), ("b", True)]
+
+
+def test_columns_discovered_first_appearance(spark):
+    lines = lines_df(spark, ["no match", "a=1", "b"])
+    df = PA.parse_regex(lines, r"^(?<k>\w)=(?<v>\d)$", spark)
+    cols = PA.discover_columns(df, FieldSpace(("k", "v", "RawText"))).orderBy("position").collect()
+    assert [c.column_name for c in cols] == ["RawText", "k", "v"]
+
+
+def test_multi_profile_map(spark):
+    lines = spark.createDataFrame([("x.log", 1, "a|b", "p1"), ("y.log", 1, "a|b", None)],
+                                  "path string, line_no long, text string, profile string")
+    df = PA.parse_with_profiles(lines, {"p1": LogProfile.delimited("|", ["A", "B"])})
+    got = {r.path: dict(r.fields) for r in df.collect()}
+    assert got == {"x.log": {"A": "a", "B": "b"}, "y.log": {"RawText": "a|b"}}
