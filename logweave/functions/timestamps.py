@@ -57,6 +57,43 @@ def _grouped_patterns(formats) -> list[str]:
 PARSE_PATTERNS = tuple(_grouped_patterns(EXACT_FORMATS))
 
 
+def _fixed_literals(pattern: str) -> list[tuple[int, str]]:
+    """(position, char) of literal characters in the fixed-width prefix of a pattern.
+
+    Pattern letters are fixed width here (``yyyy``, ``MM``, ``dd``, ``HH`` ...),
+    so every literal before the first optional section sits at a known index.
+    """
+    out, pos, i = [], 0, 0
+    while i < len(pattern) and pattern[i] != "[":
+        c = pattern[i]
+        if c == "'":
+            j = pattern.index("'", i + 1)
+            for ch in pattern[i + 1:j]:
+                out.append((pos, ch))
+                pos += 1
+            i = j + 1
+            continue
+        if not c.isalpha():
+            out.append((pos, c))
+        pos += 1
+        i += 1
+    return out
+
+
+def _shape_guard(s: Column, pattern: str) -> Column:
+    """Cheap necessary condition for ``pattern`` to parse ``s``: its fixed literals in place.
+
+    Skips parse attempts that cannot succeed (a failed parse costs an exception).
+    """
+    lits = _fixed_literals(pattern)
+    conds = [F.length(s) >= F.lit(max(p for p, _ in lits) + 1)] if lits else []
+    conds += [F.substring(s, p + 1, 1) == F.lit(ch) for p, ch in lits]
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
 def _try(s: Column, fmt: str) -> Column:
     return F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
 
@@ -69,12 +106,16 @@ def parse_timestamp(c: Column | str, base_date: str = "1970-01-01") -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     s = F.btrim(c, F.lit(_WS))
-    parts = []
+    # ISO-shaped text (date, space or T, time, optional dot fraction): the cast
+    # reads it exactly as the first exact formats would, and never throws
+    iso = (_shape_guard(s, "yyyy-MM-dd HH:mm:ss") | _shape_guard(s, "yyyy-MM-dd'T'HH:mm:ss")) & ~s.contains(",")
+    parts = [F.when(iso, s.try_cast("timestamp_ntz"))]
     for fmt in PARSE_PATTERNS:
         if fmt.startswith("HH"):
-            parts.append(_try(F.concat(F.lit(base_date + " "), s), "yyyy-MM-dd " + fmt))
+            attempt = _try(F.concat(F.lit(base_date + " "), s), "yyyy-MM-dd " + fmt)
         else:
-            parts.append(_try(s, fmt))
+            attempt = _try(s, fmt)
+        parts.append(F.when(_shape_guard(s, fmt), attempt))
     parts.append(s.try_cast("timestamp_ntz"))
     return F.when(s == "", F.lit(None).cast("timestamp_ntz")).otherwise(F.coalesce(*parts))
 
