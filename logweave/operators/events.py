@@ -41,14 +41,19 @@ def assign_events(rows: DataFrame, new_event_pattern: str | None, text_col: str
 
 
 def events(assigned: DataFrame) -> DataFrame:
-    """One row per event: the primary row's columns plus continuation count and last line."""
-    stats = assigned.where(~F.col("is_primary")).groupBy(PATH, "event_line").agg(
-        F.count(F.lit(1)).cast("long").alias("n_continuations"), F.max(LINE).alias("last_line"))
-    prim = assigned.where(F.col("is_primary")).drop("is_primary")
-    out = prim.join(stats, [PATH, "event_line"], "left")
-    return out.withColumn("n_continuations", F.coalesce("n_continuations", F.lit(0)).cast("long")).withColumn(
-        "has_continuation", F.col("n_continuations") > 0).withColumn(
-        "last_line", F.coalesce("last_line", F.col(LINE)))
+    """One row per event: the primary row's columns plus continuation count and last line.
+
+    A single aggregation per ``(path, event_line)``; ``max_by(.., is_primary)``
+    picks the primary row, and every aggregate combines map-side, so even one
+    huge event costs one partial row per task.
+    """
+    cols = [c for c in assigned.columns if c not in (PATH, "event_line", "is_primary")]
+    g = assigned.groupBy(PATH, "event_line").agg(
+        F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("is_primary")).alias("_lw_p"),
+        (F.count(F.lit(1)) - 1).cast("long").alias("n_continuations"),
+        F.max(LINE).alias("last_line"))
+    return g.select(PATH, "event_line", *[F.col(f"_lw_p.{c}").alias(c) for c in cols],
+                    "n_continuations", (F.col("n_continuations") > 0).alias("has_continuation"), "last_line")
 
 
 def continuation_text(assigned: DataFrame, text_col: str = "raw", chunk_lines: int = TEXT_CHUNK) -> DataFrame:

@@ -82,6 +82,46 @@ def _check_names(names: Sequence[str]) -> None:
 
 
 # ---- single profile, flat columns ------------------------------------------------
+def _pre_split(lines: DataFrame, profile: LogProfile, spark=None) -> tuple[DataFrame, Column, list[tuple[str, Column]]]:
+    """Project the per-row work that every field reads (the split, or the one regex
+    rewrite) into its own column first.  Catalyst keeps a non-trivial column that
+    is read several times as a separate projection, so it runs once per row
+    instead of once per field."""
+    text = F.col(TEXT)
+    if profile.kind == DELIMITED_KIND:
+        d = lines.select("*", text.contains(profile.delimiter).alias("_lw_ok"),
+                         F.split(text, split_pattern(profile.delimiter), -1).alias("_lw_parts"))
+        ok, parts = F.col("_lw_ok"), F.col("_lw_parts")
+        fields = [(name, F.when(ok, F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit(""))))
+                  for i, name in enumerate(profile.field_names)]
+        return d, ok, fields
+    jp = translate(profile.pattern, explicit_capture=True)
+    if spark is not None:
+        validate(spark, jp)
+    ngroups = len(jp.group_names)
+    wrapped = "^(?s:.*?)(?:" + jp.pattern + ")(?s:.*)$"
+    repl = "".join(_SEP + f"${i}" for i in range(1, ngroups + 1))
+    has_sep = text.contains(_SEP)
+    d = lines.select("*", F.when(~has_sep, F.regexp_replace(text, wrapped, repl)).alias("_lw_packed"))
+    packed = F.col("_lw_packed")
+    d = d.select("*", F.coalesce(packed.startswith(_SEP), text.rlike(jp.pattern)).alias("_lw_ok"),
+                 F.split(F.substring(packed, 2, 1 << 30), _SEP, -1).alias("_lw_groups"))
+    ok, groups = F.col("_lw_ok"), F.col("_lw_groups")
+
+    def pick(idx: list[int], get) -> Column:
+        vals = [get(i) for i in idx]
+        if len(vals) == 1:
+            return F.coalesce(vals[0], F.lit(""))
+        return F.coalesce(*[F.when(v != "", v) for v in reversed(vals)], F.lit(""))
+
+    fields = []
+    for name, idx in jp.named_groups():
+        fast = pick(idx, lambda i: F.try_element_at(groups, F.lit(i)))
+        exact = pick(idx, lambda i: F.regexp_extract(text, jp.pattern, i))
+        fields.append((name, F.when(ok, F.when(packed.isNull(), exact).otherwise(fast))))
+    return d, ok, fields
+
+
 def parse_lines(lines: DataFrame, profile: LogProfile, spark=None) -> DataFrame:
     """Parse every line with one profile; flat field columns + ``RawText``."""
     profile.validate(spark)
@@ -89,17 +129,14 @@ def parse_lines(lines: DataFrame, profile: LogProfile, spark=None) -> DataFrame:
     keep = [c for c in lines.columns if c not in (TEXT,)]
     if profile.kind == RAW_KIND:
         return lines.select(*keep, text.alias(RAW), F.lit(True).alias(PARSED), text.alias(RAW_KEY))
-    if profile.kind == DELIMITED_KIND:
-        ok, fields = _delimited_exprs(text, profile)
-    elif profile.kind == REGEX_KIND:
-        ok, fields = _regex_exprs(text, profile, spark)
-    else:
+    if profile.kind not in (DELIMITED_KIND, REGEX_KIND):
         raise InvalidProfileError(f"unknown kind {profile.kind}")
+    d, ok, fields = _pre_split(lines, profile, spark)
     _check_names([n for n, _ in fields])
     cols = [c.alias(n) for n, c in fields]
     if RAW_KEY not in [n for n, _ in fields]:
         cols.append(F.when(~ok, text).alias(RAW_KEY))
-    return lines.select(*keep, text.alias(RAW), ok.alias(PARSED), *cols)
+    return d.select(*keep, text.alias(RAW), ok.alias(PARSED), *cols)
 
 
 def parse_raw(lines: DataFrame) -> DataFrame:
