@@ -98,26 +98,48 @@ def _try(s: Column, fmt: str) -> Column:
     return F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
 
 
+def _sub(s: Column, start: int, length: int = 1 << 20) -> Column:
+    return F.substring(s, start, length)
+
+
+def iso_text(s: Column, base_date: str) -> Column:
+    """Rewrite the text of any known format into ISO ``yyyy-MM-dd HH:mm:ss[.f]``.
+
+    Each format's fields are fixed width, so its shape (the literal characters
+    at known positions, from ``_fixed_literals``) identifies it and a few
+    substrings reorder it.  Text of no known shape is left as is for the loose
+    parse.
+    """
+    frac = F.when(F.length(s) > 17, F.concat(F.lit("."), _sub(s, 19))).otherwise(F.lit(""))
+    return (
+        F.when(_shape_guard(s, "yyyy-MM-dd HH:mm:ss") | _shape_guard(s, "yyyy-MM-dd'T'HH:mm:ss"),
+               F.translate(s, ",", "."))
+        .when(_shape_guard(s, "yyyyMMdd-HH:mm:ss"),
+              F.concat(_sub(s, 1, 4), F.lit("-"), _sub(s, 5, 2), F.lit("-"), _sub(s, 7, 2), F.lit(" "),
+                       _sub(s, 10, 8), frac))
+        .when(_shape_guard(s, "yyyy/MM/dd HH:mm:ss"), F.concat(F.translate(_sub(s, 1, 10), "/", "-"), _sub(s, 11)))
+        .when(_shape_guard(s, "MM/dd/yyyy HH:mm:ss"),
+              F.concat(_sub(s, 7, 4), F.lit("-"), _sub(s, 1, 2), F.lit("-"), _sub(s, 4, 2), _sub(s, 11)))
+        .when(_shape_guard(s, "HH:mm:ss") & (F.length(s) <= 12), F.concat(F.lit(base_date + " "), s))
+        .otherwise(s)
+    )
+
+
 def parse_timestamp(c: Column | str, base_date: str = "1970-01-01") -> Column:
     """Parse log text to ``timestamp_ntz``; NULL when blank or unrecognised.
 
-    Time-only values get ``base_date`` as their date (default 1970-01-01 so
-    results repeat run to run; pass today's date for wall-clock behaviour).
+    The exact formats (``EXACT_FORMATS``) are recognised by shape and rewritten
+    to ISO text, then one ``try_cast`` parses it -- a small expression with no
+    exception per failed format; text of other shapes gets the same cast as the
+    loose parse.  Time-only values get ``base_date`` as their date (default
+    1970-01-01 so results repeat; pass today's date for wall-clock behaviour).
     """
     c = F.col(c) if isinstance(c, str) else c
-    s = F.btrim(c, F.lit(_WS))
-    # ISO-shaped text (date, space or T, time, optional dot fraction): the cast
-    # reads it exactly as the first exact formats would, and never throws
-    iso = (_shape_guard(s, "yyyy-MM-dd HH:mm:ss") | _shape_guard(s, "yyyy-MM-dd'T'HH:mm:ss")) & ~s.contains(",")
-    parts = [F.when(iso, s.try_cast("timestamp_ntz"))]
-    for fmt in PARSE_PATTERNS:
-        if fmt.startswith("HH"):
-            attempt = _try(F.concat(F.lit(base_date + " "), s), "yyyy-MM-dd " + fmt)
-        else:
-            attempt = _try(s, fmt)
-        parts.append(F.when(_shape_guard(s, fmt), attempt))
-    parts.append(s.try_cast("timestamp_ntz"))
-    return F.when(s == "", F.lit(None).cast("timestamp_ntz")).otherwise(F.coalesce(*parts))
+    # Bind the trimmed text once (a one-element transform acts as a let): the
+    # rewrite reads it many times, and filter pushdown would otherwise inline
+    # the whole field expression (e.g. a split of the raw line) at every read.
+    return F.element_at(F.transform(F.array(F.btrim(c, F.lit(_WS))),
+                                    lambda s: iso_text(s, base_date).try_cast("timestamp_ntz")), 1)
 
 
 def parse_bound(text: str | None) -> _dt.datetime | None:
