@@ -1,10 +1,11 @@
 """Live views over growing logs: numbering, folding, parsing, tagging, counters.
 
-* ``number_lines`` -- sequential line numbers per ``(path, generation)`` across
+* ``number_lines`` -- sequential line numbers per file and generation across
   micro-batches, and the event each line belongs to (multiline folding across
-  batches).  The state per key is two longs: next line number and the open
-  event's primary line.  The new-event test runs JVM-side (``rlike``) before the
-  grouped step; Python only orders a key's new rows and assigns numbers.
+  batches).  The state per file is four longs: generation, next line number,
+  end of the last line, and the open event's primary line.  The new-event test
+  runs JVM-side (``rlike``) before the grouped step; Python only orders a
+  file's new rows and assigns numbers.
 * ``live_rows`` -- the same stateless parse / flag / colour Columns as batch.
 * ``running_counts`` -- streaming aggregate of parsed / fallback / flagged.
 * ``workspace_files`` -- new files appearing under a workspace (file source).
@@ -34,7 +35,8 @@ from . import tail
 
 NUMBERED_SCHEMA = ("path string, generation long, line_no long, byte_offset long, text string, "
                    "event_line long, is_primary boolean")
-_STATE_SCHEMA = "next_line long, event_line long"
+# per file: generation, next line number, end byte of the last line, open event
+_STATE_SCHEMA = "generation long, next_line long, last_end long, event_line long"
 
 
 def tail_stream(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -50,12 +52,14 @@ def _number(key, pdfs: Iterable[pd.DataFrame], state):
     pdf = pd.concat(list(pdfs), ignore_index=True)
     if pdf.empty:
         return
-    pdf = pdf.sort_values("byte_offset", kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["generation", "byte_offset"], kind="stable").reset_index(drop=True)
     if state.exists:
-        next_line, open_event = state.get
+        gen, next_line, last_end, open_event = state.get
+        if int(pdf["byte_offset"].iloc[0]) < last_end:  # offsets went back: truncated / rotated
+            gen, next_line, open_event = gen + 1, 1, None
     else:
         base = pdf["base_line"].dropna()
-        next_line, open_event = (int(base.iloc[0]) + 1 if len(base) else 1), None
+        gen, next_line, open_event = 0, (int(base.iloc[0]) + 1 if len(base) else 1), None
     n = len(pdf)
     lines = np.arange(next_line, next_line + n, dtype=np.int64)
     starts = pd.Series(np.where(pdf["is_new"].to_numpy(dtype=bool), lines, -1), dtype="int64")
@@ -65,18 +69,23 @@ def _number(key, pdfs: Iterable[pd.DataFrame], state):
     if open_event is not None:
         ev = ev.fillna(open_event)
     ev = ev.astype("int64").to_numpy()
-    state.update((int(next_line + n), int(ev[-1])))
+    state.update((int(gen), int(next_line + n), int(pdf["end_offset"].iloc[-1]), int(ev[-1])))
     yield pd.DataFrame({
-        "path": pdf["path"], "generation": pdf["generation"], "line_no": lines,
+        "path": pdf["path"], "generation": np.full(n, gen, dtype=np.int64), "line_no": lines,
         "byte_offset": pdf["byte_offset"], "text": pdf["text"], "event_line": ev, "is_primary": ev == lines,
     })
 
 
 def number_lines(stream: DataFrame, new_event_pattern: str | None = None) -> DataFrame:
-    """Numbered lines with their event, keyed and ordered per ``(path, generation)``."""
+    """Numbered lines with their event and generation, ordered per file.
+
+    State per file (checkpointed by Spark): generation, next line number, end of
+    the last line, open event.  A batch starting before the last line's end is a
+    new generation (the source re-read a truncated or rotated file from 0).
+    """
     is_new = F.col(TEXT).rlike(java_regex(new_event_pattern)) if new_event_pattern else F.lit(True)
-    df = stream.select("path", "generation", "byte_offset", "base_line", TEXT, is_new.alias("is_new"))
-    return df.groupBy("path", "generation").applyInPandasWithState(
+    df = stream.select("path", "generation", "byte_offset", "end_offset", "base_line", TEXT, is_new.alias("is_new"))
+    return df.groupBy("path").applyInPandasWithState(
         _number, NUMBERED_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 

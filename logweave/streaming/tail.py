@@ -19,8 +19,11 @@ Options: ``path`` (file, folder or glob), ``glob`` (file-name filter inside a
 folder, default ``*.log``), ``startingOffsets`` (``earliest`` | ``latest`` |
 ``lines:N``), ``chunkBytes``, ``maxLineBytes`` (look-back bound).
 
-Known limit: the generation counter lives in the reader; after a restart it is
-re-learned from the checkpointed start offsets of the first batch.
+The reader's ``generation`` only says "re-read from byte 0"; the authoritative
+generation counter is kept in checkpointed streaming state by
+``live.number_lines`` (offsets going backwards = new generation), so it
+survives restarts.  A replacement at least as long as what was read is not
+detected (its length gives no sign of it).
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-SCHEMA = "path string, generation long, byte_offset long, base_line long, text string"
+SCHEMA = "path string, generation long, byte_offset long, end_offset long, base_line long, text string"
 
 
 class RangePartition(InputPartition):
@@ -190,7 +193,7 @@ class TailStreamReader(DataSourceStreamReader):
                     raw = raw[:-1]
                 if begin + pos == 0 and raw.startswith(b"\xef\xbb\xbf"):
                     raw = raw[3:]
-                yield (part.path, part.generation, begin + pos, part.base_line,
+                yield (part.path, part.generation, begin + pos, owner + 1, part.base_line,
                        raw.decode("utf-8", errors="replace"))
             pos = nl + 1
 

@@ -136,3 +136,27 @@ def test_live_rows_and_counts(spark, logfile):
         assert (r.lines, r.parsed, r.fallback, r.flagged) == (3, 2, 1, 1)
     finally:
         q.stop()
+
+
+def test_restart_from_checkpoint_continues(spark, logfile):
+    ck = tempfile.mkdtemp(prefix="lw-stream-restart-")
+    out = tempfile.mkdtemp(prefix="lw-stream-out-")
+
+    def run_once():
+        stream = live.tail_stream(spark, logfile)
+        q = (live.number_lines(stream).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", ck).outputMode("append").start())
+        q.processAllAvailable()
+        q.stop()
+
+    append(logfile, b"a\nb\n")
+    run_once()
+    append(logfile, b"c\n")
+    run_once()
+    with open(logfile, "wb") as fh:  # truncated while the query is stopped
+        fh.write(b"new\n")
+    run_once()
+    append(logfile, b"more\n")
+    run_once()
+    rows = sorted((r.generation, r.line_no, r.text) for r in spark.read.parquet(out).collect())
+    assert rows == [(0, 1, "a"), (0, 2, "b"), (0, 3, "c"), (1, 1, "new"), (1, 2, "more")]
