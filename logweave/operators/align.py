@@ -4,9 +4,10 @@ Logs are never merged; the output is pairs of references
 ``(path, line_no) -> (target_path, target_line)``.
 
 The nearest-timestamp match is an **as-of join** without a nested loop: both
-sides are cut into time buckets per pair; inside a bucket one window ordered by
-time finds the closest target at-or-before and at-or-after each reference row;
-a tiny per-bucket summary carries the nearest target across empty buckets.
+sides are cut into time buckets per pair (width chosen per pair so a bucket holds
+about ``BUCKET_ROWS`` rows); inside a bucket one window ordered by time finds the
+closest target at-or-before and at-or-after each reference row; a tiny
+per-bucket summary carries the nearest target across buckets without one.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 from ..functions.fields import LINE, PATH, FieldSpace, fields_of
 from ..functions.timestamps import parse_timestamp
 
-# Width of a time bucket, in microseconds (one minute).  Bounds the rows one
-# window task sees for a pair, however long the logs run.
+# Width of a time bucket (one minute): bounds the rows one window task sees for
+# a pair, however long the logs run.  Pass ``bucket_micros=None`` and
+# ``bucket_rows`` to size each pair's buckets from its own span and row count.
 BUCKET_MICROS = 60 * 1_000_000
+BUCKET_ROWS = 1 << 20
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -56,7 +59,7 @@ def align_by_line(ref: DataFrame, pairs: DataFrame, target_counts: DataFrame) ->
 
 
 def nearest_by_time(ref: DataFrame, target: DataFrame, pairs: DataFrame,
-                    bucket_micros: int = BUCKET_MICROS) -> DataFrame:
+                    bucket_micros: int | None = BUCKET_MICROS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """For each timestamped reference row, the target line with the smallest |dt|.
 
     Ties go to the smaller target line (file order).  ``ref`` and ``target`` are
@@ -69,8 +72,17 @@ def nearest_by_time(ref: DataFrame, target: DataFrame, pairs: DataFrame,
         "src", F.col(PATH).alias("dst"), F.col("ts"), F.lit(None).cast("long").alias("rline"), F.col("tline"))
     rf = ref.join(pairs, PATH).select(F.col(PATH).alias("src"), F.col("target_path").alias("dst"), "ts",
                                        F.col(LINE).cast("long").alias("rline"), F.lit(None).cast("long").alias("tline"))
-    u = rf.unionByName(tgt).withColumn("us", micros(F.col("ts"))).withColumn(
-        "bucket", F.floor(F.col("us") / F.lit(bucket_micros)).cast("long"))
+    u = rf.unionByName(tgt).withColumn("us", micros(F.col("ts")))
+    if bucket_micros:
+        u = u.withColumn("bucket", F.floor(F.col("us") / F.lit(bucket_micros)).cast("long"))
+    else:
+        # per pair: width = span * bucket_rows / rows (one row per pair, AQE broadcasts it)
+        st = u.groupBy("src", "dst").agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"),
+                                          F.count(F.lit(1)).alias("_n"))
+        st = st.select("src", "dst", "_lo", F.greatest(F.lit(1), F.ceil(
+            (F.col("_hi") - F.col("_lo") + 1) * F.lit(float(bucket_rows)) / F.col("_n"))).cast("long").alias("_w"))
+        u = u.join(st, ["src", "dst"]).withColumn(
+            "bucket", F.floor((F.col("us") - F.col("_lo")) / F.col("_w")).cast("long")).drop("_lo", "_w")
     tstruct = F.when(F.col("tline").isNotNull(), F.struct(F.col("us").alias("us"), F.col("tline").alias("line")))
     w = Window.partitionBy("src", "dst", "bucket").orderBy("us")
     u = u.withColumn("_pred", F.last(tstruct, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
@@ -79,7 +91,8 @@ def nearest_by_time(ref: DataFrame, target: DataFrame, pairs: DataFrame,
     # Carry across buckets: one row per bucket holding reference or target rows,
     # with the bucket's latest and earliest target (targets are unique per ts).
     # A reference row whose own bucket has no target on a side takes the nearest
-    # bucket's boundary target on that side.
+    # bucket's boundary target on that side.  Partial aggregates combine before
+    # the shuffle, so the summary costs one small row per bucket and task.
     is_t = F.col("tline").isNotNull()
     tpt = F.struct(F.col("us").alias("us"), F.col("tline").alias("line"))
     per_bucket = u.groupBy("src", "dst", "bucket").agg(
@@ -102,7 +115,7 @@ def nearest_by_time(ref: DataFrame, target: DataFrame, pairs: DataFrame,
 
 
 def align(ref_rows: DataFrame, ref_ts: DataFrame, target_ts: DataFrame, target_counts: DataFrame,
-          pairs: DataFrame, bucket_micros: int = BUCKET_MICROS) -> DataFrame:
+          pairs: DataFrame, bucket_micros: int | None = BUCKET_MICROS) -> DataFrame:
     """Timestamp alignment with the fallback chain, for every reference row.
 
     * reference row without a parseable timestamp -> align by line;

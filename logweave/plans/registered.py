@@ -30,6 +30,7 @@ from ..sources import sinks as SK
 from ..sources.tables import EVLOG_PROFILE, DOC_NEW_EVENT, doclog_lines, doclog_path, evlog_lines, evlog_path, table
 from . import rules as R
 from .profile import LogProfile
+from .sizing import materialize
 
 # ---- shared inputs -------------------------------------------------------------
 DOC_CSV = LogProfile.delimited(",", ("Head", "Body", "Tail"), name="doc-csv")
@@ -302,17 +303,17 @@ def q_level_sort_rank(spark, sf):
 
 # ---- alignment -----------------------------------------------------------------
 def q_align_line(spark, sf):
-    rows = _ev_rows(spark, sf)
+    rows = materialize(_ev_rows(spark, sf).select(PATH, LINE))
     return A.align_by_line(rows, _user_pairs(spark, sf), A.line_counts(rows))
 
 
 def q_align_nearest(spark, sf):
-    ts = A.timestamped_rows(_ev_rows(spark, sf), "Timestamp")
+    ts = materialize(A.timestamped_rows(_ev_rows(spark, sf), "Timestamp"))
     return A.nearest_by_time(ts, ts, _user_pairs(spark, sf))
 
 
 def q_align_fallback(spark, sf):
-    ev = _ev_rows(spark, sf)
+    ev = materialize(_ev_rows(spark, sf).select(PATH, LINE, "Timestamp"))
     docs = _doc_lines(spark, sf)
     users = table(spark, sf, "events").select("user_id").distinct()
     dmeta = table(spark, sf, "documents").select("doc_id", "lang")

@@ -1,27 +1,42 @@
-"""Size checks before broadcasting.
+"""Materialising shared intermediates and size checks before broadcasting.
 
-A side is broadcast only when its row count -- measured, after checkpointing
-it so the count and the join read the same rows -- is under a bound; otherwise
-the plain (shuffle) join is kept and AQE may still pick a broadcast at run time
-from measured shuffle sizes.
+``materialize`` writes a frame once as Parquet into the shared folder the
+session names in ``spark.checkpoint.dir`` and reads it back: the lineage is cut,
+it survives executor loss, and later reads prune columns.  ``broadcast_if_small``
+broadcasts a side only when its measured row count is under a bound; otherwise
+the plain (shuffle) join stays and AQE may still pick a broadcast from measured
+shuffle sizes.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, materialize: bool = True) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    For an intermediate that several branches of a plan read: without it every
+    branch re-runs the whole lineage (scans, shuffles, windows).
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/logweave-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, materialized: bool = True) -> DataFrame:
     """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
 
-    With ``materialize`` the frame is checkpointed to the shared checkpoint
-    folder first (reliable, survives executor loss; never a local checkpoint).
+    With ``materialized`` the frame is written once first, so the count and the
+    join read the same rows without computing them twice.
     """
-    if materialize:
-        checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+    if materialized:
+        df = materialize(df)
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df

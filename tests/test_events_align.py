@@ -111,3 +111,15 @@ def test_group_pairs_excludes_self_and_opted_out(spark):
     g = spark.createDataFrame([(1, "a", True, True), (1, "b", False, True), (1, "c", False, False)],
                               "group_id long, path string, is_source boolean, sync_enabled boolean")
     assert [(r.path, r.target_path) for r in A.group_pairs(g).collect()] == [("a", "b")]
+
+
+def test_nearest_adaptive_buckets_match_brute_force(spark):
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    tgt = [(i, base + dt.timedelta(seconds=rnd.randrange(0, 900, 2))) for i in range(1, 81)]
+    ref = [(i, base + dt.timedelta(seconds=rnd.randrange(-50, 950))) for i in range(1, 151)]
+    tdf = spark.createDataFrame([("t", l, t) for l, t in tgt], "path string, line_no long, ts timestamp_ntz")
+    rdf = spark.createDataFrame([("r", l, t) for l, t in ref], "path string, line_no long, ts timestamp_ntz")
+    pairs = spark.createDataFrame([("r", "t")], "path string, target_path string")
+    got = {r.line_no: r.target_line for r in A.nearest_by_time(rdf, tdf, pairs, bucket_rows=7).collect()}
+    assert got == brute(ref, sorted(tgt))
