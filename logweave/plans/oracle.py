@@ -116,6 +116,15 @@ SQL["load_cap"] = _w(DOC) + (
     "SELECT path, count(*) FILTER (WHERE line_no <= 20) AS loaded, count(*) AS total_lines, "
     "count(*) > 20 AS truncated FROM doc GROUP BY path")
 
+SQL["workspace_lines"] = """
+WITH wd AS (
+  SELECT source, doc_id // 1000 AS blk, doc_id, unnest(range(1, len(parts) + 1)) AS ln, unnest(parts) AS text
+  FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts FROM documents))
+SELECT 'ws/' || source || '/' || CAST(blk AS VARCHAR) || '.log' AS path,
+       CAST(row_number() OVER (PARTITION BY source, blk ORDER BY doc_id, ln) AS BIGINT) AS line_no,
+       text, 'UTF-8' AS encoding
+FROM wd"""
+
 SQL["parse_delimited"] = _w(EVN) + (
     'SELECT path, line_no, true AS is_parsed, "Timestamp", "Level", "Module", "Message", '
     'CAST(NULL AS VARCHAR) AS "RawText" FROM evn')
@@ -281,6 +290,7 @@ SQL["flag_lines"] = _w(EVN) + "SELECT path, line_no FROM evf WHERE is_flagged"
 SQL["flag_lines_doc"] = _w(DOC) + (
     "SELECT path, line_no FROM dcsv WHERE " + _any(DOCCOLS, "contains(lower({c}), 'password')") + " OR "
     + _any(DOCCOLS, "regexp_matches({c}, '(?i)\\b(secret|token)\\b')") + " OR coalesce(h = 'Le', false)")
+SQL["total_flagged"] = _w(EVN) + "SELECT count(*) FILTER (WHERE is_flagged) AS total_flagged FROM evf"
 SQL["flag_counts"] = _w(EVN) + (
     "SELECT path, count(*) FILTER (WHERE is_flagged) AS flagged FROM evf GROUP BY ROLLUP (path)")
 SQL["row_background"] = _w(EVN) + (
@@ -307,6 +317,11 @@ SQL["continuation_text"] = _w(DOC, EVENTS) + (
     "SELECT path, ev AS line_no, CAST((line_no - 1) // 1024 AS BIGINT) AS chunk, "
     "string_agg(text, chr(10) ORDER BY line_no) AS continuation_text "
     "FROM dev WHERE line_no <> ev GROUP BY path, ev, (line_no - 1) // 1024")
+SQL["attach_continuations"] = _w(DOC, EVENTS, """
+evc AS (SELECT path, ev, count(*) - 1 AS n FROM dev GROUP BY path, ev)""") + (
+    "SELECT d.path, d.line_no, CAST(coalesce(e.n, 0) AS BIGINT) AS n_continuations FROM doc d "
+    "LEFT JOIN evc e ON e.path = d.path AND e.ev = d.line_no WHERE contains(lower(d.text), 'the')")
+SQL["timestamped_rows"] = _w(EVN) + "SELECT path, line_no, date_trunc('millisecond', ts) AS ts FROM evn"
 SQL["level_sort_rank"] = _w(EVN, """
 rk AS (SELECT path, line_no, CASE upper("Level") WHEN 'TRACE' THEN 0 WHEN 'DEBUG' THEN 1 WHEN 'INFO' THEN 2
         WHEN 'WARN' THEN 3 WHEN 'ERROR' THEN 4 WHEN 'FATAL' THEN 5 ELSE 6 END AS level_rank FROM evn)""") + (

@@ -97,6 +97,32 @@ def q_load_cap(spark, sf):
     return L.load_stats(_doc_lines(spark, sf), 20)
 
 
+# Documents per workspace file in the round-trip query (bounds one write task).
+WS_DOCS_PER_FILE = 1000
+
+
+def q_workspace_lines(spark, sf):
+    """Files end to end: documents written as log files -- one per source and
+    block of ``WS_DOCS_PER_FILE`` document ids, in id order -- into the shared
+    checkpoint folder, then scanned, encoding-detected, numbered and decoded."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.files import read_workspace
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/logweave-ws-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select(
+        "source", F.floor(F.col("doc_id") / WS_DOCS_PER_FILE).cast("long").alias("blk"), "doc_id", "text")
+    (docs.repartition("source", "blk").sortWithinPartitions("source", "blk", "doc_id").drop("doc_id")
+     .write.partitionBy("source", "blk").option("compression", "none").text(root))
+    _files, enc, lines = read_workspace(spark, root, extensions=[".txt"])
+    j = lines.join(enc.select(PATH, "encoding"), PATH)
+    src = F.regexp_extract(PATH, "/source=([^/]+)/", 1)
+    blk = F.regexp_extract(PATH, "/blk=([0-9]+)/", 1)
+    return j.select(F.concat(F.lit("ws/"), src, F.lit("/"), blk, F.lit(".log")).alias(PATH), LINE, "text",
+                    "encoding")
+
+
 # ---- parsing ---------------------------------------------------------------------
 def q_parse_delimited(spark, sf):
     return _ev_rows(spark, sf).select(PATH, LINE, "is_parsed", "Timestamp", "Level", "Module", "Message", "RawText")
@@ -270,6 +296,10 @@ def q_flag_lines_doc(spark, sf):
     return T.flagged_lines(T.flag_rows(_doc_csv(spark, sf), DOC_FLAGS, spark=spark))
 
 
+def q_total_flagged(spark, sf):
+    return SU.total_flagged(T.flag_rows(_ev_rows(spark, sf), spark=spark))
+
+
 def q_flag_counts(spark, sf):
     return T.flag_counts(T.flag_rows(_ev_rows(spark, sf), spark=spark))
 
@@ -301,7 +331,20 @@ def q_level_sort_rank(spark, sf):
     return SO.level_positions(_ev_rows(spark, sf), "Level").select(PATH, LINE, "level_rank", "sort_pos")
 
 
+def q_attach_continuations(spark, sf):
+    rows = PA.parse_raw(_doc_lines(spark, sf))
+    assigned = E.assign_events(rows, DOC_NEW_EVENT, spark=spark)
+    shown = FL.view(assigned, R.ViewFilter(text=DOC_VISIBLE_TEXT))
+    return E.attach_continuations(shown.select(PATH, LINE), assigned).select(
+        PATH, LINE, F.coalesce("n_continuations", F.lit(0)).cast("long").alias("n_continuations"))
+
+
 # ---- alignment -----------------------------------------------------------------
+def q_timestamped_rows(spark, sf):
+    return A.timestamped_rows(_ev_rows(spark, sf), EVLOG_PROFILE.timestamp_field)
+
+
+
 def q_align_line(spark, sf):
     rows = materialize(_ev_rows(spark, sf).select(PATH, LINE))
     return A.align_by_line(rows, _user_pairs(spark, sf), A.line_counts(rows))
@@ -362,6 +405,7 @@ QUERIES = {
     "line_count": q_line_count,
     "read_range": q_read_range,
     "load_cap": q_load_cap,
+    "workspace_lines": q_workspace_lines,
     "parse_delimited": q_parse_delimited,
     "parse_delimited_short": q_parse_delimited_short,
     "parse_regex": q_parse_regex,
@@ -392,11 +436,14 @@ QUERIES = {
     "flag_lines": q_flag_lines,
     "flag_lines_doc": q_flag_lines_doc,
     "flag_counts": q_flag_counts,
+    "total_flagged": q_total_flagged,
     "row_background": q_row_background,
     "field_highlight": q_field_highlight,
     "events_multiline": q_events_multiline,
     "continuation_text": q_continuation_text,
+    "attach_continuations": q_attach_continuations,
     "level_sort_rank": q_level_sort_rank,
+    "timestamped_rows": q_timestamped_rows,
     "align_line": q_align_line,
     "align_nearest": q_align_nearest,
     "align_fallback": q_align_fallback,

@@ -60,3 +60,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``logweave`` importable in Python workers (once per application).
+
+    Functions that run in Python workers (``mapInPandas``, the stateful line
+    numbering, the tail data source) are pickled by module reference; the
+    package is zipped on the driver and distributed with ``addPyFile`` so
+    workers can import it wherever the driver was started from.
+    """
+    sc = getattr(spark, "sparkContext", None)
+    if sc is None:
+        return
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="logweave-pkg-"), "logweave.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

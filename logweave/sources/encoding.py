@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import LINE, PATH, TEXT
 from ..plans.sizing import broadcast_if_small
+from ..session import ship_package
 from .lines import read_lines, text_reader
 
 UTF8 = "UTF-8"
@@ -83,6 +84,7 @@ def _head_bytes(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
 
 def file_heads(files: DataFrame) -> DataFrame:
     """First four bytes of each file, read on executors (local / mounted paths)."""
+    ship_package(files.sparkSession)
     return files.select(PATH).mapInPandas(_head_bytes, "path string, head binary")
 
 

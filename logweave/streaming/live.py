@@ -30,6 +30,7 @@ from ..operators import parse as PA
 from ..operators import tags as T
 from ..plans import rules as R
 from ..plans.profile import LogProfile
+from ..session import ship_package
 from ..sources.files import extension_glob
 from . import tail
 
@@ -83,6 +84,7 @@ def number_lines(stream: DataFrame, new_event_pattern: str | None = None) -> Dat
     the last line, open event.  A batch starting before the last line's end is a
     new generation (the source re-read a truncated or rotated file from 0).
     """
+    ship_package(stream.sparkSession)
     is_new = F.col(TEXT).rlike(java_regex(new_event_pattern)) if new_event_pattern else F.lit(True)
     df = stream.select("path", "generation", "byte_offset", "end_offset", "base_line", TEXT, is_new.alias("is_new"))
     return df.groupBy("path").applyInPandasWithState(

@@ -212,4 +212,7 @@ class TailDataSource(DataSource):
 
 def register(spark) -> None:
     """Make ``spark.readStream.format("logtail")`` available in this session."""
+    from ..session import ship_package
+
+    ship_package(spark)
     spark.dataSource.register(TailDataSource)
