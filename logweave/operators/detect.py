@@ -30,7 +30,9 @@ def detect_formats(lines: DataFrame, sample_lines: int = SAMPLE_LINES) -> DataFr
         n = F.size(F.split(F.col(TEXT), split_pattern(d), -1))
         aggs += [F.bool_and(F.col(TEXT).contains(d)).alias(f"_all{i}"), F.min(n).alias(f"_mn{i}"),
                  F.max(n).alias(f"_mx{i}")]
-    g = lines.select(PATH).distinct().join(s.groupBy(PATH).agg(*aggs), PATH, "left")
+    # every file with lines has a line 1: the file list without a distinct over all lines
+    files = lines.where(F.col(LINE) == F.lit(1)).select(PATH)
+    g = files.join(s.groupBy(PATH).agg(*aggs), PATH, "left")
     kind = F.lit(None).cast("string")
     delim = F.lit(None).cast("string")
     count = F.lit(0)
