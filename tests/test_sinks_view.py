@@ -54,3 +54,14 @@ def test_status_summary_and_total(spark):
             for r in SU.status_summary(tagged, F.col("Level") != "INFO").collect()}
     assert summ == {"a.log": (2, 3, 2, 1, 2), None: (2, 3, 2, 1, 2)}
     assert SU.total_flagged(tagged).collect()[0].total_flagged == 2
+
+
+def test_view_helpers(spark):
+    from logweave.operators import view as V
+    df = rows_df(spark, [(1, "INFO", "a"), (2, "ERROR", "b")], ["Level", "Message"])
+    assert V.show_columns(df, ["Message"]).columns == ["path", "line_no", "Message"]
+    assert V.hide_columns(df, ["Level", "path"]).columns == ["path", "line_no", "Message"]
+    refs = spark.createDataFrame([("a.log", 2)], "path string, line_no long")
+    assert [r.line_no for r in V.lookup_lines(df, refs).collect()] == [2]
+    more = rows_df(spark, [(3, "WARN", "c")], ["Level", "Message"])
+    assert V.append_rows(df, more.drop("Message")).count() == 3
