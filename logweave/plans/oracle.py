@@ -179,10 +179,8 @@ SELECT path, line_no, true AS is_parsed,
        coalesce(string_split(text, delimiter)[i], '') AS value
 FROM parsed"""
 SQL["semantic_guess"] = _w(DOC, """
-w AS (SELECT path, unnest(range(1, len(string_split(text, ' ')) + 1)) AS position,
-             unnest(string_split(text, ' ')) AS field_name FROM doc WHERE line_no = 1)""") + (
-    "SELECT path, CAST(position AS BIGINT) AS position, field_name, "
-    f"{ROLE_CASE} AS role FROM w")
+w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS field_name FROM doc)""") + (
+    f"SELECT field_name, {ROLE_CASE} AS role FROM w")
 
 _NORM = "lower(regexp_replace(replace({x}, '/', '\\'), '\\\\+$', ''))"
 SQL["profile_resolve"] = _w(r"""

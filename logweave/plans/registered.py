@@ -166,10 +166,9 @@ def q_parse_detected(spark, sf):
 
 
 def q_semantic_guess(spark, sf):
-    first = _doc_lines(spark, sf).where(F.col(LINE) == 1)
-    words = first.select(PATH, F.posexplode(F.split(F.col("text"), " ", -1)).alias("pos", "field_name"))
-    return words.select(PATH, (F.col("pos") + 1).cast("long").alias("position"), "field_name",
-                        guess_role(F.col("field_name")).alias("role"))
+    """Role guessed for every distinct word of the documents, taken as a field name."""
+    words = _doc_lines(spark, sf).select(F.explode(F.split(F.col("text"), " ", -1)).alias("field_name")).distinct()
+    return words.select("field_name", guess_role(F.col("field_name")).alias("role"))
 
 
 def _page_files(spark, sf):
@@ -199,7 +198,7 @@ def q_parse_multi_profile(spark, sf):
     lines = _doc_lines(spark, sf)
     assign = spark.createDataFrame([("docs/en", "doc-csv", 0), ("DOCS\\FR\\", "doc-words", 1)],
                                    "dir string, profile string, ordinal int")
-    prof = RS.resolve_profiles(lines, assign)
+    prof = RS.resolve_profiles(lines.where(F.col(LINE) == 1), assign)  # one row per file
     j = lines.join(prof, PATH, "left")
     rows = PA.parse_with_profiles(j, {"doc-csv": DOC_CSV, "doc-words": DOC_REGEX}, spark=spark)
     return rows.select(PATH, LINE, "profile", "is_parsed", F.explode("fields").alias("key", "value"))

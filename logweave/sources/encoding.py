@@ -103,11 +103,16 @@ def detect_encodings(spark: SparkSession, files: DataFrame, paths, recursive: bo
     (the folder and filter the workspace scan used).
     """
     heads = file_heads(files)
-    valid = (text_reader(spark, recursive, glob).load(paths if isinstance(paths, list) else [paths])
-             .select(F.col("_metadata.file_path").alias(PATH), F.expr("is_valid_utf8(value)").alias("_ok"))
-             .groupBy(PATH).agg(F.bool_and("_ok").alias("_valid")))
+    scan = text_reader(spark, recursive, glob).load(paths if isinstance(paths, list) else [paths]).select(
+        F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value"))
+    # whole-file validity, and the first line's first bytes (a UTF-16 mark survives
+    # the text scan) for storage the executors cannot open directly
+    valid = scan.groupBy(PATH).agg(
+        F.bool_and(F.expr("is_valid_utf8(value)")).alias("_valid"),
+        F.min_by(F.substring(F.col("value").cast("binary"), 1, 4), F.struct("_split", "_id")).alias("_first"))
     j = files.select(PATH).join(heads, PATH, "left").join(valid, PATH, "left")
-    bom = bom_encoding(F.col("head"))
+    bom = F.coalesce(bom_encoding(F.col("head")), bom_encoding(F.col("_first")))
     enc = F.coalesce(bom, F.when(F.coalesce(F.col("_valid"), F.lit(True)), F.lit(UTF8)).otherwise(F.lit(ANSI)))
     return j.select(
         PATH, enc.alias("encoding"), bom.isNotNull().alias("had_bom"), (enc == ANSI).alias("is_fallback"),

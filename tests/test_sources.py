@@ -140,3 +140,15 @@ def test_forced_encoding(spark, tmpdir_path):
     touch(tmpdir_path, "ansi.log", b"h\x93i\n")
     _, enc, lines = FS.read_workspace(spark, tmpdir_path, encoding=EN.ANSI)
     assert [r.text for r in lines.collect()] == ["h“i"]
+
+
+def test_utf16_detected_from_text_scan_without_direct_reads(spark, tmpdir_path, monkeypatch):
+    """Storage the executors cannot open directly: the BOM still shows in the first line."""
+    from pyspark.sql import functions as F
+    touch(tmpdir_path, "u16le.log", b"\xff\xfe" + "ab\ncd\n".encode("utf-16-le"))
+    touch(tmpdir_path, "plain.log", b"hello\n")
+    monkeypatch.setattr(EN, "file_heads", lambda files: files.select("path", F.lit(None).cast("binary").alias("head")))
+    files = FS.scan_workspace(spark, tmpdir_path)
+    enc = EN.detect_encodings(spark, files, tmpdir_path, recursive=True, glob=FS.extension_glob(None))
+    got = {r.path.rsplit("/", 1)[1]: r.encoding for r in enc.collect()}
+    assert got == {"u16le.log": EN.UTF16LE, "plain.log": EN.UTF8}
