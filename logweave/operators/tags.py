@@ -20,8 +20,9 @@ def flag_rows(rows: DataFrame, rules: Sequence[R.FlagRule] = R.DEFAULT_FLAG_RULE
 
 
 def flagged_lines(flagged: DataFrame) -> DataFrame:
-    """Distinct flagged ``(path, line_no)`` in file order."""
-    return flagged.where(F.col("is_flagged")).select(PATH, LINE).distinct().orderBy(PATH, LINE)
+    """Flagged ``(path, line_no)`` in file order (rows are unique per line, so each
+    line appears once however many rules hit it)."""
+    return flagged.where(F.col("is_flagged")).select(PATH, LINE).orderBy(PATH, LINE)
 
 
 def flag_counts(flagged: DataFrame) -> DataFrame:
