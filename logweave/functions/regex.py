@@ -72,7 +72,7 @@ def translate(pattern: str, *, explicit_capture: bool = False, ignore_case: bool
             i += 2
             continue
         if in_class:
-            if c == "[" :
+            if c == "[":
                 out.append("\\[")
             else:
                 out.append(c)
@@ -150,7 +150,10 @@ def literal(text: str) -> str:
 
 def validate(spark, jp: JavaPattern) -> None:
     """Compile the pattern on the driver's JVM so bad input fails at plan build."""
-    jvm = getattr(getattr(spark, "sparkContext", None), "_jvm", None) if spark is not None else None
+    try:
+        jvm = spark.sparkContext._jvm if spark is not None else None
+    except Exception:  # Spark Connect: no JVM handle on the client
+        jvm = None
     if jvm is None:
         return
     try:

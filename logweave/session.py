@@ -54,14 +54,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
         return current
     local = tempfile.mkdtemp(prefix="logweave-ckpt-", dir=os.environ.get("LOGWEAVE_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def _context(spark):
+    """The SparkContext of a classic session; None for a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -73,7 +79,7 @@ def ship_package(spark: SparkSession) -> None:
     package is zipped on the driver and distributed with ``addPyFile`` so
     workers can import it wherever the driver was started from.
     """
-    sc = getattr(spark, "sparkContext", None)
+    sc = _context(spark)
     if sc is None:
         return
     key = sc.applicationId
