@@ -160,3 +160,40 @@ def test_restart_from_checkpoint_continues(spark, logfile):
     run_once()
     rows = sorted((r.generation, r.line_no, r.text) for r in spark.read.parquet(out).collect())
     assert rows == [(0, 1, "a"), (0, 2, "b"), (0, 3, "c"), (1, 1, "new"), (1, 2, "more")]
+
+
+def test_missing_file_is_no_new_data(spark, tmpdir_path):
+    a = os.path.join(tmpdir_path, "a.log")
+    b = os.path.join(tmpdir_path, "b.log")
+    with open(a, "wb") as fh:
+        fh.write(b"a1\n")
+    with open(b, "wb") as fh:
+        fh.write(b"b1\n")
+    t = Tail(spark, tmpdir_path, name="dir")
+    try:
+        assert len(t.step()) == 2
+        os.remove(b)
+        append(a, b"a2\n")
+        rows = t.step()
+        assert sorted(x[2] for x in rows) == ["a1", "a2", "b1"]
+    finally:
+        t.stop()
+
+
+def test_workspace_files_discovers_new_files(spark, tmpdir_path):
+    with open(os.path.join(tmpdir_path, "first.log"), "wb") as fh:
+        fh.write(b"x\n")
+    name = "ws" + str(abs(hash(tmpdir_path)) % 100000)
+    q = live.workspace_files(spark, tmpdir_path).writeStream.format("memory").queryName(name).start()
+    try:
+        q.processAllAvailable()
+        os.makedirs(os.path.join(tmpdir_path, "sub"))
+        with open(os.path.join(tmpdir_path, "sub", "second.LOG"), "wb") as fh:
+            fh.write(b"y\nz\n")
+        with open(os.path.join(tmpdir_path, "ignored.txt"), "wb") as fh:
+            fh.write(b"no\n")
+        q.processAllAvailable()
+        got = sorted((r.path.rsplit("/", 1)[1], r.text) for r in spark.sql(f"select * from {name}").collect())
+        assert got == [("first.log", "x"), ("second.LOG", "y"), ("second.LOG", "z")]
+    finally:
+        q.stop()
