@@ -43,6 +43,11 @@ def _safe(c: Column) -> Column:
     return F.coalesce(c, _false())
 
 
+def ntz(value: _dt.datetime) -> Column:
+    """A naive timestamp literal, independent of any time zone setting."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def contains_ci(v: Column, text: str) -> Column:
     """Substring test ignoring case."""
     return F.lower(v).contains(text.lower())
@@ -87,9 +92,9 @@ def time_range_predicate(ts: Column, start: _dt.datetime | None, end: _dt.dateti
         return _true()
     conds = []
     if start is not None:
-        conds.append(ts >= F.lit(start).cast("timestamp_ntz"))
+        conds.append(ts >= ntz(start))
     if end is not None:
-        conds.append(ts <= F.lit(end).cast("timestamp_ntz"))
+        conds.append(ts <= ntz(end))
     return _safe(_and(conds))
 
 
@@ -150,9 +155,9 @@ def color_predicate(rule: R.ColorRule, fs: FieldSpace, spark=None) -> Column:
         ts = parse_timestamp(fs.get(rule.field))
         conds = [ts.isNotNull()]
         if start is not None:
-            conds.append(ts >= F.lit(start).cast("timestamp_ntz"))
+            conds.append(ts >= ntz(start))
         if end is not None:
-            conds.append(ts <= F.lit(end).cast("timestamp_ntz"))
+            conds.append(ts <= ntz(end))
         return _safe(_and(conds))
     raise ValueError(f"unknown colour kind {rule.kind!r}")
 

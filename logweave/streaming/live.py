@@ -130,3 +130,9 @@ def workspace_files(spark: SparkSession, root: str, extensions=None) -> DataFram
             .option("pathGlobFilter", extension_glob(extensions))
             .load(root)
             .select(F.col("_metadata.file_path").alias(PATH), F.col("value").alias(TEXT)))
+
+
+def reset_notices(numbered: DataFrame) -> DataFrame:
+    """One row per detected truncation / rotation: the first line of each new generation."""
+    return numbered.where((F.col("generation") > 0) & (F.col(LINE) == 1)).select(
+        PATH, "generation", F.col("byte_offset").alias("reset_at_byte"))

@@ -83,6 +83,8 @@ def test_truncation_resets_generation(spark, logfile):
         rows = t.step()
         assert (1, 1, "after reset") in [x[:3] for x in rows]
         assert [x[:2] for x in rows if x[0] == 0] == [(0, 1), (0, 2)]
+        notices = live.reset_notices(spark.table(t.name)).collect()
+        assert [(r.generation, r.reset_at_byte) for r in notices] == [(1, 0)]
     finally:
         t.stop()
 

@@ -102,3 +102,14 @@ def test_guess_role(spark, name, role):
 def test_suggested_names(spark):
     got = spark.range(1).select(suggested_names(11).alias("n")).collect()[0].n
     assert got[:4] == ["Timestamp", "Level", "Module", "Message"] and got[9:] == ["Field10", "Field11"]
+
+
+def test_sort_field_time_restore_and_saved_state(spark):
+    df = rows_df(spark, [(1, "b", "2024-01-02 00:00:00"), (2, "a", "junk"), (3, None, "2024-01-01 00:00:00")],
+                 ["Name", "Timestamp"])
+    assert [r.line_no for r in SO.sort_by_field(df, "Name").collect()] == [3, 2, 1]
+    assert [r.line_no for r in SO.sort_by_field(df, "Line", descending=True).collect()] == [3, 2, 1]
+    assert [r.line_no for r in SO.sort_by_time(df, "Timestamp").collect()] == [3, 1, 2]
+    assert [r.line_no for r in SO.restore_order(SO.sort_by_field(df, "Name")).collect()] == [1, 2, 3]
+    assert [r.line_no for r in SO.sort_view(df, SO.SortState("Name", True)).collect()] == [1, 2, 3]
+    assert [r.line_no for r in SO.first_lines(df, 2).collect()] == [1, 2]
