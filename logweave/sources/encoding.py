@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import LINE, PATH, TEXT
-from ..plans.sizing import broadcast_if_small
+from ..plans.sizing import broadcast_if_small, materialize
 from ..session import ship_package
-from .lines import read_lines, text_reader
+from .lines import number_from_splits, read_lines, scan_raw, split_stats, text_reader
 
 UTF8 = "UTF-8"
 UTF8_BOM = "UTF-8 (BOM)"
@@ -141,6 +141,46 @@ def read_decoded(spark: SparkSession, encodings: DataFrame, paths, recursive: bo
     return out
 
 
+def read_detected(spark: SparkSession, files: DataFrame, paths, recursive: bool = False, glob: str | None = None,
+                  broadcast_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """Detect each file's encoding and return its numbered, decoded lines -- in two scans.
+
+    The per-split table that numbering needs also aggregates UTF-8 validity and
+    the first bytes, so detection costs no extra pass over the data:
+    scan 1 builds the split table, scan 2 numbers and decodes.  Returns
+    ``(encodings, lines)``.  UTF-16 files (found by their mark) are re-read with
+    their own options.
+    """
+    raw = scan_raw(spark, paths, recursive=recursive, glob=glob)
+    splits = materialize(split_stats(
+        raw,
+        F.bool_and(F.expr("is_valid_utf8(text)")).alias("_valid"),
+        F.min_by(F.substring(F.col(TEXT).cast("binary"), 1, 4), F.col("_id")).alias("_first")))
+    per_file = splits.groupBy(PATH).agg(F.bool_and("_valid").alias("_valid"),
+                                        F.min_by("_first", F.col("_split")).alias("_first"))
+    heads = file_heads(files)
+    j = files.select(PATH).join(heads, PATH, "left").join(per_file, PATH, "left")
+    bom = F.coalesce(bom_encoding(F.col("head")), bom_encoding(F.col("_first")))
+    enc_col = F.coalesce(bom, F.when(F.coalesce(F.col("_valid"), F.lit(True)), F.lit(UTF8)).otherwise(F.lit(ANSI)))
+    encodings = materialize(j.select(
+        PATH, enc_col.alias("encoding"), bom.isNotNull().alias("had_bom"), (enc_col == ANSI).alias("is_fallback"),
+        F.when(enc_col == ANSI, F.lit(ANSI_WARNING)).alias("warning")))
+
+    # the split table carries each file's encoding to the numbering join
+    s_enc = splits.join(encodings.select(PATH, "encoding"), PATH, "left")
+    base = number_from_splits(raw, s_enc, broadcast_rows, keep=("encoding",))
+    base = base.where(~F.coalesce(F.col("encoding").isin(UTF16LE, UTF16BE), F.lit(False)))
+    text = F.when(F.col("encoding") == ANSI, decode_ansi(F.col(TEXT))).otherwise(F.col(TEXT))
+    out = base.select(PATH, LINE, text.alias(TEXT))
+    utf16 = encodings.where(F.col("encoding").isin(UTF16LE, UTF16BE)).select(PATH, "encoding").collect()
+    for enc in (UTF16LE, UTF16BE):
+        ps = [r[0] for r in utf16 if r[1] == enc]
+        if ps:
+            u = read_lines(spark, ps, encoding=_JAVA_CHARSET[enc], line_sep="\n")
+            out = out.unionByName(u.select(PATH, LINE, decode_utf16(F.col(TEXT), _JAVA_CHARSET[enc]).alias(TEXT)))
+    return encodings, out
+
+
 def force_encoding(files: DataFrame, encoding: str | Mapping[str, str]) -> DataFrame:
     """An ``(path, encoding)`` table forcing one encoding for all files, or per path."""
     if isinstance(encoding, str):

@@ -76,13 +76,12 @@ def read_workspace(spark: SparkSession, root: str, extensions: Iterable[str] | N
     ``lines`` are numbered and decoded with each file's detected encoding, or
     with ``encoding`` forced for all files.
     """
-    from .encoding import detect_encodings, force_encoding, read_decoded
+    from .encoding import force_encoding, read_decoded, read_detected
 
     files = scan_workspace(spark, root, extensions)
     glob = extension_glob(extensions)
     if encoding:
         enc = force_encoding(files, encoding)
-    else:
-        enc = detect_encodings(spark, files, root, recursive=True, glob=glob)
-    lines = read_decoded(spark, enc, root, recursive=True, glob=glob)
+        return files, enc, read_decoded(spark, enc, root, recursive=True, glob=glob)
+    enc, lines = read_detected(spark, files, root, recursive=True, glob=glob)
     return files, enc, lines

@@ -57,6 +57,35 @@ def _scan(spark: SparkSession, paths, encoding: str | None = None, line_sep: str
     )
 
 
+def scan_raw(spark: SparkSession, paths, *, encoding: str | None = None, line_sep: str | None = None,
+             recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """The text scan with each line's file, split offset and scan id (not yet numbered)."""
+    try:
+        return _scan(spark, paths, encoding, line_sep, recursive, glob)
+    except Exception as exc:  # AnalysisException: PATH_NOT_FOUND
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            raise LogFileNotFoundError(str(exc).splitlines()[0]) from None
+        raise
+
+
+def split_stats(raw: DataFrame, *extra_aggs) -> DataFrame:
+    """One row per ``(path, split)``: smallest scan id and line count (plus any
+    extra per-split aggregates), aggregated map-side."""
+    return raw.groupBy(PATH, "_split").agg(F.min("_id").alias("_min_id"), F.count(F.lit(1)).alias("_n"), *extra_aggs)
+
+
+def number_from_splits(raw: DataFrame, splits: DataFrame, broadcast_rows: int = SPLIT_TABLE_BROADCAST_ROWS,
+                       keep: tuple[str, ...] = ()) -> DataFrame:
+    """Join the split table (with running counts) back to the scan: exact line numbers."""
+    w = Window.partitionBy(PATH).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    table = splits.select(PATH, "_split", "_min_id", *keep,
+                          F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    side = broadcast_if_small(table, broadcast_rows)
+    numbered = raw.join(side, [PATH, "_split"])
+    return numbered.select(PATH, (F.col("_before") + F.col("_id") - F.col("_min_id") + 1).cast("long").alias(LINE),
+                           TEXT, *keep)
+
+
 def read_lines(spark: SparkSession, paths, *, encoding: str | None = None, line_sep: str | None = None,
                recursive: bool = False, glob: str | None = None,
                broadcast_rows: int = SPLIT_TABLE_BROADCAST_ROWS) -> DataFrame:
@@ -66,19 +95,8 @@ def read_lines(spark: SparkSession, paths, *, encoding: str | None = None, line_
     file URI as Spark reports it.  A missing file raises ``LogFileNotFoundError``
     when the plan is built.
     """
-    try:
-        raw = _scan(spark, paths, encoding, line_sep, recursive, glob)
-    except Exception as exc:  # AnalysisException: PATH_NOT_FOUND
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            raise LogFileNotFoundError(str(exc).splitlines()[0]) from None
-        raise
-    splits = raw.groupBy(PATH, "_split").agg(F.min("_id").alias("_min_id"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(PATH).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(PATH, "_split", "_min_id", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    side = broadcast_if_small(splits, broadcast_rows)
-    numbered = raw.join(side, [PATH, "_split"])
-    return numbered.select(PATH, (F.col("_before") + F.col("_id") - F.col("_min_id") + 1).cast("long").alias(LINE),
-                           TEXT)
+    raw = scan_raw(spark, paths, encoding=encoding, line_sep=line_sep, recursive=recursive, glob=glob)
+    return number_from_splits(raw, split_stats(raw), broadcast_rows)
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
