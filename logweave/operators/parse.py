@@ -10,7 +10,6 @@ inside one projection (whole-stage codegen, no Python per row).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
