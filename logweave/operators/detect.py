@@ -63,9 +63,12 @@ def parse_detected(lines: DataFrame, formats: DataFrame) -> DataFrame:
     parts = F.lit(None).cast("array<string>")
     for cand in CANDIDATE_DELIMITERS:
         parts = F.when(d == cand, F.split(text, split_pattern(cand), -1)).otherwise(parts)
-    ok = F.coalesce(F.expr("delimiter is not null and instr(text, delimiter) > 0"), F.lit(False))
+    # a file detected as raw parses every line (as RawText); a delimited one
+    # falls back on lines without its delimiter
+    split_ok = F.coalesce(F.expr("delimiter is not null and instr(text, delimiter) > 0"), F.lit(False))
+    ok = d.isNull() | split_ok
     names = suggested_names(F.coalesce(F.col("field_count"), F.lit(0)).cast("int"))
     vals = F.transform(names, lambda _n, i: F.coalesce(F.try_element_at(parts, i + 1), F.lit("")))
-    fmap = F.when(ok, F.map_from_arrays(names, vals)).otherwise(F.create_map(F.lit(RAW_KEY), text))
+    fmap = F.when(split_ok, F.map_from_arrays(names, vals)).otherwise(F.create_map(F.lit(RAW_KEY), text))
     keep = [c for c in lines.columns if c != TEXT]
     return j.select(*keep, text.alias(RAW), ok.alias(PARSED), fmap.alias(FIELDS))

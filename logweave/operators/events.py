@@ -11,7 +11,7 @@ physical line) and events (one row per primary line).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import LINE, PATH
@@ -32,8 +32,15 @@ def assign_events(rows: DataFrame, new_event_pattern: str | None, text_col: str
     if not new_event_pattern:
         return rows.withColumn("event_line", F.col(LINE)).withColumn("is_primary", F.lit(True))
     p = java_regex(new_event_pattern, spark=spark)
+    return assign_events_marked(rows, F.col(text_col).rlike(p), block_lines)
+
+
+def assign_events_marked(rows: DataFrame, is_new: Column, block_lines: int | None = None) -> DataFrame:
+    """``assign_events`` with the new-event test given as a column (e.g. a
+    different pattern per file's profile; ``True`` makes every row an event)."""
     kw = {"block_lines": block_lines} if block_lines else {}
-    d = neighbors(rows, {"start": F.when(F.col(text_col).rlike(p), F.col(LINE))}, inclusive=True, head=True, **kw)
+    d = neighbors(rows, {"start": F.when(F.coalesce(is_new, F.lit(False)), F.col(LINE))}, inclusive=True, head=True,
+                  **kw)
     # rows before a file's first start belong to the event its first line opens
     d = d.withColumn("event_line", F.coalesce(F.col("prev_start"), F.col("part_head")))
     return d.drop("next_start", "prev_start", "part_head").withColumn(

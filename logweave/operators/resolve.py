@@ -17,7 +17,8 @@ from ..functions.fields import PATH
 
 
 def norm_path(c: Column) -> Column:
-    """Separators unified to ``\\``, trailing separators removed, lower-cased."""
+    """``file:`` scheme dropped, separators unified to ``\\``, trailing separators removed, lower-cased."""
+    c = F.regexp_replace(c, "^file:(//)?", "")
     return F.lower(F.regexp_replace(F.regexp_replace(c, "/", "\\\\"), "\\\\+$", ""))
 
 

@@ -172,7 +172,7 @@ dj AS (SELECT d.path, d.line_no, d.text, f.delimiter, f.field_count,
               coalesce(f.delimiter IS NOT NULL AND contains(d.text, f.delimiter), false) AS ok
        FROM doc d LEFT JOIN fmt f ON f.path = d.path),
 parsed AS (SELECT path, line_no, text, delimiter, unnest(range(1, field_count + 1)) AS i FROM dj WHERE ok)""") + f"""
-SELECT path, line_no, false AS is_parsed, 'RawText' AS key, text AS value FROM dj WHERE NOT ok
+SELECT path, line_no, delimiter IS NULL AS is_parsed, 'RawText' AS key, text AS value FROM dj WHERE NOT ok
 UNION ALL
 SELECT path, line_no, true AS is_parsed,
        CASE WHEN i <= 9 THEN {NAMES}[i] ELSE 'Field' || CAST(i AS VARCHAR) END AS key,
