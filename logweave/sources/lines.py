@@ -122,3 +122,14 @@ def load_stats(lines: DataFrame, cap: int) -> DataFrame:
         F.count_if(F.col(LINE) <= F.lit(cap)).cast("long").alias("loaded"),
         F.count(F.lit(1)).cast("long").alias("total_lines"))
     return g.withColumn("truncated", F.col("total_lines") > F.lit(cap))
+
+
+def write_numbered(lines: DataFrame, out_dir: str, mode: str = "error") -> None:
+    """Write numbered lines once as Parquet for repeated querying.
+
+    Sorted within each task by ``(path, line_no)`` -- no shuffle: a task's lines
+    are already runs of consecutive lines of its files -- so row-group statistics
+    let later ``path`` / ``line_no`` filters (ranges, caps, detection samples)
+    skip data.
+    """
+    lines.sortWithinPartitions(PATH, LINE).write.mode(mode).parquet(out_dir)

@@ -152,3 +152,15 @@ def test_utf16_detected_from_text_scan_without_direct_reads(spark, tmpdir_path,
     enc = EN.detect_encodings(spark, files, tmpdir_path, recursive=True, glob=FS.extension_glob(None))
     got = {r.path.rsplit("/", 1)[1]: r.encoding for r in enc.collect()}
     assert got == {"u16le.log": EN.UTF16LE, "plain.log": EN.UTF8}
+
+
+def test_write_numbered_roundtrip_prunes(spark, tmpdir_path):
+    p = touch(tmpdir_path, "n.log", "".join(f"l{i}\n" for i in range(1, 501)).encode())
+    out = os.path.join(tmpdir_path, "numbered")
+    L.write_numbered(L.read_lines(spark, p), out)
+    back = spark.read.parquet(out)
+    assert back.count() == 500
+    rng = L.read_range(back, 100, 3)
+    assert [r.text for r in rng.orderBy("line_no").collect()] == ["l100", "l101", "l102"]
+    plan = rng._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "line_no" in plan
