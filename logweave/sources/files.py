@@ -50,13 +50,14 @@ def extension_glob(exts: Iterable[str] | None) -> str:
 
 
 def scan_workspace(spark: SparkSession, root: str, extensions: Iterable[str] | None = None) -> DataFrame:
-    """``(path, dir, name, ext, length, modified)`` of every matching file below ``root``."""
-    if "://" not in root and not os.path.isdir(root):
+    """``(path, dir, name, ext, length, modified)`` of every matching file below ``root``
+    (or of ``root`` itself when it names one file)."""
+    if "://" not in root and not os.path.exists(root):
         raise WorkspaceNotFoundError(f"Workspace root not found: {root}")
-    df = (spark.read.format("binaryFile")
-          .option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", extension_glob(extensions))
-          .load(root))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if not ("://" not in root and os.path.isfile(root)):  # a file named explicitly is taken as is
+        reader = reader.option("pathGlobFilter", extension_glob(extensions))
+    df = reader.load(root)
     path = F.col("path")
     name = F.regexp_extract(path, "([^/]*)$", 1)
     return df.select(
@@ -79,7 +80,7 @@ def read_workspace(spark: SparkSession, root: str, extensions: Iterable[str] | N
     from .encoding import force_encoding, read_decoded, read_detected
 
     files = scan_workspace(spark, root, extensions)
-    glob = extension_glob(extensions)
+    glob = None if ("://" not in root and os.path.isfile(root)) else extension_glob(extensions)
     if encoding:
         enc = force_encoding(files, encoding)
         return files, enc, read_decoded(spark, enc, root, recursive=True, glob=glob)

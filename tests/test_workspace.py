@@ -31,3 +31,13 @@ def test_open_workspace_end_to_end(spark, tmpdir_path):
     assert rows[("free.log", 1)].profile is None and dict(rows[("free.log", 1)].fields) == {"RawText": "just words here"}
     status = {(r.path or "").rsplit("/", 1)[-1]: (r.total, r.parsed, r.fallback, r.flagged) for r in ws.status.collect()}
     assert status["server.log"] == (3, 2, 1, 1) and status[""] == (7, 6, 1, 1)
+
+
+def test_open_single_file_with_forced_encoding(spark, tmpdir_path):
+    from logweave.sources.files import read_workspace
+    touch(tmpdir_path, "one.txt", b"h\x93i\nplain\n")
+    files, enc, lines = read_workspace(spark, os.path.join(tmpdir_path, "one.txt"), encoding="Windows-1252 (ANSI)")
+    assert files.count() == 1
+    assert [r.text for r in lines.orderBy("line_no").collect()] == ["h“i", "plain"]
+    _f, enc2, lines2 = read_workspace(spark, os.path.join(tmpdir_path, "one.txt"))
+    assert enc2.collect()[0].encoding == "Windows-1252 (ANSI)" and lines2.count() == 2
