@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import LINE, PATH, FieldSpace, fields_of
 from ..functions.timestamps import parse_timestamp
+from ..plans.sizing import materialize
 
 # Width of a time bucket (one minute): bounds the rows one window task sees for
 # a pair, however long the logs run.  Pass ``bucket_micros=None`` and
@@ -66,6 +67,7 @@ def nearest_by_time(ref: DataFrame, target: DataFrame, pairs: DataFrame,
     ``(path, line_no, ts)``; ``pairs`` is ``(path, target_path)``.
     Output ``(path, line_no, target_path, target_line, delta_micros)``.
     """
+    pairs = materialize(pairs)  # small (one row per pair) and read twice below
     # target reduced to one row per (file, ts): the smallest line wins a tie
     tgt = target.groupBy(PATH, "ts").agg(F.min(LINE).alias("tline"))
     tgt = tgt.join(pairs.select(F.col(PATH).alias("src"), F.col("target_path").alias(PATH)), PATH).select(
@@ -123,6 +125,7 @@ def align(ref_rows: DataFrame, ref_ts: DataFrame, target_ts: DataFrame, target_c
     * else the nearest timestamp.
     Output ``(path, line_no, target_path, target_line, used_fallback)``.
     """
+    pairs = materialize(pairs)  # read by both alignments
     by_line = align_by_line(ref_rows, pairs, target_counts)
     near = nearest_by_time(ref_ts, target_ts, pairs, bucket_micros).drop("delta_micros").withColumnRenamed(
         "target_line", "near_line")
