@@ -289,6 +289,10 @@ SQL["flag_lines_doc"] = _w(DOC) + (
     "SELECT path, line_no FROM dcsv WHERE " + _any(DOCCOLS, "contains(lower({c}), 'password')") + " OR "
     + _any(DOCCOLS, "regexp_matches({c}, '(?i)\\b(secret|token)\\b')") + " OR coalesce(h = 'Le', false)")
 SQL["total_flagged"] = _w(EVN) + "SELECT count(*) FILTER (WHERE is_flagged) AS total_flagged FROM evf"
+SQL["lookup_flagged_text"] = _w(DOC) + (
+    "SELECT path, line_no, text FROM doc WHERE (path, line_no) IN (SELECT path, line_no FROM dcsv WHERE "
+    + _any(DOCCOLS, "contains(lower({c}), 'password')") + " OR "
+    + _any(DOCCOLS, "regexp_matches({c}, '(?i)\\b(secret|token)\\b')") + " OR coalesce(h = 'Le', false))")
 SQL["flag_counts"] = _w(EVN) + (
     "SELECT path, count(*) FILTER (WHERE is_flagged) AS flagged FROM evf GROUP BY ROLLUP (path)")
 SQL["row_background"] = _w(EVN) + (
@@ -320,6 +324,8 @@ evc AS (SELECT path, ev, count(*) - 1 AS n FROM dev GROUP BY path, ev)""") + (
     "SELECT d.path, d.line_no, CAST(coalesce(e.n, 0) AS BIGINT) AS n_continuations FROM doc d "
     "LEFT JOIN evc e ON e.path = d.path AND e.ev = d.line_no WHERE contains(lower(d.text), 'the')")
 SQL["timestamped_rows"] = _w(EVN) + "SELECT path, line_no, date_trunc('millisecond', ts) AS ts FROM evn"
+SQL["events_single"] = _w(DOC) + (
+    "SELECT path, line_no, CAST(0 AS BIGINT) AS n_continuations, line_no AS last_line FROM doc")
 SQL["level_sort_rank"] = _w(EVN, """
 rk AS (SELECT path, line_no, CASE upper("Level") WHEN 'TRACE' THEN 0 WHEN 'DEBUG' THEN 1 WHEN 'INFO' THEN 2
         WHEN 'WARN' THEN 3 WHEN 'ERROR' THEN 4 WHEN 'FATAL' THEN 5 ELSE 6 END AS level_rank FROM evn)""") + (
@@ -359,6 +365,11 @@ st AS (SELECT path, ok, {_any(DOCCOLS, "regexp_matches({c}, '" + FLAGRX + "')")}
     "SELECT path, count(*) FILTER (WHERE shown) AS shown, count(*) AS total, count(*) FILTER (WHERE ok) AS parsed, "
     "count(*) FILTER (WHERE NOT ok) AS fallback, count(*) FILTER (WHERE is_flagged) AS flagged "
     "FROM st GROUP BY ROLLUP (path)")
+SQL["append_logs"] = _w(EVN, DOC) + (
+    'SELECT path, line_no, raw, "Level" FROM evr UNION ALL SELECT path, line_no, text AS raw, '
+    'CAST(NULL AS VARCHAR) AS "Level" FROM doc')
+SQL["visible_columns"] = _w(EVN) + (
+    'SELECT path, line_no, raw, true AS is_parsed, "Message", "Level" FROM evr')
 SQL["export_tsv"] = _w(DOC) + (
     "SELECT path, line_no, concat_ws(chr(9), CAST(line_no AS VARCHAR), coalesce(h, ''), coalesce(b, ''), "
     "coalesce(t, '')) AS tsv FROM dcsv")

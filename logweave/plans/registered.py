@@ -24,6 +24,7 @@ from ..operators import search as S
 from ..operators import sort as SO
 from ..operators import summary as SU
 from ..operators import tags as T
+from ..operators import view as V
 from ..functions import predicates as P
 from ..sources import lines as L
 from ..sources import sinks as SK
@@ -325,6 +326,29 @@ def q_continuation_text(spark, sf):
     return E.continuation_text(_doc_events(spark, sf))
 
 
+def q_events_single(spark, sf):
+    """No multiline rule: every line is its own event."""
+    rows = PA.parse_raw(_doc_lines(spark, sf))
+    return E.events(E.assign_events(rows, None)).select(PATH, LINE, "n_continuations", "last_line")
+
+
+def q_lookup_flagged_text(spark, sf):
+    """Line lookup: the raw text of flagged lines, by (path, line_no) references."""
+    refs = T.flagged_lines(T.flag_rows(_doc_csv(spark, sf), DOC_FLAGS, spark=spark))
+    return V.lookup_lines(_doc_lines(spark, sf), refs).select(PATH, LINE, "text")
+
+
+def q_append_logs(spark, sf):
+    """Rows of two kinds of logs appended into one frame (missing columns NULL)."""
+    ev = _ev_rows(spark, sf).select(PATH, LINE, "raw", "Level")
+    docs = PA.parse_raw(_doc_lines(spark, sf)).select(PATH, LINE, "raw")
+    return V.append_rows(ev, docs)
+
+
+def q_visible_columns(spark, sf):
+    return V.show_columns(_ev_rows(spark, sf), ["Message", "Level"])
+
+
 # ---- sort ----------------------------------------------------------------------
 def q_level_sort_rank(spark, sf):
     return SO.level_positions(_ev_rows(spark, sf), "Level").select(PATH, LINE, "level_rank", "sort_pos")
@@ -434,6 +458,7 @@ QUERIES = {
     "search_hidden": q_search_hidden,
     "flag_lines": q_flag_lines,
     "flag_lines_doc": q_flag_lines_doc,
+    "lookup_flagged_text": q_lookup_flagged_text,
     "flag_counts": q_flag_counts,
     "total_flagged": q_total_flagged,
     "row_background": q_row_background,
@@ -441,12 +466,15 @@ QUERIES = {
     "events_multiline": q_events_multiline,
     "continuation_text": q_continuation_text,
     "attach_continuations": q_attach_continuations,
+    "events_single": q_events_single,
     "level_sort_rank": q_level_sort_rank,
     "timestamped_rows": q_timestamped_rows,
     "align_line": q_align_line,
     "align_nearest": q_align_nearest,
     "align_fallback": q_align_fallback,
     "status_summary": q_status_summary,
+    "append_logs": q_append_logs,
+    "visible_columns": q_visible_columns,
     "export_tsv": q_export_tsv,
     "raw_text": q_raw_text,
     "line_refs": q_line_refs,
