@@ -35,45 +35,6 @@ def split_pattern(delimiter: str) -> str:
     return "\\Q" + delimiter.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-# ---- per-profile field expressions ---------------------------------------------
-def _delimited_exprs(text: Column, p: LogProfile) -> tuple[Column, list[tuple[str, Column]]]:
-    ok = text.contains(p.delimiter)
-    parts = F.split(text, split_pattern(p.delimiter), -1)
-    fields = [(name, F.when(ok, F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit(""))))
-              for i, name in enumerate(p.field_names)]
-    return ok, fields
-
-
-def _regex_exprs(text: Column, p: LogProfile, spark=None) -> tuple[Column, list[tuple[str, Column]]]:
-    jp = translate(p.pattern, explicit_capture=True)
-    if spark is not None:
-        validate(spark, jp)
-    named = jp.named_groups()
-    ngroups = len(jp.group_names)
-    # fast path: one regex pass that rewrites the line into SEP-joined groups
-    # (the lazy prefix finds the same leftmost match as a plain find)
-    wrapped = "^(?s:.*?)(?:" + jp.pattern + ")(?s:.*)$"
-    repl = "".join(_SEP + f"${i}" for i in range(1, ngroups + 1))
-    packed = F.regexp_replace(text, wrapped, repl)
-    groups_fast = F.split(F.substring(packed, 2, 1 << 30), _SEP, -1)
-    has_sep = text.contains(_SEP)
-    ok = F.when(has_sep, text.rlike(jp.pattern)).otherwise(packed.startswith(_SEP))
-
-    def pick(idx: list[int], arr_get) -> Column:
-        vals = [arr_get(i) for i in idx]
-        if len(vals) == 1:
-            return F.coalesce(vals[0], F.lit(""))
-        # a repeated name keeps the last group that captured something
-        return F.coalesce(*[F.when(v != "", v) for v in reversed(vals)], F.lit(""))
-
-    fields = []
-    for name, idx in named:
-        fast = pick(idx, lambda i: F.try_element_at(groups_fast, F.lit(i)))
-        exact = pick(idx, lambda i: F.regexp_extract(text, jp.pattern, i))
-        fields.append((name, F.when(ok, F.when(has_sep, exact).otherwise(fast))))
-    return ok, fields
-
-
 def _check_names(names: Sequence[str]) -> None:
     clash = [n for n in names if n in RESERVED]
     if clash:
@@ -151,36 +112,64 @@ def parse_regex(lines: DataFrame, pattern: str, spark=None) -> DataFrame:
 
 
 # ---- several profiles, map column -------------------------------------------------
-def fields_map(text: Column, profile: LogProfile, spark=None) -> tuple[Column, Column]:
-    """(is_parsed, fields map) of one profile, for the mixed-profile model."""
-    raw_map = F.create_map(F.lit(RAW_KEY), text)
-    if profile.kind == RAW_KIND:
-        return F.lit(True), raw_map
-    if profile.kind == DELIMITED_KIND:
-        ok, fields = _delimited_exprs(text, profile)
-    else:
-        ok, fields = _regex_exprs(text, profile, spark)
-    kv = [x for n, c in fields for x in (F.lit(n), c)]
-    return ok, F.when(ok, F.create_map(*kv)).otherwise(raw_map)
-
-
 def parse_with_profiles(rows_in: DataFrame, profiles: Mapping[str, LogProfile], profile_col: str = "profile",
                         spark=None) -> DataFrame:
     """Parse each line with the profile named in ``profile_col`` (NULL/unknown -> raw).
 
-    One CASE per profile inside a single projection; the profile table is
-    config-sized, so the plan grows with the number of profiles, not the data.
+    One CASE per profile inside a projection; the profile table is config-sized,
+    so the plan grows with the number of profiles, not the data.  The split (for
+    delimited profiles) and the one-pass regex rewrite (for regex profiles) are
+    projected once per row, chosen by the row's profile, and every field reads
+    them from there.
     """
     text = F.col(TEXT)
-    ok_expr, map_expr = F.lit(True), F.create_map(F.lit(RAW_KEY), text)
-    for name, prof in profiles.items():
-        prof.validate(spark)
-        ok, m = fields_map(text, prof, spark)
-        hit = F.col(profile_col) == F.lit(name)
+    prof = F.col(profile_col)
+    parts_expr = F.lit(None).cast("array<string>")
+    packed_expr = F.lit(None).cast("string")
+    compiled = {}
+    for name, p in profiles.items():
+        p.validate(spark)
+        hit = prof == F.lit(name)
+        if p.kind == DELIMITED_KIND:
+            parts_expr = F.when(hit, F.split(text, split_pattern(p.delimiter), -1)).otherwise(parts_expr)
+        elif p.kind == REGEX_KIND:
+            jp = translate(p.pattern, explicit_capture=True)
+            if spark is not None:
+                validate(spark, jp)
+            compiled[name] = jp
+            wrapped = "^(?s:.*?)(?:" + jp.pattern + ")(?s:.*)$"
+            repl = "".join(_SEP + f"${i}" for i in range(1, len(jp.group_names) + 1))
+            packed_expr = F.when(hit & ~text.contains(_SEP), F.regexp_replace(text, wrapped, repl)).otherwise(packed_expr)
+    d = rows_in.select("*", parts_expr.alias("_lw_parts"), packed_expr.alias("_lw_packed"))
+    d = d.select("*", F.split(F.substring(F.col("_lw_packed"), 2, 1 << 30), _SEP, -1).alias("_lw_groups"))
+    parts, packed, groups = F.col("_lw_parts"), F.col("_lw_packed"), F.col("_lw_groups")
+
+    raw_map = F.create_map(F.lit(RAW_KEY), text)
+    ok_expr, map_expr = F.lit(True), raw_map
+    for name, p in profiles.items():
+        hit = prof == F.lit(name)
+        if p.kind == DELIMITED_KIND:
+            ok = text.contains(p.delimiter)
+            kv = [x for i, n in enumerate(p.field_names)
+                  for x in (F.lit(n), F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit("")))]
+        elif p.kind == REGEX_KIND:
+            jp = compiled[name]
+            ok = F.coalesce(packed.startswith(_SEP), text.rlike(jp.pattern))
+            kv = []
+            for n, idx in jp.named_groups():
+                fast = [F.try_element_at(groups, F.lit(i)) for i in idx]
+                exact = [F.regexp_extract(text, jp.pattern, i) for i in idx]
+                pick_fast = fast[0] if len(fast) == 1 else F.coalesce(*[F.when(v != "", v) for v in reversed(fast)])
+                pick_exact = exact[0] if len(exact) == 1 else F.coalesce(
+                    *[F.when(v != "", v) for v in reversed(exact)])
+                kv += [F.lit(n), F.coalesce(F.when(packed.isNull(), pick_exact).otherwise(pick_fast), F.lit(""))]
+        else:
+            ok, kv = F.lit(True), None
+        m = F.when(ok, F.create_map(*kv)).otherwise(raw_map) if kv else raw_map
         ok_expr = F.when(hit, ok).otherwise(ok_expr)
         map_expr = F.when(hit, m).otherwise(map_expr)
     keep = [c for c in rows_in.columns if c != TEXT]
-    return rows_in.select(*keep, text.alias(RAW), ok_expr.alias(PARSED), map_expr.alias(FIELDS))
+    return d.select(*keep, text.alias(RAW), ok_expr.alias(PARSED), map_expr.alias(FIELDS))
 
 
 # ---- statistics and column discovery ----------------------------------------------
