@@ -44,3 +44,30 @@ def test_jvm_validation_rejects(spark):
     from logweave.functions.regex import java_regex
     with pytest.raises(InvalidPatternError):
         java_regex("a{2,1}", spark=spark)
+
+
+def test_named_backreference_and_inline_flags(spark):
+    from pyspark.sql import functions as F
+    from logweave.functions.regex import java_regex
+    jp = translate(r"(?<w>\w+) \k<w>", explicit_capture=True)
+    assert jp.pattern.endswith(r"(\w+) \1")
+    df = spark.createDataFrame([("hello hello",), ("hello world",), ("ÉTÉ été",)], "s string")
+    hits = [r.s for r in df.where(F.col("s").rlike(jp.pattern)).collect()]
+    assert hits == ["hello hello"]
+    ci = java_regex("été", ignore_case=True)
+    assert [r.s for r in df.where(F.col("s").rlike(ci)).collect()] == ["ÉTÉ été"]
+    assert [r.s for r in df.where(F.col("s").rlike(java_regex("(?i)HELLO W"))).collect()] == ["hello world"]
+
+
+def test_group_syntax_inside_class_is_literal():
+    jp = translate(r"[(?<x>)]+(?<y>a)", explicit_capture=True)
+    assert jp.group_names == ("y",)
+
+
+def test_unicode_classes_and_line_ends(spark):
+    from pyspark.sql import functions as F
+    from logweave.functions.regex import java_regex
+    df = spark.createDataFrame([("٣",), ("a\rb",), ("x\n",)], "s string")
+    assert df.where(F.col("s").rlike(java_regex(r"^\d$"))).count() == 1      # Unicode digit
+    assert df.where(F.col("s").rlike(java_regex(r"a.b"))).count() == 1       # only \n ends a line
+    assert df.where(F.col("s").rlike(java_regex(r"^x$"))).count() == 1       # $ before a final \n
