@@ -17,7 +17,7 @@ appended to existing ones.  This Python data source keeps, per file, an offset
 
 Options: ``path`` (file, folder or glob), ``glob`` (file-name filter inside a
 folder, default ``*.log``), ``startingOffsets`` (``earliest`` | ``latest`` |
-``lines:N``), ``chunkBytes``, ``maxLineBytes`` (look-back bound).
+``lines:N``), ``chunkBytes``, ``maxLineBytes`` (look-back step).
 
 The reader's ``generation`` only says "re-read from byte 0"; the authoritative
 generation counter is kept in checkpointed streaming state by
@@ -171,14 +171,18 @@ class TailStreamReader(DataSourceStreamReader):
         except OSError:
             return
         with fh:
-            # look back for the beginning of the first owned line
+            # look back (in steps of maxLineBytes, as far as needed) for the
+            # beginning of the first owned line
             begin = part.start
-            if part.start > 0:
-                back = max(0, part.start - self.max_line)
+            hi = part.start
+            while hi > 0:
+                back = max(0, hi - self.max_line)
                 fh.seek(back)
-                prev = fh.read(part.start - back)
-                nl = prev.rfind(b"\n")
-                begin = back + nl + 1 if nl >= 0 else back
+                nl = fh.read(hi - back).rfind(b"\n")
+                if nl >= 0:
+                    begin = back + nl + 1
+                    break
+                begin, hi = back, back
             fh.seek(begin)
             data = fh.read(part.end - begin)
         pos = 0

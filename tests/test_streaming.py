@@ -199,3 +199,13 @@ def test_workspace_files_discovers_new_files(spark, tmpdir_path):
         assert got == [("first.log", "x"), ("second.LOG", "y"), ("second.LOG", "z")]
     finally:
         q.stop()
+
+
+def test_long_lines_across_small_ranges(spark, logfile):
+    long_line = b"x" * 700
+    append(logfile, b"short\n" + long_line + b"\nend\n")
+    t = Tail(spark, logfile, chunkBytes=64, maxLineBytes=50)
+    try:
+        assert [(x[1], len(x[2])) for x in t.step()] == [(1, 5), (2, 700), (3, 3)]
+    finally:
+        t.stop()
