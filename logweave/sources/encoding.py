@@ -16,8 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from urllib.parse import unquote, urlparse
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import LINE, PATH, TEXT
 from ..plans.sizing import broadcast_if_small, materialize
 from ..session import ship_package
+from . import fsio
 from .lines import number_from_splits, read_lines, scan_raw, split_stats, text_reader
 
 UTF8 = "UTF-8"
@@ -72,18 +71,15 @@ def _head_bytes(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
     for pdf in it:
         heads = []
         for p in pdf["path"]:
-            u = urlparse(p)
-            local = unquote(u.path) if u.scheme in ("file", "") else None
             try:
-                with open(local, "rb") as fh:
-                    heads.append(fh.read(4))
-            except (OSError, TypeError):
+                heads.append(fsio.read(p, 0, 4))
+            except (OSError, ValueError):
                 heads.append(None)
         yield pd.DataFrame({"path": pdf["path"], "head": heads})
 
 
 def file_heads(files: DataFrame) -> DataFrame:
-    """First four bytes of each file, read on executors (local / mounted paths)."""
+    """First four bytes of each file, read on executors (``fsio``: local paths and URIs)."""
     ship_package(files.sparkSession)
     return files.select(PATH).mapInPandas(_head_bytes, "path string, head binary")
 

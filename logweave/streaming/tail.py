@@ -15,7 +15,10 @@ appended to existing ones.  This Python data source keeps, per file, an offset
   it is re-read from byte 0; consumers key state by ``(path, generation)``;
 * a file that vanished or cannot be read is "no new data" for this trigger.
 
-Options: ``path`` (file, folder or glob), ``glob`` (file-name filter inside a
+Files are listed, stat'ed and read through ``sources.fsio`` (``pyarrow.fs``), so
+local paths and -- where configured -- ``s3://`` / ``hdfs://`` URIs work alike.
+
+Options: ``path`` (file, folder, local glob or URI), ``glob`` (file-name filter inside a
 folder, default ``*.log``), ``startingOffsets`` (``earliest`` | ``latest`` |
 ``lines:N``), ``chunkBytes``, ``maxLineBytes`` (look-back step).
 
@@ -28,13 +31,14 @@ detected (its length gives no sign of it).
 
 from __future__ import annotations
 
-import fnmatch
 import glob as _glob
 import os
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..sources import fsio
+
 SCHEMA = "path string, generation long, byte_offset long, end_offset long, base_line long, text string"
 
 
@@ -44,42 +48,33 @@ class RangePartition(InputPartition):
 
 
 def _list_files(path: str, pattern: str) -> list[str]:
-    if any(ch in path for ch in "*?["):
+    if any(ch in path for ch in "*?[") and "://" not in path:
         return sorted(p for p in _glob.glob(path, recursive=True) if os.path.isfile(p))
-    if os.path.isdir(path):
-        out = []
-        for root, _dirs, files in os.walk(path):
-            out += [os.path.join(root, f) for f in files if fnmatch.fnmatch(f.lower(), pattern.lower())]
-        return sorted(out)
-    return [path] if os.path.isfile(path) else []
+    return fsio.list_files(path, pattern)
 
 
 def _size(path: str) -> int | None:
-    try:
-        return os.stat(path).st_size
-    except OSError:
-        return None
+    return fsio.size(path)
 
 
 def _offset_after_lines(path: str, n: int) -> int:
     """Byte offset just after the n-th ``\\n`` (or EOF) -- used once to resume after N lines."""
     if n <= 0:
         return 0
-    seen, pos = 0, 0
-    with open(path, "rb") as fh:
+    seen, pos, step = 0, 0, 1 << 20
+    while True:
+        buf = fsio.read(path, pos, step)
+        if not buf:
+            return pos
+        i = -1
         while True:
-            buf = fh.read(1 << 20)
-            if not buf:
-                return pos
-            i = -1
-            while True:
-                i = buf.find(b"\n", i + 1)
-                if i < 0:
-                    break
-                seen += 1
-                if seen == n:
-                    return pos + i + 1
-            pos += len(buf)
+            i = buf.find(b"\n", i + 1)
+            if i < 0:
+                break
+            seen += 1
+            if seen == n:
+                return pos + i + 1
+        pos += len(buf)
 
 
 class TailStreamReader(DataSourceStreamReader):
@@ -167,24 +162,20 @@ class TailStreamReader(DataSourceStreamReader):
     def read(self, partition: RangePartition) -> Iterator[tuple]:
         part = partition
         try:
-            fh = open(part.path, "rb")
-        except OSError:
-            return
-        with fh:
             # look back (in steps of maxLineBytes, as far as needed) for the
             # beginning of the first owned line
             begin = part.start
             hi = part.start
             while hi > 0:
                 back = max(0, hi - self.max_line)
-                fh.seek(back)
-                nl = fh.read(hi - back).rfind(b"\n")
+                nl = fsio.read(part.path, back, hi - back).rfind(b"\n")
                 if nl >= 0:
                     begin = back + nl + 1
                     break
                 begin, hi = back, back
-            fh.seek(begin)
-            data = fh.read(part.end - begin)
+            data = fsio.read(part.path, begin, part.end - begin)
+        except OSError:  # vanished or locked: nothing this time
+            return
         pos = 0
         while True:
             nl = data.find(b"\n", pos)
