@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fields import FIELDS, LINE, PATH, FieldSpace
+from ..functions.fields import FIELDS, PATH, FieldSpace
+from ..functions.predicates import view_predicate
 from ..functions.regex import java_regex
 from ..operators import detect as D
 from ..operators import events as E
@@ -26,6 +27,7 @@ from ..operators import tags as T
 from ..sources.config import Settings
 from ..sources.files import read_workspace
 from .profile import LogProfile
+from .rules import ViewFilter
 from .sizing import materialize
 
 DETECTED = "(detected)"
@@ -43,7 +45,10 @@ class WorkspaceView:
 
 
 def open_workspace(spark: SparkSession, root: str, settings: Settings | None = None,
-                   profiles: Sequence[LogProfile] = (), detect_unresolved: bool = True) -> WorkspaceView:
+                   profiles: Sequence[LogProfile] = (), detect_unresolved: bool = True,
+                   view: ViewFilter | None = None, timestamp_field: str | None = None) -> WorkspaceView:
+    """``view`` (and the ``timestamp_field`` its time range reads) decides what the
+    status counts as shown; without it every row is shown."""
     settings = settings or Settings()
     by_name = {p.name: p.validate(spark) for p in profiles}
     files, enc, lines = read_workspace(spark, root, settings.extensions)
@@ -76,5 +81,6 @@ def open_workspace(spark: SparkSession, root: str, settings: Settings | None = N
     rows = E.assign_events_marked(rows, is_new)
 
     stats = enc.select(PATH, "encoding", "warning")
-    status = SU.status_summary(rows, F.lit(True), stats)
+    shown = view_predicate(view, fs, timestamp_field, spark=spark) if view is not None else F.lit(True)
+    status = SU.status_summary(rows, shown, stats)
     return WorkspaceView(files, enc, lines, resolved, rows, status)

@@ -31,6 +31,10 @@ def test_open_workspace_end_to_end(spark, tmpdir_path):
     assert rows[("free.log", 1)].profile is None and dict(rows[("free.log", 1)].fields) == {"RawText": "just words here"}
     status = {(r.path or "").rsplit("/", 1)[-1]: (r.total, r.parsed, r.fallback, r.flagged) for r in ws.status.collect()}
     assert status["server.log"] == (3, 2, 1, 1) and status[""] == (7, 6, 1, 1)
+    from logweave.plans.rules import ViewFilter
+    ws2 = open_workspace(spark, tmpdir_path, settings, [prof], view=ViewFilter(text="auth"))
+    shown = {(r.path or "").rsplit("/", 1)[-1]: r.shown for r in ws2.status.collect()}
+    assert shown["server.log"] == 2 and shown["data.log"] == 0
 
 
 def test_open_single_file_with_forced_encoding(spark, tmpdir_path):
