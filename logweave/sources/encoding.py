@@ -26,6 +26,7 @@ from ..session import ship_package
 from . import fsio
 from .lines import number_from_splits, read_lines, scan_raw, split_stats, text_reader
 
+# Encoding labels and the fallback warning shown to users.
 UTF8 = "UTF-8"
 UTF8_BOM = "UTF-8 (BOM)"
 UTF16LE = "UTF-16 LE"
