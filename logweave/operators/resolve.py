@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import PATH
+from ..plans.sizing import materialize
 
 
 def norm_path(c: Column) -> Column:
@@ -46,7 +47,8 @@ def resolve_profiles(files: DataFrame, dir_assignments: DataFrame, file_override
     profile, ordinal)`` are configuration; ``ordinal`` breaks ties in favour of
     the earlier entry.
     """
-    f = files.select(F.col(path_col).alias(PATH)).distinct().withColumn("_np", norm_path(F.col(PATH)))
+    # one row per file, read by three branches below: written once
+    f = materialize(files.select(F.col(path_col).alias(PATH)).distinct().withColumn("_np", norm_path(F.col(PATH))))
     # a path that is just a file name has directory '' (matches only an empty assignment)
     f = f.withColumn("_dir", F.when(F.col("_np").contains("\\"), parent_dir(F.col("_np"))).otherwise(F.lit("")))
     anc = f.select(PATH, F.explode(F.array_distinct(F.concat(ancestors(F.col("_dir")), F.array(F.col("_dir"))))).alias("_anc"))
