@@ -206,8 +206,20 @@ class TailDataSource(DataSource):
 
 
 def register(spark) -> None:
-    """Make ``spark.readStream.format("logtail")`` available in this session."""
+    """Make ``spark.readStream.format("logtail")`` available in this session.
+
+    The source is planned in a Python process the JVM starts on the driver,
+    which does not see files added with ``addPyFile``; this module and the file
+    access it uses are therefore pickled by value (their code travels with the
+    pickled class) instead of by import name.
+    """
+    import sys
+
+    from pyspark import cloudpickle
+
     from ..session import ship_package
 
     ship_package(spark)
+    for mod in (__name__, fsio.__name__):
+        cloudpickle.register_pickle_by_value(sys.modules[mod])
     spark.dataSource.register(TailDataSource)
