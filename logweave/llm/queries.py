@@ -1,9 +1,15 @@
-"""Registered queries of the training-data operators and their SQL where SQL can express them."""
+"""Registered queries of the training-data operators."""
 
 from __future__ import annotations
 
 from .common import read_table
+from .decontaminate import contamination_report
 from .simhash import simhash_groups
+from .sql import SQL  # noqa: F401  (exported with the queries)
+
+
+def op4_benchmark_decontamination(spark, sf_dir):
+    return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op9_simhash_neardup(spark, sf_dir):
@@ -11,7 +17,6 @@ def op9_simhash_neardup(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
-
-SQL: dict[str, str] = {}
