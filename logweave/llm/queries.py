@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from .common import read_table
 from .decontaminate import contamination_report
+from .langid import language_of_documents
 from .simhash import simhash_groups
 from .sql import SQL  # noqa: F401  (exported with the queries)
 
 
+def op1_language_id(spark, sf_dir):
+    return language_of_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -17,6 +22,7 @@ def op9_simhash_neardup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
