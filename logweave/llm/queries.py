@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .ann import neighbours_of_embeddings
 from .common import read_table
 from .decontaminate import contamination_report
+from .htmltext import page_texts
 from .langid import language_of_documents
 from .simhash import simhash_groups
 from .sql import SQL  # noqa: F401  (exported with the queries)
@@ -21,8 +23,18 @@ def op9_simhash_neardup(spark, sf_dir):
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark, sf_dir):
+    return page_texts(read_table(spark, sf_dir, "pages"))
+
+
+def op10_ann(spark, sf_dir):
+    return neighbours_of_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op8_html_extraction": op8_html_extraction,
     "op9_simhash_neardup": op9_simhash_neardup,
+    "op10_ann": op10_ann,
 }
