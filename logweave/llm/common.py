@@ -32,6 +32,16 @@ def with_row_key(df: DataFrame, *cols: str) -> DataFrame:
     })
 
 
+def boxed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row`` (all columns of ``df`` as one struct, so that no name can clash) and the row key."""
+    one = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return with_row_key(one, "_id", "_text").select("row", "_k1", "_k2")
+
+
+def unboxed(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def has_letter(col: Column) -> Column:
     return F.coalesce(col.rlike(r"\p{L}"), F.lit(False))
 
@@ -41,10 +51,9 @@ def stored(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def unlike(df: DataFrame, *wanted: str) -> str:
+def unlike(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have, built from the wanted one."""
     taken = {c.lower() for c in df.columns}
-    name = "_".join(wanted)
     while name.lower() in taken:
         name = "_" + name
     return name

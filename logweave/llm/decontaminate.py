@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import SLICE_ROWS, stored, with_row_key
+from .common import SLICE_ROWS, boxed, stored, unboxed, with_row_key
 
 WINDOW = 10
 SLOP = 3
@@ -294,4 +294,4 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     keys = stored(hit.select("_k1", "_k2").distinct())
     if keys.count() <= 1_000_000:  # 16 bytes a row
         keys = F.broadcast(keys)
-    return with_row_key(df, id_col, text_col).join(keys, ["_k1", "_k2"], "left_anti").select(*df.columns)
+    return unboxed(boxed(df, id_col, text_col).join(keys, ["_k1", "_k2"], "left_anti"), df.columns)

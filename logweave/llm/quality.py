@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import SLICE_ROWS, stored
+from .common import SLICE_ROWS, stored, unlike
 
 FIT_ROWS = 5_000
 MIN_ROWS = 12
@@ -248,10 +248,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_ordinal(row[order], col[order], value[order], keys, np.array([grades[i] for i in ids.tolist()]))
 
 
-def score(df: DataFrame, model: OrdinalModel | None, text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, model: OrdinalModel | None, text_col: str = "text",
+          names: tuple[str, ...] = ("expected_grade", "p_sound", "p_good")) -> DataFrame:
     """``df`` with ``expected_grade``, ``p_sound`` = P(grade > 0), ``p_good`` = P(grade > 1)."""
     ship_package(df.sparkSession)
-    names = ["expected_grade", "p_sound", "p_good"]
     df = df.drop(*names)
     if model is None:
         return df.withColumns({c: F.lit(None).cast("double") for c in names})
@@ -280,5 +280,5 @@ def grade_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose tail probability of the best grade reaches ``KEEP_TAIL``."""
-    marked = score(docs, train(docs, labels))
-    return marked.where(selected()).select(*docs.columns)
+    names = tuple(unlike(docs, n) for n in ("expected_grade", "p_sound", "p_good"))
+    return score(docs, train(docs, labels), names=names).where(selected(names[-1])).select(*docs.columns)

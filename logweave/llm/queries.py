@@ -8,6 +8,7 @@ from .decontaminate import contamination_report
 from .htmltext import page_texts
 from .langid import language_of_documents
 from .quality import grade_documents
+from .secrets import secrets_of_documents
 from .simhash import simhash_groups
 from .sql import SQL  # noqa: F401  (exported with the queries)
 
@@ -16,6 +17,10 @@ def op1_language_id(spark, sf_dir):
     return language_of_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark, sf_dir):
+    return secrets_of_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark, sf_dir):
     return grade_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -38,6 +43,7 @@ def op10_ann(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_secret_scan": op2_secret_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_html_extraction": op8_html_extraction,

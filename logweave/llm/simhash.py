@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import LOWER_ASCII, SLICE_ROWS, stored, with_row_key
+from .common import LOWER_ASCII, SLICE_ROWS, boxed, stored, unboxed, with_row_key
 from .components import components
 
 SHINGLE_WORDS = 4
@@ -267,13 +267,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     found = stored(near_duplicates(df, id_col, text_col))
     rank = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), "_k1", "_k2")
     kept = found.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r._k1").alias("_k1"), F.col("r._k2").alias("_k2"))
-    columns = df.columns
-    keyed = with_row_key(df, id_col, text_col)
+    keyed = boxed(df, id_col, text_col)
     repeated = found.groupBy("_k1", "_k2").count().where("count > 1").select("_k1", "_k2")
-    single = keyed.join(kept.join(repeated, ["_k1", "_k2"], "left_anti"), ["_k1", "_k2"], "left_semi").select(*columns)
+    single = keyed.join(kept.join(repeated, ["_k1", "_k2"], "left_anti"), ["_k1", "_k2"], "left_semi").select("row")
     again = kept.join(repeated, ["_k1", "_k2"], "left_semi")
-    if again.isEmpty():
-        return single
-    more = keyed.join(again, ["_k1", "_k2"], "left_semi")
-    firsts = more.groupBy("_k1", "_k2").agg(*[F.first(c).alias(c) for c in columns])
-    return single.union(firsts.select(*columns))
+    if not again.isEmpty():
+        firsts = keyed.join(again, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.first("row").alias("row"))
+        single = single.union(firsts.select("row"))
+    return unboxed(single, df.columns)

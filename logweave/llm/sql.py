@@ -1,5 +1,6 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
+from . import secrets as S
 from .decontaminate import SLOP, WINDOW
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,6 +41,48 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
 """
 
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _kind_rows(kind: str) -> str:
+    p = _quoted(S.PATTERNS[kind])
+    return f"""SELECT rid, {S.KINDS.index(kind)} AS k, '{kind}' AS kind, unnest(m) AS match, generate_subscripts(m, 1) AS n, m, b
+      FROM (SELECT rid, regexp_extract_all(text, {p}) AS m, string_split_regex(text, {p}) AS b FROM d) WHERE len(m) > 0"""
+
+
+_LIST = lambda kinds: ", ".join(str(S.KINDS.index(k)) for k in kinds)
+_NEAR = lambda role: (f"EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.k IN ({_LIST(S.ROLES[role])}) "
+                      f"AND o.start <= p.stop + {S.REACH} AND o.stop >= p.start - {S.REACH})")
+_IN_BASE = f"EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.k < {len(S.BASE)} AND o.start < p.stop AND o.stop > p.start)"
+
+OP2 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+raw AS ({' UNION ALL '.join(_kind_rows(k) for k in S.KINDS)}),
+placed AS (
+  SELECT rid, k, kind, match, list_sum(list_transform(list_slice(b, 1, n), lambda x: length(x)))::BIGINT
+    + coalesce(list_sum(list_transform(list_slice(m, 1, n - 1), lambda x: length(x))), 0)::BIGINT AS start FROM raw),
+parts AS MATERIALIZED (
+  SELECT rid, k, kind, start, start + length(match) AS stop FROM placed
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(match, {_quoted(S.ASSIGN)}, 2)) >= {S.LEAST_VALUE}
+    WHEN 'key' THEN regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[a-z]') AND regexp_matches(match, '[0-9]')
+    ELSE true END),
+told AS (
+  SELECT rid, k, kind, start, kind || ':' || start || ':' || stop AS span FROM parts p
+  WHERE k < {len(S.BASE)} OR kind = 'key' AND {_NEAR('identifier')} AND NOT {_IN_BASE}
+    OR kind = 'user' AND {_NEAR('secret')} AND {_NEAR('endpoint')} AND NOT {_IN_BASE}),
+sums AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+    count(*) FILTER (k >= {len(S.BASE)}) AS l, string_agg(span, ',' ORDER BY start, k) FILTER (k < {len(S.BASE)}) AS base,
+    string_agg(span, ',' ORDER BY start, k) AS spans
+  FROM told GROUP BY rid)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(l, 0)::BIGINT AS n_linked
+FROM d LEFT JOIN sums USING (rid)
+"""
+
 SQL: dict[str, str] = {
+    "op2_secret_scan": OP2,
     "op4_benchmark_decontamination": OP4,
 }
