@@ -7,6 +7,7 @@ from .common import read_table
 from .decontaminate import contamination_report
 from .htmltext import page_texts
 from .langid import language_of_documents
+from .mixing import mixture_of_documents
 from .quality import grade_documents
 from .secrets import secrets_of_documents
 from .simhash import simhash_groups
@@ -33,6 +34,10 @@ def op9_simhash_neardup(spark, sf_dir):
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark, sf_dir):
+    return mixture_of_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark, sf_dir):
     return page_texts(read_table(spark, sf_dir, "pages"))
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_source_mixing": op5_source_mixing,
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_ann": op10_ann,

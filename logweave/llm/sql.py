@@ -1,5 +1,6 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
+from . import mixing as M
 from . import secrets as S
 from .decontaminate import SLOP, WINDOW
 
@@ -82,7 +83,44 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_a
 FROM d LEFT JOIN sums USING (rid)
 """
 
+
+def _raked(rounds: int) -> str:
+    sql = "SELECT *, tokens / sum(tokens) OVER () AS weight FROM targets"
+    for _ in range(rounds):
+        for m in M.MARGINS:
+            sql = f"SELECT * REPLACE (weight * t_{m} / sum(weight) OVER (PARTITION BY {m}) AS weight) FROM ({sql})"
+    return sql
+
+
+_TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), {_quoted(p)}) THEN '{n}'" for p, n in M.TOPICS) + " ELSE 'prose' END"
+
+OP5 = f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, text, source, lang, {_TOPIC} AS topic, coalesce(len(regexp_extract_all(text, {_quoted(M.WORD)})), 0)::BIGINT AS n_tokens
+  FROM documents),
+cells AS MATERIALIZED (
+  SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+sizes AS (SELECT *, {', '.join(f'sum(tokens) OVER (PARTITION BY {m}) AS n_{m}' for m in M.MARGINS)} FROM cells),
+targets AS MATERIALIZED (
+  SELECT source, lang, topic, tokens, {', '.join(
+      f'pow(n_{m}, {M.TEMPER}) / sum(pow(n_{m}, {M.TEMPER}) * tokens / n_{m}) OVER () AS t_{m}' for m in M.MARGINS)} FROM sizes),
+raked AS MATERIALIZED ({_raked(36)}),
+ranked AS (
+  SELECT *, weight / tokens AS ratio, {M.BUDGET} * sum(tokens) OVER () - coalesce(sum(tokens) OVER larger, 0) AS room,
+    sum(weight) OVER () - coalesce(sum(weight) OVER larger, 0) AS rest
+  FROM raked
+  WINDOW larger AS (ORDER BY weight / tokens DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+scaled AS (
+  SELECT *, max(CASE WHEN rest > 0 AND room > 0 AND room / rest * ratio <= 1 THEN room / rest END) OVER () AS scale FROM ranked)
+SELECT doc_id, d.topic, n_tokens, round(coalesce(weight, 0), 6) AS cell_weight,
+  round(CASE WHEN n_tokens > 0 THEN least(1, scale * ratio) ELSE 0 END, 6) AS probability,
+  ('0x' || left(md5('{M.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 13))::BIGINT::DOUBLE / {16 ** 13}
+    < CASE WHEN n_tokens > 0 THEN least(1, scale * ratio) ELSE 0 END AS selected
+FROM d LEFT JOIN scaled s ON d.source IS NOT DISTINCT FROM s.source AND d.lang IS NOT DISTINCT FROM s.lang AND d.topic = s.topic
+"""
+
 SQL: dict[str, str] = {
+    "op5_source_mixing": OP5,
     "op2_secret_scan": OP2,
     "op4_benchmark_decontamination": OP4,
 }
