@@ -15,7 +15,11 @@ from logweave.llm import stages  # noqa: E402
 from logweave.llm.common import read_table, stored  # noqa: E402
 
 STAGES = [
+    ("quality_classifier", stages.quality_filter),
     ("simhash_dedup", stages.simhash_dedup),
+    ("benchmark_decontamination", stages.decontaminate),
+    ("secret_scan", stages.redact_secrets),
+    ("source_mixing", stages.mix_sources),
 ]
 
 # Fingerprints and the trained classifier have no SQL form; tests compare with brute force.
