@@ -12,6 +12,7 @@ from .quality import grade_documents
 from .secrets import secrets_of_documents
 from .simhash import simhash_groups
 from .sql import SQL  # noqa: F401  (exported with the queries)
+from .tokencount import maintained_counts
 
 
 def op1_language_id(spark, sf_dir):
@@ -38,6 +39,10 @@ def op5_source_mixing(spark, sf_dir):
     return mixture_of_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark, sf_dir):
+    return maintained_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark, sf_dir):
     return page_texts(read_table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_source_mixing": op5_source_mixing,
+    "op6_token_counts": op6_token_counts,
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_ann": op10_ann,
