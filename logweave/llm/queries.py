@@ -7,6 +7,7 @@ from .common import read_table
 from .decontaminate import contamination_report
 from .htmltext import page_texts
 from .langid import language_of_documents
+from .license import licences_of_documents
 from .mixing import mixture_of_documents
 from .quality import grade_documents
 from .secrets import secrets_of_documents
@@ -43,6 +44,10 @@ def op6_token_counts(spark, sf_dir):
     return maintained_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return licences_of_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark, sf_dir):
     return page_texts(read_table(spark, sf_dir, "pages"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_source_mixing": op5_source_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_license_scan": op7_license_scan,
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_ann": op10_ann,
