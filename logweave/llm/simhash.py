@@ -219,7 +219,7 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, sam
                         [pa.array(np.full(at.size, b, np.int32)), pa.array(np.full(at.size, shard, np.int32)),
                          pa.array(fp[at].view(np.int64))], names=["block", "shard", "fp"])
 
-    def search(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def search(key, frame):
         pts = frame["fp"].to_numpy().view(np.uint64)
         a, b = shard_links(pts, masks[int(key[0])], radius, max_bits)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
