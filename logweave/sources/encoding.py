@@ -14,6 +14,7 @@ text source's ``encoding``/``lineSep`` options and decoded per line.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
@@ -24,15 +25,15 @@ from ..functions.fields import LINE, PATH, TEXT
 from ..plans.sizing import broadcast_if_small, materialize
 from ..session import ship_package
 from . import fsio
-from .lines import number_from_splits, read_lines, scan_raw, split_stats, text_reader
+from .lines import number_from_splits, plain_path, read_lines, scan_once, scan_raw, split_stats, text_reader
 
-# Encoding labels and the fallback warning shown to users.
+# Encoding labels.
 UTF8 = "UTF-8"
 UTF8_BOM = "UTF-8 (BOM)"
 UTF16LE = "UTF-16 LE"
 UTF16BE = "UTF-16 BE"
 ANSI = "Windows-1252 (ANSI)"
-ANSI_WARNING = "File is not valid UTF-8; decoded as Windows-1252 (ANSI). Some characters may be approximate."
+ANSI_WARNING = "Some bytes are not UTF-8, so the text was read as Windows-1252; letters beyond ASCII may be wrong."
 
 _JAVA_CHARSET = {UTF16LE: "UTF-16LE", UTF16BE: "UTF-16BE"}
 
@@ -99,21 +100,15 @@ def detect_encodings(spark: SparkSession, files: DataFrame, paths, recursive: bo
     ``paths``/``recursive``/``glob`` name the same files for the validity scan
     (the folder and filter the workspace scan used).
     """
-    heads = file_heads(files)
     scan = text_reader(spark, recursive, glob).load(paths if isinstance(paths, list) else [paths]).select(
-        F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias("_split"),
+        plain_path(F.col("_metadata.file_path")).alias(PATH), F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_id"), F.col("value"))
     # whole-file validity, and the first line's first bytes (a UTF-16 mark survives
     # the text scan) for storage the executors cannot open directly
     valid = scan.groupBy(PATH).agg(
         F.bool_and(F.expr("is_valid_utf8(value)")).alias("_valid"),
         F.min_by(F.substring(F.col("value").cast("binary"), 1, 4), F.struct("_split", "_id")).alias("_first"))
-    j = files.select(PATH).join(heads, PATH, "left").join(valid, PATH, "left")
-    bom = F.coalesce(bom_encoding(F.col("head")), bom_encoding(F.col("_first")))
-    enc = F.coalesce(bom, F.when(F.coalesce(F.col("_valid"), F.lit(True)), F.lit(UTF8)).otherwise(F.lit(ANSI)))
-    return j.select(
-        PATH, enc.alias("encoding"), bom.isNotNull().alias("had_bom"), (enc == ANSI).alias("is_fallback"),
-        F.when(enc == ANSI, F.lit(ANSI_WARNING)).alias("warning"))
+    return _encodings(files, valid)
 
 
 def read_decoded(spark: SparkSession, encodings: DataFrame, paths, recursive: bool = False,
@@ -124,58 +119,61 @@ def read_decoded(spark: SparkSession, encodings: DataFrame, paths, recursive: bo
     Only the (usually few) UTF-16 file names are brought to the driver, to give
     their scan its own options; every other file goes through one shared scan.
     """
-    utf16 = encodings.where(F.col("encoding").isin(UTF16LE, UTF16BE)).select(PATH, "encoding").collect()
     enc_side = broadcast_if_small(encodings.select(PATH, "encoding"), broadcast_rows)
     base = read_lines(spark, paths, recursive=recursive, glob=glob).join(enc_side, PATH, "left")
-    base = base.where(~F.coalesce(F.col("encoding").isin(UTF16LE, UTF16BE), F.lit(False)))
-    text = F.when(F.col("encoding") == ANSI, decode_ansi(F.col(TEXT))).otherwise(F.col(TEXT))
-    out = base.select(PATH, LINE, text.alias(TEXT))
-    for enc in (UTF16LE, UTF16BE):
-        ps = [r[0] for r in utf16 if r[1] == enc]
-        if ps:
-            u = read_lines(spark, ps, encoding=_JAVA_CHARSET[enc], line_sep="\n")
-            out = out.unionByName(u.select(PATH, LINE, decode_utf16(F.col(TEXT), _JAVA_CHARSET[enc]).alias(TEXT)))
-    return out
+    return _decoded(spark, base, encodings)
 
 
-def read_detected(spark: SparkSession, files: DataFrame, paths, recursive: bool = False, glob: str | None = None,
-                  broadcast_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """Detect each file's encoding and return its numbered, decoded lines -- in two scans.
+def read_detected(spark: SparkSession, files: DataFrame, paths, recursive: bool = False,
+                  glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Detect each file's encoding and return its numbered, decoded lines -- in one scan.
 
-    The per-split table that numbering needs also aggregates UTF-8 validity and
-    the first bytes, so detection costs no extra pass over the data:
-    scan 1 builds the split table, scan 2 numbers and decodes.  Returns
+    The scan is written once; UTF-8 validity, first bytes and line counts per split
+    come from what was written, and so do the numbered lines.  Returns
     ``(encodings, lines)``.  UTF-16 files (found by their mark) are re-read with
     their own options.
     """
-    raw = scan_raw(spark, paths, recursive=recursive, glob=glob)
+    raw, size = scan_once(scan_raw(spark, paths, recursive=recursive, glob=glob))
     splits = materialize(split_stats(
         raw,
         F.bool_and(F.expr("is_valid_utf8(text)")).alias("_valid"),
         F.min_by(F.substring(F.col(TEXT).cast("binary"), 1, 4), F.col("_id")).alias("_first")))
     per_file = splits.groupBy(PATH).agg(F.bool_and("_valid").alias("_valid"),
                                         F.min_by("_first", F.col("_split")).alias("_first"))
-    heads = file_heads(files)
-    j = files.select(PATH).join(heads, PATH, "left").join(per_file, PATH, "left")
-    bom = F.coalesce(bom_encoding(F.col("head")), bom_encoding(F.col("_first")))
-    enc_col = F.coalesce(bom, F.when(F.coalesce(F.col("_valid"), F.lit(True)), F.lit(UTF8)).otherwise(F.lit(ANSI)))
-    encodings = materialize(j.select(
-        PATH, enc_col.alias("encoding"), bom.isNotNull().alias("had_bom"), (enc_col == ANSI).alias("is_fallback"),
-        F.when(enc_col == ANSI, F.lit(ANSI_WARNING)).alias("warning")))
-
+    encodings = materialize(_encodings(files, per_file))
     # the split table carries each file's encoding to the numbering join
     s_enc = splits.join(encodings.select(PATH, "encoding"), PATH, "left")
-    base = number_from_splits(raw, s_enc, broadcast_rows, keep=("encoding",))
-    base = base.where(~F.coalesce(F.col("encoding").isin(UTF16LE, UTF16BE), F.lit(False)))
+    base = number_from_splits(raw, s_enc, keep=("encoding",), known_bytes=size)
+    return encodings, _decoded(spark, base, encodings)
+
+
+def _encodings(files: DataFrame, per_file: DataFrame) -> DataFrame:
+    """Label, mark and warning per file from its first bytes and UTF-8 validity."""
+    j = files.select(PATH).join(file_heads(files), PATH, "left").join(per_file, PATH, "left")
+    bom = F.coalesce(bom_encoding(F.col("head")), bom_encoding(F.col("_first")))
+    enc = F.coalesce(bom, F.when(F.coalesce(F.col("_valid"), F.lit(True)), F.lit(UTF8)).otherwise(F.lit(ANSI)))
+    return j.select(
+        PATH, enc.alias("encoding"), bom.isNotNull().alias("had_bom"), (enc == ANSI).alias("is_fallback"),
+        F.when(enc == ANSI, F.lit(ANSI_WARNING)).alias("warning"))
+
+
+def _decoded(spark: SparkSession, numbered: DataFrame, encodings: DataFrame) -> DataFrame:
+    """Text of numbered raw lines (with their ``encoding``); UTF-16 files are re-read."""
+    base = numbered.where(~F.coalesce(F.col("encoding").isin(UTF16LE, UTF16BE), F.lit(False)))
     text = F.when(F.col("encoding") == ANSI, decode_ansi(F.col(TEXT))).otherwise(F.col(TEXT))
     out = base.select(PATH, LINE, text.alias(TEXT))
     utf16 = encodings.where(F.col("encoding").isin(UTF16LE, UTF16BE)).select(PATH, "encoding").collect()
     for enc in (UTF16LE, UTF16BE):
-        ps = [r[0] for r in utf16 if r[1] == enc]
+        ps = [literal_path(r[0]) for r in utf16 if r[1] == enc]
         if ps:
             u = read_lines(spark, ps, encoding=_JAVA_CHARSET[enc], line_sep="\n")
             out = out.unionByName(u.select(PATH, LINE, decode_utf16(F.col(TEXT), _JAVA_CHARSET[enc]).alias(TEXT)))
-    return encodings, out
+    return out
+
+
+def literal_path(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def force_encoding(files: DataFrame, encoding: str | Mapping[str, str]) -> DataFrame:

@@ -8,19 +8,22 @@ same way.  ``s3a://`` (Spark's name) is read as ``s3://``.
 from __future__ import annotations
 
 import fnmatch
-from urllib.parse import unquote, urlparse
+from urllib.parse import quote, urlparse
 
 from pyarrow import fs as pafs
 
 
 def resolve(uri: str) -> tuple[pafs.FileSystem, str]:
-    """(file system, path inside it) for a local path or URI."""
-    u = urlparse(uri)
-    if u.scheme in ("", "file"):
-        return pafs.LocalFileSystem(), unquote(u.path) if u.scheme else uri
-    if u.scheme == "s3a":
-        uri = "s3" + uri[3:]
-    return pafs.FileSystem.from_uri(uri)
+    """(file system, path inside it) for a local path, or a URI as Spark lists files:
+    its path is not percent-encoded, so ``50%.log`` and ``a#b.log`` mean themselves."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        if scheme == "file":
+            uri = "/" + rest[2:].partition("/")[2] if rest.startswith("//") else rest
+        return pafs.LocalFileSystem(), uri
+    if scheme == "s3a":
+        scheme = "s3"
+    return pafs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
 
 
 def _join(uri: str, inner: str) -> str:

@@ -164,3 +164,49 @@ def test_write_numbered_roundtrip_prunes(spark, tmpdir_path):
     assert [r.text for r in rng.orderBy("line_no").collect()] == ["l100", "l101", "l102"]
     plan = rng._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "line_no" in plan
+
+
+def test_rows_do_not_depend_on_settings_at_the_action(spark, tmpdir_path):
+    """Splits move between building the frame and running it; every line stays."""
+    n = 600_000
+    p = touch(tmpdir_path, "big.log", "".join(f"{i}\n" for i in range(1, n + 1)).encode())
+    keys = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set(keys[2], "1000")
+        spark.conf.set(keys[0], "4")
+        lines = L.read_lines(spark, p)
+        for value in ("4", "6", "32"):
+            spark.conf.set(keys[0], value)
+            bad = lines.where("cast(text as long) <> line_no").count()
+            assert (lines.count(), bad) == (n, 0)
+        spark.conf.set(keys[1], "100000")
+        once = L.numbered_once(spark, p)
+        spark.conf.set(keys[2], "4000000")
+        spark.conf.set(keys[1], "700000")
+        for df in (lines, once):
+            assert (df.count(), df.where("cast(text as long) <> line_no").count()) == (n, 0)
+        # a split table counted over other splits is an error, not a loss
+        raw = L.scan_raw(spark, p)
+        spark.conf.set(keys[2], "1000")
+        spark.conf.set(keys[1], "100000")
+        from logweave.plans.sizing import materialize
+        table = materialize(L.split_stats(raw))
+        spark.conf.set(keys[1], "70000")
+        with pytest.raises(Exception, match="counted over other splits"):
+            L.number_from_splits(raw, table).agg({"line_no": "max"}).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["my app.log", "50%.log", "a%20b.log", "a+b.log", "a#b.log", "é ü.log", "[x]{y}.log", "q=1.log"])
+def test_one_path_form_for_odd_names(spark, tmpdir_path, name):
+    touch(tmpdir_path, name, b"h\x93i\n")
+    touch(tmpdir_path, "w" + name, b"\xff\xfe" + "wide\nlines".encode("utf-16-le"))
+    files, enc, lines = FS.read_workspace(spark, tmpdir_path)
+    listed = {r.path.rsplit("/", 1)[1] for r in files.collect()}
+    assert listed == {name, "w" + name}
+    assert {r.path.rsplit("/", 1)[1]: r.encoding for r in enc.collect()} == {name: EN.ANSI, "w" + name: EN.UTF16LE}
+    got = sorted((r.path.rsplit("/", 1)[1], r.line_no, r.text) for r in lines.collect())
+    assert got == sorted([(name, 1, "h“i"), ("w" + name, 1, "wide"), ("w" + name, 2, "lines")])
