@@ -4,10 +4,11 @@ Logs are never merged; the output is pairs of references
 ``(path, line_no) -> (target_path, target_line)``.
 
 The nearest-timestamp match is an **as-of join** without a nested loop: both
-sides are cut into time buckets per pair (width chosen per pair so a bucket holds
-about ``BUCKET_ROWS`` rows); inside a bucket one window ordered by time finds the
-closest target at-or-before and at-or-after each reference row; a tiny
-per-bucket summary carries the nearest target across buckets without one.
+sides are cut into time buckets per pair (a minute, or a width chosen per pair so
+a bucket holds about ``BUCKET_ROWS`` rows); inside a bucket two windows, by rising
+and by falling time, find the closest target at-or-before and at-or-after each
+reference row; a tiny per-bucket summary carries the nearest target across buckets
+without one.
 """
 
 from __future__ import annotations
@@ -33,12 +34,16 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), ts)
 
 
+def with_timestamps(rows: DataFrame, timestamp_field: str | None, fs: FieldSpace | None = None) -> DataFrame:
+    """``(path, line_no, ts)`` of every row; ``ts`` is null where the field does not parse."""
+    fs = fs or fields_of(rows)
+    ts = F.lit(None).cast("timestamp_ntz") if timestamp_field is None else parse_timestamp(fs.get(timestamp_field))
+    return rows.select(PATH, LINE, ts.alias("ts"))
+
+
 def timestamped_rows(rows: DataFrame, timestamp_field: str | None, fs: FieldSpace | None = None) -> DataFrame:
     """``(path, line_no, ts)`` of rows whose timestamp field parses (empty without a field)."""
-    fs = fs or fields_of(rows)
-    if timestamp_field is None:
-        return rows.select(PATH, LINE, F.lit(None).cast("timestamp_ntz").alias("ts")).where(F.lit(False))
-    return rows.select(PATH, LINE, parse_timestamp(fs.get(timestamp_field)).alias("ts")).where(F.col("ts").isNotNull())
+    return with_timestamps(rows, timestamp_field, fs).where(F.col("ts").isNotNull())
 
 
 def line_counts(rows: DataFrame) -> DataFrame:
@@ -59,89 +64,109 @@ def align_by_line(ref: DataFrame, pairs: DataFrame, target_counts: DataFrame) ->
     return j.select(PATH, LINE, "target_path", clamp_line(F.col(LINE), F.col("last_line")).alias("target_line"))
 
 
-def nearest_by_time(ref: DataFrame, target: DataFrame, pairs: DataFrame,
-                    bucket_micros: int | None = BUCKET_MICROS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """For each timestamped reference row, the target line with the smallest |dt|.
-
-    Ties go to the smaller target line (file order).  ``ref`` and ``target`` are
-    ``(path, line_no, ts)``; ``pairs`` is ``(path, target_path)``.
-    Output ``(path, line_no, target_path, target_line, delta_micros)``.
+def _bucketed(u: DataFrame, bucket_micros: int | None, bucket_rows: int) -> DataFrame:
+    """``u`` with ``bucket``: a coarser, monotone key of the time ``us`` per pair."""
+    if bucket_micros:
+        return u.withColumn("bucket", F.floor(F.col("us") / F.lit(bucket_micros)).cast("long"))
+    # per pair: width = span * bucket_rows / rows (one row per pair, AQE broadcasts it)
+    st = u.groupBy("src", "dst").agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"), F.count("us").alias("_n"))
+    st = st.select("src", "dst", "_lo", F.greatest(F.lit(1), F.ceil(
+        (F.col("_hi") - F.col("_lo") + 1) * F.lit(float(bucket_rows)) / F.col("_n"))).cast("long").alias("_w"))
+    return u.join(st, ["src", "dst"]).withColumn(
+        "bucket", F.floor((F.col("us") - F.col("_lo")) / F.col("_w")).cast("long")).drop("_lo", "_w")
+
+
+def _with_nearest(ref: DataFrame, target: DataFrame, pairs: DataFrame, bucket_micros: int | None,
+                  bucket_rows: int) -> DataFrame:
+    """``ref (src, dst, ts, rline, fall)`` with the nearest target's line and distance.
+
+    Reference and target rows share one exchange by (pair, bucket), read by the
+    windows and by the per-bucket summary.  Look-ahead is a running value over the
+    falling order, so a bucket costs its sort and two passes.  Rows without a time
+    stay, spread by their line, and find nothing.
     """
-    pairs = materialize(pairs)  # small (one row per pair) and read twice below
     # target reduced to one row per (file, ts): the smallest line wins a tie
     tgt = target.groupBy(PATH, "ts").agg(F.min(LINE).alias("tline"))
     tgt = tgt.join(pairs.select(F.col(PATH).alias("src"), F.col("target_path").alias(PATH)), PATH).select(
-        "src", F.col(PATH).alias("dst"), F.col("ts"), F.lit(None).cast("long").alias("rline"), F.col("tline"))
-    rf = ref.join(pairs, PATH).select(F.col(PATH).alias("src"), F.col("target_path").alias("dst"), "ts",
-                                       F.col(LINE).cast("long").alias("rline"), F.lit(None).cast("long").alias("tline"))
-    u = rf.unionByName(tgt).withColumn("us", micros(F.col("ts")))
-    if bucket_micros:
-        u = u.withColumn("bucket", F.floor(F.col("us") / F.lit(bucket_micros)).cast("long"))
-    else:
-        # per pair: width = span * bucket_rows / rows (one row per pair, AQE broadcasts it)
-        st = u.groupBy("src", "dst").agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"),
-                                          F.count(F.lit(1)).alias("_n"))
-        st = st.select("src", "dst", "_lo", F.greatest(F.lit(1), F.ceil(
-            (F.col("_hi") - F.col("_lo") + 1) * F.lit(float(bucket_rows)) / F.col("_n"))).cast("long").alias("_w"))
-        u = u.join(st, ["src", "dst"]).withColumn(
-            "bucket", F.floor((F.col("us") - F.col("_lo")) / F.col("_w")).cast("long")).drop("_lo", "_w")
-    tstruct = F.when(F.col("tline").isNotNull(), F.struct(F.col("us").alias("us"), F.col("tline").alias("line")))
-    w = Window.partitionBy("src", "dst", "bucket").orderBy("us")
-    u = u.withColumn("_pred", F.last(tstruct, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    u = u.withColumn("_succ", F.first(tstruct, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
-
-    # Carry across buckets: one row per bucket holding reference or target rows,
-    # with the bucket's latest and earliest target (targets are unique per ts).
+        "src", F.col(PATH).alias("dst"), "ts", F.lit(None).cast("long").alias("rline"), F.lit(None).cast("long").alias("fall"), "tline")
+    u = ref.withColumn("tline", F.lit(None).cast("long")).unionByName(tgt).withColumn("us", micros(F.col("ts")))
+    u = _bucketed(u, bucket_micros, bucket_rows)
+    untimed = F.lit(-(1 << 62)) + F.floor(F.col("rline") / F.lit(bucket_rows))
+    u = u.withColumn("bucket", F.coalesce("bucket", untimed)).drop("ts").repartition("src", "dst", "bucket")
+    point = F.when(F.col("tline").isNotNull(), F.struct(F.col("us").alias("us"), F.col("tline").alias("line")))
+    group = Window.partitionBy("src", "dst", "bucket")
+    until = group.orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+    since = group.orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, 0)
+    near = u.withColumn("_pred", F.last(point, ignorenulls=True).over(until))
+    near = near.withColumn("_succ", F.last(point, ignorenulls=True).over(since))
+
+    # Carry across buckets: one row per bucket with its latest and earliest target.
     # A reference row whose own bucket has no target on a side takes the nearest
-    # bucket's boundary target on that side.  Partial aggregates combine before
-    # the shuffle, so the summary costs one small row per bucket and task.
-    is_t = F.col("tline").isNotNull()
-    tpt = F.struct(F.col("us").alias("us"), F.col("tline").alias("line"))
-    per_bucket = u.groupBy("src", "dst", "bucket").agg(
-        F.max(F.when(is_t, tpt)).alias("_mx"), F.min(F.when(is_t, tpt)).alias("_mn"))
-    wb = Window.partitionBy("src", "dst").orderBy("bucket")
+    # bucket's boundary target on that side.
+    per_bucket = u.groupBy("src", "dst", "bucket").agg(F.max(point).alias("_mx"), F.min(point).alias("_mn"))
+    buckets = Window.partitionBy("src", "dst")
     carry = per_bucket.select(
         "src", "dst", "bucket",
-        F.last("_mx", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_cpred"),
-        F.first("_mn", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("_csucc"))
+        F.last("_mx", ignorenulls=True).over(buckets.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_cpred"),
+        F.last("_mn", ignorenulls=True).over(buckets.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("_csucc"))
 
-    r = u.where(F.col("rline").isNotNull()).join(carry, ["src", "dst", "bucket"], "left")
+    r = near.where(F.col("rline").isNotNull()).join(carry, ["src", "dst", "bucket"], "left")
     pred = F.coalesce(F.col("_pred"), F.col("_cpred"))
     succ = F.coalesce(F.col("_succ"), F.col("_csucc"))
     cand_p = F.when(pred.isNotNull(), F.struct((F.col("us") - pred["us"]).alias("d"), pred["line"].alias("line")))
     cand_s = F.when(succ.isNotNull(), F.struct((succ["us"] - F.col("us")).alias("d"), succ["line"].alias("line")))
-    best = F.least(cand_p, cand_s)
-    return r.select(F.col("src").alias(PATH), F.col("rline").alias(LINE), F.col("dst").alias("target_path"),
-                    best["line"].alias("target_line"), best["d"].alias("delta_micros")).where(
-        F.col("target_line").isNotNull())
+    best = F.when(F.col("us").isNotNull(), F.least(cand_p, cand_s))
+    return r.select("src", "dst", "rline", "fall", best["line"].alias("near_line"), best["d"].alias("delta_micros"))
+
+
+def nearest_by_time(ref: DataFrame, target: DataFrame, pairs: DataFrame,
+                    bucket_micros: int | None = BUCKET_MICROS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """For each timestamped reference row, the target line with the smallest |dt|.
+
+    Ties go to the smaller target line (file order).  ``ref`` and ``target`` are
+    ``(path, line_no, ts)``; ``pairs`` is ``(path, target_path)``.
+    Output ``(path, line_no, target_path, target_line, delta_micros)``.
+    """
+    pairs = materialize(pairs)  # small (one row per pair) and read twice below
+    rf = ref.join(pairs, PATH).select(F.col(PATH).alias("src"), F.col("target_path").alias("dst"), "ts",
+                                      F.col(LINE).cast("long").alias("rline"), F.lit(None).cast("long").alias("fall"))
+    found = _with_nearest(rf, target, pairs, bucket_micros, bucket_rows)
+    return found.where("near_line is not null").select(
+        F.col("src").alias(PATH), F.col("rline").alias(LINE), F.col("dst").alias("target_path"),
+        F.col("near_line").alias("target_line"), "delta_micros")
 
 
-def align(ref_rows: DataFrame, ref_ts: DataFrame, target_ts: DataFrame, target_counts: DataFrame,
-          pairs: DataFrame, bucket_micros: int | None = BUCKET_MICROS) -> DataFrame:
+def align(ref: DataFrame, target_ts: DataFrame, target_counts: DataFrame, pairs: DataFrame,
+          bucket_micros: int | None = BUCKET_MICROS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Timestamp alignment with the fallback chain, for every reference row.
 
-    * reference row without a parseable timestamp -> align by line;
+    ``ref`` is ``(path, line_no, ts)`` of all reference rows, ``ts`` null where no
+    timestamp parses (``with_timestamps``):
+
+    * reference row without a timestamp -> align by line;
     * target without any timestamped row -> align by line;
     * else the nearest timestamp.
-    Output ``(path, line_no, target_path, target_line, used_fallback)``.
+    Output ``(path, line_no, target_path, target_line, used_fallback)``.  The line
+    to fall back to travels with the row, so nothing is joined afterwards.
     """
-    pairs = materialize(pairs)  # read by both alignments
-    by_line = align_by_line(ref_rows, pairs, target_counts)
-    near = nearest_by_time(ref_ts, target_ts, pairs, bucket_micros).drop("delta_micros").withColumnRenamed(
-        "target_line", "near_line")
-    j = by_line.join(near, [PATH, LINE, "target_path"], "left")
-    return j.select(PATH, LINE, "target_path",
-                    F.coalesce(F.col("near_line"), F.col("target_line")).alias("target_line"),
-                    F.col("near_line").isNull().alias("used_fallback"))
+    pairs = materialize(pairs)
+    counts = target_counts.select(F.col(PATH).alias("target_path"), "last_line")
+    rf = ref.join(pairs, PATH).join(counts, "target_path", "left").select(
+        F.col(PATH).alias("src"), F.col("target_path").alias("dst"), "ts", F.col(LINE).cast("long").alias("rline"),
+        clamp_line(F.col(LINE), F.col("last_line")).alias("fall"))
+    found = _with_nearest(rf, target_ts, pairs, bucket_micros, bucket_rows)
+    return found.select(F.col("src").alias(PATH), F.col("rline").alias(LINE), F.col("dst").alias("target_path"),
+                        F.coalesce("near_line", "fall").alias("target_line"), F.col("near_line").isNull().alias("used_fallback"))
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
     """Source -> target pairs of split groups.
 
     ``groups (group_id, path, is_source, sync_enabled)``: each group's source is
-    aligned against every *other* enabled member (linear in the group size; the
-    source itself and opted-out members are skipped).
+    aligned against every *other* enabled member (the source itself and opted-out
+    members are skipped).  A group has one source; of several the first path counts,
+    so the pairs stay linear in the group's size.
     """
-    src = groups.where(F.col("is_source") & F.col("sync_enabled")).select("group_id", PATH)
+    src = groups.where(F.col("is_source") & F.col("sync_enabled")).groupBy("group_id").agg(F.min(PATH).alias(PATH))
     dst = groups.where(F.col("sync_enabled")).select("group_id", F.col(PATH).alias("target_path"))
     return src.join(dst, "group_id").where(F.col(PATH) != F.col("target_path")).select(PATH, "target_path").distinct()

@@ -57,13 +57,15 @@ def neighbors(
     d = df.withColumn(blk, block_of(order, block_lines))
     for m, c in markers.items():
         d = d.withColumn(f"_lw_v_{m}", c)
-    w = Window.partitionBy(*part, blk).orderBy(order)
+    # both ways by frames that only grow: Spark keeps a running value for them, while a
+    # frame from the current row to the end is computed anew for every row
     hi = 0 if inclusive else -1
-    lo = 0 if inclusive else 1
+    forth = Window.partitionBy(*part, blk).orderBy(order).rowsBetween(_UNB_PRE, hi)
+    back = Window.partitionBy(*part, blk).orderBy(F.desc(order)).rowsBetween(_UNB_PRE, hi)
     for m in markers:
-        v = F.col(f"_lw_v_{m}")
-        d = d.withColumn(f"_lw_ip_{m}", F.last(v, ignorenulls=True).over(w.rowsBetween(_UNB_PRE, hi)))
-        d = d.withColumn(f"_lw_in_{m}", F.first(v, ignorenulls=True).over(w.rowsBetween(lo, _UNB_FOL)))
+        d = d.withColumn(f"_lw_ip_{m}", F.last(f"_lw_v_{m}", ignorenulls=True).over(forth))
+    for m in markers:
+        d = d.withColumn(f"_lw_in_{m}", F.last(f"_lw_v_{m}", ignorenulls=True).over(back))
 
     # one summary row per (part, block): the block's first and last marked value
     aggs = []
@@ -75,6 +77,7 @@ def neighbors(
         aggs.append(F.min(order).alias("_lw_bmin"))
     summary = d.groupBy(*part, blk).agg(*aggs)
     wb = Window.partitionBy(*part).orderBy(blk)
+    wb_back = Window.partitionBy(*part).orderBy(F.desc(blk)).rowsBetween(_UNB_PRE, -1)
     carry_cols = []
     if head:
         summary = summary.withColumn("part_head", F.min("_lw_bmin").over(Window.partitionBy(*part)))
@@ -83,7 +86,7 @@ def neighbors(
         summary = summary.withColumn(
             f"_lw_cp_{m}", F.last(f"_lw_bl_{m}", ignorenulls=True).over(wb.rowsBetween(_UNB_PRE, -1)))
         summary = summary.withColumn(
-            f"_lw_cn_{m}", F.first(f"_lw_bf_{m}", ignorenulls=True).over(wb.rowsBetween(1, _UNB_FOL)))
+            f"_lw_cn_{m}", F.last(f"_lw_bf_{m}", ignorenulls=True).over(wb_back))
         carry_cols += [f"_lw_cp_{m}", f"_lw_cn_{m}"]
         if wrap:
             summary = summary.withColumn(

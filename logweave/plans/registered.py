@@ -391,9 +391,9 @@ def q_align_fallback(spark, sf):
                        F.lit(False).alias("is_source"))
     groups = src.unionByName(nxt).unionByName(doc).withColumn("sync_enabled", F.lit(True))
     pairs = A.group_pairs(groups)
-    ts_all = A.timestamped_rows(ev, "Timestamp")  # documents have no Timestamp field
+    ref = A.with_timestamps(ev, "Timestamp")
     counts = A.line_counts(ev).unionByName(A.line_counts(docs))
-    return A.align(ev, ts_all, ts_all, counts, pairs)
+    return A.align(ref, A.timestamped_rows(ev, "Timestamp"), counts, pairs)  # documents have no Timestamp field
 
 
 # ---- summaries and sinks -------------------------------------------------------

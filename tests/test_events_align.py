@@ -97,20 +97,23 @@ def test_nearest_matches_brute_force_with_ties(spark, seed, bucket):
 
 
 def test_fallback_chain(spark):
-    ref_rows = spark.createDataFrame([("r", 1), ("r", 2)], "path string, line_no long")
-    ref_ts = spark.createDataFrame([("r", 1, ts(10, 0, 0))], "path string, line_no long, ts timestamp_ntz")
+    ref = spark.createDataFrame([("r", 1, ts(10, 0, 0)), ("r", 2, None)], "path string, line_no long, ts timestamp_ntz")
     tgt_ts = spark.createDataFrame([("t", 7, ts(10, 0, 1))], "path string, line_no long, ts timestamp_ntz")
     counts = spark.createDataFrame([("t", 9), ("u", 1)], "path string, last_line long")
     pairs = spark.createDataFrame([("r", "t"), ("r", "u")], "path string, target_path string")
     got = {(r.line_no, r.target_path): (r.target_line, r.used_fallback)
-           for r in A.align(ref_rows, ref_ts, tgt_ts, counts, pairs).collect()}
+           for r in A.align(ref, tgt_ts, counts, pairs).collect()}
     assert got == {(1, "t"): (7, False), (2, "t"): (2, True), (1, "u"): (1, True), (2, "u"): (1, True)}
+    assert got == {(r.line_no, r.target_path): (r.target_line, r.used_fallback)
+                   for r in A.align(ref, tgt_ts, counts, pairs, bucket_micros=None, bucket_rows=1).collect()}
 
 
 def test_group_pairs_excludes_self_and_opted_out(spark):
     g = spark.createDataFrame([(1, "a", True, True), (1, "b", False, True), (1, "c", False, False)],
                               "group_id long, path string, is_source boolean, sync_enabled boolean")
     assert [(r.path, r.target_path) for r in A.group_pairs(g).collect()] == [("a", "b")]
+    many = spark.createDataFrame([(1, f"p{i:03}", True, True) for i in range(50)], g.schema)
+    assert A.group_pairs(many).count() == 49  # one source, however many claim to be
 
 
 def test_nearest_adaptive_buckets_match_brute_force(spark):
@@ -121,5 +124,25 @@ def test_nearest_adaptive_buckets_match_brute_force(spark):
     tdf = spark.createDataFrame([("t", l, t) for l, t in tgt], "path string, line_no long, ts timestamp_ntz")
     rdf = spark.createDataFrame([("r", l, t) for l, t in ref], "path string, line_no long, ts timestamp_ntz")
     pairs = spark.createDataFrame([("r", "t")], "path string, target_path string")
-    got = {r.line_no: r.target_line for r in A.nearest_by_time(rdf, tdf, pairs, bucket_rows=7).collect()}
+    got = {r.line_no: r.target_line for r in A.nearest_by_time(rdf, tdf, pairs, bucket_micros=None, bucket_rows=7).collect()}
     assert got == brute(ref, sorted(tgt))
+
+
+def test_dense_minute_and_long_file_take_linear_time(spark):
+    """200,000 rows of one pair within one minute; 400,000 lines of one file in one block."""
+    import time
+
+    from logweave.operators import search as SE
+    n = 200_000
+    t = F.expr("timestampadd(MICROSECOND, cast(id * 7 % 60000000 as int), timestamp_ntz'2024-01-01 00:00:00')")
+    rows = spark.range(1, n + 1).select(F.lit("a").alias("path"), F.col("id").alias("line_no"), t.alias("ts"))
+    other = rows.withColumn("path", F.lit("b"))
+    pairs = spark.createDataFrame([("a", "b")], "path string, target_path string")
+    start = time.time()
+    got = A.nearest_by_time(rows, other, pairs).agg(F.count("*"), F.max("delta_micros")).first()
+    assert tuple(got) == (n, 0) and time.time() - start < 60
+    lines = spark.range(1, 2 * n + 1).select(F.lit("a").alias("path"), F.col("id").alias("line_no"))
+    start = time.time()
+    hits = SE.find_next_prev(lines, F.col("line_no") % 100_000 == 7)
+    bad = hits.where("next_match <= line_no and line_no < 300007 or prev_match >= line_no and line_no > 7").count()
+    assert bad == 0 and time.time() - start < 60
