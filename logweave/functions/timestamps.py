@@ -1,12 +1,13 @@
 """Timestamp parsing of log field text (naive, no zone) as a Column expression.
 
-Tries a fixed list of exact formats in order, then a loose ISO cast, else NULL.
-All work stays in the JVM (``try_to_timestamp`` / ``try_cast``): no Python per row.
+Recognises a fixed list of exact formats by shape, then loose forms (month names, AM/PM,
+short numbers, ISO), else NULL.  All work stays in the JVM: no Python per row.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,32 +32,6 @@ EXACT_FORMATS = (
 # Whitespace trimmed before parsing.
 _WS = " \t\n\r\f\u000b"
 
-_FRACTIONS = (".SSS", ",SSS", ":SSS")
-
-
-def _grouped_patterns(formats) -> list[str]:
-    """Merge formats that differ only by a trailing fraction into one pattern with
-    optional sections, e.g. ``HH:mm:ss`` + ``HH:mm:ss.SSS`` -> ``HH:mm:ss[.SSS]``.
-
-    The separators make the formats mutually exclusive, so one parse per group
-    gives the same result as trying each format in turn -- with half the parse
-    attempts and generated code.
-    """
-    groups: dict[str, list[str]] = {}
-    for f in formats:
-        base, frac = f, ""
-        for suffix in _FRACTIONS:
-            if f.endswith(suffix):
-                base, frac = f[: -len(suffix)], suffix
-        groups.setdefault(base, [])
-        if frac:
-            groups[base].append(frac)
-    return [base + "".join(f"[{x}]" for x in fracs) for base, fracs in groups.items()]
-
-
-PARSE_PATTERNS = tuple(_grouped_patterns(EXACT_FORMATS))
-
-
 def _fixed_literals(pattern: str) -> list[tuple[int, str]]:
     """(position, char) of literal characters in the fixed-width prefix of a pattern.
 
@@ -94,12 +69,9 @@ def _shape_guard(s: Column, pattern: str) -> Column:
     return out
 
 
-def _try(s: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
-
-
-def _sub(s: Column, start: int, length: int = 1 << 20) -> Column:
-    return F.substring(s, start, length)
+def _sub(s: Column, start: int, length: int | None = None) -> Column:
+    """``length`` characters from ``start`` (1-based), or all from there on."""
+    return F.substring(s, start, length) if length else F.substr(s, F.lit(start))
 
 
 def iso_text(s: Column, base_date: str) -> Column:
@@ -121,10 +93,38 @@ def iso_text(s: Column, base_date: str) -> Column:
         .when(_shape_guard(s, "MM/dd/yyyy HH:mm:ss"),
               F.concat(_sub(s, 7, 4), F.lit("-"), _sub(s, 1, 2), F.lit("-"), _sub(s, 4, 2), _sub(s, 11)))
         .when(_shape_guard(s, "HH:mm:ss") & (F.length(s) <= 12), F.concat(F.lit(base_date + " "), s))
+        .when(s.rlike(LOOSE), _loose_iso(s))
         .otherwise(s)
     )
 
 
+# Loose forms: dates with a month's name (day or name first, a weekday before it) and
+# dates with slashes and short numbers; 12 or 24 hours, seconds optional.
+_NAME = "([A-Za-z]{3})[A-Za-z]*\\.?"
+_DATES = (f"(?:[A-Za-z]{{3,9}},? +)?(\\d{{1,2}})[ -]{_NAME}[ ,-]+(\\d{{4}})",
+          f"(?:[A-Za-z]{{3,9}},? +)?{_NAME} +(\\d{{1,2}}),? +(\\d{{4}})",
+          "(\\d{1,2})/(\\d{1,2})/(\\d{4})")
+LOOSE = ("^(?:" + "|".join(_DATES) + ")(?:[ ,T]+(\\d{1,2}):(\\d{2})(?::(\\d{2})(\\.\\d{1,9})?)?(?: *([AaPp])[Mm])?(?: *(?:GMT|UTC|Z))?)?$")
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+
+def _loose_iso(s: Column) -> Column:
+    """ISO text of a loose form (groups of ``LOOSE``); an impossible date stays unparsable."""
+    g = [F.regexp_extract(s, LOOSE, i) for i in range(15)]
+    month_name = F.lower(F.concat(g[2], g[4]))
+    at = F.instr(F.lit(_MONTHS), month_name) - 1
+    named = F.when(at % 3 == 0, F.floor(at / 3) + 1).otherwise(0)
+    month = F.when(month_name != "", named).otherwise(g[7].try_cast("int")).cast("int")
+    day, year = F.concat(g[1], g[5], g[8]), F.concat(g[3], g[6], g[9])
+    hour = F.coalesce(g[10].try_cast("int"), F.lit(0))
+    half = F.lower(g[14])
+    hour = F.when(half == "", hour).when((hour < 1) | (hour > 12), F.lit(99)).otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    full = lambda c: F.when(c == "", "00").otherwise(c)
+    return F.concat(year, F.lit("-"), two(month), F.lit("-"), two(day), F.lit(" "), two(hour), F.lit(":"), full(g[11]), F.lit(":"),
+                    full(g[12]), g[13])
+
+
 def parse_timestamp(c: Column | str, base_date: str = "1970-01-01") -> Column:
     """Parse log text to ``timestamp_ntz``; NULL when blank or unrecognised.
 
@@ -142,26 +142,48 @@ def parse_timestamp(c: Column | str, base_date: str = "1970-01-01") -> Column:
                                     lambda s: iso_text(s, base_date).try_cast("timestamp_ntz")), 1)
 
 
-def parse_bound(text: str | None) -> _dt.datetime | None:
+def parse_bound(text: str | None, base_date: str = "1970-01-01") -> _dt.datetime | None:
     """Parse a user-given bound (filter box, colour rule) once, on the driver.
 
+    The forms of ``parse_timestamp``, and a time alone on the same ``base_date``.
     Text that does not parse means "no bound", like an empty box.
     """
     if text is None or not str(text).strip():
         return None
     s = str(text).strip()
-    py_formats = [
-        "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S,%f", "%Y-%m-%d %H:%M:%S",
-        "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S", "%Y%m%d-%H:%M:%S:%f",
-        "%Y%m%d-%H:%M:%S.%f", "%Y%m%d-%H:%M:%S", "%Y/%m/%d %H:%M:%S.%f",
-        "%Y/%m/%d %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d",
-    ]
-    for f in py_formats:
+    forms = [_python_form(f) for f in EXACT_FORMATS]
+    for f in (*forms, "%H:%M", "%Y-%m-%d %H:%M", "%Y-%m-%d"):
         try:
-            return _dt.datetime.strptime(s, f)
+            found = _dt.datetime.strptime(s, f)
         except ValueError:
-            pass
+            continue
+        if "%Y" not in f:
+            found = _dt.datetime.combine(_dt.date.fromisoformat(base_date), found.time())
+        return found
     try:
         return _dt.datetime.fromisoformat(s).replace(tzinfo=None)
+    except ValueError:
+        return _loose_bound(s)
+
+
+def _python_form(pattern: str) -> str:
+    for java, python in (("yyyy", "%Y"), ("MM", "%m"), ("dd", "%d"), ("HH", "%H"), ("mm", "%M"), ("SSS", "%f"), ("ss", "%S"), ("'", "")):
+        pattern = pattern.replace(java, python)
+    return pattern
+
+
+def _loose_bound(s: str) -> _dt.datetime | None:
+    m = re.match(LOOSE, s)
+    if not m:
+        return None
+    name = (m[2] or m[4] or "").lower()
+    at = _MONTHS.find(name)
+    month = (at // 3 + 1 if at % 3 == 0 else 0) if name else int(m[7])
+    hour = int(m[10] or 0)
+    if m[14]:
+        hour = hour % 12 + (12 if m[14] in "pP" else 0) if 1 <= hour <= 12 else 99
+    try:
+        return _dt.datetime(int(m[3] or m[6] or m[9]), month, int(m[1] or m[5] or m[8]), hour, int(m[11] or 0), int(m[12] or 0),
+                            int((m[13] or ".0")[1:7].ljust(6, "0")))
     except ValueError:
         return None

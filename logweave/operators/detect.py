@@ -1,8 +1,9 @@
-"""Format detection from a sample of each file, suggested names and roles.
+"""Format detection for each file, suggested names and roles.
 
-One grouped pass over the first lines of **all** files at once: for every
-candidate delimiter, does it occur in every non-blank sample line, and is the
-part count the same (>= 2) on all of them?  The first candidate that qualifies
+One grouped pass over the lines of **all** files at once: for every
+candidate delimiter, does it occur in every non-blank line, and is the
+part count the same (>= 2) on all of them?  (An interactive opening looks at
+the first ``SAMPLE_LINES`` lines only; that is an argument.)  The first candidate that qualifies
 wins; otherwise the file is raw.
 """
 
@@ -18,13 +19,17 @@ from .parse import split_pattern
 # Candidate delimiters in order of preference ("||" before "|").
 CANDIDATE_DELIMITERS = ("||", "\t", "|", ",", ";")
 
-# Lines sampled per file.
+# Lines an interactive opening looks at.
 SAMPLE_LINES = 200
 
 
-def detect_formats(lines: DataFrame, sample_lines: int = SAMPLE_LINES) -> DataFrame:
-    """``(path, kind, delimiter, field_count)`` per file; ``kind`` is Delimited or Raw."""
-    s = lines.where(F.col(LINE) <= F.lit(sample_lines)).where(~F.col(TEXT).rlike("^(?U)\\s*$"))
+def detect_formats(lines: DataFrame, sample_lines: int | None = None) -> DataFrame:
+    """``(path, kind, delimiter, field_count)`` per file; ``kind`` is Delimited or Raw.
+
+    All lines count unless ``sample_lines`` limits them to the first ones of each file.
+    """
+    s = lines if sample_lines is None else lines.where(F.col(LINE) <= F.lit(sample_lines))
+    s = s.where(~F.col(TEXT).rlike("^(?U)\\s*$"))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, d in enumerate(CANDIDATE_DELIMITERS):
         n = F.size(F.split(F.col(TEXT), split_pattern(d), -1))

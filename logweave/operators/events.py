@@ -14,13 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import LINE, PATH
+from ..functions.fields import LINE, PATH, quoted
 from ..functions.regex import java_regex
-from ..plans.carry import block_of, neighbors
-
-# Lines per chunk of joined continuation text: bounds any one string and the
-# rows any one group collects.
-TEXT_CHUNK = 1024
+from ..plans.carry import neighbors
 
 
 def assign_events(rows: DataFrame, new_event_pattern: str | None, text_col: str = "raw", spark=None,
@@ -50,30 +46,30 @@ def assign_events_marked(rows: DataFrame, is_new: Column, block_lines: int | Non
 def events(assigned: DataFrame) -> DataFrame:
     """One row per event: the primary row's columns plus continuation count and last line.
 
-    A single aggregation per ``(path, event_line)``; ``max_by(.., is_primary)``
-    picks the primary row, and every aggregate combines map-side, so even one
-    huge event costs one partial row per task.
+    Only line numbers are aggregated (map-side, so one huge event costs one partial
+    row per task); the primary rows take their event's numbers by a join.
     """
+    numbers = assigned.groupBy(PATH, "event_line").agg(
+        (F.count(F.lit(1)) - 1).cast("long").alias("n_continuations"), F.max(LINE).alias("last_line"))
     cols = [c for c in assigned.columns if c not in (PATH, "event_line", "is_primary")]
-    g = assigned.groupBy(PATH, "event_line").agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("is_primary")).alias("_lw_p"),
-        (F.count(F.lit(1)) - 1).cast("long").alias("n_continuations"),
-        F.max(LINE).alias("last_line"))
-    return g.select(PATH, "event_line", *[F.col(f"_lw_p.{c}").alias(c) for c in cols],
+    g = assigned.where(F.col("is_primary")).join(numbers, [PATH, "event_line"])
+    return g.select(PATH, "event_line", *[quoted(c) for c in cols],
                     "n_continuations", (F.col("n_continuations") > 0).alias("has_continuation"), "last_line")
 
 
-def continuation_text(assigned: DataFrame, text_col: str = "raw", chunk_lines: int = TEXT_CHUNK) -> DataFrame:
-    """Continuation lines of each event joined by ``\\n``, in bounded chunks.
+def continuation_text(assigned: DataFrame, text_col: str = "raw", chunk_lines: int | None = None) -> DataFrame:
+    """Continuation lines of each event joined by ``\\n``: ``(path, line_no, continuation_text)``.
 
-    ``(path, line_no = primary line, chunk, continuation_text)``; chunk = line
-    block of ``chunk_lines`` lines, so no single group or string is unbounded.
-    Concatenate chunks in ``chunk`` order for the whole text.
+    With ``chunk_lines`` an event of more lines gives several rows, numbered
+    ``chunk`` from its first continuation on, for events too long for one string.
     """
-    cont = assigned.where(~F.col("is_primary")).withColumn("chunk", block_of(LINE, chunk_lines))
-    g = cont.groupBy(PATH, "event_line", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(LINE), F.col(text_col).alias("t")))).alias("_lw_parts"))
-    return g.select(PATH, F.col("event_line").alias(LINE), "chunk",
+    cont = assigned.where(~F.col("is_primary"))
+    by = [PATH, "event_line"]
+    if chunk_lines:
+        cont = cont.withColumn("chunk", F.floor((F.col(LINE) - F.col("event_line") - 1) / F.lit(chunk_lines)).cast("long"))
+        by.append("chunk")
+    g = cont.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(LINE), F.col(text_col).alias("t")))).alias("_lw_parts"))
+    return g.select(PATH, F.col("event_line").alias(LINE), *by[2:],
                     F.array_join(F.transform("_lw_parts", lambda x: x["t"]), "\n").alias("continuation_text"))
 
 

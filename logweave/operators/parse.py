@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import FIELDS, LINE, PARSED, PATH, RAW, RAW_KEY, RESERVED, TEXT, FieldSpace
+from ..functions.fields import FIELDS, LINE, PARSED, PATH, RAW, RAW_KEY, TEXT, FieldSpace, field_columns, marked
 from ..functions.regex import translate, validate
 from ..plans.profile import DELIMITED_KIND, RAW_KIND, REGEX_KIND, InvalidProfileError, LogProfile
 
@@ -35,12 +35,6 @@ def split_pattern(delimiter: str) -> str:
     return "\\Q" + delimiter.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def _check_names(names: Sequence[str]) -> None:
-    clash = [n for n in names if n in RESERVED]
-    if clash:
-        raise InvalidProfileError(f"field names clash with row columns: {clash}")
-
-
 # ---- single profile, flat columns ------------------------------------------------
 def _pre_split(lines: DataFrame, profile: LogProfile, spark=None) -> tuple[DataFrame, Column, list[tuple[str, Column]]]:
     """Project the per-row work that every field reads (the split, or the one regex
@@ -65,7 +59,7 @@ def _pre_split(lines: DataFrame, profile: LogProfile, spark=None) -> tuple[DataF
     d = lines.select("*", F.when(~has_sep, F.regexp_replace(text, wrapped, repl)).alias("_lw_packed"))
     packed = F.col("_lw_packed")
     d = d.select("*", F.coalesce(packed.startswith(_SEP), text.rlike(jp.pattern)).alias("_lw_ok"),
-                 F.split(F.substring(packed, 2, 1 << 30), _SEP, -1).alias("_lw_groups"))
+                 F.split(F.expr("substring(_lw_packed, 2)"), _SEP, -1).alias("_lw_groups"))
     ok, groups = F.col("_lw_ok"), F.col("_lw_groups")
 
     def pick(idx: list[int], get) -> Column:
@@ -88,15 +82,15 @@ def parse_lines(lines: DataFrame, profile: LogProfile, spark=None) -> DataFrame:
     text = F.col(TEXT)
     keep = [c for c in lines.columns if c not in (TEXT,)]
     if profile.kind == RAW_KIND:
-        return lines.select(*keep, text.alias(RAW), F.lit(True).alias(PARSED), text.alias(RAW_KEY))
+        return lines.select(*keep, text.alias(RAW), F.lit(True).alias(PARSED), marked(text, RAW_KEY, RAW_KEY))
     if profile.kind not in (DELIMITED_KIND, REGEX_KIND):
         raise InvalidProfileError(f"unknown kind {profile.kind}")
     d, ok, fields = _pre_split(lines, profile, spark)
-    _check_names([n for n, _ in fields])
-    cols = [c.alias(n) for n, c in fields]
-    if RAW_KEY not in [n for n, _ in fields]:
-        cols.append(F.when(~ok, text).alias(RAW_KEY))
-    return d.select(*keep, text.alias(RAW), ok.alias(PARSED), *cols)
+    values = dict(fields)
+    if RAW_KEY not in values:
+        values[RAW_KEY] = F.when(~ok, text)
+    column = field_columns(list(values), keep)
+    return d.select(*keep, text.alias(RAW), ok.alias(PARSED), *[marked(c, n, column[n]) for n, c in values.items()])
 
 
 def parse_raw(lines: DataFrame) -> DataFrame:
@@ -141,7 +135,7 @@ def parse_with_profiles(rows_in: DataFrame, profiles: Mapping[str, LogProfile],
             repl = "".join(_SEP + f"${i}" for i in range(1, len(jp.group_names) + 1))
             packed_expr = F.when(hit & ~text.contains(_SEP), F.regexp_replace(text, wrapped, repl)).otherwise(packed_expr)
     d = rows_in.select("*", parts_expr.alias("_lw_parts"), packed_expr.alias("_lw_packed"))
-    d = d.select("*", F.split(F.substring(F.col("_lw_packed"), 2, 1 << 30), _SEP, -1).alias("_lw_groups"))
+    d = d.select("*", F.split(F.expr("substring(_lw_packed, 2)"), _SEP, -1).alias("_lw_groups"))
     parts, packed, groups = F.col("_lw_parts"), F.col("_lw_packed"), F.col("_lw_groups")
 
     raw_map = F.create_map(F.lit(RAW_KEY), text)

@@ -6,17 +6,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.fields import LINE, PATH, RESERVED
+from ..functions.fields import LINE, PATH, fields_of, quoted
 
 
 def show_columns(rows: DataFrame, visible: Sequence[str]) -> DataFrame:
     """Keep the row columns plus the visible field columns, in the given order."""
-    keep = [c for c in rows.columns if c in RESERVED]
-    return rows.select(*keep, *[f"`{c}`" for c in visible if c in rows.columns and c not in keep])
+    fs = fields_of(rows)
+    if fs.is_map:
+        return rows
+    fields = {fs.column_of(n) for n in fs.columns}
+    keep = [quoted(c) for c in rows.columns if c not in fields]
+    return rows.select(*keep, *[fs.get(n) for n in visible if n in fs.columns])
 
 
 def hide_columns(rows: DataFrame, hidden: Sequence[str]) -> DataFrame:
-    return rows.drop(*[c for c in hidden if c not in RESERVED])
+    fs = fields_of(rows)
+    return rows if fs.is_map else rows.drop(*[fs.column_of(n) for n in hidden if n in fs.columns])
 
 
 def lookup_lines(rows: DataFrame, refs: DataFrame, how: str = "left_semi") -> DataFrame:

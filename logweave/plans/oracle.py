@@ -80,7 +80,7 @@ ROLE_CASE = r"""CASE WHEN contains(@n, 'time') OR contains(@n, 'date') OR @n = '
 _DELIMS = ["'||'", "chr(9)", "'|'", "','", "';'"]
 
 DETECT = r"""
-samp AS (SELECT path, text FROM doc WHERE line_no <= 200 AND NOT regexp_matches(text, '^\s*$')),
+samp AS (SELECT path, text FROM doc WHERE NOT regexp_matches(text, '^\s*$')),
 gagg AS (SELECT path, """ + ",\n ".join(
     f"bool_and(contains(text, {d})) AS a{i}, min(len(string_split(text, {d}))) AS n{i}, "
     f"max(len(string_split(text, {d}))) AS x{i}" for i, d in enumerate(_DELIMS)) + r"""
@@ -316,9 +316,9 @@ SQL["events_multiline"] = _w(DOC, EVENTS) + (
     "SELECT path, ev AS line_no, CAST(count(*) - 1 AS BIGINT) AS n_continuations, max(line_no) AS last_line "
     "FROM dev GROUP BY path, ev")
 SQL["continuation_text"] = _w(DOC, EVENTS) + (
-    "SELECT path, ev AS line_no, CAST((line_no - 1) // 1024 AS BIGINT) AS chunk, "
+    "SELECT path, ev AS line_no, "
     "string_agg(text, chr(10) ORDER BY line_no) AS continuation_text "
-    "FROM dev WHERE line_no <> ev GROUP BY path, ev, (line_no - 1) // 1024")
+    "FROM dev WHERE line_no <> ev GROUP BY path, ev")
 SQL["attach_continuations"] = _w(DOC, EVENTS, """
 evc AS (SELECT path, ev, count(*) - 1 AS n FROM dev GROUP BY path, ev)""") + (
     "SELECT d.path, d.line_no, CAST(coalesce(e.n, 0) AS BIGINT) AS n_continuations FROM doc d "
@@ -375,9 +375,9 @@ SQL["export_tsv"] = _w(DOC) + (
     "coalesce(t, '')) AS tsv FROM dcsv")
 SQL["raw_text"] = _w(DOC) + "SELECT path, line_no, coalesce(r, concat_ws(' ', h, b, t)) AS raw_text FROM dcsv"
 SQL["line_refs"] = _w(EVN) + (
-    "SELECT path, CAST((line_no - 1) // 1024 AS BIGINT) AS chunk, "
+    "SELECT path, "
     "string_agg(CAST(line_no AS VARCHAR), ', ' ORDER BY line_no) AS line_refs "
-    "FROM evf WHERE is_flagged GROUP BY path, (line_no - 1) // 1024")
+    "FROM evf WHERE is_flagged GROUP BY path")
 
 _RENDER = ["%Y-%m-%d %H:%M:%S.%g", "%Y-%m-%d %H:%M:%S,%g", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S.%g",
            "%Y-%m-%dT%H:%M:%S", "%Y%m%d-%H:%M:%S:%g", "%Y%m%d-%H:%M:%S.%g", "%Y%m%d-%H:%M:%S",

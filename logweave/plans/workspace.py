@@ -63,7 +63,7 @@ def open_workspace(spark: SparkSession, root: str, settings: Settings | None = N
     known = PA.parse_with_profiles(with_prof.where(F.col("profile").isNotNull()), by_name, spark=spark)
     rest = with_prof.where(F.col("profile").isNull()).drop("profile")
     if detect_unresolved:
-        fmts = D.detect_formats(rest)
+        fmts = D.detect_formats(rest, D.SAMPLE_LINES)
         unresolved = D.parse_detected(rest, fmts).join(
             fmts.select(PATH, F.when(F.col("kind") == "Delimited", F.lit(DETECTED)).alias("profile")), PATH, "left")
         unresolved = unresolved.drop("delimiter", "field_count")

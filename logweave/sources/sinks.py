@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.fields import LINE, PATH, RAW_KEY, FieldSpace, field_or_empty, fields_of
 from ..plans.carry import block_of
 
-# Line numbers per chunk of a line-reference string.
-REF_CHUNK = 1024
-
 
 def tsv_lines(rows: DataFrame, columns: Sequence[str], fs: FieldSpace | None = None) -> DataFrame:
     """``(path, line_no, tsv)``: line number then each column (missing -> ``''``), tab-joined."""
@@ -43,7 +40,7 @@ def raw_text(rows: DataFrame, fs: FieldSpace | None = None) -> DataFrame:
     if fs.is_map:
         joined = fs.values_joined(" ")
     else:
-        joined = FieldSpace(tuple(c for c in fs.columns if c != RAW_KEY)).values_joined(" ")
+        joined = fs.without(RAW_KEY).values_joined(" ")
     return rows.select(PATH, LINE, F.coalesce(fs.get(RAW_KEY), joined).alias("raw_text"))
 
 
@@ -51,12 +48,15 @@ def write_text(rows: DataFrame, out_dir: str, fs: FieldSpace | None = None) -> N
     raw_text(rows, fs).select("raw_text").write.mode("overwrite").text(out_dir)
 
 
-def line_refs(rows: DataFrame, chunk_lines: int = REF_CHUNK) -> DataFrame:
-    """``(path, chunk, line_refs)``: line numbers joined by ``", "`` in order.
+def line_refs(rows: DataFrame, chunk_lines: int | None = None) -> DataFrame:
+    """``(path, line_refs)``: the rows' line numbers joined by ``", "`` in order, one string a file.
 
-    One string per file chunk of ``chunk_lines`` lines, so no group or string
-    grows with the file; concatenate chunks in order for the full list.
+    With ``chunk_lines`` one string per ``chunk`` of that many lines of the file, for
+    selections too long for one string; joined in chunk order they are the whole.
     """
-    g = rows.select(PATH, LINE).withColumn("chunk", block_of(LINE, chunk_lines)).groupBy(PATH, "chunk").agg(
-        F.array_join(F.array_sort(F.collect_list(F.col(LINE))), ", ").alias("line_refs"))
-    return g
+    g = rows.select(PATH, LINE)
+    by = [PATH]
+    if chunk_lines:
+        g = g.withColumn("chunk", block_of(LINE, chunk_lines))
+        by.append("chunk")
+    return g.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(F.col(LINE))), ", ").alias("line_refs"))

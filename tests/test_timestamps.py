@@ -18,6 +18,17 @@ from logweave.functions.timestamps import parse_bound, parse_timestamp
     ("2024/01/15 10:32:39", dt.datetime(2024, 1, 15, 10, 32, 39)),
     ("  2024-01-15 10:32:39  ", dt.datetime(2024, 1, 15, 10, 32, 39)),
     ("2024-01-15", dt.datetime(2024, 1, 15)),
+    ("Jan 15 2024 10:32:39", dt.datetime(2024, 1, 15, 10, 32, 39)),
+    ("15 January 2024 10:32", dt.datetime(2024, 1, 15, 10, 32)),
+    ("1/5/2024 9:03:04 AM", dt.datetime(2024, 1, 5, 9, 3, 4)),
+    ("1/5/2024 12:03:04 am", dt.datetime(2024, 1, 5, 0, 3, 4)),
+    ("Mon, 15 Jan 2024 10:32:39 GMT", dt.datetime(2024, 1, 15, 10, 32, 39)),
+    ("15-Jan-2024 12:05 pm", dt.datetime(2024, 1, 15, 12, 5)),
+    ("Dec 5, 2024", dt.datetime(2024, 12, 5)),
+    ("13/40/2024 1:01", None),
+    ("Foo 1 2024 10:00", None),
+    ("anf 1 2024 10:00", None),
+    ("Jan 5 2024 13:00 PM", None),
     ("not a time", None),
     ("", None),
     (None, None),
@@ -25,6 +36,7 @@ from logweave.functions.timestamps import parse_bound, parse_timestamp
 def test_parse_timestamp(spark, text, expected):
     df = spark.createDataFrame([(text,)], "s string")
     assert df.select(parse_timestamp(F.col("s")).alias("t")).collect()[0].t == expected
+    assert parse_bound(text) == expected  # the same forms for the user's bounds
 
 
 def test_time_only_base_date(spark):
@@ -36,3 +48,16 @@ def test_time_only_base_date(spark):
 def test_parse_bound():
     assert parse_bound("2024-01-15 10:02") == dt.datetime(2024, 1, 15, 10, 2)
     assert parse_bound("garbage") is None and parse_bound("") is None
+
+
+def test_time_only_range_filters_a_time_only_log(spark):
+    from logweave.operators import filters as FL
+    from logweave.operators import parse as PA
+    from tests.conftest import lines_df
+    rows = PA.parse_delimited(lines_df(spark, [f"{h:02}:30:00|x" for h in range(24)]), "|", ["Time", "Message"])
+    got = FL.time_range(rows, "Time", "10:00:00", "12:00:00")
+    assert sorted(r.Time for r in got.collect()) == ["10:30:00", "11:30:00"]
+
+
+def test_bound_with_another_base_date():
+    assert parse_bound("10:00", "2024-02-03") == dt.datetime(2024, 2, 3, 10)
