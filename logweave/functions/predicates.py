@@ -64,26 +64,27 @@ def _scoped(fs: FieldSpace, field: str | None, test) -> Column:
     return fs.any(test)
 
 
-# ---- filters ---------------------------------------------------------------
-def filter_predicate(rule: R.FilterRule, fs: FieldSpace, spark=None) -> Column:
-    k = rule.kind
-    if k == R.INCLUDE_VALUE:
-        return _safe(fs.get(rule.field) == F.lit(rule.value))
-    if k == R.EXCLUDE_VALUE:
-        return ~_safe(fs.get(rule.field) == F.lit(rule.value))
-    if k in (R.INCLUDE_TEXT, R.EXCLUDE_TEXT):
-        hit = _scoped(fs, rule.field, lambda v: _contains(v, rule.value, rule.case_sensitive))
-        return hit if k == R.INCLUDE_TEXT else ~hit
-    if k in (R.INCLUDE_REGEX, R.EXCLUDE_REGEX):
-        p = java_regex(rule.value, ignore_case=not rule.case_sensitive, spark=spark)
-        hit = _scoped(fs, rule.field, lambda v: v.rlike(p))
-        return hit if k == R.INCLUDE_REGEX else ~hit
-    raise ValueError(f"unknown filter kind {k!r}")
-
-
-def filters_predicate(rules: Sequence[R.FilterRule], fs: FieldSpace, spark=None) -> Column:
+# ---- matches ---------------------------------------------------------------
+def match_predicate(m: R.Match, fs: FieldSpace, spark=None) -> Column:
+    """The rows a match holds for; what a row lacks does not match, so its negation holds."""
+    if m.how == R.EQUALS:
+        hit = _safe(fs.get(m.field) == F.lit(m.what))
+    elif m.how == R.CONTAINS:
+        hit = _scoped(fs, m.field, lambda v: _contains(v, m.what, not m.any_case))
+    elif m.how == R.REGEX:
+        p = java_regex(m.what, ignore_case=m.any_case, spark=spark)
+        hit = _scoped(fs, m.field, lambda v: v.rlike(p))
+    elif m.how == R.BETWEEN:
+        ts = parse_timestamp(fs.get(m.field))
+        hit = _safe(ts.isNotNull() & time_range_predicate(ts, *map(parse_bound, m.what)))
+    else:
+        raise ValueError(f"unknown way to match {m.how!r}")
+    return ~hit if m.negated else hit
+
+
+def filters_predicate(rules: Sequence[R.Match], fs: FieldSpace, spark=None) -> Column:
     """All rules ANDed; no rules -> every row passes."""
-    return _and(filter_predicate(r, fs, spark) for r in rules)
+    return _and(match_predicate(r, fs, spark) for r in rules)
 
 
 def time_range_predicate(ts: Column, start: _dt.datetime | None, end: _dt.datetime | None) -> Column:
@@ -101,14 +102,7 @@ def time_range_predicate(ts: Column, start: _dt.datetime | None, end: _dt.dateti
 def view_predicate(vf: R.ViewFilter, fs: FieldSpace, timestamp_field: str | None,
                    flagged: Column | None = None, spark=None) -> Column:
     """The view filter: include (field-scoped) -> exclude -> flagged-only -> time range."""
-    rules: list[R.FilterRule] = []
-    if vf.text:
-        rules.append(R.FilterRule.include_regex(vf.text, vf.field) if vf.is_regex
-                     else R.FilterRule.include_text(vf.text, False, vf.field))
-    if vf.exclude_text:
-        rules.append(R.FilterRule.exclude_regex(vf.exclude_text) if vf.exclude_is_regex
-                     else R.FilterRule.exclude_text(vf.exclude_text, False))
-    preds = [filters_predicate(rules, fs, spark)]
+    preds = [filters_predicate(vf.matches(), fs, spark)]
     if vf.only_flagged:
         preds.append(_safe(flagged if flagged is not None else F.col("is_flagged")))
     if timestamp_field is not None:
@@ -119,91 +113,46 @@ def view_predicate(vf: R.ViewFilter, fs: FieldSpace, timestamp_field: str | None
 
 
 # ---- flags -----------------------------------------------------------------
-def flag_predicate(rule: R.FlagRule, fs: FieldSpace, spark=None) -> Column:
-    if rule.kind == R.FLAG_FIELD_VALUE:
-        return _safe(fs.get(rule.field) == F.lit(rule.value))
-    if rule.kind == R.FLAG_CONTAINS:
-        return _scoped(fs, rule.field, lambda v: contains_ci(v, rule.value))
-    if rule.kind == R.FLAG_REGEX:
-        p = java_regex(rule.value, ignore_case=True, spark=spark)
-        return _scoped(fs, rule.field, lambda v: v.rlike(p))
-    raise ValueError(f"unknown flag kind {rule.kind!r}")
-
-
-def flags_predicate(rules: Sequence[R.FlagRule], fs: FieldSpace, spark=None) -> Column:
-    """OR of the rules; cheap kinds first so codegen short-circuits before regexes."""
-    order = {R.FLAG_FIELD_VALUE: 0, R.FLAG_CONTAINS: 1, R.FLAG_REGEX: 2}
-    ordered = sorted(rules, key=lambda r: order.get(r.kind, 3))
-    return _or(flag_predicate(r, fs, spark) for r in ordered)
-
-
-# ---- colours ---------------------------------------------------------------
-def color_predicate(rule: R.ColorRule, fs: FieldSpace, spark=None) -> Column:
-    if rule.kind == R.COLOR_FIELD_VALUE:
-        return _safe(fs.get(rule.field) == F.lit(rule.value))
-    if rule.kind == R.COLOR_MESSAGE_CONTAINS:
-        return _safe(contains_ci(fs.get("Message"), rule.value))
-    if rule.kind == R.COLOR_REGEX:
-        p = java_regex(rule.value, ignore_case=True, spark=spark)
-        return fs.any(lambda v: v.rlike(p))
-    if rule.kind == R.COLOR_TIME_RANGE:
-        if rule.field is None:
-            return _false()
-        parts = rule.value.split("|")
-        start = parse_bound(parts[0]) if len(parts) >= 1 else None
-        end = parse_bound(parts[1]) if len(parts) >= 2 else None
-        ts = parse_timestamp(fs.get(rule.field))
-        conds = [ts.isNotNull()]
-        if start is not None:
-            conds.append(ts >= ntz(start))
-        if end is not None:
-            conds.append(ts <= ntz(end))
-        return _safe(_and(conds))
-    raise ValueError(f"unknown colour kind {rule.kind!r}")
-
-
-def _by_priority(rules: Sequence[R.ColorRule]) -> list[R.ColorRule]:
-    # ascending priority, stable: a later rule of equal priority is applied later
-    return sorted(rules, key=lambda r: r.priority)
-
-
-def row_background(rules: Sequence[R.ColorRule], fs: FieldSpace, spark=None) -> Column:
-    """Background of the last matching rule (in ascending priority order); NULL when none."""
-    applied = [r for r in _by_priority(rules) if r.background is not None]
-    if not applied:
-        return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(color_predicate(r, fs, spark), F.lit(r.background)) for r in reversed(applied)])
-
-
-def highlight_targets(rules: Sequence[R.ColorRule]) -> list[str]:
-    seen: list[str] = []
-    for r in _by_priority(rules):
-        if r.field_highlight is not None:
-            t = r.field or "Message"
-            if t not in seen:
-                seen.append(t)
-    return seen
-
-
-def field_highlight(rules: Sequence[R.ColorRule], fs: FieldSpace, target: str, spark=None) -> Column:
-    """Foreground for one target field: last matching highlight rule wins; NULL when none."""
-    applied = [r for r in _by_priority(rules) if r.field_highlight is not None and (r.field or "Message") == target]
-    if not applied:
-        return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(color_predicate(r, fs, spark), F.lit(r.field_highlight)) for r in reversed(applied)])
-
-
-def field_overrides(rules: Sequence[R.ColorRule], fs: FieldSpace, spark=None) -> Column:
+def flags_predicate(rules: Sequence[R.Match], fs: FieldSpace, spark=None) -> Column:
+    """OR of the rules; cheap tests first so codegen short-circuits before regexes."""
+    cost = {R.EQUALS: 0, R.CONTAINS: 1, R.REGEX: 2}
+    return _or(match_predicate(r, fs, spark) for r in sorted(rules, key=lambda r: cost.get(r.how, 3)))
+
+
+# ---- paints ----------------------------------------------------------------
+def _top_paint(paints: Sequence[R.Paint], colour: str, fs: FieldSpace, spark=None) -> Column:
+    """Colour of the paint that wins: highest priority, of equals the last; NULL when none matches."""
+    ranked = sorted(enumerate(paints), key=lambda x: (x[1].priority, x[0]), reverse=True)
+    tests = [F.when(match_predicate(p.match, fs, spark), F.lit(getattr(p, colour)))
+             for _, p in ranked if getattr(p, colour) is not None]
+    return F.coalesce(*tests) if tests else F.lit(None).cast("string")
+
+
+def row_background(paints: Sequence[R.Paint], fs: FieldSpace, spark=None) -> Column:
+    return _top_paint(paints, "background", fs, spark)
+
+
+def highlight_targets(paints: Sequence[R.Paint]) -> list[str]:
+    """Fields that some paint highlights, in order of priority."""
+    return list(dict.fromkeys(p.target for p in sorted(paints, key=lambda p: p.priority) if p.highlight is not None))
+
+
+def field_highlight(paints: Sequence[R.Paint], fs: FieldSpace, target: str, spark=None) -> Column:
+    """Foreground of one field."""
+    return _top_paint([p for p in paints if p.target == target], "highlight", fs, spark)
+
+
+def field_overrides(paints: Sequence[R.Paint], fs: FieldSpace, spark=None) -> Column:
     """``map<field, struct<foreground, background>>`` of highlighted fields (empty map when none)."""
-    targets = highlight_targets(rules)
     styling = "struct<foreground:string,background:string>"
-    if not targets:
+    cells = []
+    for target in highlight_targets(paints):
+        colour = field_highlight(paints, fs, target, spark)
+        style = F.struct(colour.alias("foreground"), F.lit(None).cast("string").alias("background"))
+        cells += [F.lit(target), F.when(colour.isNotNull(), style)]
+    if not cells:
         return F.create_map().cast(f"map<string,{styling}>")
-    kv = []
-    for t in targets:
-        fg = field_highlight(rules, fs, t, spark)
-        kv += [F.lit(t), F.when(fg.isNotNull(), F.struct(fg.alias("foreground"), F.lit(None).cast("string").alias("background")))]
-    return F.map_filter(F.create_map(*kv), lambda k, v: v.isNotNull())
+    return F.map_filter(F.create_map(*cells), lambda _, style: style.isNotNull())
 
 
 # ---- search ----------------------------------------------------------------

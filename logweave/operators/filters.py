@@ -17,7 +17,7 @@ from ..functions.timestamps import parse_bound, parse_timestamp
 from ..plans import rules as R
 
 
-def apply_filters(rows: DataFrame, rules: Sequence[R.FilterRule], fs: FieldSpace | None = None,
+def apply_filters(rows: DataFrame, rules: Sequence[R.Match], fs: FieldSpace | None = None,
                   spark=None) -> DataFrame:
     """Rows passing every rule (no rules: all rows)."""
     fs = fs or fields_of(rows)
@@ -55,10 +55,10 @@ def visible_presets(presets: DataFrame, profile_name: str) -> DataFrame:
     return presets.where(F.col("profile_scope").isNull() | (F.lower("profile_scope") == profile_name.lower()))
 
 
-def preset_counts(rows: DataFrame, presets: Sequence[R.FilterPreset], timestamp_field: str | None = None,
+def preset_counts(rows: DataFrame, presets: Sequence[R.SavedView], timestamp_field: str | None = None,
                   fs: FieldSpace | None = None, spark=None, by: Sequence[str] = (PATH,)) -> DataFrame:
     """Rows each preset would show, per file, for all presets in one pass."""
     fs = fs or fields_of(rows)
-    aggs = [F.count_if(P.view_predicate(R.ViewFilter.from_preset(p), fs, timestamp_field, spark=spark))
+    aggs = [F.count_if(P.view_predicate(p.view, fs, timestamp_field, spark=spark))
             .cast("long").alias(p.name) for p in presets]
     return rows.groupBy(*by).agg(*aggs)

@@ -12,7 +12,7 @@ from ..functions.fields import LINE, PATH, FieldSpace, fields_of
 from ..plans import rules as R
 
 
-def flag_rows(rows: DataFrame, rules: Sequence[R.FlagRule] = R.DEFAULT_FLAG_RULES,
+def flag_rows(rows: DataFrame, rules: Sequence[R.Match] = R.DEFAULT_FLAGS,
               fs: FieldSpace | None = None, spark=None, out: str = "is_flagged") -> DataFrame:
     """Add ``is_flagged``: true when any rule matches the row (each line counted once)."""
     fs = fs or fields_of(rows)
@@ -30,7 +30,7 @@ def flag_counts(flagged: DataFrame) -> DataFrame:
     return flagged.rollup(PATH).agg(F.count_if(F.col("is_flagged")).cast("long").alias("flagged"))
 
 
-def color_rows(rows: DataFrame, rules: Sequence[R.ColorRule] = R.DEFAULT_COLOR_RULES,
+def color_rows(rows: DataFrame, rules: Sequence[R.Paint] = R.DEFAULT_PAINTS,
                fs: FieldSpace | None = None, spark=None) -> DataFrame:
     """Add ``row_background`` and ``field_overrides`` (map field -> styling)."""
     fs = fs or fields_of(rows)

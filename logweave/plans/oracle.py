@@ -306,10 +306,10 @@ SQL["row_background"] = _w(EVN) + (
 SQL["field_highlight"] = _w(EVN, f"""
 hl AS (
   SELECT path, line_no, 'Message' AS field,
-         CASE WHEN {_any(EVCOLS, "regexp_matches({c}, '(?i)purchase')")} THEN '#00FF00'
-              WHEN contains(lower("Message"), '"k": 5') THEN '#FFFF00' END AS foreground FROM evn
+         CASE WHEN {_any(EVCOLS, "regexp_matches({c}, '(?i)purchase')")} THEN '#4FA36B'
+              WHEN contains(lower("Message"), '"k": 5') THEN '#D9B44A' END AS foreground FROM evn
   UNION ALL
-  SELECT path, line_no, 'Level', CASE WHEN "Level" = 'ERROR' THEN '#FF4444' END FROM evn)""") + (
+  SELECT path, line_no, 'Level', CASE WHEN "Level" = 'ERROR' THEN '#B23A48' END FROM evn)""") + (
     "SELECT path, line_no, field, foreground FROM hl WHERE foreground IS NOT NULL")
 
 SQL["events_multiline"] = _w(DOC, EVENTS) + (

@@ -41,22 +41,22 @@ EV_REGEX = LogProfile.regex(
     name="ev-regex")
 
 HIGHLIGHT_RULES = (
-    R.ColorRule.message_containing('"k": 5', field_highlight="#FFFF00", priority=1),
-    R.ColorRule.field_value("Level", "ERROR", background="#FF4444", priority=2, field_highlight="#FF4444"),
-    R.ColorRule.regex("purchase", priority=3, field_highlight="#00FF00"),
+    R.Paint(R.contains('"k": 5', R.MESSAGE), highlight="#D9B44A", priority=1),
+    R.Paint(R.equals("Level", "ERROR"), background="#B23A48", priority=2, highlight="#B23A48"),
+    R.Paint(R.regex("purchase"), priority=3, highlight="#4FA36B"),
 )
-BACKGROUND_RULES = R.DEFAULT_COLOR_RULES + (
-    R.ColorRule.field_value("Module", "signup", background="#1F5A1F", priority=7),
-    R.ColorRule.time_range("Timestamp", "2024-01-10 00:00:00", "2024-01-11 00:00:00", background="#1F1F5A", priority=20),
+BACKGROUND_RULES = R.DEFAULT_PAINTS + (
+    R.Paint(R.equals("Module", "signup"), background="#1F5A1F", priority=7),
+    R.Paint(R.between("Timestamp", "2024-01-10 00:00:00", "2024-01-11 00:00:00"), background="#1F1F5A", priority=20),
 )
 EV_VIEW = R.ViewFilter(text='k": 1', field="Message", exclude_text="purchase", exclude_is_regex=True,
                        only_flagged=True, time_from="2024-01-03 00:00:00", time_to="2024-01-20 00:00:00")
 PRESETS = (
-    R.FilterPreset("p_errors", filter_text="error"),
-    R.FilterPreset("p_flagged", only_flagged=True),
-    R.FilterPreset("p_k9", filter_text=r'"k": 9\d', is_regex=True, exclude_text="view"),
-    R.FilterPreset("p_window", time_from="2024-01-07 00:00:00", time_to="2024-01-14 00:00:00",
-                   exclude_text="^TRACE$", exclude_is_regex=True),
+    R.SavedView("p_errors", R.ViewFilter(text="error")),
+    R.SavedView("p_flagged", R.ViewFilter(only_flagged=True)),
+    R.SavedView("p_k9", R.ViewFilter(text=r'"k": 9\d', is_regex=True, exclude_text="view")),
+    R.SavedView("p_window", R.ViewFilter(time_from="2024-01-07 00:00:00", time_to="2024-01-14 00:00:00",
+                                         exclude_text="^TRACE$", exclude_is_regex=True)),
 )
 DOC_VISIBLE_TEXT = "the"
 DOC_HIT_TEXT = "tion"
@@ -207,30 +207,30 @@ def q_parse_multi_profile(spark, sf):
 
 # ---- filters -------------------------------------------------------------------
 def q_filter_include_value(spark, sf):
-    return FL.apply_filters(_ev_rows(spark, sf), [R.FilterRule.include_where("Level", "ERROR")]).select(
+    return FL.apply_filters(_ev_rows(spark, sf), [R.equals("Level", "ERROR")]).select(
         PATH, LINE, "Level", "Module")
 
 
 def q_filter_exclude_value(spark, sf):
-    return FL.apply_filters(_ev_rows(spark, sf), [R.FilterRule.exclude_where("Module", "click")]).select(
+    return FL.apply_filters(_ev_rows(spark, sf), [~R.equals("Module", "click")]).select(
         PATH, LINE, "Module")
 
 
 def q_filter_text_any(spark, sf):
-    return FL.apply_filters(_ev_rows(spark, sf), [R.FilterRule.include_text('"K": 1', False)]).select(PATH, LINE)
+    return FL.apply_filters(_ev_rows(spark, sf), [R.contains('"K": 1')]).select(PATH, LINE)
 
 
 def q_filter_text_exclude(spark, sf):
-    return FL.apply_filters(_ev_rows(spark, sf), [R.FilterRule.exclude_text("error", False)]).select(PATH, LINE)
+    return FL.apply_filters(_ev_rows(spark, sf), [~R.contains("error")]).select(PATH, LINE)
 
 
 def q_filter_regex(spark, sf):
-    return FL.apply_filters(_ev_rows(spark, sf), [R.FilterRule.include_regex(r": 9\d\}", "Message")],
+    return FL.apply_filters(_ev_rows(spark, sf), [R.regex(r": 9\d\}", "Message", any_case=False)],
                             spark=spark).select(PATH, LINE, "Message")
 
 
 def q_filter_regex_exclude(spark, sf):
-    return FL.apply_filters(_ev_rows(spark, sf), [R.FilterRule.exclude_regex("^(TRACE|DEBUG)$", "Level")],
+    return FL.apply_filters(_ev_rows(spark, sf), [~R.regex("^(TRACE|DEBUG)$", "Level", any_case=False)],
                             spark=spark).select(PATH, LINE, "Level")
 
 
@@ -241,12 +241,12 @@ def q_filter_time_range(spark, sf):
 
 def q_view_filter(spark, sf):
     rows = T.flag_rows(_ev_rows(spark, sf), spark=spark)
-    return FL.view(rows, EV_VIEW, EVLOG_PROFILE.timestamp_field, spark=spark).select(PATH, LINE)
+    return FL.view(rows, EV_VIEW, EVLOG_PROFILE.field_for("Timestamp"), spark=spark).select(PATH, LINE)
 
 
 def q_preset_counts(spark, sf):
     rows = T.flag_rows(_ev_rows(spark, sf), spark=spark)
-    return FL.preset_counts(rows, PRESETS, EVLOG_PROFILE.timestamp_field, spark=spark)
+    return FL.preset_counts(rows, PRESETS, EVLOG_PROFILE.field_for("Timestamp"), spark=spark)
 
 
 # ---- search --------------------------------------------------------------------
@@ -288,8 +288,8 @@ def q_flag_lines(spark, sf):
     return T.flagged_lines(T.flag_rows(_ev_rows(spark, sf), spark=spark))
 
 
-DOC_FLAGS = (R.FlagRule.contains("password"), R.FlagRule.regex(r"\b(secret|token)\b"),
-             R.FlagRule.field_value("Head", "Le"))
+DOC_FLAGS = (R.contains("password"), R.regex(r"\b(secret|token)\b"),
+             R.equals("Head", "Le"))
 
 
 def q_flag_lines_doc(spark, sf):
@@ -364,7 +364,7 @@ def q_attach_continuations(spark, sf):
 
 # ---- alignment -----------------------------------------------------------------
 def q_timestamped_rows(spark, sf):
-    return A.timestamped_rows(_ev_rows(spark, sf), EVLOG_PROFILE.timestamp_field)
+    return A.timestamped_rows(_ev_rows(spark, sf), EVLOG_PROFILE.field_for("Timestamp"))
 
 
 

@@ -1,155 +1,79 @@
-"""Rule objects: filters, flags, colours, search queries and saved presets.
+"""What users ask of rows: tests, paints, searches, views and saved views.
 
-Each is a small frozen dataclass; ``logweave.functions.predicates`` turns it into
-a Column, so a rule set becomes one expression Catalyst can push and fuse.
+There is one kind of test, ``Match``: a way to compare (equal, containing, regular
+expression, between two times), what to compare with, and the field it looks at
+(none: any field).  Filters are matches that must all hold, flags are matches of
+which one must hold, and a ``Paint`` colours the rows its match finds.
+``logweave.functions.predicates`` turns them into Columns, so a set of rules becomes
+one expression Catalyst can push and fuse.
+
+    [equals("Level", "ERROR"), ~contains("heartbeat")]
+    Paint(regex("timeout"), background="#5A4A1F", priority=5)
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-# ---- filters -------------------------------------------------------------
-INCLUDE_VALUE = "IncludeFieldValue"
-EXCLUDE_VALUE = "ExcludeFieldValue"
-INCLUDE_TEXT = "IncludeText"
-EXCLUDE_TEXT = "ExcludeText"
-INCLUDE_REGEX = "IncludeRegex"
-EXCLUDE_REGEX = "ExcludeRegex"
+EQUALS, CONTAINS, REGEX, BETWEEN = "equals", "contains", "regex", "between"
 
 
 @dataclass(frozen=True)
-class FilterRule:
-    kind: str
-    value: str
+class Match:
+    how: str
+    what: str | tuple[str | None, str | None]
     field: str | None = None
-    case_sensitive: bool = True
-
-    @staticmethod
-    def include_where(field: str, value: str) -> "FilterRule":
-        return FilterRule(INCLUDE_VALUE, value, field)
-
-    @staticmethod
-    def exclude_where(field: str, value: str) -> "FilterRule":
-        return FilterRule(EXCLUDE_VALUE, value, field)
-
-    @staticmethod
-    def include_text(text: str, case_sensitive: bool = False, field: str | None = None) -> "FilterRule":
-        return FilterRule(INCLUDE_TEXT, text, field, case_sensitive)
+    any_case: bool = True
+    negated: bool = False
 
-    @staticmethod
-    def exclude_text(text: str, case_sensitive: bool = False, field: str | None = None) -> "FilterRule":
-        return FilterRule(EXCLUDE_TEXT, text, field, case_sensitive)
+    def __invert__(self) -> "Match":
+        return replace(self, negated=not self.negated)
 
-    @staticmethod
-    def include_regex(pattern: str, field: str | None = None) -> "FilterRule":
-        return FilterRule(INCLUDE_REGEX, pattern, field)
 
-    @staticmethod
-    def exclude_regex(pattern: str, field: str | None = None) -> "FilterRule":
-        return FilterRule(EXCLUDE_REGEX, pattern, field)
+def equals(field: str, value: str) -> Match:
+    return Match(EQUALS, value, field, any_case=False)
 
 
-# ---- flags ---------------------------------------------------------------
-FLAG_FIELD_VALUE = "FieldValue"
-FLAG_REGEX = "Regex"
-FLAG_CONTAINS = "Contains"
-FLAG_KINDS = (FLAG_FIELD_VALUE, FLAG_REGEX, FLAG_CONTAINS)  # persisted as 0, 1, 2
-
-
-@dataclass(frozen=True)
-class FlagRule:
-    kind: str
-    value: str
-    field: str | None = None
+def contains(text: str, field: str | None = None, any_case: bool = True) -> Match:
+    return Match(CONTAINS, text, field, any_case)
 
-    @staticmethod
-    def field_value(field: str, value: str) -> "FlagRule":
-        return FlagRule(FLAG_FIELD_VALUE, value, field)
 
-    @staticmethod
-    def contains(text: str, field: str | None = None) -> "FlagRule":
-        return FlagRule(FLAG_CONTAINS, text, field)
+def regex(pattern: str, field: str | None = None, any_case: bool = True) -> Match:
+    return Match(REGEX, pattern, field, any_case)
 
-    @staticmethod
-    def regex(pattern: str, field: str | None = None) -> "FlagRule":
-        return FlagRule(FLAG_REGEX, pattern, field)
 
-    @staticmethod
-    def from_record(rec: dict) -> "FlagRule":
-        kind = rec.get("Kind", FLAG_REGEX)
-        if isinstance(kind, int):
-            kind = FLAG_KINDS[kind]
-        value = rec.get("MatchValue") or ""
-        if kind == FLAG_FIELD_VALUE:
-            return FlagRule(kind, value, rec.get("FieldName") or "Level")
-        return FlagRule(kind, value, rec.get("FieldName"))
+def between(field: str, start: str | None, end: str | None) -> Match:
+    """A time in ``[start, end]``; a missing bound is open, a row without a time never matches."""
+    return Match(BETWEEN, (start, end), field)
 
 
-# ---- colours -------------------------------------------------------------
-COLOR_FIELD_VALUE = "FieldValue"
-COLOR_MESSAGE_CONTAINS = "MessageContaining"
-COLOR_REGEX = "Regex"
-COLOR_TIME_RANGE = "TimestampRange"
-COLOR_KINDS = (COLOR_FIELD_VALUE, COLOR_MESSAGE_CONTAINS, COLOR_REGEX, COLOR_TIME_RANGE)
+MESSAGE = "Message"
 
 
 @dataclass(frozen=True)
-class ColorRule:
-    kind: str
-    value: str
-    field: str | None = None
+class Paint:
+    """Colours for the rows of a match; of several paints the highest priority wins,
+    of equals the last.  ``highlight`` colours the matched field (the message when the
+    match looks at any field)."""
+
+    match: Match
     background: str | None = None
-    field_highlight: str | None = None
+    highlight: str | None = None
     priority: int = 0
 
-    @staticmethod
-    def field_value(field: str, value: str, background: str | None = None, priority: int = 0,
-                    field_highlight: str | None = None) -> "ColorRule":
-        return ColorRule(COLOR_FIELD_VALUE, value, field, background, field_highlight, priority)
-
-    @staticmethod
-    def message_containing(text: str, field_highlight: str | None = None, priority: int = 0,
-                           background: str | None = None) -> "ColorRule":
-        return ColorRule(COLOR_MESSAGE_CONTAINS, text, None, background, field_highlight, priority)
-
-    @staticmethod
-    def regex(pattern: str, background: str | None = None, priority: int = 0,
-              field_highlight: str | None = None) -> "ColorRule":
-        return ColorRule(COLOR_REGEX, pattern, None, background, field_highlight, priority)
-
-    @staticmethod
-    def time_range(field: str, start: str | None, end: str | None, background: str | None = None,
-                   priority: int = 0) -> "ColorRule":
-        return ColorRule(COLOR_TIME_RANGE, f"{start or ''}|{end or ''}", field, background, None, priority)
-
-    @staticmethod
-    def from_record(rec: dict) -> "ColorRule":
-        kind = rec.get("Kind", COLOR_REGEX)
-        if isinstance(kind, int):
-            kind = COLOR_KINDS[kind]
-        value = rec.get("MatchValue") or ""
-        field = rec.get("FieldName")
-        if kind == COLOR_TIME_RANGE:
-            field = field or "Timestamp"
-        elif kind == COLOR_FIELD_VALUE:
-            field = field or "Level"
-        elif kind in (COLOR_MESSAGE_CONTAINS, COLOR_REGEX):
-            field = None
-        return ColorRule(kind, value, field, rec.get("Background"), rec.get("FieldHighlight"),
-                         int(rec.get("Priority") or 0))
-
-
-# The out-of-the-box rule sets.
-DEFAULT_COLOR_RULES = (
-    ColorRule.regex(r"\b(ERROR|FATAL|FAIL|EXCEPTION|ASSERT)\b", background="#5A1F1F", priority=10),
-    ColorRule.regex(r"\b(WARN|WARNING|TIMEOUT)\b", background="#5A4A1F", priority=5),
-)
-DEFAULT_FLAG_RULES = (
-    FlagRule.regex(r"\b(ERROR|FATAL|FAIL|ASSERT|TIMEOUT|EXCEPTION|WARN)\b"),
+    @property
+    def target(self) -> str:
+        return self.match.field or MESSAGE
+
+
+# The out-of-the-box rules.
+DEFAULT_PAINTS = (
+    Paint(regex(r"\b(ERROR|FATAL|FAIL|EXCEPTION|ASSERT)\b"), background="#5A1F1F", priority=10),
+    Paint(regex(r"\b(WARN|WARNING|TIMEOUT)\b"), background="#5A4A1F", priority=5),
 )
+DEFAULT_FLAGS = (regex(r"\b(ERROR|FATAL|FAIL|ASSERT|TIMEOUT|EXCEPTION|WARN)\b"),)
 
 
-# ---- search --------------------------------------------------------------
 @dataclass(frozen=True)
 class SearchQuery:
     text: str
@@ -159,31 +83,6 @@ class SearchQuery:
     field: str | None = None
 
 
-# ---- saved filter presets ------------------------------------------------
-@dataclass(frozen=True)
-class FilterPreset:
-    name: str
-    filter_text: str = ""
-    is_regex: bool = False
-    only_flagged: bool = False
-    time_from: str | None = None
-    time_to: str | None = None
-    profile_scope: str | None = None
-    exclude_text: str | None = None
-    exclude_is_regex: bool = False
-    field: str | None = None  # include scope; the desktop tool does not store it
-
-    @staticmethod
-    def from_record(rec: dict) -> "FilterPreset":
-        return FilterPreset(
-            name=rec.get("Name") or "", filter_text=rec.get("FilterText") or "",
-            is_regex=bool(rec.get("IsRegex")), only_flagged=bool(rec.get("OnlyFlagged")),
-            time_from=rec.get("FilterTimeFrom"), time_to=rec.get("FilterTimeTo"),
-            profile_scope=rec.get("ProfileScope"), exclude_text=rec.get("ExcludeText"),
-            exclude_is_regex=bool(rec.get("ExcludeIsRegex")),
-        )
-
-
 @dataclass(frozen=True)
 class ViewFilter:
     """What a log view shows: include, exclude, flagged-only and time range."""
@@ -197,7 +96,20 @@ class ViewFilter:
     time_from: str | None = None
     time_to: str | None = None
 
-    @staticmethod
-    def from_preset(p: FilterPreset) -> "ViewFilter":
-        return ViewFilter(p.filter_text, p.is_regex, p.field, p.exclude_text or "", p.exclude_is_regex,
-                          p.only_flagged, p.time_from, p.time_to)
+    def matches(self) -> list[Match]:
+        """The text parts of the filter; a regular expression minds the case."""
+        out = []
+        if self.text:
+            out.append(regex(self.text, self.field, False) if self.is_regex else contains(self.text, self.field))
+        if self.exclude_text:
+            out.append(~(regex(self.exclude_text, any_case=False) if self.exclude_is_regex else contains(self.exclude_text)))
+        return out
+
+
+@dataclass(frozen=True)
+class SavedView:
+    """A view filter under a name, for all profiles or for one."""
+
+    name: str
+    view: ViewFilter
+    profile: str | None = None

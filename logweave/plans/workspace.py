@@ -72,11 +72,11 @@ def open_workspace(spark: SparkSession, root: str, settings: Settings | None = N
     rows = known.unionByName(unresolved.select(*known.columns))
 
     fs = FieldSpace(None, FIELDS)
-    rows = T.color_rows(T.flag_rows(rows, settings.flag_rules, fs, spark), settings.color_rules, fs, spark)
+    rows = T.color_rows(T.flag_rows(rows, settings.flags, fs, spark), settings.paints, fs, spark)
     is_new = F.lit(True)
     for name, prof in by_name.items():
-        if prof.multiline_pattern:
-            is_new = F.when(F.col("profile") == name, F.col("raw").rlike(java_regex(prof.multiline_pattern))
+        if prof.new_event:
+            is_new = F.when(F.col("profile") == name, F.col("raw").rlike(java_regex(prof.new_event))
                             ).otherwise(is_new)
     rows = E.assign_events_marked(rows, is_new)
 

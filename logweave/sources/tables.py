@@ -25,7 +25,7 @@ EVENT_BLOCK = 1 << 20
 
 EVLOG_PROFILE = LogProfile.delimited(
     "|", ("Timestamp", "Level", "Module", "Message"), name="evlog",
-).with_roles({"Timestamp": "Timestamp", "Level": "Level", "Module": "Module", "Message": "Message"})
+).using(roles={"Timestamp": "Timestamp", "Level": "Level", "Module": "Module", "Message": "Message"})
 
 DOC_NEW_EVENT = "^[A-Z]"
 

@@ -91,8 +91,8 @@ def number_lines(stream: DataFrame, new_event_pattern: str | None = None) -> Dat
         _number, NUMBERED_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def live_rows(numbered: DataFrame, profile: LogProfile, flag_rules: Sequence[R.FlagRule] = R.DEFAULT_FLAG_RULES,
-              color_rules: Sequence[R.ColorRule] | None = R.DEFAULT_COLOR_RULES, spark=None) -> DataFrame:
+def live_rows(numbered: DataFrame, profile: LogProfile, flag_rules: Sequence[R.Match] = R.DEFAULT_FLAGS,
+              color_rules: Sequence[R.Paint] | None = R.DEFAULT_PAINTS, spark=None) -> DataFrame:
     """Parse, flag and colour new rows only -- the batch Column functions, unchanged."""
     rows = PA.parse_lines(numbered, profile, spark)
     rows = T.flag_rows(rows, flag_rules, spark=spark)

@@ -26,7 +26,7 @@ def parsed(spark, names=("Level", "Message")):
 
 
 def decorate(rows):
-    out = T.color_rows(T.flag_rows(rows, R.DEFAULT_FLAG_RULES), R.DEFAULT_COLOR_RULES)
+    out = T.color_rows(T.flag_rows(rows, R.DEFAULT_FLAGS), R.DEFAULT_PAINTS)
     return E.assign_events(out, "^[A-Z]")
 
 
@@ -40,7 +40,7 @@ def test_same_answer_before_and_after_other_operators(spark, query):
     q = R.SearchQuery(query)
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(S.search(rows, q)) == key(S.search(more, q))
-    rule = [R.FlagRule.contains(query)]
+    rule = [R.contains(query)]
     lines = lambda df: sorted(r.line_no for r in T.flag_rows(df, rule).where("is_flagged").collect())
     assert lines(rows) == lines(more)
 
@@ -48,7 +48,7 @@ def test_same_answer_before_and_after_other_operators(spark, query):
 def test_live_rows_do_not_search_offsets(spark):
     numbered = spark.createDataFrame([("a.log", 0, 1, 500, "INFO|ok", 1, True), ("a.log", 0, 2, 7, "INFO|500", 2, True)], NUMBERED_SCHEMA)
     profile = LogProfile.delimited("|", ["Level", "Message"])
-    got = live_rows(numbered, profile, [R.FlagRule.contains("500")], spark=spark).where("is_flagged").collect()
+    got = live_rows(numbered, profile, [R.contains("500")], spark=spark).where("is_flagged").collect()
     assert [r.line_no for r in got] == [2]
 
 
@@ -63,7 +63,7 @@ def test_any_field_name(spark):
     got = rows.orderBy("line_no").select(*[fs.get(n).alias(f"c{i}") for i, n in enumerate(NAMES)]).first()
     assert list(got) == [f"v{i}" for i in range(len(NAMES))]
     for i, n in enumerate(NAMES):
-        assert FL.apply_filters(rows, [R.FilterRule.include_where(n, f"v{i}")]).count() == 1
+        assert FL.apply_filters(rows, [R.equals(n, f"v{i}")]).count() == 1
         assert [r.field for r in S.search(decorate(rows), R.SearchQuery(f"v{i}", whole_word=True)).collect()] == [n]
     assert FL.view(rows, R.ViewFilter(text="v2")).count() == 1  # a field whose name starts with an underscore
     assert SO.sort_by_field(rows, "Path").count() == 2
@@ -78,7 +78,7 @@ def test_marks_survive_parquet_and_joins(spark):
     rows.write.parquet(out)
     back = spark.read.parquet(out).join(spark.createDataFrame([("a.log", "x")], "path string, more string"), "path")
     assert fields_of(back) == fields_of(rows)
-    assert FL.apply_filters(back, [R.FilterRule.include_where("profile", "ERROR")]).count() == 1
+    assert FL.apply_filters(back, [R.equals("profile", "ERROR")]).count() == 1
 
 
 def test_unmarked_frames_use_their_string_columns(spark):

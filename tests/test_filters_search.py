@@ -28,25 +28,25 @@ def lines(df):
 
 @pytest.mark.parametrize("rules,expected", [
     ([], [1, 2, 3, 4, 5]),
-    ([R.FilterRule.include_where("Level", "ERROR")], [2, 4]),
-    ([R.FilterRule.exclude_where("Module", "Auth")], [3, 4, 5]),
-    ([R.FilterRule.include_text("timeout", case_sensitive=True)], [2]),
-    ([R.FilterRule.include_text("TIMEOUT", case_sensitive=False)], [2]),
-    ([R.FilterRule.include_text("TIMEOUT", case_sensitive=True)], []),
-    ([R.FilterRule.include_regex("failed|refused")], [2, 4]),
-    ([R.FilterRule.exclude_regex("^INFO$", "Level")], [2, 3, 4]),
-    ([R.FilterRule.include_where("Level", "ERROR"), R.FilterRule.exclude_where("Module", "DB")], [2]),
-    ([R.FilterRule.include_where("NonExistentField", "value")], []),
-    ([R.FilterRule.exclude_where("NonExistentField", "value")], [1, 2, 3, 4, 5]),
-    ([R.FilterRule.exclude_text("auth", False, "Module")], [3, 4, 5]),
+    ([R.equals("Level", "ERROR")], [2, 4]),
+    ([~R.equals("Module", "Auth")], [3, 4, 5]),
+    ([R.contains("timeout", any_case=False)], [2]),
+    ([R.contains("TIMEOUT")], [2]),
+    ([R.contains("TIMEOUT", any_case=False)], []),
+    ([R.regex("failed|refused", any_case=False)], [2, 4]),
+    ([~R.regex("^INFO$", "Level", any_case=False)], [2, 3, 4]),
+    ([R.equals("Level", "ERROR"), ~R.equals("Module", "DB")], [2]),
+    ([R.equals("NonExistentField", "value")], []),
+    ([~R.equals("NonExistentField", "value")], [1, 2, 3, 4, 5]),
+    ([~R.contains("auth", "Module")], [3, 4, 5]),
 ])
 def test_filter_rules(spark, frows, rules, expected):
     assert lines(FL.apply_filters(frows, rules, spark=spark)) == expected
 
 
 def test_include_exclude_partition_rows(spark, frows):
-    inc = lines(FL.apply_filters(frows, [R.FilterRule.include_text("e", False)]))
-    exc = lines(FL.apply_filters(frows, [R.FilterRule.exclude_text("e", False)]))
+    inc = lines(FL.apply_filters(frows, [R.contains("e")]))
+    exc = lines(FL.apply_filters(frows, [~R.contains("e")]))
     assert sorted(inc + exc) == [1, 2, 3, 4, 5] and not set(inc) & set(exc)
 
 
@@ -116,7 +116,7 @@ def test_nearest_visible(spark):
 
 
 def test_search_hidden(spark, srows):
-    visible = P.filters_predicate([R.FilterRule.include_where("Level", "ERROR")], fields_of(srows))
+    visible = P.filters_predicate([R.equals("Level", "ERROR")], fields_of(srows))
     out = {r.line_no: r.hidden for r in S.search_hidden(srows, R.SearchQuery("e"), visible).collect()}
     assert out[2] is False and out[1] is True
 
@@ -145,10 +145,10 @@ def test_time_range_without_field(spark):
 
 def test_view_filter_and_presets(spark, frows):
     from logweave.operators.tags import flag_rows
-    tagged = flag_rows(frows, [R.FlagRule.field_value("Level", "ERROR")])
+    tagged = flag_rows(frows, [R.equals("Level", "ERROR")])
     vf = R.ViewFilter(text="o", exclude_text="refused", only_flagged=True)
     assert lines(FL.view(tagged, vf)) == [2]
-    presets = [R.FilterPreset("errs", only_flagged=True), R.FilterPreset("net", filter_text="network")]
+    presets = [R.SavedView("errs", R.ViewFilter(only_flagged=True)), R.SavedView("net", R.ViewFilter(text="network"))]
     c = FL.preset_counts(tagged, presets).collect()[0]
     assert (c.errs, c.net) == (2, 2)
 

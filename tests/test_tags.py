@@ -13,12 +13,12 @@ def flagged(df):
 
 def test_flag_field_value(spark):
     df = rows_df(spark, [(1, "INFO"), (2, "ERROR"), (3, "WARN"), (4, "ERROR")], ["Level"])
-    assert flagged(T.flag_rows(df, [R.FlagRule.field_value("Level", "ERROR")])) == [2, 4]
+    assert flagged(T.flag_rows(df, [R.equals("Level", "ERROR")])) == [2, 4]
 
 
 def test_flag_union_counts_each_line_once(spark):
     df = rows_df(spark, [(1, "ERROR", "disk fail"), (2, "INFO", "ok"), (3, "WARN", "disk")], ["Level", "Message"])
-    rules = [R.FlagRule.field_value("Level", "ERROR"), R.FlagRule.contains("DISK"), R.FlagRule.regex("fail")]
+    rules = [R.equals("Level", "ERROR"), R.contains("DISK"), R.regex("fail")]
     tagged = T.flag_rows(df, rules)
     assert flagged(tagged) == [1, 3]
     counts = {r.path: r.flagged for r in T.flag_counts(tagged).collect()}
@@ -27,7 +27,7 @@ def test_flag_union_counts_each_line_once(spark):
 
 def test_flag_regex_scoped_to_field(spark):
     df = rows_df(spark, [(1, "ERROR", "x"), (2, "INFO", "ERROR here")], ["Level", "Message"])
-    assert flagged(T.flag_rows(df, [R.FlagRule.regex("error", "Message")])) == [2]
+    assert flagged(T.flag_rows(df, [R.regex("error", "Message")])) == [2]
 
 
 def test_default_flags(spark):
@@ -43,27 +43,27 @@ def styles(df, rules):
 def test_colour_rules(spark):
     df = rows_df(spark, [(1, "ERROR", "x"), (2, "INFO", "a timeout"), (3, "INFO", "FATAL boom"), (4, "INFO", "ok")],
                  ["Level", "Message"])
-    rules = [R.ColorRule.field_value("Level", "ERROR", "#FF4444"),
-             R.ColorRule.message_containing("TIMEOUT", "#FFFF00"),
-             R.ColorRule.regex("fatal|assert", "#8B0000")]
+    rules = [R.Paint(R.equals("Level", "ERROR"), "#FF4444"),
+             R.Paint(R.contains("TIMEOUT", R.MESSAGE), highlight="#FFFF00"),
+             R.Paint(R.regex("fatal|assert"), "#8B0000")]
     assert styles(df, rules) == [("#FF4444", {}), (None, {"Message": "#FFFF00"}), ("#8B0000", {}), (None, {})]
 
 
 def test_colour_priority_last_wins(spark):
     df = rows_df(spark, [(1, "ERROR")], ["Level"])
-    rules = [R.ColorRule.field_value("Level", "ERROR", "#222222", priority=2),
-             R.ColorRule.field_value("Level", "ERROR", "#111111", priority=1)]
+    rules = [R.Paint(R.equals("Level", "ERROR"), "#222222", priority=2),
+             R.Paint(R.equals("Level", "ERROR"), "#111111", priority=1)]
     assert styles(df, rules)[0][0] == "#222222"
-    same = [R.ColorRule.field_value("Level", "ERROR", "#AAAAAA", priority=1),
-            R.ColorRule.field_value("Level", "ERROR", "#BBBBBB", priority=1)]
+    same = [R.Paint(R.equals("Level", "ERROR"), "#AAAAAA", priority=1),
+            R.Paint(R.equals("Level", "ERROR"), "#BBBBBB", priority=1)]
     assert styles(df, same)[0][0] == "#BBBBBB"
 
 
 def test_colour_time_range(spark):
     df = rows_df(spark, [(1, "2024-01-15 10:00:00"), (2, "2024-01-15 12:00:00"), (3, "junk")], ["Timestamp"])
-    rules = [R.ColorRule.time_range("Timestamp", "2024-01-15 09:00:00", "2024-01-15 11:00:00", "#123456")]
+    rules = [R.Paint(R.between("Timestamp", "2024-01-15 09:00:00", "2024-01-15 11:00:00"), "#123456")]
     assert [s[0] for s in styles(df, rules)] == ["#123456", None, None]
-    open_end = [R.ColorRule.time_range("Timestamp", "2024-01-15 11:00:00", None, "#654321")]
+    open_end = [R.Paint(R.between("Timestamp", "2024-01-15 11:00:00", None), "#654321")]
     assert [s[0] for s in styles(df, open_end)] == [None, "#654321", None]
 
 

@@ -18,7 +18,7 @@ def test_open_workspace_end_to_end(spark, tmpdir_path):
     touch(tmpdir_path, "other/data.log", b"a,b,c\nd,e,f\n")
     touch(tmpdir_path, "other/free.log", b"just words here\nno delimiters\n")
     prof = LogProfile.delimited("|", ["Timestamp", "Level", "Module", "Message"], name="pipes") \
-        .with_multiline(r"^\d{4}-")
+        .using(new_event=r"^\d{4}-")
     settings = Settings(dir_assignments={os.path.join(tmpdir_path, "app"): "pipes"})
     ws = open_workspace(spark, tmpdir_path, settings, [prof])
     rows = {(r.path.rsplit("/", 1)[1], r.line_no): r for r in ws.rows.collect()}
