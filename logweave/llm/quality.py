@@ -177,7 +177,7 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, keys: np.nd
     """
     n, k, i = len(grades), len(keys), np.arange(len(grades))
     scale = np.maximum(np.bincount(col, value * value, k) / n, 1e-12) ** 0.25
-    value = value / scale[col]
+    value = (value / scale[col]).astype(np.float32)
     share = np.array([(grades == g).mean() for g in range(n_grades)]).clip(1 / n)
     weight = (n_grades * share[grades]) ** -0.5
     above = np.array([(grades > g).mean() for g in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
@@ -239,12 +239,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     cells = table.select("doc_id", F.explode("f").alias("key", "value"))
     common = cells.groupBy("key").count().where((F.col("count") >= min(min_rows, max(2, len(grades) // 50))))
-    got = cells.join(F.broadcast(common.select("key")), "key").toArrow()  # fit_rows bounds both
+    keys = np.sort(np.array([r.key for r in common.select("key").collect()], np.int64))  # in at least min_rows of the drawn rows
     ids = np.array(sorted(grades))
-    row = np.searchsorted(ids, got.column("doc_id").to_numpy())
-    keys, col = np.unique(got.column("key").to_numpy(), return_inverse=True)
-    value = got.column("value").to_numpy()
-    order = np.lexsort((col, row))
+    got = cells.join(F.broadcast(common.select("key")), "key").select("doc_id", "key", F.col("value").cast("float")).toArrow()
+    # the drawn rows' features, as a sparse matrix in an order of its own
+    row = np.empty(got.num_rows, np.int32)
+    col, value = np.empty_like(row), np.empty(got.num_rows, np.float32)
+    at = 0
+    for part in got.to_batches():
+        here = slice(at, at + part.num_rows)
+        row[here] = np.searchsorted(ids, part.column("doc_id").to_numpy())
+        col[here] = np.searchsorted(keys, part.column("key").to_numpy())
+        value[here] = part.column("value").to_numpy()
+        at += part.num_rows
+    del got
+    order = np.argsort(row.astype(np.int64) * len(keys) + col)
     return fit_ordinal(row[order], col[order], value[order], keys, np.array([grades[i] for i in ids.tolist()]))
 
 
