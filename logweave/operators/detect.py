@@ -57,13 +57,14 @@ def suggested_fields(formats: DataFrame) -> DataFrame:
                      guess_role(F.col("field_name")).alias("role"))
 
 
-def parse_detected(lines: DataFrame, formats: DataFrame) -> DataFrame:
+def parse_detected(lines: DataFrame, formats: DataFrame | None = None) -> DataFrame:
     """Parse every file with its detected format (no prompt): the ``fields`` map model.
 
     The delimiter is per file, so one literal-split branch per candidate keeps
-    every pattern a compile-once literal.
+    every pattern a compile-once literal.  Without ``formats`` the lines carry their
+    file's ``delimiter`` and ``field_count`` already.
     """
-    j = lines.join(formats.select(PATH, "delimiter", "field_count"), PATH, "left")
+    j = lines if formats is None else lines.join(formats.select(PATH, "delimiter", "field_count"), PATH, "left")
     text, d = F.col(TEXT), F.col("delimiter")
     parts = F.lit(None).cast("array<string>")
     for cand in CANDIDATE_DELIMITERS:

@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.fields import PARSED, PATH
 
 
+COUNTS = ("shown", "total", "parsed", "fallback", "flagged")
+
+
 def status_summary(tagged: DataFrame, shown: Column, stats: DataFrame | None = None) -> DataFrame:
-    """One row per file plus a grand total (``path`` NULL) from ``rollup``.
+    """One row per file plus a grand total (``path`` NULL).
 
     ``tagged`` carries ``is_parsed`` and ``is_flagged``; ``shown`` is the view
-    predicate.  All counts are partial aggregates (map-side combine), so a hot
-    file costs one row per task before the shuffle.  ``stats`` (per-file
-    encoding / truncation) is joined on when given.
+    predicate, evaluated once a line.  Lines shrink to their three booleans before
+    anything is grouped, files are counted with partial aggregates (a hot file costs
+    one row per task) and the total adds up the files.  ``stats`` (per-file encoding,
+    warning, profile, truncation) is joined on when given.
     """
-    agg = tagged.rollup(PATH).agg(
-        F.count_if(F.coalesce(shown, F.lit(False))).cast("long").alias("shown"),
-        F.count(F.lit(1)).cast("long").alias("total"),
-        F.count_if(F.col(PARSED)).cast("long").alias("parsed"),
-        F.count_if(~F.col(PARSED)).cast("long").alias("fallback"),
-        F.count_if(F.col("is_flagged")).cast("long").alias("flagged"),
-    )
+    marks = tagged.select(PATH, F.coalesce(shown, F.lit(False)).alias("s"), F.col(PARSED).alias("p"), F.col("is_flagged").alias("f"))
+    files = marks.groupBy(PATH).agg(
+        F.count_if("s").cast("long").alias("shown"), F.count(F.lit(1)).cast("long").alias("total"),
+        F.count_if("p").cast("long").alias("parsed"), F.count_if(~F.col("p")).cast("long").alias("fallback"),
+        F.count_if("f").cast("long").alias("flagged"))
+    # a file's row and its share of the total, from the per-file counts
+    both = files.select(F.explode(F.array(F.col(PATH), F.lit(None).cast("string"))).alias(PATH), *COUNTS)
+    agg = both.groupBy(PATH).agg(*[F.sum(c).alias(c) for c in COUNTS])
     if stats is not None:
         agg = agg.join(stats, PATH, "left")
     return agg

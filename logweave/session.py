@@ -49,12 +49,16 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
-    On a cluster ``spark.checkpoint.dir`` is set and must be on storage every
-    executor sees; it is only filled in here when unset (local runs and tests).
+    On a cluster ``spark.checkpoint.dir`` must be set, to storage every executor
+    sees; only a session whose executors are this process (local runs and tests)
+    gets a temporary folder when it is unset.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
+    sc = _context(spark)
+    if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="logweave-ckpt-", dir=os.environ.get("LOGWEAVE_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     return local

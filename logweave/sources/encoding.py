@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,26 +113,49 @@ def detect_encodings(spark: SparkSession, files: DataFrame, paths, recursive: bo
 
 
 def read_decoded(spark: SparkSession, encodings: DataFrame, paths, recursive: bool = False,
-                 glob: str | None = None, broadcast_rows: int = 2_000_000) -> DataFrame:
+                 glob: str | None = None) -> DataFrame:
     """Numbered, decoded lines ``(path, line_no, text)`` for files with known encodings.
 
     ``encodings`` is ``(path, encoding)`` -- detected, or forced by the user.
     Only the (usually few) UTF-16 file names are brought to the driver, to give
     their scan its own options; every other file goes through one shared scan.
     """
-    enc_side = broadcast_if_small(encodings.select(PATH, "encoding"), broadcast_rows)
+    enc_side = broadcast_if_small(encodings.select(PATH, "encoding"))
     base = read_lines(spark, paths, recursive=recursive, glob=glob).join(enc_side, PATH, "left")
     return _decoded(spark, base, encodings)
 
 
-def read_detected(spark: SparkSession, files: DataFrame, paths, recursive: bool = False,
-                  glob: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Detect each file's encoding and return its numbered, decoded lines -- in one scan.
+@dataclass
+class DetectedScan:
+    """A written scan of a workspace: per-file encodings, and lines with per-file columns."""
+
+    spark: SparkSession
+    raw: DataFrame        # (path, _split, _id, text) as written
+    splits: DataFrame     # (path, _split) -> line counts
+    split_bytes: int
+    encodings: DataFrame  # (path, encoding, had_bom, is_fallback, warning)
+
+    def lines(self, per_file: DataFrame | None = None) -> DataFrame:
+        """Numbered, decoded lines; the columns of ``per_file`` (path, ...) come along.
+
+        They ride on the split table, one row per split, so no line text is joined
+        by path, let alone shuffled.
+        """
+        extra = [c for c in per_file.columns if c != PATH] if per_file is not None else []
+        files = self.encodings.select(PATH, "encoding")
+        if per_file is not None:
+            files = files.join(per_file, PATH, "left")
+        base = number_from_splits(self.raw, self.splits.join(files, PATH, "left"), keep=("encoding", *extra),
+                                  known_bytes=self.split_bytes * (1 + len(extra)))
+        return _decoded(self.spark, base, self.encodings, files.select(PATH, *extra) if extra else None)
+
 
-    The scan is written once; UTF-8 validity, first bytes and line counts per split
-    come from what was written, and so do the numbered lines.  Returns
-    ``(encodings, lines)``.  UTF-16 files (found by their mark) are re-read with
-    their own options.
+def scan_detected(spark: SparkSession, files: DataFrame, paths, recursive: bool = False, glob: str | None = None) -> DetectedScan:
+    """Scan once, write, and detect each file's encoding from what was written.
+
+    UTF-8 validity, first bytes and line counts per split come from one aggregate of
+    the written scan.  UTF-16 files (found by their mark) are re-read with their own
+    options when lines are asked for.
     """
     raw, size = scan_once(scan_raw(spark, paths, recursive=recursive, glob=glob))
     splits = materialize(split_stats(
@@ -140,11 +164,14 @@ def read_detected(spark: SparkSession, files: DataFrame, paths, recursive: bool
         F.min_by(F.substring(F.col(TEXT).cast("binary"), 1, 4), F.col("_id")).alias("_first")))
     per_file = splits.groupBy(PATH).agg(F.bool_and("_valid").alias("_valid"),
                                         F.min_by("_first", F.col("_split")).alias("_first"))
-    encodings = materialize(_encodings(files, per_file))
-    # the split table carries each file's encoding to the numbering join
-    s_enc = splits.join(encodings.select(PATH, "encoding"), PATH, "left")
-    base = number_from_splits(raw, s_enc, keep=("encoding",), known_bytes=size)
-    return encodings, _decoded(spark, base, encodings)
+    return DetectedScan(spark, raw, splits, size, materialize(_encodings(files, per_file)))
+
+
+def read_detected(spark: SparkSession, files: DataFrame, paths, recursive: bool = False,
+                  glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(encodings, lines)``: each file's encoding and its numbered, decoded lines."""
+    scan = scan_detected(spark, files, paths, recursive, glob)
+    return scan.encodings, scan.lines()
 
 
 def _encodings(files: DataFrame, per_file: DataFrame) -> DataFrame:
@@ -157,17 +184,22 @@ def _encodings(files: DataFrame, per_file: DataFrame) -> DataFrame:
         F.when(enc == ANSI, F.lit(ANSI_WARNING)).alias("warning"))
 
 
-def _decoded(spark: SparkSession, numbered: DataFrame, encodings: DataFrame) -> DataFrame:
+def _decoded(spark: SparkSession, numbered: DataFrame, encodings: DataFrame, per_file: DataFrame | None = None) -> DataFrame:
     """Text of numbered raw lines (with their ``encoding``); UTF-16 files are re-read."""
     base = numbered.where(~F.coalesce(F.col("encoding").isin(UTF16LE, UTF16BE), F.lit(False)))
+    extra = [c for c in numbered.columns if c not in (PATH, LINE, TEXT, "encoding")]
     text = F.when(F.col("encoding") == ANSI, decode_ansi(F.col(TEXT))).otherwise(F.col(TEXT))
-    out = base.select(PATH, LINE, text.alias(TEXT))
+    out = base.select(PATH, LINE, text.alias(TEXT), *extra)
     utf16 = encodings.where(F.col("encoding").isin(UTF16LE, UTF16BE)).select(PATH, "encoding").collect()
     for enc in (UTF16LE, UTF16BE):
         ps = [literal_path(r[0]) for r in utf16 if r[1] == enc]
         if ps:
-            u = read_lines(spark, ps, encoding=_JAVA_CHARSET[enc], line_sep="\n")
-            out = out.unionByName(u.select(PATH, LINE, decode_utf16(F.col(TEXT), _JAVA_CHARSET[enc]).alias(TEXT)))
+            raw = scan_raw(spark, ps, encoding=_JAVA_CHARSET[enc], line_sep="\n")
+            splits = split_stats(raw)
+            if per_file is not None:
+                splits = splits.join(per_file, PATH, "left")
+            u = number_from_splits(raw, splits, keep=tuple(extra))
+            out = out.unionByName(u.select(PATH, LINE, decode_utf16(F.col(TEXT), _JAVA_CHARSET[enc]).alias(TEXT), *extra))
     return out
 
 

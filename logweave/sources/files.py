@@ -77,12 +77,24 @@ def read_workspace(spark: SparkSession, root: str, extensions: Iterable[str] | N
     ``lines`` are numbered and decoded with each file's detected encoding, or
     with ``encoding`` forced for all files.
     """
-    from .encoding import force_encoding, read_decoded, read_detected
+    from .encoding import force_encoding, read_decoded
 
-    files = scan_workspace(spark, root, extensions)
-    glob = None if ("://" not in root and os.path.isfile(root)) else extension_glob(extensions)
     if encoding:
+        files = scan_workspace(spark, root, extensions)
         enc = force_encoding(files, encoding)
-        return files, enc, read_decoded(spark, enc, root, recursive=True, glob=glob)
-    enc, lines = read_detected(spark, files, root, recursive=True, glob=glob)
-    return files, enc, lines
+        return files, enc, read_decoded(spark, enc, root, recursive=True, glob=workspace_glob(root, extensions))
+    files, scan = detect_workspace(spark, root, extensions)
+    return files, scan.encodings, scan.lines()
+
+
+def workspace_glob(root: str, extensions: Iterable[str] | None) -> str | None:
+    """File-name filter of a workspace scan; none for a root that names one file."""
+    return None if ("://" not in root and os.path.isfile(root)) else extension_glob(extensions)
+
+
+def detect_workspace(spark: SparkSession, root: str, extensions: Iterable[str] | None = None):
+    """``(files, scan)``: the files and their written scan with detected encodings."""
+    from .encoding import scan_detected
+
+    files = scan_workspace(spark, root, extensions)
+    return files, scan_detected(spark, files, root, recursive=True, glob=workspace_glob(root, extensions))

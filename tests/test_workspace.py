@@ -45,3 +45,28 @@ def test_open_single_file_with_forced_encoding(spark, tmpdir_path):
     assert [r.text for r in lines.orderBy("line_no").collect()] == ["h“i", "plain"]
     _f, enc2, lines2 = read_workspace(spark, os.path.join(tmpdir_path, "one.txt"))
     assert enc2.collect()[0].encoding == "Windows-1252 (ANSI)" and lines2.count() == 2
+
+
+def test_status_says_profile_and_truncation_and_no_text_is_shuffled(spark, tmpdir_path):
+    touch(tmpdir_path, "a/x.log", b"1|INFO\n2|WARN\n3|ERROR\n")
+    touch(tmpdir_path, "b/y.log", b"1,2\n3,4\n")
+    touch(tmpdir_path, "b/wide.log", b"\xff\xfe" + "p,q\nr,s\nt,u\nv,w".encode("utf-16-le"))
+    touch(tmpdir_path, "b/z.log", b"words\n")
+    prof = LogProfile.delimited("|", ["N", "Level"], name="pipes")
+    ws = open_workspace(spark, tmpdir_path, Settings(dir_assignments={os.path.join(tmpdir_path, "a"): "pipes"}), [prof], line_cap=2)
+    got = {(r.path or "").rsplit("/", 1)[-1]: (r.total, r.profile, r.truncated, r.encoding) for r in ws.status.collect()}
+    assert got == {"x.log": (2, "pipes", True, "UTF-8"), "y.log": (2, "(detected)", False, "UTF-8"), "z.log": (1, None, False, "UTF-8"),
+                   "wide.log": (2, "(detected)", True, "UTF-16 LE"), "": (7, None, None, None)}
+    wide = {r.line_no: dict(r.fields) for r in ws.rows.where("path like '%wide.log'").collect()}
+    assert wide == {1: {"Timestamp": "p", "Level": "q"}, 2: {"Timestamp": "r", "Level": "s"}}
+    assert ws.lines.count() == 10  # the whole files
+    plan = ws.lines._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        assert not ("Exchange hashpartitioning" in line and "text" in line)
+
+
+def test_intermediates_can_be_removed(spark):
+    from logweave.plans import sizing
+    df = sizing.materialize(spark.range(3))
+    assert df.count() == 3
+    assert sizing.remove_intermediates(spark) >= 1 and sizing.remove_intermediates(spark) == 0
