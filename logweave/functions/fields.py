@@ -38,8 +38,7 @@ RAW_KEY = "RawText"
 RESERVED = frozenset({
     PATH, LINE, TEXT, RAW, PARSED, FIELDS, "block", "profile", "is_flagged", "row_background", "field_overrides",
     "event_line", "is_primary", "n_continuations", "last_line", "generation", "byte_offset", "end_offset", "base_line",
-    "level_rank", "sort_pos", "next_match", "prev_match", "nearest_line", "ts", "kind", "delimiter", "field_count",
-    "encoding", "warning"})
+    "level_rank", "sort_pos", "position", "next_match", "prev_match", "nearest_line"})
 MARK = "logweave.field"
 
 

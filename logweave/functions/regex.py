@@ -48,7 +48,7 @@ def translate(pattern: str, *, explicit_capture: bool = False, ignore_case: bool
     out: list[str] = []
     names: list[str | None] = []
     i, n = 0, len(pattern)
-    in_class = False
+    in_class, begun = False, 0
     depth = 0
     while i < n:
         c = pattern[i]
@@ -72,8 +72,16 @@ def translate(pattern: str, *, explicit_capture: bool = False, ignore_case: bool
             i += 2
             continue
         if in_class:
+            if c == "-" and pattern[i + 1:i + 2] == "[":  # subtraction: [a-z-[aeiou]] is [[a-z]&&[^aeiou]]
+                inner, i = _subtracted(pattern, i + 1)
+                if pattern[i:i + 1] != "]":
+                    raise InvalidPatternError(f"A subtraction must be the last element of a class in {pattern!r}")
+                out[begun:] = ["[", *out[begun:], "]", "&&", inner]
+                continue
             if c == "[":
                 out.append("\\[")
+            elif c == "&":
+                out.append("\\&")  # two of them would be an intersection
             else:
                 out.append(c)
                 if c == "]":
@@ -81,7 +89,7 @@ def translate(pattern: str, *, explicit_capture: bool = False, ignore_case: bool
             i += 1
             continue
         if c == "[":
-            in_class = True
+            in_class, begun = True, len(out)
             out.append(c)
             i += 1
             # a leading ] or ^] is literal
@@ -143,6 +151,30 @@ def translate(pattern: str, *, explicit_capture: bool = False, ignore_case: bool
     return JavaPattern(flags + "(?d)" + "".join(out), tuple(names))
 
 
+def _subtracted(pattern: str, at: int) -> tuple[str, int]:
+    """The complement, in Java, of the class that begins at ``at``, and the index after it.
+
+    A class inside that subtracts again has no plain complement and is rejected.
+    """
+    i = at + 1
+    negated = pattern[i:i + 1] == "^"
+    i += negated
+    inner, start = "", i
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            inner += pattern[i:i + 2]
+            i += 2
+            continue
+        if c == "]" and i > start:
+            return f"[{'' if negated else '^'}{inner}]", i + 1
+        if c == "-" and pattern[i + 1:i + 2] == "[":
+            raise InvalidPatternError("a subtraction inside a subtraction is not supported")
+        inner += "\\" + c if c in "[]&" else c
+        i += 1
+    raise InvalidPatternError(f"Unterminated [] set in {pattern!r}")
+
+
 def literal(text: str) -> str:
     """Quote text so it matches literally (the .NET ``Regex.Escape`` role)."""
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"

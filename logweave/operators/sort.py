@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import LINE, PATH, FieldSpace, fields_of
 from ..functions.levels import STANDARD_LEVEL_ORDER, level_rank
 from ..functions.timestamps import parse_timestamp
+from ..plans.sizing import broadcast_if_small, materialize
 from ..plans.carry import BLOCK_LINES, block_of, number_rows
 
 
@@ -69,6 +70,21 @@ def sort_view(rows: DataFrame, state: SortState, level_field: str | None = None,
     return sort_by_field(rows, state.column, state.descending, fs)
 
 
+def positions(ordered: DataFrame, out: str = "position") -> DataFrame:
+    """1-based position of each row of an ordered frame, over all files.
+
+    The sorted rows are written once; a task's rows are consecutive, so a table of
+    one row per task (rows before it) turns the task's own numbering into positions.
+    """
+    numbered = materialize(ordered.select("*", F.spark_partition_id().alias("_lw_part"), F.monotonically_increasing_id().alias("_lw_id")))
+    tasks = numbered.groupBy("_lw_part").agg(F.count(F.lit(1)).alias("_lw_n"), F.min("_lw_id").alias("_lw_first"))
+    before = F.coalesce(F.sum("_lw_n").over(Window.orderBy("_lw_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = tasks.select("_lw_part", "_lw_first", before.alias("_lw_before"))
+    at = (F.col("_lw_before") + F.col("_lw_id") - F.col("_lw_first") + 1).cast("long")
+    return numbered.join(broadcast_if_small(tasks), "_lw_part").withColumn(out, at).drop(
+        "_lw_part", "_lw_id", "_lw_first", "_lw_before")
+
+
 def level_positions(rows: DataFrame, level_field: str, order: Sequence[str] = STANDARD_LEVEL_ORDER,
                     fs: FieldSpace | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Position of each row within its file under severity order (ties by line).

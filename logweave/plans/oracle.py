@@ -394,3 +394,23 @@ def _expected(f: str) -> str:
 SQL["timestamp_formats"] = (
     "SELECT event_id, unnest(range(1, 14)) AS fmt_id, unnest([" + ", ".join(f"strftime(ts, '{f}')" for f in _RENDER)
     + "]) AS text, unnest([" + ", ".join(_expected(f) for f in _RENDER) + "]) AS parsed FROM events")
+
+SQL["field_names_any"] = _w(EVN) + (
+    'SELECT path, line_no, "Timestamp" AS "f_Path", "Level" AS f_text, "Module" AS f__kind, "Message" AS f_profile FROM evn '
+    """WHERE contains(lower("Timestamp" || chr(10) || "Level" || chr(10) || "Module" || chr(10) || "Message"), 'k": 1')""")
+SQL["search_decorated"] = _w(DOC) + " UNION ALL ".join(
+    f"SELECT path, line_no, '{name}' AS field, CAST(strpos(lower({col}), 'ru') - 1 AS INTEGER) AS match_index "
+    f"FROM dcsv WHERE contains(lower({col}), 'ru')"
+    for name, col in (("Head", "h"), ("Body", "b"), ("Tail", "t"), ("RawText", "r")))
+SQL["time_only_range"] = """
+SELECT 'events/u' || CAST(user_id AS VARCHAR) || '.log' AS path, event_id AS line_no, strftime(ts, '%H:%M:%S.%g') AS "Time",
+  event_type AS "Kind"
+FROM events WHERE strftime(ts, '%H:%M:%S.%g') BETWEEN '08:00:00.000' AND '17:30:00.000'"""
+_LOOSE = (("%b %-d %Y %H:%M:%S", "second"), ("%-m/%-d/%Y %-I:%M:%S %p", "second"), ("%a, %d %b %Y %H:%M:%S GMT", "second"),
+          ("%-d %B %Y %H:%M", "minute"), ("%b %-d, %Y", "day"))
+SQL["timestamp_loose"] = " UNION ALL ".join(
+    f"SELECT event_id, CAST({i} AS BIGINT) AS form, strftime(ts, '{f}') AS text, CAST(date_trunc('{unit}', ts) AS TIMESTAMP) AS parsed FROM events"
+    for i, (f, unit) in enumerate(_LOOSE, start=1))
+for _name, _order in (("sort_field", 'coalesce("Message", \'\') DESC, path, line_no'), ("sort_time", "us, path, line_no"),
+                      ("sort_restored", "path, line_no")):
+    SQL[_name] = _w(EVN) + f"SELECT path, line_no, CAST(row_number() OVER (ORDER BY {_order}) AS BIGINT) AS position FROM evn"

@@ -423,12 +423,75 @@ def q_timestamp_formats(spark, sf):
     return r.select("event_id", "fmt_id", "text", parse_timestamp(F.col("text")).alias("parsed"))
 
 
+# ---- field names, loose times, orders -------------------------------------------
+# names that engine columns have too, in one case or another
+ANY_NAMES = ("Path", "text", "_kind", "profile")
+
+
+def q_field_names_any(spark, sf):
+    """A profile whose fields are called like engine columns: parsed, flagged, folded, then searched."""
+    rows = PA.parse_delimited(evlog_lines(spark, sf), "|", ANY_NAMES)
+    rows = E.assign_events(T.color_rows(T.flag_rows(rows, DOC_FLAGS)), None)
+    fs = fields_of(rows)
+    shown = FL.view(rows, R.ViewFilter(text='k": 1'))
+    return shown.select(PATH, LINE, *[fs.get(n).alias(f"f_{n}") for n in ANY_NAMES])
+
+
+def q_search_decorated(spark, sf):
+    """A search after flags, colours and the event fold finds what it finds before them."""
+    rows = E.assign_events(T.color_rows(T.flag_rows(_doc_csv(spark, sf))), DOC_NEW_EVENT)
+    return S.search(rows, R.SearchQuery("ru"))
+
+
+def q_time_only_range(spark, sf):
+    """A log that gives times without dates, cut by a range of times."""
+    ev = table(spark, sf, "events").select(
+        evlog_path(F.col("user_id")).alias(PATH), F.col("event_id").alias(LINE),
+        F.concat_ws("|", F.date_format("ts", "HH:mm:ss.SSS"), F.col("event_type")).alias("text"))
+    rows = PA.parse_delimited(ev, "|", ["Time", "Kind"])
+    return FL.time_range(rows, "Time", "08:00:00", "17:30").select(PATH, LINE, "Time", "Kind")
+
+
+# Loose forms of a time, as Spark writes them.
+LOOSE_FORMS = ("MMM d yyyy HH:mm:ss", "M/d/yyyy h:mm:ss a", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "d MMMM yyyy HH:mm", "MMM d, yyyy")
+
+
+def q_timestamp_loose(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", F.posexplode(F.array(
+        *[F.date_format("ts", f) for f in LOOSE_FORMS])).alias("form", "text"))
+    return ev.select("event_id", (F.col("form") + 1).cast("long").alias("form"), "text", parse_timestamp("text").alias("parsed"))
+
+
+def _positions(ordered):
+    return SO.positions(ordered.select(PATH, LINE))
+
+
+def q_sort_field(spark, sf):
+    return _positions(SO.sort_by_field(_ev_rows(spark, sf), "Message", descending=True))
+
+
+def q_sort_time(spark, sf):
+    return _positions(SO.sort_by_time(_ev_rows(spark, sf), "Timestamp"))
+
+
+def q_sort_restored(spark, sf):
+    rows = SO.sort_by_field(_ev_rows(spark, sf), "Module")
+    return _positions(SO.restore_order(rows))
+
+
 QUERIES = {
     "scan_lines": q_scan_lines,
     "line_count": q_line_count,
     "read_range": q_read_range,
     "load_cap": q_load_cap,
     "workspace_lines": q_workspace_lines,
+    "field_names_any": q_field_names_any,
+    "search_decorated": q_search_decorated,
+    "time_only_range": q_time_only_range,
+    "timestamp_loose": q_timestamp_loose,
+    "sort_field": q_sort_field,
+    "sort_time": q_sort_time,
+    "sort_restored": q_sort_restored,
     "parse_delimited": q_parse_delimited,
     "parse_delimited_short": q_parse_delimited_short,
     "parse_regex": q_parse_regex,

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from logweave.functions.regex import InvalidPatternError, literal, translate
+from logweave.functions.regex import InvalidPatternError, java_regex, literal, translate
 
 
 def test_named_groups_become_positional_with_names():
@@ -71,3 +72,27 @@ def test_unicode_classes_and_line_ends(spark):
     assert df.where(F.col("s").rlike(java_regex(r"^\d$"))).count() == 1      # Unicode digit
     assert df.where(F.col("s").rlike(java_regex(r"a.b"))).count() == 1       # only \n ends a line
     assert df.where(F.col("s").rlike(java_regex(r"^x$"))).count() == 1       # $ before a final \n
+
+
+@pytest.mark.parametrize("pattern,hits", [
+    ("^[a-z-[aeiou]]+$", ["bcd"]),
+    (r"^[\w-[\d_]]+$", ["bcd", "abc", "é"]),
+    ("^[a-z-[^aeiou]]+$", ["aei"]),
+    ("^[^a-z-[A-Z]]+$", ["123", "&&", "é"]),
+    ("^[&&]+$", ["&&"]),
+    ("^[a&&b]+$", ["&&"]),
+])
+def test_class_subtraction_and_ampersands(spark, pattern, hits):
+    values = ["bcd", "abc", "aei", "ABC", "123", "&&", "é"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {r.v for r in df.where(F.col("v").rlike(java_regex(pattern, spark=spark))).collect()}
+    want = set(hits)
+    if pattern == r"^[\w-[\d_]]+$":
+        want |= {"aei", "ABC"}
+    assert got == want
+
+
+def test_nested_subtraction_is_rejected():
+    for bad in ("[a-z-[b-y-[c]]]", "[a-z-[b]c]", "[a-z-[b"):
+        with pytest.raises(InvalidPatternError):
+            translate(bad)
