@@ -11,6 +11,8 @@ appended to existing ones.  This Python data source keeps, per file, an offset
   past the range start for the line's beginning, so a partial line is never
   emitted and no carry buffer needs checkpointing;
 * one trailing ``\\r`` is stripped at the owned ``\\n`` (CRLF split over writes);
+* text is decoded as in batch reading: UTF-16 by its byte-order mark (breaks count at
+  even offsets only), else UTF-8, and a line that is not UTF-8 as Windows-1252;
 * a file that got shorter was truncated or rotated: its generation goes up and
   it is re-read from byte 0; consumers key state by ``(path, generation)``;
 * a file that vanished or cannot be read is "no new data" for this trigger.
@@ -20,7 +22,11 @@ local paths and -- where configured -- ``s3://`` / ``hdfs://`` URIs work alike.
 
 Options: ``path`` (file, folder, local glob or URI), ``glob`` (file-name filter inside a
 folder, default ``*.log``), ``startingOffsets`` (``earliest`` | ``latest`` |
-``lines:N``), ``chunkBytes``, ``maxLineBytes`` (look-back step).
+``lines:N``), ``chunkBytes``, ``maxLineBytes`` (look-back step), ``maxBytesPerTrigger``
+(most new bytes of one file in a micro-batch: bounds what a file's group holds) with
+``checkpointLocation`` (the query's own: Spark asks for the end of the first batch
+before it says where that batch starts, so the reader looks the start up there; without
+it the first batch after a start is not bounded).
 
 The reader's ``generation`` only says "re-read from byte 0"; the authoritative
 generation counter is kept in checkpointed streaming state by
@@ -32,6 +38,7 @@ detected (its length gives no sign of it).
 from __future__ import annotations
 
 import glob as _glob
+import json
 import os
 from collections.abc import Iterator, Sequence
 
@@ -86,8 +93,11 @@ class TailStreamReader(DataSourceStreamReader):
         self.starting = options.get("startingOffsets", "earliest")
         self.chunk = int(options.get("chunkBytes", 64 << 20))
         self.max_line = int(options.get("maxLineBytes", 1 << 20))
+        self.max_bytes = int(options.get("maxBytesPerTrigger", 128 << 20))
         # path -> [generation, bytes] as last planned; re-learned after a restart
         self.known: dict[str, list[int]] = {}
+        self.checkpoint = options.get("checkpointLocation")
+        self.started = False  # whether the place to go on from is known
 
     # ---- offsets (driver) ------------------------------------------------------
     def initialOffset(self) -> dict:
@@ -105,9 +115,25 @@ class TailStreamReader(DataSourceStreamReader):
                 files[p] = [0, 0, 0]
         for p, v in files.items():
             self.known[p] = [v[0], v[1]]
+        self.started = True
         return {"files": files}
 
+    def _look_up_start(self) -> None:
+        """The last offsets in the query's checkpoint, or the initial ones of a new query."""
+        logged = [p for p in fsio.list_files(f"{self.checkpoint.rstrip('/')}/offsets", "*") if p.rsplit("/", 1)[1].isdigit()]
+        if not logged:
+            self.initialOffset()
+            return
+        last = max(logged, key=lambda p: int(p.rsplit("/", 1)[1]))
+        for line in fsio.read(last, 0, fsio.size(last) or 0).decode("utf-8").splitlines():
+            if line.startswith("{") and "files" in (found := json.loads(line)):
+                for p, v in found["files"].items():
+                    self.known.setdefault(p, [v[0], v[1]])
+        self.started = True
+
     def latestOffset(self) -> dict:
+        if not self.started and self.checkpoint:
+            self._look_up_start()
         files = {}
         for p in _list_files(self.path, self.pattern):
             size = _size(p)
@@ -117,7 +143,9 @@ class TailStreamReader(DataSourceStreamReader):
                 continue
             gen, known_bytes = self.known.get(p, [0, 0])
             if size < known_bytes:  # truncated or rotated
-                gen += 1
+                gen, known_bytes = gen + 1, 0
+            if p in self.known or self.started:
+                size = min(size, known_bytes + self.max_bytes)
             files[p] = [gen, size, 0]
         for p, (g, b) in self.known.items():
             files.setdefault(p, [g, b, 0])
@@ -130,6 +158,7 @@ class TailStreamReader(DataSourceStreamReader):
         the reader's own, so a generation learned after a restart is kept; a
         file shorter than its start offset in the same generation was truncated.
         """
+        self.started = True
         out: list[InputPartition] = []
         s_files = (start or {}).get("files", {})
         for p, e in end.get("files", {}).items():
@@ -162,35 +191,72 @@ class TailStreamReader(DataSourceStreamReader):
     def read(self, partition: RangePartition) -> Iterator[tuple]:
         part = partition
         try:
+            brk, charset = _line_break(fsio.read(part.path, 0, 2))
+            w = len(brk)
             # look back (in steps of maxLineBytes, as far as needed) for the
             # beginning of the first owned line
-            begin = part.start
-            hi = part.start
+            begin = hi = part.start
             while hi > 0:
                 back = max(0, hi - self.max_line)
-                nl = fsio.read(part.path, back, hi - back).rfind(b"\n")
-                if nl >= 0:
-                    begin = back + nl + 1
+                at = _last_break(fsio.read(part.path, back, hi - back), back, brk)
+                if at is not None:
+                    begin = at + w
                     break
-                begin, hi = back, back
+                # a break may lie across the step's edge
+                begin, hi = back, back + w - 1 if back else 0
             data = fsio.read(part.path, begin, part.end - begin)
         except OSError:  # vanished or locked: nothing this time
             return
         pos = 0
         while True:
-            nl = data.find(b"\n", pos)
-            if nl < 0:
+            nl = _next_break(data, pos, begin, brk)
+            if nl is None:
                 break
             owner = begin + nl
-            if owner >= part.start:
-                raw = data[pos:nl]
-                if raw.endswith(b"\r"):
-                    raw = raw[:-1]
-                if begin + pos == 0 and raw.startswith(b"\xef\xbb\xbf"):
-                    raw = raw[3:]
-                yield (part.path, part.generation, begin + pos, owner + 1, part.base_line,
-                       raw.decode("utf-8", errors="replace"))
-            pos = nl + 1
+            if owner + w > part.start:
+                text = _decoded(data[pos:nl], charset)
+                if begin + pos == 0:
+                    text = text.removeprefix("\ufeff")
+                yield (part.path, part.generation, begin + pos, owner + w, part.base_line, text.removesuffix("\r"))
+            pos = nl + w
+
+
+def _line_break(head: bytes) -> tuple[bytes, str | None]:
+    """A file's line break and charset from its first bytes (None: UTF-8 or Windows-1252)."""
+    if head[:2] == b"\xff\xfe":
+        return b"\n\x00", "utf-16-le"
+    if head[:2] == b"\xfe\xff":
+        return b"\x00\n", "utf-16-be"
+    return b"\n", None
+
+
+def _next_break(data: bytes, pos: int, begin: int, brk: bytes) -> int | None:
+    """Index of the next line break; of two bytes only at an even offset of the file."""
+    at = data.find(brk, pos)
+    while at >= 0 and (begin + at) % len(brk):
+        at = data.find(brk, at + 1)
+    return at if at >= 0 else None
+
+
+def _last_break(data: bytes, begin: int, brk: bytes) -> int | None:
+    """File offset of the last line break that lies wholly in the data."""
+    at = data.rfind(brk)
+    while at >= 0 and (begin + at) % len(brk):
+        at = data.rfind(brk, 0, at + len(brk) - 1)
+    return begin + at if at >= 0 else None
+
+
+def _decoded(raw: bytes, charset: str | None) -> str:
+    if charset:
+        return raw.decode(charset, errors="replace")
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return "".join(_ANSI[b] for b in raw)
+
+
+# Windows-1252; the five bytes it leaves undefined stand for themselves.
+_ANSI = [bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in range(256)]
 
 
 class TailDataSource(DataSource):

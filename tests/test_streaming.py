@@ -16,9 +16,9 @@ class Tail:
     def __init__(self, spark, path, pattern=None, name="t", **opts):
         self.spark = spark
         self.name = name + str(abs(hash((path, name))) % 10_000_000)
-        stream = live.tail_stream(spark, path, **opts)
-        numbered = live.number_lines(stream, pattern)
         ck = tempfile.mkdtemp(prefix="lw-stream-ck-")
+        stream = live.tail_stream(spark, path, checkpointLocation=ck, **opts)
+        numbered = live.number_lines(stream, pattern)
         self.q = (numbered.writeStream.format("memory").queryName(self.name)
                   .option("checkpointLocation", ck).outputMode("append").start())
 
@@ -209,3 +209,44 @@ def test_long_lines_across_small_ranges(spark, logfile):
         assert [(x[1], len(x[2])) for x in t.step()] == [(1, 5), (2, 700), (3, 3)]
     finally:
         t.stop()
+
+
+def test_backlog_in_bounded_batches_equals_batch(spark, logfile):
+    """A backlog many times the bound: no micro-batch holds more of a file, results as in batch."""
+    from logweave.sources.lines import read_lines
+    append(logfile, "".join(f"{'H' if i % 7 == 0 else ' '} row {i} {'x' * (i % 29)}\n" for i in range(1500)).encode())
+    size = os.path.getsize(logfile)
+    t = Tail(spark, logfile, pattern="^H", maxBytesPerTrigger=2000, chunkBytes=700)
+    try:
+        got = t.step()
+        batches = [p for p in t.q.recentProgress if p["numInputRows"] > 0]
+        assert len(batches) >= size // 2000
+        assert max(p["numInputRows"] for p in batches) <= 2000 // 8
+    finally:
+        t.stop()
+    want = [(r.line_no, r.text) for r in read_lines(spark, logfile).orderBy("line_no").collect()]
+    assert [(x[1], x[2]) for x in got] == want
+    assert [x[3] for x in got] == [1 + (i - i % 7) for i in range(1500)]
+
+
+@pytest.mark.parametrize("mark,charset", [(b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")])
+def test_utf16_tail(spark, logfile, mark, charset):
+    texts = ["first ✓", "ਅĀ odd bytes ਊ", "", "naïve", "x" * 90]
+    data = mark + "".join(t + ("\r\n" if i % 2 else "\n") for i, t in enumerate(texts)).encode(charset)
+    t = Tail(spark, logfile, chunkBytes=11, maxLineBytes=7)
+    try:
+        for cut in (5, 18, 33, len(data)):
+            append(logfile, data[os.path.getsize(logfile):cut])
+            got = t.step()
+        assert [x[1:3] for x in got] == list(enumerate(texts, start=1))
+    finally:
+        t.stop()
+
+
+def test_lines_that_are_not_utf8_read_as_ansi(spark, logfile):
+    t = Tail(spark, logfile)
+    try:
+        append(logfile, b"h\x93i\x94\n" + "é\n".encode())
+        assert [x[2] for x in t.step()] == ["h“i”", "é"]
+    finally:
+        t.stop()
