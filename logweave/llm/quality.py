@@ -43,7 +43,7 @@ MIN_ROWS = 12
 GRADES = 3
 PENALTY = 1e-4
 ROUNDS = 60
-KEEP_TAIL = 0.5
+KEEP_TAIL = 0.6
 PREFIXES = (3, 4, 5, 6)
 CACHED_FORMS = 300_000  # written forms whose score a task remembers
 
