@@ -8,18 +8,17 @@ Detection, for every file at once:
 * else Windows-1252 with a warning; an empty file is UTF-8.
 
 Decoding: UTF-8 and Windows-1252 files share one scan (1252 rows are decoded as
-ISO-8859-1 and their 0x80-0x9F range remapped); UTF-16 files are read with the
-text source's ``encoding``/``lineSep`` options and decoded per line.
+ISO-8859-1 and their 0x80-0x9F range remapped); UTF-16 files are read in ranges of
+bytes by tasks of their own.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import LINE, PATH, TEXT
@@ -36,7 +35,7 @@ UTF16BE = "UTF-16 BE"
 ANSI = "Windows-1252 (ANSI)"
 ANSI_WARNING = "Some bytes are not UTF-8, so the text was read as Windows-1252; letters beyond ASCII may be wrong."
 
-_JAVA_CHARSET = {UTF16LE: "UTF-16LE", UTF16BE: "UTF-16BE"}
+_CHARSET = {UTF16LE: "utf-16-le", UTF16BE: "utf-16-be"}
 
 
 def _cp1252_high() -> tuple[str, str]:
@@ -64,12 +63,6 @@ def decode_ansi(value: Column) -> Column:
     return F.translate(F.decode(value.cast("binary"), "ISO-8859-1"), _HIGH_SRC, _HIGH_DST)
 
 
-def decode_utf16(value: Column, charset: str) -> Column:
-    """A UTF-16 line read with ``lineSep`` ``\\n``: decode, drop the BOM and a trailing ``\\r``."""
-    s = F.decode(value.cast("binary"), charset)
-    return F.regexp_replace(F.regexp_replace(s, "^\\x{FEFF}", ""), "\r$", "")
-
-
 def _head_bytes(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
     for pdf in it:
         heads = []
@@ -117,8 +110,8 @@ def read_decoded(spark: SparkSession, encodings: DataFrame, paths, recursive: bo
     """Numbered, decoded lines ``(path, line_no, text)`` for files with known encodings.
 
     ``encodings`` is ``(path, encoding)`` -- detected, or forced by the user.
-    Only the (usually few) UTF-16 file names are brought to the driver, to give
-    their scan its own options; every other file goes through one shared scan.
+    UTF-16 files are read in ranges of their own; every other file goes through one
+    shared scan.
     """
     enc_side = broadcast_if_small(encodings.select(PATH, "encoding"))
     base = read_lines(spark, paths, recursive=recursive, glob=glob).join(enc_side, PATH, "left")
@@ -190,22 +183,73 @@ def _decoded(spark: SparkSession, numbered: DataFrame, encodings: DataFrame, per
     extra = [c for c in numbered.columns if c not in (PATH, LINE, TEXT, "encoding")]
     text = F.when(F.col("encoding") == ANSI, decode_ansi(F.col(TEXT))).otherwise(F.col(TEXT))
     out = base.select(PATH, LINE, text.alias(TEXT), *extra)
-    utf16 = encodings.where(F.col("encoding").isin(UTF16LE, UTF16BE)).select(PATH, "encoding").collect()
-    for enc in (UTF16LE, UTF16BE):
-        ps = [literal_path(r[0]) for r in utf16 if r[1] == enc]
-        if ps:
-            raw = scan_raw(spark, ps, encoding=_JAVA_CHARSET[enc], line_sep="\n")
-            splits = split_stats(raw)
-            if per_file is not None:
-                splits = splits.join(per_file, PATH, "left")
-            u = number_from_splits(raw, splits, keep=tuple(extra))
-            out = out.unionByName(u.select(PATH, LINE, decode_utf16(F.col(TEXT), _JAVA_CHARSET[enc]).alias(TEXT), *extra))
-    return out
-
-
-def literal_path(path: str) -> str:
-    """A path whose glob characters stand for themselves."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+    wide = encodings.where(F.col("encoding").isin(UTF16LE, UTF16BE)).select(PATH, "encoding")
+    if wide.isEmpty():
+        return out
+    u = read_utf16(wide)
+    if per_file is not None:
+        u = u.join(per_file, PATH, "left")
+    return out.unionByName(u.select(PATH, LINE, TEXT, *extra))
+
+
+# Bytes of a UTF-16 file that one step reads; even, so that it never cuts a unit.
+RANGE_BYTES = 32 << 20
+
+
+def read_utf16(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``(path, line_no, text)`` of UTF-16 files, given as ``(path, encoding)``.
+
+    Spark's text source looks for the two bytes of a line break at any offset and so
+    finds breaks across two characters.  Here files are cut into ranges at even
+    offsets, read by tasks of their own; a range owns the lines whose break ends in
+    it, breaks count at even offsets only.  The decoded lines are written once and
+    numbered from the lines of the ranges before them.
+    """
+    ship_package(files.sparkSession)
+
+    def cut(frames):
+        for frame in frames:
+            for path, encoding in zip(frame["path"], frame["encoding"]):
+                size = fsio.size(path) or 0
+                starts = list(range(0, max(size, 1), range_bytes))
+                yield pd.DataFrame({"path": path, "encoding": encoding, "start": starts, "stop": [min(s + range_bytes, size) for s in starts],
+                                    "size": size})
+
+    def lines(frames):
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                texts = _utf16_lines(r.path, _CHARSET[r.encoding], int(r.start), int(r.stop), int(r.size))
+                yield pd.DataFrame({"path": r.path, "start": int(r.start), "n": range(len(texts)), "text": texts},
+                                   columns=["path", "start", "n", "text"])
+
+    ranges = files.mapInPandas(cut, "path string, encoding string, start long, stop long, size long")
+    read = materialize(ranges.repartition(PATH, "start").mapInPandas(lines, "path string, start long, n long, text string"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(PATH).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = read.groupBy(PATH, "start").agg(F.count(F.lit(1)).alias("c")).select(PATH, "start", before.alias("before"))
+    return read.join(broadcast_if_small(counts), [PATH, "start"]).select(
+        PATH, (F.col("before") + F.col("n") + 1).cast("long").alias(LINE), F.col("text").alias(TEXT))
+
+
+def _utf16_lines(path: str, charset: str, start: int, stop: int, size: int, step: int = 1 << 20) -> list[str]:
+    """The lines whose break ends in ``(start, stop]``; at the file's end also the last one."""
+    brk = "\n".encode(charset)
+    begin = hi = start
+    while hi > 0:  # back to the beginning of the first line owned
+        back = max(0, hi - step)
+        at = fsio.last_break(fsio.read(path, back, hi - back), back, brk)
+        if at is not None:
+            begin = at + 2
+            break
+        begin, hi = back, back
+    data = fsio.read(path, begin, stop - begin)
+    out, pos = [], 0
+    while (nl := fsio.next_break(data, pos, begin, brk)) is not None:
+        if begin + nl + 2 > start:
+            out.append((begin + pos, data[pos:nl]))
+        pos = nl + 2
+    if stop == size and begin + pos + (2 if begin + pos == 0 else 0) < size:  # a mark alone is no line
+        out.append((begin + pos, data[pos:]))
+    return [raw.decode(charset, errors="replace").removeprefix("\ufeff" if at == 0 else "").removesuffix("\r") for at, raw in out]
 
 
 def force_encoding(files: DataFrame, encoding: str | Mapping[str, str]) -> DataFrame:

@@ -68,3 +68,29 @@ def read(uri: str, start: int, length: int) -> bytes:
     with fsys.open_input_file(p) as fh:
         fh.seek(start)
         return fh.read(length)
+
+
+# ---- line breaks in raw bytes ---------------------------------------------------
+def line_break(head: bytes) -> tuple[bytes, str | None]:
+    """A file's line break and charset from its first bytes (None: UTF-8 or Windows-1252)."""
+    if head[:2] == b"\xff\xfe":
+        return b"\n\x00", "utf-16-le"
+    if head[:2] == b"\xfe\xff":
+        return b"\x00\n", "utf-16-be"
+    return b"\n", None
+
+
+def next_break(data: bytes, pos: int, begin: int, brk: bytes) -> int | None:
+    """Index of the next line break; of two bytes only at an even offset of the file."""
+    at = data.find(brk, pos)
+    while at >= 0 and (begin + at) % len(brk):
+        at = data.find(brk, at + 1)
+    return at if at >= 0 else None
+
+
+def last_break(data: bytes, begin: int, brk: bytes) -> int | None:
+    """File offset of the last line break that lies wholly in the data."""
+    at = data.rfind(brk)
+    while at >= 0 and (begin + at) % len(brk):
+        at = data.rfind(brk, 0, at + len(brk) - 1)
+    return begin + at if at >= 0 else None

@@ -191,14 +191,14 @@ class TailStreamReader(DataSourceStreamReader):
     def read(self, partition: RangePartition) -> Iterator[tuple]:
         part = partition
         try:
-            brk, charset = _line_break(fsio.read(part.path, 0, 2))
+            brk, charset = fsio.line_break(fsio.read(part.path, 0, 2))
             w = len(brk)
             # look back (in steps of maxLineBytes, as far as needed) for the
             # beginning of the first owned line
             begin = hi = part.start
             while hi > 0:
                 back = max(0, hi - self.max_line)
-                at = _last_break(fsio.read(part.path, back, hi - back), back, brk)
+                at = fsio.last_break(fsio.read(part.path, back, hi - back), back, brk)
                 if at is not None:
                     begin = at + w
                     break
@@ -209,7 +209,7 @@ class TailStreamReader(DataSourceStreamReader):
             return
         pos = 0
         while True:
-            nl = _next_break(data, pos, begin, brk)
+            nl = fsio.next_break(data, pos, begin, brk)
             if nl is None:
                 break
             owner = begin + nl
@@ -221,31 +221,6 @@ class TailStreamReader(DataSourceStreamReader):
             pos = nl + w
 
 
-def _line_break(head: bytes) -> tuple[bytes, str | None]:
-    """A file's line break and charset from its first bytes (None: UTF-8 or Windows-1252)."""
-    if head[:2] == b"\xff\xfe":
-        return b"\n\x00", "utf-16-le"
-    if head[:2] == b"\xfe\xff":
-        return b"\x00\n", "utf-16-be"
-    return b"\n", None
-
-
-def _next_break(data: bytes, pos: int, begin: int, brk: bytes) -> int | None:
-    """Index of the next line break; of two bytes only at an even offset of the file."""
-    at = data.find(brk, pos)
-    while at >= 0 and (begin + at) % len(brk):
-        at = data.find(brk, at + 1)
-    return at if at >= 0 else None
-
-
-def _last_break(data: bytes, begin: int, brk: bytes) -> int | None:
-    """File offset of the last line break that lies wholly in the data."""
-    at = data.rfind(brk)
-    while at >= 0 and (begin + at) % len(brk):
-        at = data.rfind(brk, 0, at + len(brk) - 1)
-    return begin + at if at >= 0 else None
-
-
 def _decoded(raw: bytes, charset: str | None) -> str:
     if charset:
         return raw.decode(charset, errors="replace")

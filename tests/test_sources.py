@@ -210,3 +210,20 @@ def test_one_path_form_for_odd_names(spark, tmpdir_path, name):
     assert {r.path.rsplit("/", 1)[1]: r.encoding for r in enc.collect()} == {name: EN.ANSI, "w" + name: EN.UTF16LE}
     got = sorted((r.path.rsplit("/", 1)[1], r.line_no, r.text) for r in lines.collect())
     assert got == sorted([(name, 1, "h“i"), ("w" + name, 1, "wide"), ("w" + name, 2, "lines")])
+
+
+@pytest.mark.parametrize("charset,mark", [("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff")])
+def test_utf16_breaks_only_at_even_offsets_whatever_the_ranges(spark, tmpdir_path, charset, mark):
+    texts = ["ਅĀ ਊ\u0a0a", "", "naïve ✓ 🙂", "x" * 37, "\u0a00\u000b\u000a".replace("\n", ""), "last"]
+    body = "".join(t + ("\r\n" if i % 2 else "\n") for i, t in enumerate(texts * 9)) + "no break at the end"
+    touch(tmpdir_path, "w.log", mark + body.encode(charset))
+    touch(tmpdir_path, "empty.log", mark)
+    files, enc, lines = FS.read_workspace(spark, tmpdir_path)
+    want = list(enumerate([*texts * 9, "no break at the end"], start=1))
+    assert [(r.line_no, r.text) for r in lines.orderBy("line_no").collect()] == want
+    label = EN.UTF16LE if charset == "utf-16-le" else EN.UTF16BE
+    wide = enc.where("path like '%/w.log'")
+    assert wide.first().encoding == label
+    for size in (2, 14, 100, 1 << 20):
+        got = EN.read_utf16(wide.select("path", "encoding"), range_bytes=size)
+        assert [(r.line_no, r.text) for r in got.orderBy("line_no").collect()] == want
