@@ -219,8 +219,8 @@ def read_utf16(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         for frame in frames:
             for r in frame.itertuples(index=False):
                 texts = _utf16_lines(r.path, _CHARSET[r.encoding], int(r.start), int(r.stop), int(r.size))
-                yield pd.DataFrame({"path": r.path, "start": int(r.start), "n": range(len(texts)), "text": texts},
-                                   columns=["path", "start", "n", "text"])
+                if texts:
+                    yield pd.DataFrame({"path": r.path, "start": int(r.start), "n": range(len(texts)), "text": texts})
 
     ranges = files.mapInPandas(cut, "path string, encoding string, start long, stop long, size long")
     read = materialize(ranges.repartition(PATH, "start").mapInPandas(lines, "path string, start long, n long, text string"))
