@@ -109,8 +109,14 @@ _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 def _loose_iso(s: Column) -> Column:
-    """ISO text of a loose form (groups of ``LOOSE``); an impossible date stays unparsable."""
-    g = [F.regexp_extract(s, LOOSE, i) for i in range(15)]
+    """ISO text of a loose form; an impossible date stays unparsable.  The groups come out
+    of one replacement, bound once."""
+    groups = F.split(F.regexp_replace(s, LOOSE, "\u0001".join(f"${i}" for i in range(1, 15))), "\u0001", -1)
+    return F.element_at(F.transform(F.array(groups), _iso_of_groups), 1)
+
+
+def _iso_of_groups(groups: Column) -> Column:
+    g = [None, *[F.get(groups, i) for i in range(14)]]
     month_name = F.lower(F.concat(g[2], g[4]))
     at = F.instr(F.lit(_MONTHS), month_name) - 1
     named = F.when(at % 3 == 0, F.floor(at / 3) + 1).otherwise(0)
