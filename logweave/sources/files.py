@@ -1,12 +1,10 @@
 """Workspace scan: every log file under a root, as a DataFrame of file metadata.
 
-Spark's own file listing (``binaryFile`` with ``recursiveFileLookup``) does the
-walk -- in parallel on executors for large trees -- and only metadata columns
-are selected, so no file content is read.  Extensions match ignoring case via a
-glob built from the extension list.
-
-Spark's listing hides names starting with ``_`` or ``.`` and skips zero-length
-files (they hold no lines).
+Mounted folders are listed by tasks, every file in them (empty ones and names with
+``_`` or ``.`` in front too; Spark's text source reads no lines of the latter).  In
+object stores and HDFS Spark's own listing (``binaryFile`` with
+``recursiveFileLookup``) does the walk; it hides such names and zero-length files.
+No file content is read.  Extensions match ignoring case.
 """
 
 from __future__ import annotations
@@ -14,10 +12,13 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import PATH
+from ..session import ship_package
+from . import fsio
 
 DEFAULT_EXTENSIONS = (".log",)
 
@@ -54,10 +55,12 @@ def scan_workspace(spark: SparkSession, root: str, extensions: Iterable[str] | N
     (or of ``root`` itself when it names one file)."""
     if "://" not in root and not os.path.exists(root):
         raise WorkspaceNotFoundError(f"Workspace root not found: {root}")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if not ("://" not in root and os.path.isfile(root)):  # a file named explicitly is taken as is
-        reader = reader.option("pathGlobFilter", extension_glob(extensions))
-    df = reader.load(root)
+    single = "://" not in root and os.path.isfile(root)  # a file named explicitly is taken as is
+    if "://" not in root or root.startswith("file:"):
+        df = _list_mounted(spark, root, None if single else [e.lower() for e in normalize_extensions(extensions)])
+    else:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        df = reader.option("pathGlobFilter", extension_glob(extensions)).load(root)
     path = F.col("path")
     name = F.regexp_extract(path, "([^/]*)$", 1)
     return df.select(
@@ -70,6 +73,34 @@ def scan_workspace(spark: SparkSession, root: str, extensions: Iterable[str] | N
     )
 
 
+def _list_mounted(spark: SparkSession, root: str, endings: list[str] | None) -> DataFrame:
+    """(path, length, modificationTime) of every file below a folder that executors see as mounted.
+
+    One task lists the root, then one per folder in it lists the tree below: no
+    listing on the driver, and neither empty files nor names with ``_`` or ``.`` in
+    front are left out.
+    """
+    ship_package(spark)
+    row = "path string, is_dir boolean, length long, modificationTime timestamp"
+
+    def listing(deep: bool):
+        def run(frames):
+            for frame in frames:
+                for path in frame["path"]:
+                    found = fsio.entries(path, deep)
+                    if endings is not None:
+                        found = [e for e in found if e[1] or e[0].lower().endswith(tuple(endings))]
+                    if found:
+                        yield pd.DataFrame(found, columns=["path", "is_dir", "length", "modificationTime"])
+        return run
+
+    start = spark.createDataFrame([(root,)], "path string")
+    top = start.mapInPandas(listing(False), row)
+    folders = top.where("is_dir").select("path").repartition(F.col("path"))
+    below = folders.mapInPandas(listing(True), row)
+    return top.union(below).where("not is_dir").select("path", "length", "modificationTime")
+
+
 def read_workspace(spark: SparkSession, root: str, extensions: Iterable[str] | None = None,
                    encoding: str | None = None):
     """Scan a workspace and return ``(files, encodings, lines)`` DataFrames.

@@ -8,6 +8,7 @@ same way.  ``s3a://`` (Spark's name) is read as ``s3://``.
 from __future__ import annotations
 
 import fnmatch
+import os
 from urllib.parse import quote, urlparse
 
 from pyarrow import fs as pafs
@@ -62,6 +63,21 @@ def list_files(uri: str, pattern: str) -> list[str]:
                   if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name.lower(), pat))
 
 
+def entries(path: str, deep: bool) -> list[tuple]:
+    """(path as Spark lists it, is a folder, length, time of change) of a mounted folder's
+    entries, of the whole tree below with ``deep``; of a file itself."""
+    fsys, inner = resolve(path)
+    info = fsys.get_file_info(inner)
+    if info.type == pafs.FileType.File:
+        found = [info]
+    elif info.type == pafs.FileType.Directory:
+        found = fsys.get_file_info(pafs.FileSelector(inner, recursive=deep))
+    else:
+        found = []
+    return [("file:" + os.path.abspath(f.path), f.type == pafs.FileType.Directory, f.size or 0, f.mtime) for f in found
+            if f.type in (pafs.FileType.File, pafs.FileType.Directory)]
+
+
 def read(uri: str, start: int, length: int) -> bytes:
     """``length`` bytes from ``start`` (fewer at end of file)."""
     fsys, p = resolve(uri)

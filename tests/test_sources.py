@@ -227,3 +227,17 @@ def test_utf16_breaks_only_at_even_offsets_whatever_the_ranges(spark, tmpdir_pat
     for size in (2, 14, 100, 1 << 20):
         got = EN.read_utf16(wide.select("path", "encoding"), range_bytes=size)
         assert [(r.line_no, r.text) for r in got.orderBy("line_no").collect()] == want
+
+
+def test_empty_and_hidden_files_are_listed(spark, tmpdir_path):
+    touch(tmpdir_path, "empty.log", b"")
+    touch(tmpdir_path, "_hid.log")
+    touch(tmpdir_path, ".dot/deep/_x.LOG", b"abc\n")
+    touch(tmpdir_path, "a.log")
+    touch(tmpdir_path, "b.txt")
+    files, enc, lines = FS.read_workspace(spark, tmpdir_path)
+    got = {r.name: (r.length, r.ext, r.modified is not None) for r in files.collect()}
+    assert got == {"empty.log": (0, ".log", True), "_hid.log": (2, ".log", True), "_x.LOG": (4, ".LOG", True), "a.log": (2, ".log", True)}
+    assert all(r.path.startswith("file:/") and not r.path.startswith("file://") for r in files.collect())
+    assert {r.path.rsplit("/", 1)[1]: r.encoding for r in enc.collect()}["empty.log"] == EN.UTF8
+    assert [r.text for r in lines.collect()] == ["x"]
