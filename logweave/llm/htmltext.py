@@ -5,9 +5,11 @@ are tags with their class and id names).  Per path the text length and the
 punctuation are added up and divided by its number of nodes.  The two ratios,
 laid along the page in node order, are smoothed with a small Gaussian, fused into
 one curve and thresholded at its standard deviation: long, punctuated, repeated
-paths (paragraphs) stand out from menus, buttons and captions.  The element that
-holds most of the selected text is the article; its short blocks (a heading, a
-one-word paragraph) belong to it unless they are mostly links.  Steps that name
+paths (paragraphs) stand out from menus, buttons and captions.  The innermost
+element that holds all of the selected text is the article, with the headings
+before it and the ``article`` or ``main`` around it; its short blocks (a heading, a
+one-word paragraph) belong to it, blocks of links when they are selected or stand
+among its paragraphs or in ``article`` or ``main``.  Steps that name
 something else (``nav``, ``footer``, ``class="ad"``, comments, forms, hidden
 elements) never count.
 
@@ -59,14 +61,15 @@ NEVER_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WHOLE = frozenset("html body main article".split())  # their names say nothing against their content
 
+ROOTS = frozenset(("#", "html", "body"))
 CONTAINERS = frozenset("html body main article section div td table tbody tr center figure".split())
 SHORT_BLOCKS = frozenset(
     "p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption article section main address summary".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 SMOOTH = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-MAJORITY = 0.75     # an element that holds this share of the selected text is gone into
-LINK_SHARE = 0.6    # short blocks with more of their text in links stay out
+HEADINGS = frozenset("h1 h2 h3".split())
+LINK_SHARE = 0.6    # blocks with more of their text in links do not say where the article is
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -188,14 +191,14 @@ class Page:
         self._pop()
 
 
-def fused_ratio(path: np.ndarray, length: np.ndarray, marks: np.ndarray) -> np.ndarray:
+def fused_ratio(path: np.ndarray, length: np.ndarray, marks: np.ndarray, smooth: bool = True) -> np.ndarray:
     """The fused, smoothed tag-path ratio of each node."""
     kinds, path = np.unique(path, return_inverse=True)
     n = np.bincount(path, minlength=len(kinds))
     curves = []
     for amount in (length, marks):
         ratio = (np.bincount(path, amount, len(kinds)) / n)[path]
-        weight = np.convolve(np.ones(len(path)), SMOOTH, "same") if len(path) >= 5 else None
+        weight = np.convolve(np.ones(len(path)), SMOOTH, "same") if smooth and len(path) >= 5 else None
         curves.append(np.convolve(ratio, SMOOTH, "same") / weight if weight is not None else ratio)
     return np.sqrt(curves[0] * (1 + curves[1]))
 
@@ -210,27 +213,36 @@ def main_text(html: str | None) -> str:
     element = [page.element[i] for i in at]
     length = np.array([len("".join(page.texts[i].split())) for i in at], float)
     marks = np.array([len(PUNCTUATION.findall(page.texts[i])) for i in at], float)
-    z = fused_ratio(np.array([page.path[e] for e in element]), length, marks)
-    chosen = z >= min(z.std(), z.max())
-    inside = _article(page, element, np.where(chosen, length * z, 0.0))
+    path = np.array([page.path[e] for e in element])
+    z = fused_ratio(path, length, marks)
+    least = min(z.std(), z.max())
+    chosen = z >= least
+    own = chosen & (fused_ratio(path, length, marks, False) >= least)  # not by its neighbours only
     # blocks: what the nodes of a block say together
     facts: dict[int, list] = {}
-    for i, e, n, good in zip(at, element, length.tolist(), chosen.tolist()):
-        f = facts.setdefault(page.block[i], [0.0, 0.0, 0.0, e])
+    for i, e, n, good, alone in zip(at, element, length.tolist(), chosen.tolist(), own.tolist()):
+        f = facts.setdefault(page.block[i], [0.0, 0.0, 0.0, 0.0, e])
         f[0] += n
         f[1] += n * good
-        f[2] += n * page.link[e]
-    picked = set()
-    strong = [b for b, f in facts.items() if inside[f[3]] and 2 * f[1] >= f[0] and f[2] <= LINK_SHARE * f[0]]
+        f[2] += n * alone
+        f[3] += n * page.link[e]
+    texty = {b for b, (n, good, _, linked, _) in facts.items() if 2 * good >= n and linked <= LINK_SHARE * n}
+    home, marked = _homes(page)
+    inside = _article(page, at, home, own, texty)
+    strong = [b for b in facts if b in texty and inside[facts[b][4]]]
     first, last = (strong[0], strong[-1]) if strong else (0, -1)
-    bounded = page.tag[_top(inside)] not in ("#", "html", "body")  # an element of its own, not the whole page
-    for b, (n, good, linked, e) in facts.items():
+    homes = {home[facts[b][4]] for b in strong}
+    bounded = page.tag[_top(inside)] not in ROOTS  # an element of its own, not the whole page
+    picked = set()
+    for b, (n, good, alone, linked, e) in facts.items():
         if not inside[e]:
             continue
+        tag, among = _block_tag(page, e), home[e] in homes
+        short = tag in SHORT_BLOCKS and (bounded or among or first <= b <= last or tag in ("h1", "h2"))
         if linked > LINK_SHARE * n:
-            continue
-        if 2 * good >= n or ((bounded or first <= b <= last or _heading(page, e)) and _block_tag(page, e) in SHORT_BLOCKS) \
-                or (first <= b <= last and good):
+            if 2 * alone >= n or short and (among or marked[e]):
+                picked.add(b)
+        elif 2 * good >= n or short or (first <= b <= last and good):
             picked.add(b)
     out, now, last_block = [], [], None
     for i, t in enumerate(page.texts):
@@ -250,31 +262,38 @@ def _top(inside: list[bool]) -> int:
     return next((e for e, ok in enumerate(inside) if ok), 0)
 
 
-def _heading(page: Page, e: int) -> bool:
-    return _block_tag(page, e) in ("h1", "h2")
-
-
 def _block_tag(page: Page, e: int) -> str:
     while page.tag[e] in INLINE and page.parent[e] > 0:
         e = page.parent[e]
     return page.tag[e]
 
 
-def _article(page: Page, element: list[int], mass: np.ndarray) -> list[bool]:
-    """Which elements belong to the one that holds most of the selected text."""
-    total = [0.0] * len(page.tag)
-    for e, m in zip(element, mass.tolist()):
-        total[e] += m
-    for e in range(len(total) - 1, 0, -1):  # children are numbered after their parents
+def _homes(page: Page) -> tuple[list[int], list[bool]]:
+    """The innermost container of each element, and whether it lies in ``article`` or ``main``."""
+    home, marked = [0] * len(page.tag), [False] * len(page.tag)
+    for e in range(1, len(home)):  # children are numbered after their parents
+        up, tag = page.parent[e], page.tag[e]
+        home[e] = e if tag in CONTAINERS else home[up]
+        marked[e] = marked[up] or tag in ("article", "main")
+    return home, marked
+
+
+def _article(page: Page, at: list[int], home: list[int], own: np.ndarray, texty: set[int]) -> list[bool]:
+    """Which elements belong to the innermost container of all selected text."""
+    nodes = [i for i, alone in zip(at, own.tolist()) if alone and page.block[i] in texty] \
+        or [i for i in at if page.block[i] in texty] or at
+    total = [0] * len(page.tag)
+    for i in nodes:
+        total[page.element[i]] += 1
+    for e in range(len(total) - 1, 0, -1):
         total[page.parent[e]] += total[e]
-    heaviest = [0] * len(total)
-    for e in range(1, len(total)):
-        up = page.parent[e]
-        if page.tag[e] in CONTAINERS and (not heaviest[up] or total[e] > total[heaviest[up]]):
-            heaviest[up] = e
-    top = 0
-    while heaviest[top] and total[heaviest[top]] >= MAJORITY * total[0] and total[0] > 0:
-        top = heaviest[top]
+    top = max(home[e] for e in range(len(total)) if total[e] == total[0])  # these lie one in the other
+    titled = {home[page.element[i]] for i in at if i < nodes[0] and _block_tag(page, page.element[i]) in HEADINGS}
+    up = top
+    while page.tag[up] not in ROOTS:
+        if up in titled or page.tag[up] in ("article", "main"):
+            top = up
+        up = home[page.parent[up]]
     inside = [False] * len(total)
     inside[top] = True
     for e in range(top + 1, len(total)):

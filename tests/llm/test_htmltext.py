@@ -66,3 +66,24 @@ def test_path_ratio_fuses_length_and_punctuation():
     import numpy as np
     z = H.fused_ratio(np.array([1, 1, 2, 2, 2, 2, 1, 1]), np.array([3.0, 4, 90, 2, 80, 70, 4, 3]), np.array([0.0, 0, 3, 0, 4, 2, 0, 0]))
     assert z[3] > z[0] and z[4] > z[7]  # a short node takes part in its path's ratio
+
+
+WHOLE = {
+    "sections": (f"<article><section><p>{P1 * 9}</p></section><section><h2>End</h2><p>{P2}</p></section></article>", f"{P1 * 9}\nEnd\n{P2}"),
+    "lead": (f"<main><h1>Title</h1><p>{P1}</p><div><p>{P2 * 9}</p><p>{P2 * 9}</p></div></main>", f"Title\n{P1}\n{P2 * 9}\n{P2 * 9}"),
+    "title": (f"<div><h1>Title</h1><div><p>{P2 * 9}</p></div></div>", f"Title\n{P2 * 9}"),
+    "cell": (f"<article><p>{P1}</p><table><tr><td>{P2 * 20}<td>c</table><p>{P2}</p></article>", f"{P1}\n{P2 * 20}\nc\n{P2}"),
+    "figure": (f"<article><p>{P1}</p><figure><figcaption>{P2 * 20}</figcaption></figure></article>", f"{P1}\n{P2 * 20}"),
+    "divisions": (f"<div><div><p>{P1 * 20}</p></div><div><p>{P2}</p><p>Ok.</p></div></div>", f"{P1 * 20}\n{P2}\nOk."),
+    "linked": (f"<article><p>{P1}</p><p><a href=x>{P2}</a></p><ol><li><a href=y>One, 2003.</a></li><li><a href=z>Two</a></li></ol></article>",
+               f"{P1}\n{P2}\nOne, 2003.\nTwo"),
+    "references": (f"<div><p>{P1 * 3}</p><p>{P2 * 3}</p><ul><li><a href=y>One</a></li></ul></div>", f"{P1 * 3}\n{P2 * 3}\nOne"),
+    "links beside": (f"<div><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></div><div><h1>Title</h1><p>{P1}</p><p>{P2}</p></div>",
+                     f"Title\n{P1}\n{P2}"),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_no_part_of_an_article_is_left_out(name):
+    html, want = WHOLE[name]
+    assert H.main_text(page(html)) == want
