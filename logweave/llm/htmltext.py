@@ -11,7 +11,11 @@ before it and the ``article`` or ``main`` around it; its short blocks (a heading
 one-word paragraph) belong to it, blocks of links when they are selected or stand
 among its paragraphs or in ``article`` or ``main``.  Steps that name
 something else (``nav``, ``footer``, ``class="ad"``, comments, forms, hidden
-elements) never count.
+elements) never count.  A class or id says so as a whole name (``cookie-notice``,
+not ``no-sidebar``), and names and forms are not heeded on an element that holds
+most of the page's text while no ``article`` or ``main`` with text lies outside it,
+that has a ``main`` inside, or that wraps the text of an ``article`` or ``main``;
+only comments are comments at any length, unless nothing else is on the page.
 
 Markup is read the forgiving way: unclosed or stray tags, comments, attributes
 with ``>`` in quotes, script text with tags in it and truncated pages.  Character
@@ -49,16 +53,22 @@ P_BARRIER = frozenset("html body table td th caption button object template".spl
 
 # Steps of a path that never lead to the article.
 NEVER_TAGS = frozenset(
-    "head script style noscript template nav header footer aside form button select option textarea iframe object embed "
-    "svg math canvas audio video dialog menu input label fieldset map noembed noframes".split())
+    "head script style noscript template nav header footer aside button select option textarea iframe object embed "
+    "svg math canvas audio video dialog menu input label map noembed noframes".split())
+FORM_TAGS = frozenset(("form", "fieldset"))
 NEVER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice notices notification alert popup modal overlay paywall newsletter subscribe subscription signup "
     "login nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager header masthead topbar footer foot "
     "sidebar side aside rail widget widgets share sharing social related recommended recommendations comment comments "
     "commentlist disqus reply replies respond discussion feedback search skip toolbar tags copyright legal".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion feedback".split())
+BESIDE_NAMES = frozenset(  # parts of a name that leave its meaning to the others
+    "area bar block body bottom box button buttons col column container form global google group icon icons inner item items "
+    "left link links list main module outer page panel post primary right row secondary section site slot top unit wrap "
+    "wrapper".split())
 NEVER_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+    "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 WHOLE = frozenset("html body main article".split())  # their names say nothing against their content
 
 ROOTS = frozenset(("#", "html", "body"))
@@ -68,6 +78,8 @@ SHORT_BLOCKS = frozenset(
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 SMOOTH = np.exp(-0.5 * np.arange(-2, 3) ** 2)
+WRAPS = 0.9         # an element in an article with this share of its text is its wrapper
+MOST = 0.5          # an element with more of the text than this is the page, whatever its name
 HEADINGS = frozenset("h1 h2 h3".split())
 LINK_SHARE = 0.6    # blocks with more of their text in links do not say where the article is
 
@@ -80,11 +92,20 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 
 
+def _meaning(name: str) -> str:
+    """What a class or id speaks for: "comments", "beside" the article, or "" for nothing of the kind."""
+    parts = [w.lower() for w in _NAME.findall(name) if not w.isdigit()]
+    if not all(w in NEVER_NAMES or w in BESIDE_NAMES for w in parts):
+        return ""
+    return "comments" if any(w in COMMENT_NAMES for w in parts) else "beside" if any(w in NEVER_NAMES for w in parts) else ""
+
+
 class Page:
     """Text nodes of a page: text, path, element and block of each."""
 
     def __init__(self, html: str):
         self.parent, self.tag, self.never, self.link = [-1], ["#"], [False], [False]
+        self.named = [""]                     # what an element's own name speaks for: "", "beside" or "comments"
         self.path = [0]                       # path number of each element
         self.paths: dict[tuple[int, str], int] = {}
         self.texts: list[str] = []
@@ -143,32 +164,34 @@ class Page:
         if tag in VOID:
             return
         up = self._open[-1]
-        step, never = self._step(tag, attributes)
+        step, never, named = self._step(tag, attributes)
         e = len(self.tag)
         self.parent.append(up)
         self.tag.append(tag)
         self.never.append(self.never[up] or never)
+        self.named.append(named)
         self.link.append(self.link[up] or tag == "a")
         self.path.append(self.paths.setdefault((self.path[up], step), len(self.paths) + 1))
         self._open.append(e)
         self._count[tag] = self._count.get(tag, 0) + 1
 
-    def _step(self, tag: str, attributes: str) -> tuple[str, bool]:
-        never, names = tag in NEVER_TAGS, ""
+    def _step(self, tag: str, attributes: str) -> tuple[str, bool, str]:
+        never, names, named = tag in NEVER_TAGS, "", "beside" if tag in FORM_TAGS else ""
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), (m[2] or "").strip("\"'")
                 if key in ("class", "id"):
                     names += f".{value}"
                     if tag not in WHOLE:
-                        never = never or any(w.lower() in NEVER_NAMES for w in _NAME.findall(value))
+                        named = max(named, *map(_meaning, value.split()), "")
                 elif key == "role":
                     never = never or value.lower() in NEVER_ROLES
+                    named = max(named, "beside" if value.lower() == "form" else "")
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                     never = True
                 elif key == "style":
                     never = never or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-        return tag + names, never
+        return tag + names, never, named
 
     def _close(self, tag: str, barrier) -> None:
         """Ends an open element of this tag unless a barrier stands above it."""
@@ -207,7 +230,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
-    at = [i for i, t in enumerate(page.texts) if not page.never[page.element[i]] and not t.isspace()]
+    never = _never(page)
+    at = [i for i, t in enumerate(page.texts) if not never[page.element[i]] and not t.isspace()]
     if not at:
         return ""
     element = [page.element[i] for i in at]
@@ -247,7 +271,7 @@ def main_text(html: str | None) -> str:
     out, now, last_block = [], [], None
     for i, t in enumerate(page.texts):
         b = page.block[i]
-        if b not in picked or page.never[page.element[i]]:
+        if b not in picked or never[page.element[i]]:
             continue
         if b != last_block:
             out.append(now)
@@ -262,6 +286,56 @@ def _top(inside: list[bool]) -> int:
     return next((e for e, ok in enumerate(inside) if ok), 0)
 
 
+def _never(page: Page) -> list[bool]:
+    """Which elements never count: by tag, role or style, or by a name that is heeded."""
+    if not any(page.named):
+        return page.never
+    parent, n = page.parent, len(page.tag)
+
+    def spread(own: list[bool]) -> list[bool]:
+        for e in range(1, n):
+            own[e] = own[e] or own[parent[e]]
+        return own
+
+    def amounts(out: list[bool]) -> list[int]:
+        total = [0] * n
+        for t, e in zip(page.texts, page.element):
+            if not out[e]:
+                total[e] += len("".join(t.split()))
+        for e in range(n - 1, 0, -1):
+            total[parent[e]] += total[e]
+        return total
+
+    comments = spread([a or b == "comments" for a, b in zip(page.never, page.named)])
+    total = amounts(comments)
+    if not total[0]:  # nothing but comments
+        comments, total = page.never, amounts(page.never)
+    marks = [0] * n  # article and main elements with text, in each element
+    mains = [0] * n  # of them, main
+    titles = [0] * n  # headings' text
+    around = [0] * n  # the article or main an element lies in
+    for e in range(1, n):
+        up = parent[e]
+        around[e] = up if page.tag[up] in ("article", "main") else around[up]
+    for e in range(n - 1, 0, -1):
+        marks[e] += page.tag[e] in ("article", "main") and total[e] > 0
+        mains[e] += page.tag[e] == "main" and total[e] > 0
+        titles[e] = total[e] if page.tag[e] in HEADINGS else titles[e]
+        for sums in (marks, mains, titles):
+            sums[parent[e]] += sums[e]
+
+    def heed(e: int) -> bool:
+        if mains[e] or page.tag[e] in FORM_TAGS and marks[e]:
+            return False
+        if around[e]:  # a wrapper leaves hardly more than a heading outside
+            return total[e] - titles[e] < WRAPS * (total[around[e]] - titles[around[e]])
+        return total[e] <= MOST * total[0] or marks[e] < marks[0]
+
+    heeded = [name == "beside" and total[e] > 0 and heed(e) for e, name in enumerate(page.named)]
+    out = spread([a or b for a, b in zip(comments, heeded)])
+    return out if any(amounts(out)) else comments
+
+
 def _block_tag(page: Page, e: int) -> str:
     while page.tag[e] in INLINE and page.parent[e] > 0:
         e = page.parent[e]

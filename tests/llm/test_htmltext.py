@@ -87,3 +87,26 @@ WHOLE = {
 def test_no_part_of_an_article_is_left_out(name):
     html, want = WHOLE[name]
     assert H.main_text(page(html)) == want
+
+
+BODY = f"<h1>Title</h1><p>{P1}</p><p>{P2}</p>"
+NAMES = {f"class {c}": (f"<nav>Menu</nav><div class='{c}'>{BODY}</div>", f"Title\n{P1}\n{P2}") for c in (
+    "content no-sidebar", "with-sidebar", "entry ad-free", "post social-enabled", "search-result-page", "hasSidebar", "sidebar-right", "page-with-menu")}
+NAMES |= {
+    "id": (f"<div id=legal-text>{BODY}</div>", f"Title\n{P1}\n{P2}"),
+    "not whole": (f"<article><p>{P1 * 9}</p><div class=legal-text><p>{P2}</p></div></article>", f"{P1 * 9}\n{P2}"),
+    "form": (f"<form id=aspnetForm><div class=nav>Menu</div><div>{BODY}<label>Mail</label><input><button>Go</button></div></form>", f"Title\n{P1}\n{P2}"),
+    "form and main": (f"<form><main>{BODY}</main></form><div>{f'<p>{P2}</p>' * 3}</div>", "\n".join(["Title", P1, *[P2] * 4])),
+    "nested": (f"<div class='layout sidebar-right'>{BODY}<div class=sidebar-right><p>{P1}</p></div></div>", f"Title\n{P1}\n{P2}"),
+    "long comments": (f"<div><p>{P1}</p></div><div class=comments-area><p>{P2 * 20}</p></div>", P1),
+    "short article": (f"<div class=ad>{P2}</div><article><p>Ok, yes.</p></article>", "Ok, yes."),
+    "box in article": (f"<article><p>Ok, yes, it is.</p><div class='ad-box'><p>{P2}</p></div></article>", "Ok, yes, it is."),
+    "wrapper in article": (f"<article><h1>Title</h1><div class='sidebar-right'><p>{P1}</p><p>{P2}</p></div></article>", f"Title\n{P1}\n{P2}"),
+    "whole names": (f"<article><p>{P1}</p><div class=cookieNotice><p>{P2}</p></div><div class=top-ads><p>{P2}</p></div><div id=side_bar>{P2}</div></article>", P1),
+}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_and_forms_do_not_take_the_page(name):
+    html, want = NAMES[name]
+    assert H.main_text(page(html)) == want
