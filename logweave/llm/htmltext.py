@@ -84,10 +84,8 @@ HEADINGS = frozenset("h1 h2 h3".split())
 LINK_SHARE = 0.6    # blocks with more of their text in links do not say where the article is
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:(["'])|([^\s>]*+)))?+)""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 
@@ -112,6 +110,7 @@ class Page:
         self.element: list[int] = []
         self.block: list[int] = []
         self._open = [0]
+        self._endless: set[int] = set()
         self._count: dict[str, int] = {}
         self._block = 0
         self._read(html)
@@ -126,21 +125,52 @@ class Page:
             if m.start() > at:
                 self._text(html[at:m.start()])
             at = m.end()
-            name = m[2] or m[5]
+            name = m[2]
             if not name:
                 if m[0].startswith("<![CDATA["):
                     self._text(m[0][9:].removesuffix("]]>"), False)
                 continue
             tag = name.lower()
-            if m[1] or m[4]:
+            attributes, at = self._attributes(html, at)
+            if m[1]:
                 self._end(tag)
                 continue
-            self._start(tag, m[3] or m[6] or "")
+            self._start(tag, attributes)
             if tag in RAW:
                 close = _RAW_END[tag].search(html, at)
                 at = close.end() if close else n
                 self._end(tag)
 
+    def _attributes(self, html: str, at: int) -> tuple[list[tuple[str, str]], int]:
+        """Names and values up to the end of the tag, and that end.  Quoted values are
+        read whole; a tag that does not end this way ends at its first ``>``."""
+        if html.startswith(">", at):
+            return [], at + 1
+        found, k, quotes = [], at, []
+        while (m := _ATTRIBUTE.match(html, k)) and not m[1]:
+            k, value = m.end(), m[4] or ""
+            if m[3]:
+                close = -1 if k in self._endless else html.find(m[3], k)
+                quotes.append(k)
+                if close < 0:
+                    m = None
+                    break
+                value, k = html[k:close], close + 1
+            found.append((m[2].lower(), value))
+        if m:
+            return found, m.end()
+        self._endless.update(quotes)  # no tag that comes by one of these quotes ends
+        end = html.find(">", at)
+        end = len(html) if end < 0 else end
+        found, k = [], at
+        while m := _ATTRIBUTE.match(html, k, end):
+            k, value = m.end(), m[4] or ""
+            if m[3]:
+                close = html.find(m[3], k, end)
+                value, k = (html[k:end], end) if close < 0 else (html[k:close], close + 1)
+            found.append((m[2].lower(), value))
+        return found, min(end + 1, len(html))
+
     def _text(self, text: str, decode: bool = True) -> None:
         self.texts.append(unescape(text) if decode and "&" in text else text)
         self.element.append(self._open[-1])
@@ -152,7 +182,7 @@ class Page:
         if tag not in INLINE:
             self._block += 1
 
-    def _start(self, tag: str, attributes: str) -> None:
+    def _start(self, tag: str, attributes: list[tuple[str, str]]) -> None:
         if tag not in INLINE:
             self._block += 1
             if self._count.get("p"):
@@ -175,22 +205,20 @@ class Page:
         self._open.append(e)
         self._count[tag] = self._count.get(tag, 0) + 1
 
-    def _step(self, tag: str, attributes: str) -> tuple[str, bool, str]:
+    def _step(self, tag: str, attributes: list[tuple[str, str]]) -> tuple[str, bool, str]:
         never, names, named = tag in NEVER_TAGS, "", "beside" if tag in FORM_TAGS else ""
-        if attributes:
-            for m in _ATTRIBUTE.finditer(attributes):
-                key, value = m[1].lower(), (m[2] or "").strip("\"'")
-                if key in ("class", "id"):
-                    names += f".{value}"
-                    if tag not in WHOLE:
-                        named = max(named, *map(_meaning, value.split()), "")
-                elif key == "role":
-                    never = never or value.lower() in NEVER_ROLES
-                    named = max(named, "beside" if value.lower() == "form" else "")
-                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                    never = True
-                elif key == "style":
-                    never = never or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+        for key, value in attributes:
+            if key in ("class", "id"):
+                names += f".{value}"
+                if tag not in WHOLE:
+                    named = max(named, *map(_meaning, value.split()), "")
+            elif key == "role":
+                never = never or value.lower() in NEVER_ROLES
+                named = max(named, "beside" if value.lower() == "form" else "")
+            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+                never = True
+            elif key == "style":
+                never = never or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         return tag + names, never, named
 
     def _close(self, tag: str, barrier) -> None:

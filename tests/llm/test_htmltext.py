@@ -110,3 +110,27 @@ NAMES |= {
 def test_names_and_forms_do_not_take_the_page(name):
     html, want = NAMES[name]
     assert H.main_text(page(html)) == want
+
+
+MARKUP = "<nav hidden class='ad'><form>Buy, now. </p>"
+QUOTED = {f"{q} {n}": (f"<article><p data-x={q}{(MARKUP if q == chr(34) else MARKUP.replace(chr(39), '')) * n}{q} class=x>{P1}</p><p>{P2}</p></article>",
+                       f"{P1}\n{P2}") for q in "\"'" for n in (1, 250, 5_000)}
+QUOTED |= {
+    "end tag": (f"<article><p>{P1}</p x='>'><p>{P2}</p></article>", f"{P1}\n{P2}"),
+    "stray quotes": (f"<article><p it's>{P1}</p><p title=it's\">{P2}</p></article>", f"{P1}\n{P2}"),
+    "open quote": (f"<article><p>{P1}</p><p class='x>{P2}</p></article>", f"{P1}\n{P2}"),
+    "blanks": (f"<article><p>{P1}</p><p hidden = '>' >{P2}</p><p data-hidden id = \"x>\"\n>{P2}</p></article>", f"{P1}\n{P2}"),
+}
+
+
+@pytest.mark.parametrize("name", QUOTED)
+def test_attribute_values_of_any_length_are_not_markup(name):
+    html, want = QUOTED[name]
+    assert H.main_text(page(html)) == want
+
+
+def test_unended_tags_take_linear_time():
+    for unit in ("<a x=\">\" ", "<a x=\">' ", "<a x='>\" y=\"", "<a x='>", "<p class = ", "<a b/='\">' ", "</a x='>' "):
+        t = time.process_time()
+        H.main_text(unit * 30_000 + P1)
+        assert time.process_time() - t < 5, unit
