@@ -35,30 +35,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Wordings of common licence notices, by family.
+# Wordings of common licence notices, by family; the short ones stand in headings or alone on a line.
 NOTICES: dict[str, tuple[str, ...]] = {
     "agpl": ("under the terms of the GNU Affero General Public License", "licensed under the GNU Affero General Public License, version 3",
-             "SPDX-License-Identifier: AGPL-3.0"),
+             "SPDX-License-Identifier: AGPL-3.0", "GNU Affero General Public License"),
     "apache": ("Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License",
-               "released under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0"),
+               "released under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "Apache License"),
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-            "licensed under the BSD 3-Clause License", "use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause"),
+            "licensed under the BSD 3-Clause License", "use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause",
+            "BSD License", "BSD 2-Clause License", "BSD 3-Clause License"),
     "cc-by": ("licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0",
-              "SPDX-License-Identifier: CC-BY-4.0"),
+              "SPDX-License-Identifier: CC-BY-4.0", "Creative Commons Attribution 4.0", "CC BY 4.0"),
     "cc-by-nc": ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0",
-                 "SPDX-License-Identifier: CC-BY-NC-4.0"),
+                 "SPDX-License-Identifier: CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0", "CC BY-NC 4.0"),
     "cc-by-sa": ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0",
-                 "SPDX-License-Identifier: CC-BY-SA-4.0"),
-    "cc0": ("has waived all copyright and related or neighboring rights to this work", "dedicated to the public domain under CC0 1.0"),
+                 "SPDX-License-Identifier: CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0", "CC BY-SA 4.0"),
+    "cc0": ("has waived all copyright and related or neighboring rights to this work", "dedicated to the public domain under CC0 1.0", "CC0 1.0 Universal"),
     "gpl": ("licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License as published by the Free Software Foundation",
-            "released under the GNU GPL version 2", "SPDX-License-Identifier: GPL-3.0-only"),
+            "released under the GNU GPL version 2", "SPDX-License-Identifier: GPL-3.0-only", "GNU General Public License"),
     "lgpl": ("under the terms of the GNU Lesser General Public License", "licensed under the GNU Lesser General Public License, version 2.1",
-             "SPDX-License-Identifier: LGPL-2.1"),
+             "SPDX-License-Identifier: LGPL-2.1", "GNU Lesser General Public License"),
     "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-            "Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT"),
+            "Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT", "MIT License"),
     "mpl": ("subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License, version 2.0",
-            "SPDX-License-Identifier: MPL-2.0"),
-    "proprietary": ("All rights reserved. No part of this publication may be reproduced", "may not be copied or redistributed without prior written permission"),
+            "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License"),
+    "proprietary": ("All rights reserved. No part of this publication may be reproduced", "may not be copied or redistributed without prior written permission",
+                    "All rights reserved"),
 }
 NONE, UNKNOWN = "none", "unknown"
 
@@ -195,10 +197,11 @@ def train(docs: DataFrame, text_col: str = "text", negatives: int = NEGATIVES) -
     else:
         drawn = []
     known = set().union(*[shingles(words_of(t)) for ts in NOTICES.values() for t in ts])
+    sizes = {len(k.split()) for k in known}
 
     def innocent(text):
         ws = words_of(text)
-        return not any(" ".join(ws[i:i + k]) in known for k in (3, 4, 5) for i in range(len(ws)))
+        return not any(" ".join(ws[i:i + k]) in known for k in sizes for i in range(len(ws)))
 
     return fit([t for t in drawn if innocent(t)])
 

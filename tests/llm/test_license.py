@@ -89,3 +89,12 @@ def test_no_python_in_the_plan(docs_df):
 def test_training_does_not_depend_on_partitions(docs_df, n):
     df = docs_df(corpus(4))
     assert L.train(df.repartition(n)) == L.train(df.coalesce(1))
+
+
+def test_short_wordings_count(docs_df):
+    short = {"All rights reserved.": "proprietary", "Copyright 2020 Somebody. All Rights Reserved.": "proprietary", "MIT License": "mit", "The MIT License (MIT)": "mit",
+             "Apache License": "apache", "BSD 2-Clause License": "bsd", "GNU General Public License": "gpl", "CC BY-SA 4.0": "cc-by-sa"}
+    df = docs_df(corpus(5))
+    model = L.train(df)
+    got = {r.text: [x.family for x in r.licences] for r in L.scan(docs_df(list(enumerate(short))), model).collect()}
+    assert got == {t: [f] for t, f in short.items()}
