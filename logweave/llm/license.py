@@ -1,18 +1,23 @@
 """Licence scans with a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph (a line of text) becomes its words and pairs of neighbouring words.
+A paragraph is a line of text, and also each notice that is broken over neighbouring
+lines (up to a line without words; comment marks do not count).  It becomes its words
+and pairs of neighbouring words.
 Multinomial logistic regression, trained on licence notices and on paragraphs drawn
 from the corpus, gives the probability of each licence family, of ``unknown`` (notices whose
 own words were exchanged) and of ``none``; the probabilities are calibrated with a
 temperature fitted on held-out paragraphs.  A
 prediction counts when the paragraph also holds a notice of that family: at least
 ``SAME`` of the notice's five-word shingles.  A paragraph that reads like a licence
-but is not confirmed belongs to the class ``unknown``.
+but is not confirmed belongs to the class ``unknown``.  A broken notice is found by its
+shingles in the words of all the lines, in their order; it counts once, at its first
+line, and its lines are not reported as ``unknown`` besides.
 
 Only n-grams that occur in the notices and hardly ever in the drawn paragraphs carry
 weight, so a paragraph without any of them scores as ``none`` whatever else it says:
 ``vocabulary`` lists their words and paragraphs without one are passed over, which
-changes no result.  The model is a few hundred numbers in the plan; scanning is one
+changes no result.  Likewise lines are joined only around one of the ``key_words``, of
+which every confirmed notice holds one.  The model is a few hundred numbers in the plan; scanning is one
 pass over the documents without a join or a shuffle, and every row is judged alone,
 so no key can be hot.
 
@@ -74,6 +79,7 @@ RATE = 0.5
 PENALTY = 2e-3
 SURE = 0.5            # probability from which a prediction counts
 WORD = "[a-z0-9]+"
+COMMENT_WORDS = ("rem", "dnl")  # comment marks that are words
 
 
 # ---- training, on the bounded sample ------------------------------------------
@@ -102,6 +108,19 @@ class LicenceModel:
     def vocabulary(self) -> list[str]:
         return sorted({w for g in self.weights for w in g.split()})
 
+    @property
+    def key_words(self) -> list[str]:
+        """For each notice a word that is left by any ``SAME`` of its shingles, one with weight if there is any."""
+        out = set()
+        for own in (shingles(words_of(t)) for ts in NOTICES.values() for t in ts):
+            spared = len(own) - math.ceil(SAME * len(own))
+            count: dict[str, int] = {}
+            for w in (w for r in own for w in set(r.split())):
+                count[w] = count.get(w, 0) + 1
+            lasting = [w for w, n in count.items() if n > spared]
+            out.add(max(lasting, key=lambda w: (w in self.weights, w in out, len(w), w)))
+        return sorted(out)
+
     def logits(self, grams: set[str]) -> list[float]:
         out = list(self.bias)
         for g in sorted(grams):
@@ -228,9 +247,13 @@ def _named(**fields: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
-def scan(df: DataFrame, model: LicenceModel, text_col: str = "text", out_col: str = "licences") -> DataFrame:
-    """``df`` with ``out_col``: an array of (line number, family or ``unknown``, probability)
-    of the paragraphs that read like a licence.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _judged(lines: Column, model: LicenceModel) -> Column:
+    """The paragraphs (with ``words``) that read like a licence: class, its probability and that of any licence.
 
     Each step maps the array of the paragraphs in question to the next one's, so
     every intermediate value is computed once a paragraph.
@@ -238,22 +261,25 @@ def scan(df: DataFrame, model: LicenceModel, text_col: str = "text", out_col: st
     grams_known = _literal(sorted(model.weights), "array<string>")
     weights = _literal(model.weights, "map<string,array<double>>")
     bias = _literal(model.bias, "array<double>")
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: _named(line=i, words=_words(x)))
-    some = F.filter(lines, lambda x: F.arrays_overlap(x["words"], _literal(model.vocabulary, "array<string>")))
-    known = F.transform(some, lambda x: _named(line=x["line"], words=x["words"], grams=F.array_sort(
+    known = F.transform(lines, lambda x: _named(at=x, grams=F.array_sort(
         F.array_intersect(F.concat(x["words"], _runs(x["words"], 2)), grams_known))))
     known = F.filter(known, lambda x: F.size(x["grams"]) > 0)
-    logits = F.transform(known, lambda x: _named(line=x["line"], words=x["words"], z=F.aggregate(
+    logits = F.transform(known, lambda x: _named(at=x["at"], z=F.aggregate(
         x["grams"], bias, lambda a, g: F.zip_with(a, F.element_at(weights, g), lambda y, w: y + w))))
-    shares = F.transform(logits, lambda x: _named(line=x["line"], words=x["words"], e=F.transform(
+    shares = F.transform(logits, lambda x: _named(at=x["at"], e=F.transform(
         x["z"], lambda y: F.exp((y - F.array_max(x["z"])) / model.temperature))))
-    shares = F.transform(shares, lambda x: _named(line=x["line"], words=x["words"], c=F.array_position(x["e"], F.lit(1.0)).cast("int"),
+    shares = F.transform(shares, lambda x: _named(at=x["at"], c=F.array_position(x["e"], F.lit(1.0)).cast("int"),
                                                   total=F.aggregate(x["e"], F.lit(0.0), lambda a, y: a + y),
                                                   none=F.element_at(x["e"], -1)))
     licence = F.filter(shares, lambda x: x["none"] / x["total"] < 1 - SURE)
+    return F.transform(licence, lambda x: _named(at=x["at"], c=x["c"], p=F.lit(1.0) / x["total"], licence=F.lit(1.0) - x["none"] / x["total"]))
+
+
+def _single(lines: Column, model: LicenceModel) -> Column:
+    """Lines that read like a licence, each judged alone."""
     sizes = sorted({min(SHINGLE, len(words_of(t))) for ts in NOTICES.values() for t in ts})
-    runs = F.transform(licence, lambda x: _named(line=x["line"], c=x["c"], p=F.lit(1.0) / x["total"], licence=F.lit(1.0) - x["none"] / x["total"],
-                                                 runs=F.concat(*[_runs(x["words"], n) for n in sizes])))
+    runs = F.transform(_judged(lines, model), lambda x: _named(line=x["at"]["line"], c=x["c"], p=x["p"], licence=x["licence"],
+                                                               runs=F.concat(*[_runs(x["at"]["words"], n) for n in sizes])))
 
     def confirmed(x):
         out = F.lit(False)
@@ -263,9 +289,97 @@ def scan(df: DataFrame, model: LicenceModel, text_col: str = "text", out_col: st
             out = out | ((x["c"] == c + 1) & reduce(lambda a, b: a | b, hits))
         return out
 
-    judged = F.transform(runs, lambda x: _named(line=x["line"], c=x["c"], p=x["p"], licence=x["licence"],
-                                                sure=(x["p"] >= SURE) & confirmed(x)))
-    return df.withColumn(out_col, F.transform(judged, lambda x: _named(
+    return F.transform(runs, lambda x: _named(line=x["line"], last=x["line"], c=x["c"], p=x["p"], licence=x["licence"],
+                                              sure=(x["p"] >= SURE) & confirmed(x)))
+
+
+def _blocks(lines: Column, keys: Column) -> Column:
+    """Runs of two and more neighbouring lines with words and a key word: ``words``, and the line of each word."""
+    def has_words(i):
+        return F.coalesce(F.size(F.get(lines, i)["words"]) > 0, F.lit(False))
+
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    first = F.filter(places, lambda i: has_words(i) & ~has_words(i - 1))
+    last = F.filter(places, lambda i: has_words(i) & ~has_words(i + 1))
+    spans = F.filter(F.zip_with(first, last, lambda a, b: _named(a=a, b=b)), lambda s: s["b"] > s["a"])
+    blocks = F.transform(spans, lambda s: F.slice(lines, s["a"] + 1, s["b"] - s["a"] + 1))
+    blocks = F.filter(blocks, lambda x: F.exists(x, lambda y: F.arrays_overlap(y["words"], keys)))
+    blocks = F.transform(blocks, lambda x: F.transform(x, lambda y: _named(line=y["line"], words=F.when(
+        F.element_at(y["words"], 1).isin(*COMMENT_WORDS), F.slice(y["words"], 2, F.size(y["words"]))).otherwise(y["words"]))))
+    return F.transform(blocks, lambda x: _named(words=F.flatten(F.transform(x, lambda y: y["words"])), lines=F.flatten(
+        F.transform(x, lambda y: F.array_repeat(y["line"], F.size(y["words"]))))))
+
+
+def _broken(lines: Column, model: LicenceModel, keys: Column) -> Column:
+    """Notices that are broken over neighbouring lines, each once."""
+    by_size: dict[int, list] = {}
+    for c, notices in enumerate(NOTICES.values()):
+        for t in notices:
+            ws = words_of(t)
+            n = min(SHINGLE, len(ws))
+            own = list(dict.fromkeys(" ".join(ws[i:i + n]) for i in range(len(ws) - n + 1)))
+            by_size.setdefault(n, []).append({"c": c + 1, "least": math.ceil(SAME * len(own)), "own": own})
+    nowhere = F.array().cast("array<struct<a:int,b:int,n:int>>")
+
+    def copies(hits: Column, own: Column, least: Column) -> Column:
+        """From first to last shingle of every copy: a copy ends where the notice's order goes back."""
+        mine = F.filter(F.transform(hits, lambda h: _named(i=h["i"], k=F.array_position(own, h["run"]).cast("int"))), lambda h: h["k"] > 0)
+        zero = F.lit(0)
+        start = _named(done=nowhere, k=zero, a=zero, b=zero, n=zero)
+
+        def step(s, h):
+            on = h["k"] > s["k"]
+            return _named(done=F.when(on, s["done"]).otherwise(F.concat(s["done"], F.array(_named(a=s["a"], b=s["b"], n=s["n"])))),
+                          k=h["k"], a=F.when(on & (s["n"] > 0), s["a"]).otherwise(h["i"]), b=h["i"], n=F.when(on, s["n"] + 1).otherwise(F.lit(1)))
+
+        found = F.aggregate(mine, start, step, lambda s: F.concat(s["done"], F.array(_named(a=s["a"], b=s["b"], n=s["n"]))))
+        return F.filter(found, lambda s: s["n"] >= least)
+
+    def of_size(block: Column, n: int, notices: list) -> Column:
+        every = _literal(sorted({r for x in notices for r in x["own"]}), "array<string>")
+        runs = F.transform(_runs(block["words"], n), lambda run, i: _named(i=i, run=run))
+        return _let(F.filter(runs, lambda h: F.array_contains(every, h["run"])), lambda hits: F.flatten(F.transform(
+            _literal(notices, "array<struct<c:int,least:int,own:array<string>>>"), lambda t: F.transform(
+                copies(hits, t["own"], t["least"]), lambda s: _named(c=t["c"], a=s["a"], b=s["b"] + (n - 1))))))
+
+    def of_block(block: Column) -> Column:
+        out = [of_size(block, n, notices) for n, notices in sorted(by_size.items())]
+        # of one family's copies that overlap, the one that begins first and goes farthest
+        return _let(F.array_distinct(F.concat(*out)), lambda all_: F.transform(
+            F.filter(all_, lambda s: (F.get(block["lines"], s["a"]) < F.get(block["lines"], s["b"])) & ~F.exists(all_, lambda o: (
+                (o["c"] == s["c"]) & (o["b"] >= s["a"]) & ((o["a"] < s["a"]) | ((o["a"] == s["a"]) & (o["b"] > s["b"])))))),
+            lambda s: _named(line=F.get(block["lines"], s["a"]), last=F.get(block["lines"], s["b"]), family=s["c"],
+                             words=F.slice(block["words"], s["a"] + 1, s["b"] - s["a"] + 1))))
+
+    found = F.flatten(F.transform(_blocks(lines, keys), of_block))
+    sure = F.filter(_judged(found, model), lambda x: (x["c"] == x["at"]["family"]) & (x["p"] >= SURE))
+    return F.transform(sure, lambda x: _named(line=x["at"]["line"], last=x["at"]["last"], c=x["c"], p=x["p"], licence=x["licence"], sure=F.lit(True)))
+
+
+def _with_broken(single: Column, broken: Column) -> Column:
+    """Both in line order, without broken copies on a line that says the same alone and without ``unknown`` parts."""
+    def meet(x, y):
+        return (x["line"] <= y["last"]) & (y["line"] <= x["last"])
+
+    fresh = F.filter(broken, lambda y: ~F.exists(single, lambda x: x["sure"] & (x["c"] == y["c"]) & meet(x, y)))
+    return F.array_sort(F.concat(F.filter(single, lambda x: x["sure"] | ~F.exists(broken, lambda y: meet(x, y))), fresh))
+
+
+def scan(df: DataFrame, model: LicenceModel, text_col: str = "text", out_col: str = "licences") -> DataFrame:
+    """``df`` with ``out_col``: an array of (line number, family or ``unknown``, probability)
+    of the paragraphs that read like a licence."""
+    keys = _literal(model.key_words, "array<string>")
+    wanted = _literal(sorted({*model.vocabulary, *model.key_words}), "array<string>")
+    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: _named(line=i, words=_words(x)))
+
+    def of_lines(every: Column) -> Column:
+        def of_some(some: Column) -> Column:
+            return F.when(F.exists(some, lambda x: F.arrays_overlap(x["words"], keys)), _let(
+                _named(single=_single(some, model), broken=_broken(every, model, keys)),
+                lambda x: _with_broken(x["single"], x["broken"]))).otherwise(_single(some, model))
+        return _let(F.filter(every, lambda x: F.arrays_overlap(x["words"], wanted)), of_some)
+
+    return df.withColumn(out_col, F.transform(_let(lines, of_lines), lambda x: _named(
         line=x["line"], family=F.when(x["sure"], F.element_at(_literal(model.families, "array<string>"), x["c"])).otherwise(UNKNOWN),
         p=F.when(x["sure"], x["p"]).otherwise(x["licence"]))))
 

@@ -98,3 +98,35 @@ def test_short_wordings_count(docs_df):
     model = L.train(df)
     got = {r.text: [x.family for x in r.licences] for r in L.scan(docs_df(list(enumerate(short))), model).collect()}
     assert got == {t: [f] for t, f in short.items()}
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal"
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+GPL = "You can redistribute it under the terms of the GNU\nGeneral Public License as published by\nthe Free Software Foundation, either version 3"
+
+
+def test_wrapped_notices_count_once_at_their_first_line(docs_df):
+    model = L.train(docs_df(corpus(6)))
+    wrapped = {"mit": MIT, "bsd": BSD, "gpl": GPL}
+    want = {}
+    for family, t in wrapped.items():
+        want[t] = [(0, family)]
+        for mark in ("# ", " * ", "// ", "REM ", "dnl "):
+            want["".join(f"{mark}{x}\n" for x in t.split("\n"))] = [(0, family)]
+        want["\n".join(t.split())] = [(t.split().index("under") if family == "gpl" else 0, family)]
+        want[f"first\n\nsecond\n{t}\nthird\n\n{t}\n{t}"] = [(3, family), (3 + t.count("\n") + 3, family), (3 + 2 * t.count("\n") + 4, family)]
+        want[t.replace("\n", "\n\n", 1) if family == "mit" else f"x\n{t}"] = [(0, L.UNKNOWN)] if family == "mit" else [(1, family)]
+    want[f"{MIT}\n{BSD}\nReleased under the MIT License."] = [(0, "mit"), (2, "bsd"), (5, "mit")]
+    want["Released under the\nMIT\nLicense"] = [(0, "mit")]
+    got = {r.text: [(x.line, x.family) for x in r.licences] for r in L.scan(docs_df(list(enumerate(want))), model).collect()}
+    for t, found in want.items():
+        assert [x for x in got[t] if x[1] != L.UNKNOWN or x in found] == found, t
+    many = L.licences_of_documents(docs_df([(i, t) for i, t in corpus(6)] + [(900, f"{MIT}\n" * 200)])).where("doc_id = 900").collect()[0]
+    assert (many.families, many.n_licence, many.n_unknown) == ("mit", 200, 0)
+
+
+def test_every_confirmed_notice_holds_a_key_word(docs_df):
+    keys = set(L.train(docs_df(corpus(7))).key_words)
+    for own in (sorted(L.shingles(L.words_of(t))) for ts in L.NOTICES.values() for t in ts):
+        spared = len(own) - math.ceil(L.SAME * len(own))
+        assert any(sum(k in r.split() for r in own) > spared for k in keys), own
