@@ -49,10 +49,12 @@ class WorkspaceView:
 def open_workspace(spark: SparkSession, root: str, settings: Settings | None = None,
                    profiles: Sequence[LogProfile] = (), detect_unresolved: bool = True,
                    view: ViewFilter | None = None, timestamp_field: str | None = None,
-                   line_cap: int | None = None) -> WorkspaceView:
+                   line_cap: int | None = None, sample_lines: int | None = None) -> WorkspaceView:
     """``view`` (and the ``timestamp_field`` its time range reads) decides what the
     status counts as shown; without it every row is shown.  ``line_cap`` loads the
-    first lines of each file only; the status says which files it cut.
+    first lines of each file only; the status says which files it cut.  Formats are
+    detected on whole files unless ``sample_lines`` limits that to the first lines of
+    each (the desktop tool looks at ``detect.SAMPLE_LINES``).
 
     Profile, encoding and detected format of a file reach its lines on the split
     table: no line text is shuffled before the event fold.
@@ -68,7 +70,7 @@ def open_workspace(spark: SparkSession, root: str, settings: Settings | None = N
     formats = None
     if detect_unresolved:
         unresolved = scan.lines(resolved).where(F.col("profile").isNull()).drop("profile")
-        formats = D.detect_formats(unresolved, D.SAMPLE_LINES).select(PATH, "delimiter", "field_count")
+        formats = D.detect_formats(unresolved, sample_lines).select(PATH, "delimiter", "field_count")
         resolved = resolved.join(formats, PATH, "left")
     else:
         resolved = resolved.withColumns({"delimiter": F.lit(None).cast("string"), "field_count": F.lit(None).cast("long")})

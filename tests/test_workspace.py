@@ -65,6 +65,14 @@ def test_status_says_profile_and_truncation_and_no_text_is_shuffled(spark, tmpdi
         assert not ("Exchange hashpartitioning" in line and "text" in line)
 
 
+def test_formats_are_detected_on_whole_files(spark, tmpdir_path):
+    from logweave.operators.detect import SAMPLE_LINES
+    touch(tmpdir_path, "changes.log", b"a,b\n" * SAMPLE_LINES + b"p|q\n")
+    for sample_lines, want in ((None, None), (SAMPLE_LINES, "(detected)")):  # a delimiter counts when every line has it
+        ws = open_workspace(spark, tmpdir_path, sample_lines=sample_lines)
+        assert [r.profile for r in ws.profiles.collect()] == [want]
+
+
 def test_intermediates_can_be_removed(spark):
     from logweave.plans import sizing
     df = sizing.materialize(spark.range(3))
