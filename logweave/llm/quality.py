@@ -14,7 +14,10 @@ number.  Names are hashed to 64 bits; features of fewer than ``MIN_ROWS`` traini
 rows are left out, so rare words cost and say nothing.
 
 The classifier is fitted on a bounded sample of labelled rows (about ``FIT_ROWS``,
-drawn by a hash of the id); scoring covers every row and every word.
+drawn by a hash of the id); scoring covers every row and every word.  Up to
+``DRIVER_CELLS`` cells (row, feature) the sample's matrix is fitted in the driver;
+a larger one, of longer documents, stays in Spark, where each step adds up the
+gradient over partitions and only vectors over the features reach the driver.
 
 Defined cases: a null or blank text has the one feature of being empty; without
 any usable label there is no model, the predictions are null and every row is
@@ -40,6 +43,8 @@ from .common import SLICE_ROWS, stored, unlike
 
 FIT_ROWS = 5_000
 MIN_ROWS = 12
+DRIVER_CELLS = 4_000_000
+GRADIENT_TASKS = 16
 GRADES = 3
 PENALTY = 1e-4
 ROUNDS = 60
@@ -175,12 +180,36 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, keys: np.nd
     in a few rows weigh more than the penalty alone would; grades count by the
     inverse root of their frequency.
     """
-    n, k, i = len(grades), len(keys), np.arange(len(grades))
-    scale = np.maximum(np.bincount(col, value * value, k) / n, 1e-12) ** 0.25
+    n, k = len(grades), len(keys)
+    scale = _scale(np.bincount(col, value * value, k), n)
     value = (value / scale[col]).astype(np.float32)
-    share = np.array([(grades == g).mean() for g in range(n_grades)]).clip(1 / n)
-    weight = (n_grades * share[grades]) ** -0.5
-    above = np.array([(grades > g).mean() for g in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
+    return _fit(keys, scale, np.bincount(grades, minlength=n_grades), lambda weight, w, theta: _sums(row, col, value, grades, weight, w, theta),
+                penalty, rounds)
+
+
+def _scale(squares: np.ndarray, n: int) -> np.ndarray:
+    return np.maximum(squares / n, 1e-12) ** 0.25
+
+
+def _sums(row, col, value, grades, weight, w, theta):
+    """Log likelihood of rows, and its slopes along the weights and the thresholds; ``weight`` is by grade."""
+    n, i, n_grades = len(grades), np.arange(len(grades)), len(weight)
+    weight = weight[grades]
+    score = np.bincount(row, w[col] * value, n)
+    tail = np.hstack([np.ones((n, 1)), _logistic(score[:, None] - theta), np.zeros((n, 1))])
+    slope = tail * (1 - tail)
+    p = np.maximum(tail[i, grades] - tail[i, grades + 1], 1e-12)
+    by_score = weight * (slope[i, grades] - slope[i, grades + 1]) / p
+    by_theta = (np.bincount(grades + 1, weight * slope[i, grades + 1] / p, n_grades + 1)
+                - np.bincount(grades, weight * slope[i, grades] / p, n_grades + 1))[1:-1]
+    return (weight * np.log(p)).sum(), np.bincount(col, by_score[row] * value, len(w)), by_theta
+
+
+def _fit(keys: np.ndarray, scale: np.ndarray, counts: np.ndarray, sums, penalty: float, rounds: int) -> OrdinalModel:
+    """The model from the rows' number by grade and ``sums(weight by grade, weights, thresholds)``."""
+    n, k, n_grades = counts.sum(), len(keys), len(counts)
+    weight = (n_grades * (counts / n).clip(1 / n)) ** -0.5
+    above = np.array([counts[g + 1:].sum() / n for g in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     theta = np.log(1 / above - 1)
     start = np.concatenate([np.zeros(k), theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))])
 
@@ -189,21 +218,71 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, keys: np.nd
 
     def loss(x):
         w = x[:k]
-        score = np.bincount(row, w[col] * value, n)
-        tail = np.hstack([np.ones((n, 1)), _logistic(score[:, None] - ordered(x)), np.zeros((n, 1))])
-        slope = tail * (1 - tail)
-        p = np.maximum(tail[i, grades] - tail[i, grades + 1], 1e-12)
-        by_score = weight * (slope[i, grades] - slope[i, grades + 1]) / p
-        by_theta = (np.bincount(grades + 1, weight * slope[i, grades + 1] / p, n_grades + 1)
-                    - np.bincount(grades, weight * slope[i, grades] / p, n_grades + 1))[1:-1]
+        gain, by_weight, by_theta = sums(weight, w, ordered(x))
         later = np.cumsum(by_theta[::-1])[::-1] / n
-        up = np.concatenate([np.bincount(col, by_score[row] * value, k) / n - penalty * w, later[:1], later[1:] * np.exp(x[k + 1:])])
-        return penalty / 2 * (w @ w) - (weight * np.log(p)).sum() / n, -up
+        up = np.concatenate([by_weight / n - penalty * w, later[:1], later[1:] * np.exp(x[k + 1:])])
+        return penalty / 2 * (w @ w) - gain / n, -up
 
     x = _lbfgs(loss, start, rounds)
     return OrdinalModel(dict(zip(keys.tolist(), (x[:k] / scale).tolist())), ordered(x))
 
 
+def fit_spread(table: DataFrame, keys: np.ndarray, counts: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> OrdinalModel:
+    """As ``fit_ordinal`` over ``table`` (grade, f), whose rows stay in Spark."""
+    sc, k = table.sparkSession.sparkContext, len(keys)
+    known = sc.broadcast(keys)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                cols, values = [], []
+                for f in part.column("f").to_pylist():
+                    name, value = np.array([x[0] for x in f], np.int64), np.array([x[1] for x in f], np.float32)
+                    col = np.minimum(np.searchsorted(known.value, name), k - 1)
+                    held = np.flatnonzero(known.value[col] == name)
+                    held = held[np.argsort(col[held])]
+                    cols.append(col[held].astype(np.int32))
+                    values.append(value[held])
+                yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array(cols, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+                                                 names=["grade", "col", "value"])
+
+    rows = stored(table.select("grade", "f").mapInArrow(run, "grade int, col array<int>, value array<float>")).coalesce(GRADIENT_TASKS)
+
+    def added(of_rows, n_sums: int) -> np.ndarray:
+        """Sums of ``of_rows(grades, row, col, value)`` over all rows."""
+        def run(batches):
+            total = np.zeros(n_sums)
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE_ROWS):
+                    part = batch.slice(at, SLICE_ROWS)
+                    col, value = part.column("col"), part.column("value").flatten().to_numpy()
+                    row = np.repeat(np.arange(part.num_rows), np.diff(col.offsets.to_numpy()))
+                    total += of_rows(part.column("grade").to_numpy(), row, col.flatten().to_numpy(), value)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        out = np.zeros(n_sums)
+        for r in rows.mapInArrow(run, "sums binary").collect():
+            out += np.frombuffer(bytes(r.sums))
+        return out
+
+    scale = _scale(added(lambda grades, row, col, value: np.bincount(col, value * value, k), k), counts.sum())
+
+    def sums(weight, w, theta):
+        sent = sc.broadcast((scale, w))
+
+        def of_rows(grades, row, col, value):
+            scale, w = sent.value
+            gain, by_weight, by_theta = _sums(row, col, (value / scale[col]).astype(np.float32), grades, weight, w, theta)
+            return np.concatenate([[gain], by_theta, by_weight])
+
+        got = added(of_rows, 1 + len(theta) + k)
+        sent.destroy()
+        return got[0], got[1 + len(theta):], got[1:1 + len(theta)]
+
+    return _fit(keys, scale, counts, sums, penalty, rounds)
+
+
 # ---- operator -----------------------------------------------------------------
 
 def grade(quality, toxic):
@@ -239,7 +318,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     cells = table.select("doc_id", F.explode("f").alias("key", "value"))
     common = cells.groupBy("key").count().where((F.col("count") >= min(min_rows, max(2, len(grades) // 50))))
-    keys = np.sort(np.array([r.key for r in common.select("key").collect()], np.int64))  # in at least min_rows of the drawn rows
+    got = common.collect()
+    keys = np.sort(np.array([r.key for r in got], np.int64))  # in at least min_rows of the drawn rows
+    if sum(r["count"] for r in got) > DRIVER_CELLS:
+        return fit_spread(table, keys, np.bincount(list(grades.values()), minlength=GRADES))
     ids = np.array(sorted(grades))
     got = cells.join(F.broadcast(common.select("key")), "key").select("doc_id", "key", F.col("value").cast("float")).toArrow()
     # the drawn rows' features, as a sparse matrix in an order of its own

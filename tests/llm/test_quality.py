@@ -90,3 +90,16 @@ def test_lowest_of_several_labels(spark):
     g = Q.grade(F.col("quality"), F.col("toxic"))
     df = spark.createDataFrame([(0, 1, 0), (1, 1, None), (2, 1, 1), (3, 0, 0)], LABELS)
     assert [r.g for r in df.orderBy("doc_id").select(g.alias("g")).collect()] == [2, 2, 1, 0]
+
+
+def test_larger_matrices_are_fitted_in_spark(spark, docs_df, monkeypatch):
+    docs, labels = corpus(200, 5)
+    df, marks = docs_df(docs + [(900, ""), (901, None)]), spark.createDataFrame([*labels, (900, 0, 0), (901, 1, 0)], LABELS)
+    want = Q.train(df, marks)
+    monkeypatch.setattr(Q, "DRIVER_CELLS", 100)
+    monkeypatch.setattr(Q, "fit_ordinal", None)  # the matrix does not reach the driver
+    got = Q.train(df.repartition(5), marks)
+    assert sorted(got.weights) == sorted(want.weights)
+    assert max(abs(got.weights[f] - w) for f, w in want.weights.items()) < 1e-2 and np.allclose(got.thresholds, want.thresholds, atol=1e-2)
+    for _, text in docs:
+        assert np.allclose(got.tails(np.array([got.score(text, {})])), want.tails(np.array([want.score(text, {})])), atol=1e-2)
