@@ -11,23 +11,28 @@ document's id and text, so it is the same in every run and on every cluster.
 Only the first aggregation and the last lookup see documents.  The raking works on
 the cell table, whose size is that of the combinations of categories: up to
 ``SMALL_CELLS`` rows it runs in one task without a shuffle, beyond that its sums
-are shuffled; the arithmetic is the same.
+are shuffled by category and totals are added up over partitions; the arithmetic is
+the same, and no task has to take the whole table.
 
 Defined cases: null categories are categories of their own; documents without
 tokens (null, empty or blank texts) weigh nothing and are never drawn; a category
 without a target gets weight 0, a target without text is left out and the rest
 scaled up; targets that contradict each other are met as far as ``ROUNDS`` rounds
-bring them; repeated rows share one fate; extra columns are kept.
+bring them, and a warning says how far marginals are off then; repeated rows share one fate; extra columns are kept.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored
 
+LOG = logging.getLogger(__name__)
+
 MARGINS = ("source", "lang", "topic")
 TEMPER = 0.5       # default target of a category: its share of the tokens to this power
 BUDGET = 0.5       # share of all tokens to keep
@@ -61,8 +66,9 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
 
 
-def _everything() -> W:
-    return W.partitionBy()
+def _with_totals(cells: DataFrame, **sums: Column) -> DataFrame:
+    """``cells`` with sums over all of them, as columns."""
+    return cells.crossJoin(F.broadcast(cells.agg(*[F.sum(c).alias(n) for n, c in sums.items()])))
 
 
 def with_targets(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
@@ -72,20 +78,20 @@ def with_targets(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
         if m in targets:
             wanted = targets[m].select(F.col("value").alias("_v"), F.col("share").cast("double").alias("_s"))
             cells = cells.join(F.broadcast(wanted), F.col(m).eqNullSafe(F.col("_v")), "left").drop("_v")
-            cells = cells.withColumn("_s", F.coalesce("_s", F.lit(0.0))).withColumn("_n", size)
+            cells = cells.withColumn(f"t_{m}", F.coalesce("_s", F.lit(0.0))).drop("_s").withColumn(f"_n_{m}", size)
         else:
-            cells = cells.withColumn("_n", size).withColumn("_s", F.pow(F.col("_n").cast("double"), F.lit(TEMPER)))
-        # each category counts once: its cells' parts of it add up to one
-        total = F.sum(F.col("_s") * F.col("tokens") / F.col("_n")).over(_everything())
-        cells = cells.withColumn(f"t_{m}", F.col("_s") / total).drop("_s", "_n")
-    return cells
+            cells = cells.withColumn(f"_n_{m}", size).withColumn(f"t_{m}", F.pow(F.col(f"_n_{m}").cast("double"), F.lit(TEMPER)))
+    # each category counts once: its cells' parts of it add up to one
+    cells = _with_totals(cells, **{f"_t_{m}": F.col(f"t_{m}") * F.col("tokens") / F.col(f"_n_{m}") for m in MARGINS})
+    cells = cells.withColumns({f"t_{m}": F.col(f"t_{m}") / F.col(f"_t_{m}") for m in MARGINS})
+    return cells.drop(*[f"_{x}_{m}" for x in "nt" for m in MARGINS])
 
 
 def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (with targets) with ``weight``: shares that meet the targets, adding up to one."""
-    cells = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(_everything()))
+    cells = _with_totals(cells, _all=F.col("tokens")).withColumn("weight", F.col("tokens") / F.col("_all")).drop("_all")
     small = cells.count() <= SMALL_CELLS
-    done = 0
+    done, error = 0, 0.0
     while done < rounds:
         for _ in range(min(ROUNDS_A_JOB, rounds - done)):
             for m in MARGINS:
@@ -97,23 +103,29 @@ def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             cells = cells.coalesce(1)
         off = [F.max(F.abs(F.col(f"s_{m}") - F.col(f"t_{m}"))) for m in MARGINS]
         sums = cells.withColumns({f"s_{m}": F.sum("weight").over(W.partitionBy(m)) for m in MARGINS})
-        if max(x or 0.0 for x in sums.agg(*off).first()) <= TOLERANCE:
+        error = max(x or 0.0 for x in sums.agg(*off).first())
+        if error <= TOLERANCE:
             break
+    if error > TOLERANCE:
+        LOG.warning("marginals are off by up to %.3g after %d rounds", error, done)
     return cells
 
 
 def with_probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """``cells`` with ``probability`` = min(1, scale * weight / tokens), the scale such
     that the expected tokens are ``budget`` of all."""
-    every = _everything()
     cells = cells.withColumn("ratio", F.col("weight") / F.col("tokens"))
-    larger = every.orderBy(F.desc("ratio"), *MARGINS).rowsBetween(W.unboundedPreceding, -1)
-    left = F.lit(budget) * F.sum("tokens").over(every) - F.coalesce(F.sum("tokens").over(larger), F.lit(0))
-    rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(larger), F.lit(0.0))
-    # the scale if all cells of a larger ratio are kept whole; the true one keeps no further cell whole
-    cells = cells.withColumn("_scale", F.when((rest > 0) & (left > 0), left / rest))
-    fits = F.when(F.col("_scale") * F.col("ratio") <= 1, F.col("_scale"))
-    cells = cells.withColumn("_scale", F.max(fits).over(every))
+    # cells of too large a ratio are kept whole and the scale rises for the others, until no further cell is whole
+    scale, whole = None, -1
+    while True:
+        kept = F.lit(scale) * F.col("ratio") > 1 if scale is not None else F.lit(False)
+        n, tokens, held, weight = cells.agg(F.count(F.when(kept, 1)), F.sum("tokens"), F.sum(F.when(kept, F.col("tokens"))),
+                                            F.sum(F.when(~kept, F.col("weight")))).first()
+        wanted = budget * (tokens or 0)
+        if n == whole or not weight or wanted <= (held or 0):
+            break
+        whole, scale = n, max(scale or 0.0, (wanted - (held or 0)) / weight)
+    cells = cells.withColumn("_scale", F.lit(scale).cast("double"))
     p = F.coalesce(F.least(F.lit(1.0), F.col("_scale") * F.col("ratio")), F.when(F.col("weight") > 0, 1.0).otherwise(0.0))
     return cells.withColumn("probability", p).drop("_scale", "ratio")
 

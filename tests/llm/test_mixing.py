@@ -96,3 +96,17 @@ def test_large_cell_tables_shuffle_to_the_same_result(docs_df, monkeypatch):
     a = sorted(map(tuple, M.mixture_of_documents(docs_df(rows)).collect()))
     monkeypatch.setattr(M, "SMALL_CELLS", 0)
     assert a == sorted(map(tuple, M.mixture_of_documents(docs_df(rows)).collect()))
+
+
+def test_no_task_takes_the_whole_cell_table(docs_df, monkeypatch, caplog):
+    monkeypatch.setattr(M, "SMALL_CELLS", 0)
+    cells = M.cells_of(prepared(docs_df, corpus(120, 7)))
+    targets = M.with_targets(cells, {})
+    for step in (targets, M.with_probabilities(targets.withColumn("weight", F.lit(0.1)))):
+        for line in step._jdf.queryExecution().optimizedPlan().toString().splitlines():
+            assert "Window" not in line or any(f"[{m}#" in line for m in M.MARGINS), line
+    M.rake(targets, rounds=1)
+    assert "marginals are off by up to" in caplog.text
+    caplog.clear()
+    M.rake(targets)
+    assert not caplog.text
