@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import neighbours_of_embeddings
 from .common import read_table
 from .decontaminate import contamination_report
+from .fim import transformed_documents
 from .htmltext import page_texts
 from .langid import language_of_documents
 from .license import licences_of_documents
@@ -56,6 +57,10 @@ def op10_ann(spark, sf_dir):
     return neighbours_of_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_fill_in_middle(spark, sf_dir):
+    return transformed_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -67,4 +72,5 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_ann": op10_ann,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }

@@ -119,8 +119,31 @@ SELECT doc_id, d.topic, n_tokens, round(coalesce(weight, 0), 6) AS cell_weight,
 FROM d LEFT JOIN scaled s ON d.source IS NOT DISTINCT FROM s.source AND d.lang IS NOT DISTINCT FROM s.lang AND d.topic = s.topic
 """
 
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS g,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+h AS (
+  SELECT doc_id, t, u, len(u)::BIGINT AS n, ('0x' || substr(g, 1, 8))::BIGINT % (len(u) + 1) AS c1,
+    ('0x' || substr(g, 9, 8))::BIGINT % (len(u) + 1) AS c2, ('0x' || substr(g, 17, 8))::BIGINT % 100 AS h3,
+    ('0x' || substr(g, 25, 8))::BIGINT % 100 AS h4 FROM d),
+p AS (
+  SELECT *, coalesce(array_to_string(list_slice(u, 1, least(c1, c2)), ''), '') AS pre,
+    coalesce(array_to_string(list_slice(u, least(c1, c2) + 1, greatest(c1, c2)), ''), '') AS mid,
+    coalesce(array_to_string(list_slice(u, greatest(c1, c2) + 1, n), ''), '') AS suf,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 50 THEN 'plain'
+      WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
 SQL: dict[str, str] = {
     "op5_source_mixing": OP5,
     "op2_secret_scan": OP2,
     "op4_benchmark_decontamination": OP4,
+    "op13_fill_in_middle": OP13,
 }

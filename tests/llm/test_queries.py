@@ -14,6 +14,8 @@ COLUMNS = {
                                       "items_sha256": "string", "contaminated": "boolean"},
     "op8_html_extraction": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     "op9_simhash_neardup": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op13_fill_in_middle": {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint",
+                            "output_sha256": "string", "restored_sha256": "string"},
     "op10_ann": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
 }
 TABLE = {"op8_html_extraction": "pages"}
@@ -21,7 +23,7 @@ TABLE = {"op8_html_extraction": "pages"}
 
 def test_one_query_for_each_operator_and_the_pipeline():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == [*range(1, 11), 13]
     assert "pipeline" in E.queries()
     assert set(Q.SQL) <= set(names)
 
