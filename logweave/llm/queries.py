@@ -10,6 +10,7 @@ from .htmltext import page_texts
 from .langid import language_of_documents
 from .license import licences_of_documents
 from .mixing import mixture_of_documents
+from .pack import packed_documents
 from .quality import grade_documents
 from .secrets import secrets_of_documents
 from .simhash import simhash_groups
@@ -57,6 +58,10 @@ def op10_ann(spark, sf_dir):
     return neighbours_of_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_packing(spark, sf_dir):
+    return packed_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark, sf_dir):
     return transformed_documents(read_table(spark, sf_dir, "documents"))
 
@@ -72,5 +77,6 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_ann": op10_ann,
+    "op12_packing": op12_packing,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
