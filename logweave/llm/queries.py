@@ -16,6 +16,7 @@ from .secrets import secrets_of_documents
 from .simhash import simhash_groups
 from .sql import SQL  # noqa: F401  (exported with the queries)
 from .tokencount import maintained_counts
+from .trie import trie_of_conversations
 
 
 def op1_language_id(spark, sf_dir):
@@ -58,6 +59,10 @@ def op10_ann(spark, sf_dir):
     return neighbours_of_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return trie_of_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_packing(spark, sf_dir):
     return packed_documents(read_table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_ann": op10_ann,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_packing": op12_packing,
     "op13_fill_in_middle": op13_fill_in_middle,
 }

@@ -119,6 +119,36 @@ SELECT doc_id, d.topic, n_tokens, round(coalesce(weight, 0), 6) AS cell_weight,
 FROM d LEFT JOIN scaled s ON d.source IS NOT DISTINCT FROM s.source AND d.lang IS NOT DISTINCT FROM s.lang AND d.topic = s.topic
 """
 
+# The CRC-32 of a decimal id, byte by byte and bit by bit (3988292384: the reversed polynomial).
+_CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT),
+  lambda acc, ch: list_reduce(list_prepend(xor(acc, ch), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+    lambda a, b: xor(a >> 1, 3988292384::UBIGINT * (a & 1))), 4294967295::UBIGINT))"""
+
+OP11 = rf"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS s,
+    ({_CRC32} % 4)::BIGINT AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+seq AS MATERIALIZED (
+  SELECT o.conv_id AS c, list_concat(coalesce(list_slice(f.s, 1, o.h), []), list_slice(o.s, o.h + 1, len(o.s))) AS s
+  FROM own o LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 20),
+pre AS MATERIALIZED (
+  SELECT c, len(s) AS n, d, list_slice(s, 1, d) AS key FROM (SELECT c, s, unnest(generate_series(0, len(s))) AS d FROM seq)),
+nodes AS MATERIALIZED (
+  SELECT d, key, min(c) AS conv_id, count(*)::BIGINT AS n_convs, max(n) = d AS leaf,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(key[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM pre GROUP BY d, key),
+below AS (
+  SELECT p.d, p.key, count(*) FILTER (u.d = p.d + 1) AS n_children, count(*) FILTER (u.leaf) AS n_leaves,
+    sum((u.n_convs - 1) * u.words) AS saved_tokens
+  FROM pre p JOIN nodes u ON u.conv_id = p.c AND u.d >= p.d GROUP BY p.d, p.key)
+SELECT v.conv_id, v.d::BIGINT AS depth, up.conv_id AS parent_conv_id, v.n_convs, n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN below b ON b.d = v.d AND b.key = v.key
+  LEFT JOIN nodes up ON up.d = v.d - 1 AND up.key = list_slice(v.key, 1, v.d - 1)
+"""
+
 OP13 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS g,
@@ -145,5 +175,6 @@ SQL: dict[str, str] = {
     "op5_source_mixing": OP5,
     "op2_secret_scan": OP2,
     "op4_benchmark_decontamination": OP4,
+    "op11_prefix_trie": OP11,
     "op13_fill_in_middle": OP13,
 }
