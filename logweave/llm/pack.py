@@ -35,6 +35,7 @@ import bisect
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -54,8 +55,9 @@ TIERS = (4096, 2048, 1024, 512)
 BLOCK_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
 
-MEMORY_WORDS = 300_000  # words remembered by a Python worker
-LONG_WORD = 64  # longer ones are not remembered
+# What a Python worker remembers: so many words and characters of them, checked before every part.
+MEMORY_WORDS = 500_000
+WORD_CHARS = 16
 PART_CHARS = 1 << 18  # a text is encoded in parts of about this many characters
 
 PIECE_SCHEMA = ("start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window long, "
@@ -64,9 +66,10 @@ PIECE_SCHEMA = ("start long, length long, ids binary, doc_tokens long, sequence_
 
 # ---- tokens -------------------------------------------------------------------
 
-# Characters that Unicode normalisation leaves alone and whose lower case is one
-# character whatever stands beside them: ASCII and the Latin letters up to U+024F.
-_PLAIN = "".join(chr(c) for c in [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)] if c != 0x130)
+# Characters that Unicode normalisation leaves alone and whose lower case is one of
+# them whatever stands beside it: ASCII and the Latin letters up to U+024F, less a few.
+_LATIN = [chr(c) for c in [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)]]
+_PLAIN = "".join(c for c in _LATIN if c.lower() in _LATIN)
 _GAPS = re.compile("[\t\n\r ]")
 
 
@@ -79,17 +82,26 @@ class WordPieces:
 
     The short way needs a file whose rules are: NFC, runs of white space to one blank,
     lower case; then a pattern that keeps its matches only, then bytes.  White space
-    then always parts tokens, and in a run of plain characters the pattern's matches can
-    be found by Python and looked up one by one.  Words with other characters or with
-    an added token go to the library; so does every text under any other rules.
+    then always parts tokens, so a run of plain characters is split into words, each is
+    looked up, and the ids of all are gathered at once; a new word is cut by the file's
+    own pattern and each match encoded by the library's model.  Words with other
+    characters or with an added token go to the library; so does every text under any
+    other rules.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
         self.coder = Tokenizer.from_str(spec)
-        self.known: dict[str, tuple[int, ...]] = _Remembered(self._encoded)
+        self.words, self.matches = _Remembered(self._add), _Remembered(self._encoded)
+        self._forget()
         self.pattern = self._short_way(json.loads(spec))
 
+    def _forget(self) -> None:
+        """Words are numbered; word k has the ids from bounds[k] to bounds[k + 1]."""
+        self.words.clear()
+        self.matches.clear()
+        self.flat, self.bounds, self.chars = array("I"), array("q", [0]), 0
+
     def _short_way(self, spec: dict) -> re.Pattern | None:
         steps = (spec.get("normalizer") or {}).get("normalizers") or []
         cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
@@ -102,30 +114,46 @@ class WordPieces:
         if not fits:
             return None
         self.special = re.compile("|".join(["[^" + re.escape(_PLAIN) + "]", *map(re.escape, added)]))
+        self.bytewise = {ord(c): "".join(part for part, _ in self.coder.pre_tokenizer.pre_tokenize_str(c)) for c in _PLAIN if not c.isspace()}
         pattern = cuts[0]["pattern"]["Regex"]
         for name, chars in (("\\p{L}", _class_of("L")), ("\\p{N}", _class_of("N")), ("\\s", "\\t\\n\\r ")):
             pattern = pattern.replace(name, chars)
         return None if "\\p" in pattern else re.compile(pattern)
 
-    def _encoded(self, word: str) -> tuple[int, ...]:
-        if not word.isascii():
-            word = "".join(part for part, _ in self.coder.pre_tokenizer.pre_tokenize_str(word))
-        return tuple(t.id for t in self.coder.model.tokenize(word))
-
-    def _plain(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(text.lower())))
+    def _encoded(self, match: str) -> tuple[int, ...]:
+        if not match.isascii():
+            match = match.translate(self.bytewise)
+        return tuple([t.id for t in self.coder.model.tokenize(match)])
+
+    def _add(self, word: str) -> int:
+        for match in self.pattern.findall(word):
+            self.flat.extend(self.matches[match])
+        self.bounds.append(len(self.flat))
+        self.chars += len(word)
+        return len(self.bounds) - 2
+
+    def _plain(self, text: str) -> np.ndarray:
+        if len(self.words) >= MEMORY_WORDS or self.chars >= MEMORY_WORDS * WORD_CHARS:
+            self._forget()
+        words = text.lower().split()
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        bounds, flat = np.frombuffer(self.bounds, np.int64), np.frombuffer(self.flat, np.uint32)
+        starts = bounds[at]
+        counts = bounds[at + 1] - starts
+        ends = np.cumsum(counts)
+        return flat[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
     def _part(self, text: str) -> np.ndarray:
         if not self.special.search(text):
-            return np.fromiter(self._plain(text), np.uint32)
+            return self._plain(text)
         found, run = [], []
         for word in _GAPS.split(text):
             if self.special.search(word):
-                found += [self._plain(" ".join(run)), self.coder.encode(word, add_special_tokens=False).ids]
+                found += [self._plain(" ".join(run)), np.array(self.coder.encode(word, add_special_tokens=False).ids, dtype=np.uint32)]
                 run = []
             else:
                 run.append(word)
-        return np.fromiter(chain(*found, self._plain(" ".join(run))), np.uint32)
+        return np.concatenate([*found, self._plain(" ".join(run))])
 
     def ids(self, text: str) -> np.ndarray:
         if self.pattern is None:
@@ -142,16 +170,12 @@ class WordPieces:
 
 
 class _Remembered(dict):
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, found):
+        self.found = found
 
     def __missing__(self, word: str):
-        ids = self.encode(word)
-        if len(word) <= LONG_WORD:
-            if len(self) >= MEMORY_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        value = self[word] = self.found(word)
+        return value
 
 
 _coders: dict[int, WordPieces] = {}
