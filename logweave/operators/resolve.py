@@ -8,7 +8,7 @@ kept -- a join on equality, never a prefix scan of assignments per file.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,21 @@ def ancestors(dir_col: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))
 
 
+def profile_of(path: Column, assignments: Mapping[str, str], overrides: Mapping[str, str], known: Collection[str]) -> Column:
+    """``resolve_profiles`` as an expression of a path, for streams: the assignments become part of the plan.
+
+    Override first, else the deepest assigned folder; NULL without one, or when it names no known profile.
+    """
+    np = norm_path(path)
+    own = F.when(np.contains("\\"), parent_dir(np)).otherwise(F.lit(""))
+    above = F.concat(ancestors(own), F.array(own))
+    deepest_first = sorted(assignments.items(), key=lambda kv: -len(kv[0].removeprefix("file:").removeprefix("//").rstrip("/\\")))
+    rules = [F.when(np == norm_path(F.lit(k)), F.lit(v)) for k, v in overrides.items()]
+    rules += [F.when(F.array_contains(above, norm_path(F.lit(k))), F.lit(v)) for k, v in deepest_first]
+    found = F.coalesce(*rules) if rules else F.lit(None).cast("string")
+    return F.when(found.isin(list(known) or [""]), found)
+
+
 def assignments_frame(spark: SparkSession, assignments: Mapping[str, str], key: str) -> DataFrame:
     rows = [(k, v, i) for i, (k, v) in enumerate(assignments.items())]
     return spark.createDataFrame(rows, f"{key} string, profile string, ordinal int")

@@ -12,6 +12,10 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# The state store that streaming state with lists and timers (``streaming.live.fold_events``) needs.
+ROCKSDB_STATE = ("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 # Settings the engine relies on.  AQE re-plans joins and coalesces partitions at
 # run time; skew handling splits a hot (path, block) partition of a join.
 ENGINE_CONF = {
@@ -22,6 +26,7 @@ ENGINE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    ROCKSDB_STATE[0]: ROCKSDB_STATE[1],
 }
 
 

@@ -78,6 +78,59 @@ def entries(path: str, deep: bool) -> list[tuple]:
             if f.type in (pafs.FileType.File, pafs.FileType.Directory)]
 
 
+def children(folder: str) -> list[tuple] | None:
+    """(path, is a folder, size, time of change in ns) of a folder's entries; None when it cannot be listed."""
+    try:
+        fsys, inner = resolve(folder)
+        found = fsys.get_file_info(pafs.FileSelector(inner, recursive=False))
+    except (OSError, ValueError):
+        return None
+    return [(_join(folder, f.path), f.type == pafs.FileType.Directory, f.size or 0, f.mtime_ns or 0)
+            for f in found if f.type in (pafs.FileType.File, pafs.FileType.Directory)]
+
+
+def look(paths: list[str]) -> dict[str, tuple[int, int] | None]:
+    """(size, time of change in ns) of each file; None for one that is no file or cannot be read."""
+    out: dict[str, tuple[int, int] | None] = {}
+    for path in paths:
+        try:
+            fsys, inner = resolve(path)
+            info = fsys.get_file_info(inner)
+        except (OSError, ValueError):
+            out[path] = None
+            continue
+        out[path] = (info.size, info.mtime_ns or 0) if info.type == pafs.FileType.File else None
+    return out
+
+
+def changed_at(folder: str) -> int | None:
+    """A folder's time of change in ns; None where the storage has none."""
+    try:
+        fsys, inner = resolve(folder)
+        info = fsys.get_file_info(inner)
+    except (OSError, ValueError):
+        return None
+    return info.mtime_ns if info.type == pafs.FileType.Directory and isinstance(fsys, pafs.LocalFileSystem) else None
+
+
+def write(uri: str, data: bytes) -> None:
+    """A file written as a whole: under another name first, so no reader sees half of it."""
+    fsys, inner = resolve(uri)
+    fsys.create_dir(inner.rpartition("/")[0], recursive=True)
+    part = f"{inner}.part"
+    with fsys.open_output_stream(part) as fh:
+        fh.write(data)
+    fsys.move(part, inner)
+
+
+def remove(uri: str) -> None:
+    fsys, inner = resolve(uri)
+    try:
+        fsys.delete_file(inner)
+    except FileNotFoundError:
+        pass
+
+
 def read(uri: str, start: int, length: int) -> bytes:
     """``length`` bytes from ``start`` (fewer at end of file)."""
     fsys, p = resolve(uri)
@@ -104,6 +157,16 @@ def next_break(data: bytes, pos: int, begin: int, brk: bytes) -> int | None:
     return at if at >= 0 else None
 
 
+def count_breaks(data: bytes, begin: int, brk: bytes) -> int:
+    """Line breaks in the data."""
+    if len(brk) == 1:
+        return data.count(brk)
+    n, at = 0, next_break(data, 0, begin, brk)
+    while at is not None:
+        n, at = n + 1, next_break(data, at + len(brk), begin, brk)
+    return n
+
+
 def last_break(data: bytes, begin: int, brk: bytes) -> int | None:
     """File offset of the last line break that lies wholly in the data."""
     at = data.rfind(brk)
