@@ -21,10 +21,10 @@ queries stream past them, so its memory is bounded by the shard.
 Fitted on bounded samples: the codebooks (``FIT_ROWS``) and the depth
 (``CALIBRATION_QUERIES``).  Every row is indexed and is a candidate.
 
-Defined cases: vectors that are null, zero, hold a null or non-finite component,
-have no id, or have another length than most of the table's take no part; rows of
-one id are one vector (the smallest in array order); ties go to the smaller id; an
-empty table gives an empty result; extra columns are ignored.
+Defined cases: vectors that are null, zero, hold a null or non-finite component, or
+have no id take no part; vectors of each length are searched among themselves; rows of
+one id are rows of their own; ties go to the smaller id; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -129,14 +129,12 @@ def last_sum(u, v, counts, depth) -> float:
 # ---- rows ---------------------------------------------------------------------
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, x array<double>): one row per id with a proper vector."""
+    """(row, id, x array<double>): the rows with a proper vector, each under a key of its own."""
     x = F.col(vector_col)
     good = (F.col(id_col).isNotNull() & x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
             & F.exists(x, lambda e: e != 0))
-    rows = df.where(good).select(F.col(id_col).cast("bigint").alias("id"), x.cast("array<double>").alias("x"))
-    rows = stored(rows.groupBy("id").agg(F.min("x").alias("x")))
-    sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("x") == (sizes.d if sizes else 0))
+    return stored(df.where(good).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"),
+                                        x.cast("array<double>").alias("x")))
 
 
 def matrix(column) -> np.ndarray:
@@ -197,7 +195,7 @@ def fit(rows: DataFrame, n: int, dims: int) -> Codebooks:
     sample = _drawn(rows, FIT_ROWS / n, "fit").collect()
     if not sample:
         sample = rows.limit(1).collect()
-    x = np.array([r.x for r in sorted(sample, key=lambda r: r.id)])
+    x = np.array([r.x for r in sorted(sample, key=lambda r: (r.id, r.x))])
     k = int(min(MAX_CENTROIDS, max(1, round((n / CELL_ROWS) ** 0.5)), len(x)))
     cut = (dims + 1) // 2
     return Codebooks(kmeans(x[:, :cut], k), kmeans(x[:, cut:], k) if cut < dims else np.zeros((1, 0)))
@@ -207,18 +205,18 @@ def assign(rows: DataFrame, books: Codebooks) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(books.cells(matrix(b.column("x"))))], names=["id", "x", "cell"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(books.cells(matrix(b.column("x"))))], names=["row", "id", "x", "cell"])
 
-    return rows.select("id", "x").mapInArrow(run, "id bigint, x array<double>, cell bigint")
+    return rows.select("row", "id", "x").mapInArrow(run, "row bigint, id bigint, x array<double>, cell bigint")
 
 
 def calibrate(index: DataFrame, queries: DataFrame, n_queries: int, books: Codebooks, counts: np.ndarray, k: int,
               recall: float) -> int:
     """Entries to visit so that ``recall`` of the sampled queries' true neighbours are found."""
-    drawn = sorted(_drawn(queries, CALIBRATION_QUERIES / n_queries, "calibrate").collect(), key=lambda r: r.id)
+    drawn = sorted(_drawn(queries, CALIBRATION_QUERIES / n_queries, "calibrate").collect(), key=lambda r: (r.id, r.x))
     if not drawn:
         drawn = queries.limit(1).collect()
-    ids, q = np.array([r.id for r in drawn]), np.array([r.x for r in drawn])
+    of, q = np.array([r.row for r in drawn]), np.array([r.x for r in drawn])
 
     def run(batches):
         for b in batches:
@@ -226,7 +224,7 @@ def calibrate(index: DataFrame, queries: DataFrame, n_queries: int, books: Codeb
             if not len(x):
                 continue
             scores = q @ x.T
-            scores[ids[:, None] == own[None, :]] = -np.inf
+            scores[of[:, None] == b.column("row").to_numpy()[None, :]] = -np.inf
             found = [best(s, own, x, one, k) for s, one in zip(scores, q)]
             many = [len(f[1]) for f in found]
             yield pa.RecordBatch.from_arrays([
@@ -256,12 +254,21 @@ def calibrate(index: DataFrame, queries: DataFrame, n_queries: int, books: Codeb
 
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS,
            recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: each query row's k nearest other rows."""
-    spark = df.sparkSession
-    ship_package(spark)
-    schema = "query_id bigint, vec_id bigint, score double"
+    """query_id, rank, vec_id, score: each query row's k nearest other rows, of its vector's length.
+
+    Rows of one id are rows of their own, as queries (each with its ranks) and as candidates.
+    """
+    ship_package(df.sparkSession)
     rows = usable(df, id_col, vector_col)
-    n, dims = rows.agg(F.count("*"), F.max(F.size("x"))).first()
+    found = df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for r in rows.groupBy(F.size("x").alias("dims")).count().orderBy("dims").collect():  # vectors of one length have products
+        found = found.unionByName(_search(rows.where(F.size("x") == r.dims), is_query, r["count"], r.dims, k, recall))
+    return found
+
+
+def _search(rows: DataFrame, is_query: Column, n: int, dims: int, k: int, recall: float) -> DataFrame:
+    spark = rows.sparkSession
+    schema = "query bigint, query_id bigint, vec_id bigint, score double"
     queries = rows.where(is_query)
     n_queries = queries.count()
     if not n_queries:
@@ -274,16 +281,16 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     depth = calibrate(index, queries, n_queries, books, counts, k, recall)
     plan = _lay_out(books, counts)
     width = counts.shape[1]
-    fields = "shard bigint, is_query boolean, id bigint, x array<double>, cell bigint, floor double"
-    names = ["shard", "is_query", "id", "x", "cell", "floor"]
+    fields = "shard bigint, is_query boolean, row bigint, id bigint, x array<double>, cell bigint, floor double"
+    names = ["shard", "is_query", "row", "id", "x", "cell", "floor"]
 
     def deal_rows(batches):
         for b in batches:
-            own, cell = b.column("id").to_numpy(), b.column("cell").to_numpy()
+            own, cell = b.column("row").to_numpy(), b.column("cell").to_numpy()
             line = cell // width
             mixed = (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             shard = plan.shard[line] + (mixed % plan.parts[line].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.zeros(len(own), bool)), b.column("id"), b.column("x"),
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.zeros(len(own), bool)), b.column("row"), b.column("id"), b.column("x"),
                                               b.column("cell"), pa.nulls(len(own), pa.float64())], names=names)
 
     def deal_queries(batches):
@@ -301,12 +308,12 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
                 if at.size:
                     take = pa.array(at)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(at.size, s)), pa.array(np.ones(at.size, bool)), b.column("id").take(take),
+                        pa.array(np.full(at.size, s)), pa.array(np.ones(at.size, bool)), b.column("row").take(take), b.column("id").take(take),
                         b.column("x").take(take), pa.nulls(at.size, pa.int64()), pa.array(floor[at])], names=names)
 
     def score(batches):
         """Rows arrive by shard, a shard's entries before its queries."""
-        shard, held, x, ids, cell = None, [], None, None, None
+        shard, held, x, ids, row, cell = None, [], None, None, None, None
         for b in batches:
             keys = b.column("shard").to_numpy()
             kinds = b.column("is_query").to_numpy(zero_copy_only=False)
@@ -318,27 +325,29 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
                 if keys[low] != shard:
                     shard, held, x = keys[low], [], None
                 if not kinds[low]:
-                    held.append((matrix(part.column("x")).copy(), part.column("id").to_numpy().copy(), part.column("cell").to_numpy().copy()))
+                    held.append((matrix(part.column("x")).copy(), *[part.column(c).to_numpy().copy() for c in ("id", "row", "cell")]))
                     continue
                 if not held:
                     continue
                 if x is None:
-                    x, ids, cell = (np.concatenate([h[i] for h in held]) for i in range(3))
+                    x, ids, row, cell = (np.concatenate([h[i] for h in held]) for i in range(4))
                 for at in range(0, part.num_rows, STEP):
                     few = part.slice(at, STEP)
-                    q, own, floor = matrix(few.column("x")), few.column("id").to_numpy(), few.column("floor").to_numpy()
+                    q, own, floor = matrix(few.column("x")), few.column("row").to_numpy(), few.column("floor").to_numpy()
                     u, v = books.partial(q)
                     s = q @ x.T
-                    s[(u[:, cell // width] + v[:, cell % width] < floor[:, None]) | (own[:, None] == ids[None, :])] = -np.inf
+                    s[(u[:, cell // width] + v[:, cell % width] < floor[:, None]) | (own[:, None] == row[None, :])] = -np.inf
                     found = [best(line, ids, x, one, k) for line, one in zip(s, q)]
+                    many = [len(f[0]) for f in found]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(own, [len(f[0]) for f in found])), pa.array(np.concatenate([f[1] for f in found])),
-                        pa.array(np.concatenate([f[0] for f in found]))], names=["query_id", "vec_id", "score"])
+                        pa.array(np.repeat(own, many)), pa.array(np.repeat(few.column("id").to_numpy(), many)),
+                        pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[0] for f in found]))],
+                        names=["query", "query_id", "vec_id", "score"])
 
     parts = min(plan.shards, 4 * spark.sparkContext.defaultParallelism) if plan.shards < 4096 else plan.shards
     dealt = index.mapInArrow(deal_rows, fields).union(queries.mapInArrow(deal_queries, fields))
     found = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "is_query").mapInArrow(score, schema)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

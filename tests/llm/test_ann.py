@@ -10,11 +10,12 @@ def frame(spark, rows):
 
 
 def brute(rows, k=20):
-    v = {i: np.array(x, np.float32).astype(float) for i, x in rows}
+    """Every row but the query's own is a candidate, rows of one id too (query ids are distinct here)."""
+    v = [(i, np.array(x, np.float32).astype(float)) for i, x in rows]
     out = {}
-    for q in v:
+    for at, (q, x) in enumerate(v):
         if q % 20 == 0:
-            s = sorted(((-(v[i] * v[q]).sum(), i) for i in v if i != q))[:k]
+            s = sorted((-(y * x).sum(), i) for k_, (i, y) in enumerate(v) if k_ != at)[:k]
             out[q] = [(i, -s_) for s_, i in s]
     return out
 
@@ -62,7 +63,7 @@ def test_vectors_that_take_no_part(spark):
     rows = good + [(40, None), (60, [0.0] * 4), (80, [1.0, None, 1.0, 1.0]), (100, [float("nan"), 1.0, 1.0, 1.0]),
                    (120, [float("inf"), 1.0, 1.0, 1.0]), (140, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (160, [])]
     rows += [good[3], good[3]]
-    got, want = result(A.neighbours_of_embeddings(frame(spark, rows))), brute(good)
+    got, want = result(A.neighbours_of_embeddings(frame(spark, rows))), brute([*good, good[3], good[3]])
     assert {q: [i for _, i, _ in f] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in want.items()}
 
 
@@ -83,3 +84,15 @@ def test_walk_visits_all_cells_in_order(k1, k2):
     assert sorted((i, j) for _, i, j, _ in seen) == [(i, j) for i in range(k1) for j in range(k2)]
     assert [s for s, *_ in seen] == sorted((u[:, None] + v[None, :]).ravel().tolist(), reverse=True)
     assert seen[-1][3] == counts.sum()
+
+
+def test_rows_of_one_id_and_other_lengths_are_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.9, 0.1]), (0, [0.5, 0.5]), (2, [0.0, 1.0]), (3, [2.0, 0.0, 1.0]), (20, [1.0, 1.0, 1.0]), (4, [1.0, 2.0, 0.0])]
+    got = A.neighbours_of_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by_query = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"], r.vec_id)):
+        by_query.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    first = [(1, 1, 1.0), (2, 1, 0.9), (3, 0, 0.5), (4, 2, 0.0)]
+    second = [(1, 0, 0.5), (2, 1, 0.5), (3, 1, 0.5), (4, 2, 0.5)]
+    assert sorted(by_query[0]) == sorted(first + second)
+    assert by_query[20] == [(1, 3, 3.0), (2, 4, 3.0)]
