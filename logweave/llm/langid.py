@@ -24,10 +24,10 @@ to the language with more training text, then by name.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +42,10 @@ SHARDS = 2
 PIECE = 1_000
 EXCERPT = 300          # characters of one training text that may enter a dictionary
 LEVEL = 6
-SHORT_BYTES = 200      # texts up to here are coded at SHORT_LEVEL, which searches matches harder
-SHORT_LEVEL = 12
 NARROW = 0.01          # margin under which the general operator rejects
 SHARPNESS = 0.35       # nats a byte of difference counts for in the score
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def normal(text: str) -> bytes:
@@ -61,28 +59,22 @@ class LanguageModel:
     level: int = LEVEL
     piece: int = PIECE
 
-    def coders(self) -> list[dict[str, list[zstandard.ZstdCompressor]]]:
-        """Compressors per language: [for texts, for short texts]."""
-        both = []
-        for level in (self.level, SHORT_LEVEL):
-            made = {}
-            for lang, parts in self.contents.items():
-                made[lang] = []
-                for content in parts:
-                    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                    d.precompute_compress(level=level)
-                    made[lang].append(zstandard.ZstdCompressor(
-                        level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-            both.append(made)
-        return both
+    def coders(self) -> dict[str, list[zstandard.ZstdCompressor]]:
+        """Compressors per language, one a dictionary."""
+        made: dict[str, list] = {}
+        for lang, parts in self.contents.items():
+            made[lang] = []
+            for content in parts:
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=self.level)
+                made[lang].append(zstandard.ZstdCompressor(
+                    level=self.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        return made
 
     def sizes(self, text: bytes, coders) -> dict[str, float]:
         """Mean code length in bytes over the language's dictionaries."""
-        if len(text) <= SHORT_BYTES:  # a short text shares little with any dictionary: search harder, code it twice
-            return {lang: sum(len(c.compress(text)) + len(c.compress(b" " + text + b" ")) for c in cs) / (2 * len(cs))
-                    for lang, cs in coders[1].items()}
         pieces = [text[k:k + self.piece] for k in range(0, len(text), self.piece)]
-        return {lang: sum(len(c.compress(p)) for c in cs for p in pieces) / len(cs) for lang, cs in coders[0].items()}
+        return {lang: sum(len(c.compress(p)) for c in cs for p in pieces) / len(cs) for lang, cs in coders.items()}
 
     def judge(self, text: str | None, coders) -> tuple[str, float, float]:
         """(best language, score, margin): score is a soft minimum over the code lengths,

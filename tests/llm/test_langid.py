@@ -78,3 +78,16 @@ def test_nothing_to_learn_from(docs_df):
     assert L.language_of_documents(docs_df([])).count() == 0
     got = L.language_of_documents(docs_df([(1, "words", None), (2, None, "aa")])).collect()
     assert {r.lang_pred for r in got} == {"und"}
+
+
+def test_numbers_are_no_letters_and_length_changes_no_rule(spark, docs_df):
+    rows = corpus()
+    model = L.train(docs_df(rows))
+    coders = model.coders()
+    for text in ("½ ²", "③", "Ⅷ", "12 34", "", None, " _ - "):
+        assert model.judge(text, coders) == (L.UNDETERMINED, 0.0, 0.0)
+    assert model.judge("½ x", coders)[0] != L.UNDETERMINED
+    rng = random.Random(8)
+    text = L.normal(prose(rng, "bb", 90)).decode()
+    scores = [model.judge(text[:n], coders)[1] for n in range(190, 215)]
+    assert max(abs(a - b) for a, b in zip(scores, scores[1:])) < 0.12
