@@ -14,16 +14,15 @@ number.  Names are hashed to 64 bits; features of fewer than ``MIN_ROWS`` traini
 rows are left out, so rare words cost and say nothing.
 
 The classifier is fitted on a bounded sample of labelled rows (about ``FIT_ROWS``,
-drawn by a hash of the id); scoring covers every row and every word.  Up to
-``DRIVER_CELLS`` cells (row, feature) the sample's matrix is fitted in the driver;
-a larger one, of longer documents, stays in Spark, where each step adds up the
-gradient over partitions and only vectors over the features reach the driver.
+drawn by a hash of the id); scoring covers every row and every word.  The sample's
+matrix stays in Spark, where each step adds up the gradient over partitions; only
+vectors over the features reach the driver.
 
 Defined cases: a null or blank text has the one feature of being empty; without
 any usable label there is no model, the predictions are null and every row is
 kept.  Label rows without a quality are ignored, a missing toxic mark counts as
-none, of several labels for an id the lowest grade holds.  Repeated rows are
-scored each; own output columns replace those of the input.
+none, of several labels for an id the lowest grade holds, of several texts the
+smallest trains.  Ids may be of any type.  Repeated rows are scored each; own output columns replace those of the input.
 """
 
 from __future__ import annotations
@@ -43,7 +42,6 @@ from .common import SLICE_ROWS, stored, unlike
 
 FIT_ROWS = 5_000
 MIN_ROWS = 12
-DRIVER_CELLS = 4_000_000
 GRADIENT_TASKS = 16
 GRADES = 3
 PENALTY = 1e-4
@@ -172,21 +170,6 @@ def _lbfgs(f, x, rounds: int, memory: int = 10):
     return x
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, keys: np.ndarray, grades: np.ndarray,
-                n_grades: int = GRADES, penalty: float = PENALTY, rounds: int = ROUNDS) -> OrdinalModel:
-    """Penalised maximum likelihood over the sparse matrix value[row, col].
-
-    Columns are scaled by the root of their root mean square, which lets words seen
-    in a few rows weigh more than the penalty alone would; grades count by the
-    inverse root of their frequency.
-    """
-    n, k = len(grades), len(keys)
-    scale = _scale(np.bincount(col, value * value, k), n)
-    value = (value / scale[col]).astype(np.float32)
-    return _fit(keys, scale, np.bincount(grades, minlength=n_grades), lambda weight, w, theta: _sums(row, col, value, grades, weight, w, theta),
-                penalty, rounds)
-
-
 def _scale(squares: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(squares / n, 1e-12) ** 0.25
 
@@ -228,7 +211,12 @@ def _fit(keys: np.ndarray, scale: np.ndarray, counts: np.ndarray, sums, penalty:
 
 
 def fit_spread(table: DataFrame, keys: np.ndarray, counts: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> OrdinalModel:
-    """As ``fit_ordinal`` over ``table`` (grade, f), whose rows stay in Spark."""
+    """Penalised maximum likelihood over ``table`` (grade, f), whose rows stay in Spark.
+
+    Columns are scaled by the root of their root mean square, which lets words seen
+    in a few rows weigh more than the penalty alone would; grades count by the
+    inverse root of their frequency.
+    """
     sc, k = table.sparkSession.sparkContext, len(keys)
     known = sc.broadcast(keys)
 
@@ -295,48 +283,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model from labelled documents; None when fewer than two grades are there."""
     spark = docs.sparkSession
     ship_package(spark)
-    graded = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
+    graded = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("string").alias("_id")).agg(
         F.min(grade(F.col("quality"), F.col("toxic"))).alias("grade"))
     n = graded.count()
     if not n:
         return None
     share = min(1.0, fit_rows / n)
-    drawn = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # about fit_rows rows
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id")
+    drawn = graded.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # about fit_rows rows
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "_id")
+    rows = rows.groupBy("_id", "grade").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(k, SLICE_ROWS)
                 each = [features(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), pa.array([list(e.items()) for e in each],
-                                                  pa.map_(pa.int64(), pa.float64()))], names=["doc_id", "grade", "f"])
-
-    table = stored(rows.mapInArrow(run, "doc_id bigint, grade int, f map<bigint,double>").dropDuplicates(["doc_id"]))
-    grades = {r.doc_id: r.grade for r in table.select("doc_id", "grade").collect()}
-    if len(set(grades.values())) < 2:
+                yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([list(e.items()) for e in each], pa.map_(pa.int64(), pa.float64()))],
+                                                 names=["grade", "f"])
+
+    table = stored(rows.select("grade", "text").mapInArrow(run, "grade int, f map<bigint,double>"))
+    counts = np.zeros(GRADES, np.int64)
+    for r in table.groupBy("grade").count().collect():
+        counts[r.grade] = r["count"]
+    if (counts > 0).sum() < 2:
         return None
-    cells = table.select("doc_id", F.explode("f").alias("key", "value"))
-    common = cells.groupBy("key").count().where((F.col("count") >= min(min_rows, max(2, len(grades) // 50))))
-    got = common.collect()
-    keys = np.sort(np.array([r.key for r in got], np.int64))  # in at least min_rows of the drawn rows
-    if sum(r["count"] for r in got) > DRIVER_CELLS:
-        return fit_spread(table, keys, np.bincount(list(grades.values()), minlength=GRADES))
-    ids = np.array(sorted(grades))
-    got = cells.join(F.broadcast(common.select("key")), "key").select("doc_id", "key", F.col("value").cast("float")).toArrow()
-    # the drawn rows' features, as a sparse matrix in an order of its own
-    row = np.empty(got.num_rows, np.int32)
-    col, value = np.empty_like(row), np.empty(got.num_rows, np.float32)
-    at = 0
-    for part in got.to_batches():
-        here = slice(at, at + part.num_rows)
-        row[here] = np.searchsorted(ids, part.column("doc_id").to_numpy())
-        col[here] = np.searchsorted(keys, part.column("key").to_numpy())
-        value[here] = part.column("value").to_numpy()
-        at += part.num_rows
-    del got
-    order = np.argsort(row.astype(np.int64) * len(keys) + col)
-    return fit_ordinal(row[order], col[order], value[order], keys, np.array([grades[i] for i in ids.tolist()]))
+    least = min(min_rows, max(2, int(counts.sum()) // 50))
+    common = table.select(F.explode(F.map_keys("f")).alias("key")).groupBy("key").count().where(F.col("count") >= least)
+    keys = np.sort(common.select("key").toPandas()["key"].to_numpy(np.int64))  # features of at least so many drawn rows
+    return fit_spread(table, keys, counts)
 
 
 def score(df: DataFrame, model: OrdinalModel | None, text_col: str = "text",
