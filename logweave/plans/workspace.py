@@ -96,7 +96,7 @@ def open_workspace(spark: SparkSession, root: str, settings: Settings | None = N
     if line_cap is None:
         stats = stats.withColumn("truncated", F.lit(False))
     else:
-        sizes = scan.splits.groupBy(PATH).agg((F.sum("_n") > line_cap).alias("truncated"))
+        sizes = lines.groupBy(PATH).agg((F.max("line_no") > line_cap).alias("truncated"))  # of decoded lines: splits of UTF-16 files count other breaks
         stats = stats.join(sizes, PATH, "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
     shown = view_predicate(view, fs, timestamp_field, spark=spark) if view is not None else F.lit(True)
     status = SU.status_summary(rows, shown, stats)

@@ -14,6 +14,7 @@ bytes by tasks of their own.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -151,6 +152,10 @@ def scan_detected(spark: SparkSession, files: DataFrame, paths, recursive: bool
     options when lines are asked for.
     """
     raw, size = scan_once(scan_raw(spark, paths, recursive=recursive, glob=glob))
+    unread = materialize(files.where("length > 0").select(PATH, "length").join(raw.select(PATH).distinct(), PATH, "left_anti"))
+    if not unread.isEmpty():  # listed, but hidden from Spark's reader: names that begin with _ or .
+        extra, extra_size = scan_once(scan_ranges(unread))
+        raw, size = raw.unionByName(extra), size + extra_size
     splits = materialize(split_stats(
         raw,
         F.bool_and(F.expr("is_valid_utf8(text)")).alias("_valid"),
@@ -160,6 +165,60 @@ def scan_detected(spark: SparkSession, files: DataFrame, paths, recursive: bool
     return DetectedScan(spark, raw, splits, size, materialize(_encodings(files, per_file)))
 
 
+# Bytes of a file that one step reads; even, so that it never cuts a UTF-16 unit.
+RANGE_BYTES = 32 << 20
+
+_BREAK = re.compile(b"\r\n|\n|\r")
+
+
+def scan_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The text scan (path, _split, _id, text) of files ``(path, length)`` that Spark's own reader leaves out.
+
+    Files are cut into byte ranges, read by tasks of their own; a range owns the lines that begin in
+    it.  Line ends, a UTF-8 mark and bytes that are no UTF-8 are as in Spark's reader.
+    """
+    ship_package(files.sparkSession)
+
+    def lines(frames):
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                found = _range_lines(r.path, int(r.start), min(int(r.start) + range_bytes, int(r.length)), int(r.length))
+                if found:
+                    yield pd.DataFrame({PATH: r.path, "_split": int(r.start), "_id": range(len(found)), TEXT: found})
+
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint"))
+    ranges = files.select(PATH, "length", F.explode(starts).alias("start")).repartition(PATH, "start")
+    read = ranges.mapInPandas(lines, f"{PATH} string, _split long, _id long, {TEXT} binary")
+    return read.withColumn(TEXT, F.col(TEXT).cast("string"))
+
+
+def _range_lines(path: str, start: int, stop: int, size: int, step: int = 1 << 16) -> list[bytes]:
+    """The lines whose first byte lies in ``[start, stop)``."""
+    base, end = max(0, start - 1), stop
+    data = fsio.read(path, base, stop - base)
+    while end < size:  # on to the end of the last line, and a byte more to tell \r from \r\n
+        last = _BREAK.search(data, max(0, stop - 1 - base))
+        if last and last.end() < len(data):
+            break
+        more = fsio.read(path, end, step)
+        if not more:
+            break
+        data, end, step = data + more, end + len(more), 2 * step
+    if start == 0:
+        pos = 3 if data.startswith(b"\xef\xbb\xbf") else 0
+    else:
+        before = _BREAK.search(data)
+        if not before:
+            return []
+        pos = before.end()
+    out = []
+    while base + pos < stop and pos < len(data):
+        at = _BREAK.search(data, pos)
+        out.append(data[pos:at.start() if at else len(data)])
+        pos = at.end() if at else len(data)
+    return out
+
+
 def read_detected(spark: SparkSession, files: DataFrame, paths, recursive: bool = False,
                   glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(encodings, lines)``: each file's encoding and its numbered, decoded lines."""
@@ -192,10 +251,6 @@ def _decoded(spark: SparkSession, numbered: DataFrame, encodings: DataFrame, per
     return out.unionByName(u.select(PATH, LINE, TEXT, *extra))
 
 
-# Bytes of a UTF-16 file that one step reads; even, so that it never cuts a unit.
-RANGE_BYTES = 32 << 20
-
-
 def read_utf16(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``(path, line_no, text)`` of UTF-16 files, given as ``(path, encoding)``.
 

@@ -1,7 +1,7 @@
 """Workspace scan: every log file under a root, as a DataFrame of file metadata.
 
 Mounted folders are listed by tasks, every file in them (empty ones and names with
-``_`` or ``.`` in front too; Spark's text source reads no lines of the latter).  In
+``_`` or ``.`` in front too; the lines of the latter are read by ``encoding.scan_ranges``).  In
 object stores and HDFS Spark's own listing (``binaryFile`` with
 ``recursiveFileLookup``) does the walk; it hides such names and zero-length files.
 No file content is read.  Extensions match ignoring case.

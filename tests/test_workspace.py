@@ -78,3 +78,50 @@ def test_intermediates_can_be_removed(spark):
     df = sizing.materialize(spark.range(3))
     assert df.count() == 3
     assert sizing.remove_intermediates(spark) >= 1 and sizing.remove_intermediates(spark) == 0
+
+
+def test_hidden_names_empty_files_and_utf16_counts(spark, tmpdir_path):
+    """Lines of files that Spark's reader hides, status of files without lines, and truncation of decoded lines."""
+    body = "ERROR one\r\ntwo é\rthree\n\nlast".encode()
+    ansi = b"caf\xe9\nplain\n"
+    wide = b"\xff\xfe" + "".join(f"row {i}\r\n" for i in range(60)).encode("utf-16-le")
+    os.makedirs(os.path.join(tmpdir_path, "_dir"))
+    files = {"x.log": body, "_x.log": body, ".y.log": body, "_dir/z.log": body, "_a.log": ansi, "empty.log": b"", "_none.log": b"", "_bom.log": b"\xef\xbb\xbfhi\n",
+             "w.log": wide, "_w.log": wide}
+    for name, data in files.items():
+        with open(os.path.join(tmpdir_path, name), "wb") as fh:
+            fh.write(data)
+    ws = open_workspace(spark, tmpdir_path, line_cap=100)
+    got = {}
+    for r in ws.lines.orderBy("path", "line_no").collect():
+        got.setdefault(os.path.relpath(r.path.removeprefix("file:"), tmpdir_path), []).append((r.line_no, r.text))
+    want = list(enumerate(["ERROR one", "two é", "three", "", "last"], start=1))
+    assert got["x.log"] == want and all(got[n] == want for n in ("_x.log", ".y.log", "_dir/z.log"))
+    assert got["_a.log"] == [(1, "café"), (2, "plain")] and got["_bom.log"] == [(1, "hi")]
+    assert got["_w.log"] == got["w.log"] == [(i + 1, f"row {i}") for i in range(60)]
+    status = {os.path.relpath(r.path.removeprefix("file:"), tmpdir_path): r for r in ws.status.where("path is not null").collect()}
+    assert set(status) == set(files)
+    assert [(status[n].total, status[n].flagged, status[n].truncated) for n in ("_x.log", "empty.log", "_none.log", "w.log")] == [
+        (5, 1, False), (0, 0, False), (0, 0, False), (60, 0, False)]
+    assert status["_a.log"].encoding == "Windows-1252" or "1252" in status["_a.log"].encoding
+    total = ws.status.where("path is null").first()
+    assert total.total == sum(r.total for r in status.values())
+    cut = {os.path.relpath(r.path.removeprefix("file:"), tmpdir_path): r.truncated for r in open_workspace(spark, tmpdir_path, line_cap=59).status.where("path is not null").collect()}
+    assert {n for n, t in cut.items() if t} == {"w.log", "_w.log"}
+
+
+def test_ranges_own_the_lines_that_begin_in_them(tmpdir_path):
+    import random
+    import re
+    from logweave.sources.encoding import _range_lines
+    rnd = random.Random(4)
+    p = os.path.join(tmpdir_path, "_r.log")
+    for trial in range(60):
+        data = b"".join(rnd.choice([b"a", b"bc", b"\r", b"\n", b"\r\n", b"\xc3\xa9" * 9]) for _ in range(rnd.randint(1, 60)))
+        with open(p, "wb") as fh:
+            fh.write(data)
+        want = re.split(b"\r\n|\n|\r", data)
+        want = want[:-1] if want[-1] == b"" else want
+        for size in (1, 2, 3, 7, 1000):
+            got = [x for s in range(0, len(data), size) for x in _range_lines(p, s, min(s + size, len(data)), len(data), step=rnd.choice([1, 3, 50]))]
+            assert got == want, (data, size)
