@@ -1,13 +1,21 @@
 """Regex dialect: patterns written for the .NET engine, run by Java's ``Pattern``.
 
-Differences handled here, once, on the driver while a plan is built:
+A pattern is read into a small tree (alternatives, pieces with quantifiers, groups,
+classes, escapes) by the rules of the dialect it was written in, and the tree is written
+out in Java's.  What the tree cannot hold is an error while a plan is built, never
+a pattern that means something else:
 
 * named groups ``(?<name>...)`` / ``(?'name'...)`` may use ``_`` and repeat a name;
-  Java rejects both, so they become positional groups with a side list of names;
+  Java rejects both, so they become positional groups with a side list of names; back
+  references by name or number are renumbered (numbers count unnamed groups first);
 * explicit capture (the regex parser's mode) means unnamed ``(`` does not capture;
 * ``\\d \\w \\b \\s`` and case folding are Unicode-aware -> ``(?U)``;
 * ``.`` and ``$`` treat only ``\\n`` as a line end -> ``(?d)``;
-* balancing groups and conditionals have no Java form -> rejected up front.
+* ``\\p{IsGreek}`` is a block there and a script in Java; ``\\v`` one character there and
+  a class in Java; ``a{,3}`` and a lone ``{`` are literal there; comments go;
+* Java's own syntax -- possessive quantifiers, ``\\h``, ``\\R``, ``\\X``, ``\\Q..\\E``, POSIX
+  classes, other flags -- is rejected, as the dialect does, and so are balancing groups
+  and conditionals, which have no Java form.
 
 Nothing here runs per row.  The translated pattern is a literal in the plan, so
 the JVM compiles it once per task.
@@ -39,140 +47,349 @@ class JavaPattern:
 
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+_COUNT = re.compile(r"\{(\d+)(?:,(\d*))?\}")
+_OPTIONS = re.compile(r"\?([imsnx]*)(?:-([imsnx]*))?([:)])")
+# General categories a pattern may name, and a block with another name in Java.
+_CATEGORIES = frozenset("L Lu Ll Lt Lm Lo M Mn Mc Me N Nd Nl No P Pc Pd Ps Pe Pi Pf Po S Sm Sc Sk So Z Zs Zl Zp C Cc Cf Cs Co Cn".split())
+_BLOCKS = {"GreekandCoptic": "Greek", "PrivateUse": "PrivateUseArea", "CombiningMarksforSymbols": "CombiningDiacriticalMarksforSymbols"}
+# Escapes with one meaning in both dialects, in a class or not; and outside classes only.
+_SHARED = frozenset("adDefnrsStwW")
+_ANCHORS = frozenset("AbBGzZ")
 
 
-def translate(pattern: str, *, explicit_capture: bool = False, ignore_case: bool = False) -> JavaPattern:
-    """Rewrite a .NET pattern into an equivalent Java pattern."""
-    if pattern is None:
-        raise InvalidPatternError("pattern is null")
-    out: list[str] = []
-    names: list[str | None] = []
-    i, n = 0, len(pattern)
-    in_class, begun = False, 0
-    depth = 0
-    while i < n:
-        c = pattern[i]
-        if c == "\\":
-            if i + 1 >= n:
-                raise InvalidPatternError(f"Illegal \\ at end of pattern: {pattern!r}")
-            nxt = pattern[i + 1]
-            if nxt == "k" and i + 2 < n and pattern[i + 2] in "<'":
-                close = ">" if pattern[i + 2] == "<" else "'"
-                j = pattern.find(close, i + 3)
-                if j < 0:
-                    raise InvalidPatternError(f"Bad named back reference in {pattern!r}")
-                ref = pattern[i + 3 : j]
-                idx = [k for k, nm in enumerate(names, start=1) if nm == ref]
-                if not idx:
-                    raise InvalidPatternError(f"Reference to undefined group name {ref!r}")
-                out.append(f"\\{idx[-1]}")
-                i = j + 1
+# ---- tree -----------------------------------------------------------------------
+@dataclass
+class Text:
+    """A piece that reads the same in Java."""
+
+    java: str
+
+
+@dataclass
+class Reference:
+    """A back reference, by name or by number."""
+
+    to: str | int
+
+
+@dataclass
+class Class:
+    """A character class: its members, and the class taken from them."""
+
+    negated: bool
+    members: list[str]
+    minus: Class | None = None
+
+    def java(self) -> str:
+        own = f"[{'^' if self.negated else ''}{''.join(self.members)}]"
+        return own if self.minus is None else f"[{own}&&{self.minus.complement()}]"
+
+    def complement(self) -> str:
+        if self.minus is not None:
+            raise InvalidPatternError("a subtraction inside a subtraction is not supported")
+        return f"[{'' if self.negated else '^'}{''.join(self.members)}]"
+
+
+@dataclass
+class Group:
+    """``head`` is what follows the bracket; a capturing group has a place among the groups."""
+
+    head: str
+    body: list
+    place: int | None = None
+
+
+@dataclass
+class Repeat:
+    piece: object
+    times: str
+
+
+class _Reader:
+    def __init__(self, pattern: str, explicit_capture: bool):
+        self.pattern, self.explicit, self.at = pattern, explicit_capture, 0
+        self.names: list[str | None] = []
+        self.spaced = False  # option x: white space and # comments mean nothing
+
+    def error(self, why: str) -> InvalidPatternError:
+        return InvalidPatternError(f"{why} in {self.pattern!r}")
+
+    def peek(self, n: int = 1) -> str:
+        return self.pattern[self.at:self.at + n]
+
+    # -- alternatives and pieces
+    def alternatives(self, closing: bool) -> list:
+        """Branches up to the closing bracket or the end, each a list of pieces."""
+        branches: list[list] = [[]]
+        outer = self.spaced
+        while self.at < len(self.pattern):
+            c = self.peek()
+            if c == ")":
+                if not closing:
+                    raise self.error("Too many )'s")
+                break
+            if c == "|":
+                self.at += 1
+                branches.append([])
                 continue
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        if in_class:
-            if c == "-" and pattern[i + 1:i + 2] == "[":  # subtraction: [a-z-[aeiou]] is [[a-z]&&[^aeiou]]
-                inner, i = _subtracted(pattern, i + 1)
-                if pattern[i:i + 1] != "]":
-                    raise InvalidPatternError(f"A subtraction must be the last element of a class in {pattern!r}")
-                out[begun:] = ["[", *out[begun:], "]", "&&", inner]
+            if self.spaced and (c.isspace() or c == "#"):
+                self._skip_spaces()
                 continue
-            if c == "[":
-                out.append("\\[")
-            elif c == "&":
-                out.append("\\&")  # two of them would be an intersection
+            if c in "*+?" or _COUNT.match(self.pattern, self.at):
+                raise self.error(f"Quantifier {c} following nothing")
+            piece = self._piece()
+            if piece is not None:
+                branches[-1].append(self._repeated(piece))
+        if closing:
+            self.spaced = outer
+        return branches
+
+    def _skip_spaces(self) -> None:
+        while self.at < len(self.pattern) and (self.peek().isspace() or self.peek() == "#"):
+            if self.peek() == "#":
+                end = self.pattern.find("\n", self.at)
+                self.at = len(self.pattern) if end < 0 else end
             else:
-                out.append(c)
-                if c == "]":
-                    in_class = False
-            i += 1
-            continue
+                self.at += 1
+
+    def _quantifier(self) -> str | None:
+        if self.spaced:
+            self._skip_spaces()
+        c = self.peek()
+        if c and c in "*+?":
+            self.at += 1
+            return c
+        m = _COUNT.match(self.pattern, self.at)
+        if m:
+            self.at = m.end()
+            if m.group(2) and int(m.group(2)) < int(m.group(1)):
+                raise self.error("Illegal {x,y} with x > y")
+            return m.group(0)
+        return None
+
+    def _repeated(self, piece):
+        times = self._quantifier()
+        if times is None:
+            return piece
+        if self.peek() == "?":
+            self.at += 1
+            times += "?"
+        if self._quantifier() is not None:
+            raise self.error("Nested quantifier")
+        return Repeat(piece, times)
+
+    def _piece(self):
+        c = self.peek()
+        if c == "\\":
+            return self._escape()
         if c == "[":
-            in_class, begun = True, len(out)
-            out.append(c)
-            i += 1
-            # a leading ] or ^] is literal
-            if i < n and pattern[i] == "^":
-                out.append("^")
-                i += 1
-            if i < n and pattern[i] == "]":
-                out.append("\\]")
-                i += 1
-            continue
+            self.at += 1
+            return self._class()
         if c == "(":
-            depth += 1
-            rest = pattern[i + 1 :]
-            if rest.startswith("?"):
-                if rest.startswith("?("):
-                    raise InvalidPatternError("conditional groups (?(...) are not supported")
-                if rest[1:2] in ("<", "'") and rest[2:3] not in ("=", "!"):
-                    close = ">" if rest[1] == "<" else "'"
-                    j = rest.find(close, 2)
-                    if j < 0:
-                        raise InvalidPatternError(f"Unterminated group name in {pattern!r}")
-                    name = rest[2:j]
-                    if "-" in name:
-                        raise InvalidPatternError("balancing groups are not supported")
-                    if name.isdigit():
-                        names.append(None)
-                    elif _NAME.fullmatch(name):
-                        names.append(name)
-                    else:
-                        raise InvalidPatternError(f"Invalid group name {name!r}")
-                    out.append("(")
-                    i += 1 + j + 1
-                    continue
-                # (?:  (?=  (?!  (?<=  (?<!  (?>  (?imsx-imsx)  (?imsx:...)
-                m = re.match(r"\?[imnsx]*(?:-[imnsx]*)?[:)]", rest)
-                if m and ("n" in m.group(0)):
-                    raise InvalidPatternError("inline option n is not supported")
-                out.append("(")
-                i += 1
+            self.at += 1
+            return self._group()
+        self.at += 1
+        if c in "^$":
+            return Text(c)
+        return Text("\\" + c if c in "{}]" or (self.spaced and c in " #") else c)
+
+    # -- escapes
+    def _escape(self, in_class: bool = False):
+        """The piece of an escape; in a class always a ``Text``."""
+        self.at += 1
+        c = self.peek()
+        if not c:
+            raise self.error("Illegal \\ at end of pattern")
+        self.at += 1
+        if c in _SHARED:
+            return Text("\\" + c)
+        if c in "pP":
+            return Text(f"\\{c}{{{self._property()}}}")
+        if c == "b" and in_class:
+            return Text("\\x08")
+        if c in _ANCHORS and not in_class:
+            return Text("\\" + c)
+        if c == "v":
+            return Text("\\x0B")
+        if c in "xu":
+            digits = self.peek(2 if c == "x" else 4)
+            if not re.fullmatch("[0-9a-fA-F]{%d}" % (2 if c == "x" else 4), digits):
+                raise self.error("Insufficient hexadecimal digits")
+            self.at += len(digits)
+            return Text(f"\\{c}{digits}")
+        if c == "c":
+            letter = self.peek().upper()
+            if not letter or not "@" <= letter <= "_":
+                raise self.error("Unrecognized control character")
+            self.at += 1
+            return Text("\\x%02X" % (ord(letter) - 64))
+        if c == "k" and not in_class:
+            m = re.compile(r"<([^>]*)>|'([^']*)'").match(self.pattern, self.at)
+            if not m:
+                raise self.error("Malformed \\k<...> named back reference")
+            self.at = m.end()
+            name = m.group(1) if m.group(1) is not None else m.group(2)
+            return Reference(int(name) if name.isdigit() else name)
+        if c.isdigit():
+            return self._number(c, in_class)
+        if c.isalnum() or c == "_":
+            raise self.error(f"Unrecognized escape sequence \\{c}")
+        return Text("\\" + c)
+
+    def _number(self, first: str, in_class: bool):
+        if first != "0" and not in_class:
+            m = re.compile(r"\d*").match(self.pattern, self.at)
+            self.at = m.end()
+            return Reference(int(first + m.group(0)))
+        m = re.compile("[0-7]{0,2}").match(self.pattern, self.at)
+        self.at = m.end()
+        if first > "7":
+            raise self.error(f"Unrecognized escape sequence \\{first}")
+        return Text("\\x%02X" % (int(first + m.group(0), 8) & 0xFF))
+
+    def _property(self) -> str:
+        m = re.compile(r"\{(\^?[\w-]+)\}").match(self.pattern, self.at)
+        if not m:
+            raise self.error("Malformed \\p{X} character escape")
+        self.at = m.end()
+        name = m.group(1)
+        if name in _CATEGORIES:
+            return name
+        if name.startswith("Is") and len(name) > 2:
+            return "In" + _BLOCKS.get(name[2:], name[2:])
+        raise self.error(f"Unknown property {name!r}")
+
+    # -- classes
+    def _class(self) -> Class:
+        out = Class(self.peek() == "^", [])
+        self.at += out.negated
+        first = True
+        while True:
+            c = self.peek()
+            if not c:
+                raise self.error("Unterminated [] set")
+            if c == "]" and not first:
+                self.at += 1
+                return out
+            if c == "-" and self.peek(2) == "-[" and not first:
+                self.at += 2
+                out.minus = self._class()
+                if self.peek() != "]":
+                    raise self.error("A subtraction must be the last element of a class")
                 continue
-            if explicit_capture:
-                out.append("(?:")
-            else:
-                names.append(None)
-                out.append("(")
-            i += 1
-            continue
-        if c == ")":
-            depth -= 1
-            if depth < 0:
-                raise InvalidPatternError(f"Too many )'s in {pattern!r}")
-        out.append(c)
-        i += 1
-    if in_class:
-        raise InvalidPatternError(f"Unterminated [] set in {pattern!r}")
-    if depth != 0:
-        raise InvalidPatternError(f"Not enough )'s in {pattern!r}")
-    flags = "(?iU)" if ignore_case else "(?U)"
-    return JavaPattern(flags + "(?d)" + "".join(out), tuple(names))
+            first = False
+            if c == "\\":
+                out.members.append(self._escape(in_class=True).java)
+                continue
+            self.at += 1
+            out.members.append("\\" + c if c in "[]&# \t\n" else c)
 
+    # -- groups
+    def _group(self):
+        if self.peek() != "?":
+            return self._capture(None) if not self.explicit else self._closed("?:")
+        rest = self.pattern[self.at:]
+        if rest.startswith("?("):
+            raise InvalidPatternError("conditional groups (?(...) are not supported")
+        if rest.startswith("?#"):
+            end = rest.find(")")
+            if end < 0:
+                raise self.error("Unterminated (?#...) comment")
+            self.at += end + 1
+            return None
+        for head in ("?:", "?=", "?!", "?>", "?<=", "?<!"):
+            if rest.startswith(head):
+                self.at += len(head)
+                return self._closed(head)
+        if rest[1:2] in ("<", "'"):
+            end = rest.find(">" if rest[1] == "<" else "'", 2)
+            if end < 0:
+                raise self.error("Unterminated group name")
+            name = rest[2:end]
+            if "-" in name:
+                raise InvalidPatternError("balancing groups are not supported")
+            if not name.isdigit() and not _NAME.fullmatch(name):
+                raise InvalidPatternError(f"Invalid group name {name!r}")
+            self.at += end + 1
+            return self._capture(None if name.isdigit() else name)
+        m = _OPTIONS.match(rest)
+        if not m:
+            raise self.error("Unrecognized grouping construct")
+        on, off = m.group(1), m.group(2) or ""
+        if "n" in on + off:
+            raise InvalidPatternError("inline option n is not supported")
+        self.at += m.end()
+        outer = self.spaced
+        self.spaced = ("x" in on or outer) and "x" not in off
+        # white space is taken out here; Java's x would also take it out of classes
+        head = "?" + on.replace("x", "") + ("-" + off.replace("x", "") if off.replace("x", "") else "")
+        if m.group(3) == ")":
+            return Text(f"({head})") if len(head) > 1 else None
+        group = self._closed(head + ":")
+        self.spaced = outer
+        return group
 
-def _subtracted(pattern: str, at: int) -> tuple[str, int]:
-    """The complement, in Java, of the class that begins at ``at``, and the index after it.
+    def _capture(self, name: str | None) -> Group:
+        self.names.append(name)
+        place = len(self.names)
+        group = self._closed("")
+        group.place = place
+        return group
 
-    A class inside that subtracts again has no plain complement and is rejected.
-    """
-    i = at + 1
-    negated = pattern[i:i + 1] == "^"
-    i += negated
-    inner, start = "", i
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            inner += pattern[i:i + 2]
-            i += 2
-            continue
-        if c == "]" and i > start:
-            return f"[{'' if negated else '^'}{inner}]", i + 1
-        if c == "-" and pattern[i + 1:i + 2] == "[":
-            raise InvalidPatternError("a subtraction inside a subtraction is not supported")
-        inner += "\\" + c if c in "[]&" else c
-        i += 1
-    raise InvalidPatternError(f"Unterminated [] set in {pattern!r}")
+    def _closed(self, head: str) -> Group:
+        body = self.alternatives(closing=True)
+        if self.peek() != ")":
+            raise self.error("Not enough )'s")
+        self.at += 1
+        return Group(head, body)
+
+
+def _written(branches: list, names: list[str | None]) -> str:
+    return "|".join(_branch(branch, names) for branch in branches)
+
+
+def _branch(pieces: list, names: list[str | None]) -> str:
+    out = ""
+    for k, piece in enumerate(pieces):
+        text = _piece_written(piece, names)
+        if k and isinstance(pieces[k - 1], Reference) and text[:1].isdigit():
+            text = f"(?:{text[0]}){text[1:]}"  # no part of the reference's number
+        out += text
+    return out
+
+
+def _piece_written(piece, names: list[str | None]) -> str:
+    if isinstance(piece, Text):
+        return piece.java
+    if isinstance(piece, Class):
+        return piece.java()
+    if isinstance(piece, Repeat):
+        return _piece_written(piece.piece, names) + piece.times
+    if isinstance(piece, Group):
+        return f"({piece.head}{_written(piece.body, names)})"
+    places = _places(piece.to, names)
+    if not places:
+        raise InvalidPatternError(f"Reference to undefined group {piece.to!r}")
+    return f"\\{places[-1]}"
+
+
+def _places(to: str | int, names: list[str | None]) -> list[int]:
+    """Places of the groups a reference means: numbers count unnamed groups, then names."""
+    if isinstance(to, str):
+        return [k for k, n in enumerate(names, start=1) if n == to]
+    numbered = [[k] for k, n in enumerate(names, start=1) if n is None]
+    numbered += [_places(n, names) for n in dict.fromkeys(n for n in names if n is not None)]
+    return numbered[to - 1] if 0 < to <= len(numbered) else []
+
+
+def translate(pattern: str, *, explicit_capture: bool = False, ignore_case: bool = False) -> JavaPattern:
+    """Rewrite a .NET pattern into an equivalent Java pattern."""
+    if pattern is None:
+        raise InvalidPatternError("pattern is null")
+    reader = _Reader(pattern, explicit_capture)
+    tree = reader.alternatives(closing=False)
+    flags = "(?iU)" if ignore_case else "(?U)"
+    return JavaPattern(flags + "(?d)" + _written(tree, reader.names), tuple(reader.names))
 
 
 def literal(text: str) -> str:

@@ -96,3 +96,47 @@ def test_nested_subtraction_is_rejected():
     for bad in ("[a-z-[b-y-[c]]]", "[a-z-[b]c]", "[a-z-[b"):
         with pytest.raises(InvalidPatternError):
             translate(bad)
+
+
+@pytest.mark.parametrize("bad", [
+    "a++b", "a*+", "a?+", "a{2}+", "a**", "a{2}{3}", r"\h", r"\R", r"\X", r"\Qa.b\E", r"\E", r"\i", r"\_", r"\pL", r"\p{Alpha}", r"\p{javaLowerCase}",
+    r"\p{IsAlphabetic", "(?U)a", "(?d)a", "(?<n>a", "*a", "(*a)", "a|+", "a{3,2}", "[a", "[]", "a\\", r"\x1", r"\u12", r"\c", r"(a)\2", r"\k<none>",
+    "(?<1a>x)", "(?P<n>a)", "(?#open", r"[\8]"])
+def test_what_the_dialect_does_not_know_is_an_error(bad):
+    with pytest.raises(InvalidPatternError):
+        translate(bad)
+
+
+@pytest.mark.parametrize("pattern,yes,no", [
+    (r"^\p{IsGreek}$", ["α", "Ϡ"], ["ἀ", "a"]),  # the block, not the script
+    (r"^\P{IsBasicLatin}$", ["é"], ["a"]),
+    (r"^\p{IsGreekandCoptic}\p{IsLatin-1Supplement}$", ["αé"], ["aé"]),
+    (r"^\p{Lu}\p{Nd}[\p{Pd}x]$", ["É٣-", "A1x"], ["e3-"]),
+    ("^a{,3}$", ["a{,3}"], ["aaa", ""]),
+    ("^{x}a{b}{$", ["{x}a{b}{"], []),
+    ("^a{2}?b{1,}c{0,1}$", ["aabbc", "aab"], ["ab"]),
+    (r"^\v\a\e\cJ\x41é\0\07$", ["\x0b\x07\x1b\nAé\0\x07"], []),
+    (r"^[\b\v\]\-\d]+$", ["\x08\x0b]-1"], ["b"]),
+    (r"^(?x) a b [ #] # the end" + "\n c $", ["ab c", "ab#c"], ["abc", "a b c"]),
+    (r"^(?x: a b ) c$", ["ab c"], ["abc"]),
+    (r"^(?#say a)a(?i:B)(?-i)c$", ["abc", "aBc"], ["abC"]),
+    (r"^(a)(?<n>b)(c)\2\3$", ["abccb"], ["abcbc"]),  # numbers count unnamed groups first
+    (r"^(a)\10?$", [], []),
+    (r"^(?<n>a)\k'n'1$", ["aa1"], ["a1"]),
+    (r"^[[:alpha:]]$", ["a]", ":]", "[]"], ["a"]),
+    (r"^[a&&b]]$", ["&]"], ["&"]),
+    (r"^(?:a|)(?=b)b(?!c)(?>d*)(?<=b|d)(?<!x)$", ["ab", "b", "bdd"], ["bc"]),
+])
+def test_dialect_against_examples(spark, pattern, yes, no):
+    if pattern == r"^(a)\10?$":
+        with pytest.raises(InvalidPatternError):
+            translate(pattern)
+        return
+    java = java_regex(pattern, spark=spark)
+    df = spark.createDataFrame([(v,) for v in yes + no], "v string")
+    assert sorted(r.v for r in df.where(F.col("v").rlike(java)).collect()) == sorted(yes)
+
+
+def test_explicit_capture_renumbers():
+    assert translate(r"(x)(?<n>y)\1", explicit_capture=True).pattern.endswith(r"(?:x)(y)\1")
+    assert translate(r"(?<a>x)(?<b>y)\2", explicit_capture=True).pattern.endswith(r"(x)(y)\2")
