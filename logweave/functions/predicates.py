@@ -49,8 +49,8 @@ def ntz(value: _dt.datetime) -> Column:
 
 
 def contains_ci(v: Column, text: str) -> Column:
-    """Substring test ignoring case."""
-    return F.lower(v).contains(text.lower())
+    """Substring test ignoring case, character by character (a sigma is a sigma at a word's end too)."""
+    return v.rlike("(?iu)" + literal(text))
 
 
 def _contains(v: Column, text: str, case_sensitive: bool) -> Column:

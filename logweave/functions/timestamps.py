@@ -93,6 +93,8 @@ def iso_text(s: Column, base_date: str) -> Column:
         .when(_shape_guard(s, "MM/dd/yyyy HH:mm:ss"),
               F.concat(_sub(s, 7, 4), F.lit("-"), _sub(s, 1, 2), F.lit("-"), _sub(s, 4, 2), _sub(s, 11)))
         .when(_shape_guard(s, "HH:mm:ss") & (F.length(s) <= 12), F.concat(F.lit(base_date + " "), s))
+        .when(s.rlike(HOUR_MINUTE), F.concat(F.lit(base_date + " "), F.lpad(s, 5, "0"), F.lit(":00")))
+        .when(s.rlike(NO_YEAR), _iso_without_year(s, base_date))
         .when(s.rlike(LOOSE), _loose_iso(s))
         .otherwise(s)
     )
@@ -106,6 +108,16 @@ _DATES = (f"(?:[A-Za-z]{{3,9}},? +)?(\\d{{1,2}})[ -]{_NAME}[ ,-]+(\\d{{4}})",
           "(\\d{1,2})/(\\d{1,2})/(\\d{4})")
 LOOSE = ("^(?:" + "|".join(_DATES) + ")(?:[ ,T]+(\\d{1,2}):(\\d{2})(?::(\\d{2})(\\.\\d{1,9})?)?(?: *([AaPp])[Mm])?(?: *(?:GMT|UTC|Z))?)?$")
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+# A time of hours and minutes, and a date as system logs write it; the rest is of the base date.
+HOUR_MINUTE = "^\\d{1,2}:\\d{2}$"
+NO_YEAR = f"^{_NAME} +(\\d{{1,2}}) +(\\d{{1,2}}):(\\d{{2}}:\\d{{2}}(?:\\.\\d{{1,9}})?)$"
+
+
+def _iso_without_year(s: Column, base_date: str) -> Column:
+    month, day, hour, rest = (F.regexp_extract(s, NO_YEAR, k) for k in range(1, 5))
+    at = F.instr(F.lit(_MONTHS), F.lower(month)) - 1
+    number = F.when(at % 3 == 0, (F.floor(at / 3) + 1).cast("string")).otherwise(F.lit("0"))
+    return F.concat(F.lit(base_date[:5]), F.lpad(number, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit(" "), F.lpad(hour, 2, "0"), F.lit(":"), rest)
 
 
 def _loose_iso(s: Column) -> Column:
@@ -166,6 +178,8 @@ def parse_bound(text: str | None, base_date: str = "1970-01-01") -> _dt.datetime
         if "%Y" not in f:
             found = _dt.datetime.combine(_dt.date.fromisoformat(base_date), found.time())
         return found
+    if m := re.match(NO_YEAR, s):
+        s = f"{m[1]} {m[2]} {base_date[:4]} {m[3]}:{m[4]}"
     try:
         return _dt.datetime.fromisoformat(s).replace(tzinfo=None)
     except ValueError:

@@ -3,12 +3,12 @@
 Logs are never merged; the output is pairs of references
 ``(path, line_no) -> (target_path, target_line)``.
 
-The nearest-timestamp match is an **as-of join** without a nested loop: both
-sides are cut into time buckets per pair (a minute, or a width chosen per pair so
-a bucket holds about ``BUCKET_ROWS`` rows); inside a bucket two windows, by rising
-and by falling time, find the closest target at-or-before and at-or-after each
-reference row; a tiny per-bucket summary carries the nearest target across buckets
-without one.
+The nearest-timestamp match is an **as-of join** without a nested loop: the times of
+both sides are written once, in buckets of about equal depth -- ranges of (pair, time,
+line) that Spark draws from a sample of the rows, so a second that holds a third of all
+rows is cut by line number like any other stretch.  Inside a bucket two windows, by
+rising and by falling time, find the closest target at-or-before and at-or-after each
+reference row; a tiny per-bucket summary carries the nearest target across buckets.
 """
 
 from __future__ import annotations
@@ -20,12 +20,6 @@ from ..functions.fields import LINE, PATH, FieldSpace, fields_of
 from ..functions.timestamps import parse_timestamp
 from ..plans.sizing import materialize
 
-# Width of a time bucket (one minute): bounds the rows one window task sees for
-# a pair, however long the logs run.  Pass ``bucket_micros=None`` and
-# ``bucket_rows`` to size each pair's buckets from its own span and row count.
-BUCKET_MICROS = 60 * 1_000_000
-BUCKET_ROWS = 1 << 20
-
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -64,35 +58,26 @@ def align_by_line(ref: DataFrame, pairs: DataFrame, target_counts: DataFrame) ->
     return j.select(PATH, LINE, "target_path", clamp_line(F.col(LINE), F.col("last_line")).alias("target_line"))
 
 
-def _bucketed(u: DataFrame, bucket_micros: int | None, bucket_rows: int) -> DataFrame:
-    """``u`` with ``bucket``: a coarser, monotone key of the time ``us`` per pair."""
-    if bucket_micros:
-        return u.withColumn("bucket", F.floor(F.col("us") / F.lit(bucket_micros)).cast("long"))
-    # per pair: width = span * bucket_rows / rows (one row per pair, AQE broadcasts it)
-    st = u.groupBy("src", "dst").agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"), F.count("us").alias("_n"))
-    st = st.select("src", "dst", "_lo", F.greatest(F.lit(1), F.ceil(
-        (F.col("_hi") - F.col("_lo") + 1) * F.lit(float(bucket_rows)) / F.col("_n"))).cast("long").alias("_w"))
-    return u.join(st, ["src", "dst"]).withColumn(
-        "bucket", F.floor((F.col("us") - F.col("_lo")) / F.col("_w")).cast("long")).drop("_lo", "_w")
+def _in_buckets(u: DataFrame, buckets: int | None) -> DataFrame:
+    """``u`` written in order of (pair, time, targets before references, line), with ``bucket``:
+    the range it fell in.  Of one time and pair there is one target, and it comes first, so
+    every reference row finds it in its own bucket or in an earlier one."""
+    order = ["src", "dst", "us", F.col("tline").isNull(), "rline"]
+    cut = u.repartitionByRange(buckets, *order) if buckets else u.repartitionByRange(*order)
+    return materialize(cut.withColumn("bucket", F.spark_partition_id().cast("long")))
 
 
-def _with_nearest(ref: DataFrame, target: DataFrame, pairs: DataFrame, bucket_micros: int | None,
-                  bucket_rows: int) -> DataFrame:
+def _with_nearest(ref: DataFrame, target: DataFrame, pairs: DataFrame, buckets: int | None) -> DataFrame:
     """``ref (src, dst, ts, rline, fall)`` with the nearest target's line and distance.
 
-    Reference and target rows share one exchange by (pair, bucket), read by the
-    windows and by the per-bucket summary.  Look-ahead is a running value over the
-    falling order, so a bucket costs its sort and two passes.  Rows without a time
-    stay, spread by their line, and find nothing.
+    Rows without a time stay, spread by their line, and find nothing.
     """
     # target reduced to one row per (file, ts): the smallest line wins a tie
     tgt = target.groupBy(PATH, "ts").agg(F.min(LINE).alias("tline"))
     tgt = tgt.join(pairs.select(F.col(PATH).alias("src"), F.col("target_path").alias(PATH)), PATH).select(
         "src", F.col(PATH).alias("dst"), "ts", F.lit(None).cast("long").alias("rline"), F.lit(None).cast("long").alias("fall"), "tline")
-    u = ref.withColumn("tline", F.lit(None).cast("long")).unionByName(tgt).withColumn("us", micros(F.col("ts")))
-    u = _bucketed(u, bucket_micros, bucket_rows)
-    untimed = F.lit(-(1 << 62)) + F.floor(F.col("rline") / F.lit(bucket_rows))
-    u = u.withColumn("bucket", F.coalesce("bucket", untimed)).drop("ts").repartition("src", "dst", "bucket")
+    u = ref.withColumn("tline", F.lit(None).cast("long")).unionByName(tgt).withColumn("us", micros(F.col("ts"))).drop("ts")
+    u = _in_buckets(materialize(u), buckets)  # written first: drawing the ranges reads the rows as well
     point = F.when(F.col("tline").isNotNull(), F.struct(F.col("us").alias("us"), F.col("tline").alias("line")))
     group = Window.partitionBy("src", "dst", "bucket")
     until = group.orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
@@ -104,11 +89,11 @@ def _with_nearest(ref: DataFrame, target: DataFrame, pairs: DataFrame, bucket_mi
     # A reference row whose own bucket has no target on a side takes the nearest
     # bucket's boundary target on that side.
     per_bucket = u.groupBy("src", "dst", "bucket").agg(F.max(point).alias("_mx"), F.min(point).alias("_mn"))
-    buckets = Window.partitionBy("src", "dst")
+    of_pair = Window.partitionBy("src", "dst")
     carry = per_bucket.select(
         "src", "dst", "bucket",
-        F.last("_mx", ignorenulls=True).over(buckets.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_cpred"),
-        F.last("_mn", ignorenulls=True).over(buckets.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("_csucc"))
+        F.last("_mx", ignorenulls=True).over(of_pair.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_cpred"),
+        F.last("_mn", ignorenulls=True).over(of_pair.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("_csucc"))
 
     r = near.where(F.col("rline").isNotNull()).join(carry, ["src", "dst", "bucket"], "left")
     pred = F.coalesce(F.col("_pred"), F.col("_cpred"))
@@ -119,25 +104,24 @@ def _with_nearest(ref: DataFrame, target: DataFrame, pairs: DataFrame, bucket_mi
     return r.select("src", "dst", "rline", "fall", best["line"].alias("near_line"), best["d"].alias("delta_micros"))
 
 
-def nearest_by_time(ref: DataFrame, target: DataFrame, pairs: DataFrame,
-                    bucket_micros: int | None = BUCKET_MICROS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def nearest_by_time(ref: DataFrame, target: DataFrame, pairs: DataFrame, buckets: int | None = None) -> DataFrame:
     """For each timestamped reference row, the target line with the smallest |dt|.
 
     Ties go to the smaller target line (file order).  ``ref`` and ``target`` are
-    ``(path, line_no, ts)``; ``pairs`` is ``(path, target_path)``.
+    ``(path, line_no, ts)``; ``pairs`` is ``(path, target_path)``; ``buckets`` of about
+    equal depth are made in all (default: the session's shuffle partitions).
     Output ``(path, line_no, target_path, target_line, delta_micros)``.
     """
     pairs = materialize(pairs)  # small (one row per pair) and read twice below
     rf = ref.join(pairs, PATH).select(F.col(PATH).alias("src"), F.col("target_path").alias("dst"), "ts",
                                       F.col(LINE).cast("long").alias("rline"), F.lit(None).cast("long").alias("fall"))
-    found = _with_nearest(rf, target, pairs, bucket_micros, bucket_rows)
+    found = _with_nearest(rf, target, pairs, buckets)
     return found.where("near_line is not null").select(
         F.col("src").alias(PATH), F.col("rline").alias(LINE), F.col("dst").alias("target_path"),
         F.col("near_line").alias("target_line"), "delta_micros")
 
 
-def align(ref: DataFrame, target_ts: DataFrame, target_counts: DataFrame, pairs: DataFrame,
-          bucket_micros: int | None = BUCKET_MICROS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def align(ref: DataFrame, target_ts: DataFrame, target_counts: DataFrame, pairs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Timestamp alignment with the fallback chain, for every reference row.
 
     ``ref`` is ``(path, line_no, ts)`` of all reference rows, ``ts`` null where no
@@ -154,7 +138,7 @@ def align(ref: DataFrame, target_ts: DataFrame, target_counts: DataFrame, pairs:
     rf = ref.join(pairs, PATH).join(counts, "target_path", "left").select(
         F.col(PATH).alias("src"), F.col("target_path").alias("dst"), "ts", F.col(LINE).cast("long").alias("rline"),
         clamp_line(F.col(LINE), F.col("last_line")).alias("fall"))
-    found = _with_nearest(rf, target_ts, pairs, bucket_micros, bucket_rows)
+    found = _with_nearest(rf, target_ts, pairs, buckets)
     return found.select(F.col("src").alias(PATH), F.col("rline").alias(LINE), F.col("dst").alias("target_path"),
                         F.coalesce("near_line", "fall").alias("target_line"), F.col("near_line").isNull().alias("used_fallback"))
 

@@ -67,7 +67,7 @@ def test_nearest_by_time_fixture(spark):
     ref = spark.createDataFrame([("r", 1, ts(10, 0, 11)), ("r", 2, ts(10, 0, 18)), ("r", 3, ts(9, 59, 0)),
                                  ("r", 4, ts(10, 0, 5))], "path string, line_no long, ts timestamp_ntz")
     pairs = spark.createDataFrame([("r", "t")], "path string, target_path string")
-    got = {r.line_no: r.target_line for r in A.nearest_by_time(ref, tgt, pairs, bucket_micros=7_000_000).collect()}
+    got = {r.line_no: r.target_line for r in A.nearest_by_time(ref, tgt, pairs, buckets=3).collect()}
     assert got == {1: 2, 2: 3, 3: 1, 4: 1}
 
 
@@ -83,7 +83,7 @@ def brute(ref, tgt):
     return out
 
 
-@pytest.mark.parametrize("seed,bucket", [(1, 5_000_000), (2, 60_000_000), (3, 1_000_000)])
+@pytest.mark.parametrize("seed,bucket", [(1, 12), (2, None), (3, 60)])
 def test_nearest_matches_brute_force_with_ties(spark, seed, bucket):
     rnd = random.Random(seed)
     base = dt.datetime(2024, 1, 1)
@@ -92,7 +92,7 @@ def test_nearest_matches_brute_force_with_ties(spark, seed, bucket):
     tdf = spark.createDataFrame([("t", l, t) for l, t in tgt], "path string, line_no long, ts timestamp_ntz")
     rdf = spark.createDataFrame([("r", l, t) for l, t in ref], "path string, line_no long, ts timestamp_ntz")
     pairs = spark.createDataFrame([("r", "t")], "path string, target_path string")
-    got = {r.line_no: r.target_line for r in A.nearest_by_time(rdf, tdf, pairs, bucket_micros=bucket).collect()}
+    got = {r.line_no: r.target_line for r in A.nearest_by_time(rdf, tdf, pairs, buckets=bucket).collect()}
     assert got == brute(ref, tgt)
 
 
@@ -105,7 +105,7 @@ def test_fallback_chain(spark):
            for r in A.align(ref, tgt_ts, counts, pairs).collect()}
     assert got == {(1, "t"): (7, False), (2, "t"): (2, True), (1, "u"): (1, True), (2, "u"): (1, True)}
     assert got == {(r.line_no, r.target_path): (r.target_line, r.used_fallback)
-                   for r in A.align(ref, tgt_ts, counts, pairs, bucket_micros=None, bucket_rows=1).collect()}
+                   for r in A.align(ref, tgt_ts, counts, pairs, buckets=9).collect()}
 
 
 def test_group_pairs_excludes_self_and_opted_out(spark):
@@ -124,7 +124,7 @@ def test_nearest_adaptive_buckets_match_brute_force(spark):
     tdf = spark.createDataFrame([("t", l, t) for l, t in tgt], "path string, line_no long, ts timestamp_ntz")
     rdf = spark.createDataFrame([("r", l, t) for l, t in ref], "path string, line_no long, ts timestamp_ntz")
     pairs = spark.createDataFrame([("r", "t")], "path string, target_path string")
-    got = {r.line_no: r.target_line for r in A.nearest_by_time(rdf, tdf, pairs, bucket_micros=None, bucket_rows=7).collect()}
+    got = {r.line_no: r.target_line for r in A.nearest_by_time(rdf, tdf, pairs, buckets=33).collect()}
     assert got == brute(ref, sorted(tgt))
 
 
@@ -146,3 +146,18 @@ def test_dense_minute_and_long_file_take_linear_time(spark):
     hits = SE.find_next_prev(lines, F.col("line_no") % 100_000 == 7)
     bad = hits.where("next_match <= line_no and line_no < 300007 or prev_match >= line_no and line_no > 7").count()
     assert bad == 0 and time.time() - start < 60
+
+
+def test_one_second_is_spread_over_many_buckets(spark):
+    """All rows of a pair at two moments: buckets of about equal depth, the same result as brute force."""
+    base = dt.datetime(2024, 1, 1)
+    ref = [(i, base + dt.timedelta(seconds=3 * (i % 2))) for i in range(1, 401)]
+    tgt = [(i, base + dt.timedelta(seconds=i % 5)) for i in range(1, 91)] + [(i, base) for i in range(100, 400)]
+    frame = lambda name, rows: spark.createDataFrame([(name, n, t) for n, t in rows], "path string, line_no long, ts timestamp_ntz")
+    pairs = spark.createDataFrame([("r", "t")], "path string, target_path string")
+    u = frame("r", ref).select(F.lit("r").alias("src"), F.lit("t").alias("dst"), A.micros(F.col("ts")).alias("us"), F.lit(None).cast("long").alias("tline"),
+                               F.col("line_no").alias("rline"))
+    depth = [r["count"] for r in A._in_buckets(u, 16).groupBy("bucket").count().collect()]
+    assert len(depth) >= 14 and max(depth) <= 60
+    got = {r.line_no: r.target_line for r in A.nearest_by_time(frame("r", ref), frame("t", tgt), pairs, buckets=16).collect()}
+    assert got == brute(ref, sorted(tgt))

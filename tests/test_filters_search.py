@@ -156,3 +156,12 @@ def test_view_filter_and_presets(spark, frows):
 def test_visible_presets(spark):
     df = spark.createDataFrame([("a", None), ("b", "Apache"), ("c", "other")], "name string, profile_scope string")
     assert sorted(r.name for r in FL.visible_presets(df, "apache").collect()) == ["a", "b"]
+
+
+def test_contains_ignoring_case_goes_by_character(spark):
+    from logweave.functions.predicates import contains_ci
+    df = spark.createDataFrame([("ΚΣΑΣΟ",), ("κσασ",), ("κσας",), ("ÉTÉ a.b\\E",), ("none",)], "v string")
+    hits = lambda text: [r.v for r in df.where(contains_ci(F.col("v"), text)).collect()]
+    assert hits("ΣΑΣ") == ["ΚΣΑΣΟ", "κσασ", "κσας"]
+    assert hits("σας") == ["ΚΣΑΣΟ", "κσασ", "κσας"]
+    assert hits("té A.B\\e") == ["ÉTÉ a.b\\E"] and hits("a?b") == []

@@ -32,6 +32,13 @@ from logweave.functions.timestamps import parse_bound, parse_timestamp
     ("not a time", None),
     ("", None),
     (None, None),
+    ("10:32", dt.datetime(1970, 1, 1, 10, 32)),
+    ("7:05", dt.datetime(1970, 1, 1, 7, 5)),
+    ("25:00", None),
+    ("Jan 15 10:32:39", dt.datetime(1970, 1, 15, 10, 32, 39)),
+    ("Feb  3 07:02:01.5", dt.datetime(1970, 2, 3, 7, 2, 1, 500000)),
+    ("Foo 15 10:32:39", None),
+    ("Feb 30 10:32:39", None),
 ])
 def test_parse_timestamp(spark, text, expected):
     df = spark.createDataFrame([(text,)], "s string")
