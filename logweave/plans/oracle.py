@@ -414,3 +414,46 @@ SQL["timestamp_loose"] = " UNION ALL ".join(
 for _name, _order in (("sort_field", 'coalesce("Message", \'\') DESC, path, line_no'), ("sort_time", "us, path, line_no"),
                       ("sort_restored", "path, line_no")):
     SQL[_name] = _w(EVN) + f"SELECT path, line_no, CAST(row_number() OVER (ORDER BY {_order}) AS BIGINT) AS position FROM evn"
+SQL["timestamp_loose"] += """ UNION ALL
+SELECT event_id, CAST(6 AS BIGINT) AS form, strftime(ts, '%H:%M') AS text, CAST('1970-01-01 ' || strftime(ts, '%H:%M') || ':00' AS TIMESTAMP) AS parsed FROM events
+UNION ALL SELECT event_id, CAST(7 AS BIGINT) AS form, strftime(ts, '%b %-d %H:%M:%S') AS text,
+  TRY_CAST('1970-' || strftime(ts, '%m-%d %H:%M:%S') AS TIMESTAMP) AS parsed FROM events"""
+SQL["sort_saved"] = _w(EVN) + """SELECT path, line_no,
+  CAST(row_number() OVER (ORDER BY coalesce("Module", '') DESC, path, line_no) AS BIGINT) AS position FROM evn"""
+SQL["workspace_status"] = f"""
+WITH wd AS (
+  SELECT source, doc_id // 1000 AS blk, doc_id, unnest(range(1, len(parts) + 1)) AS ln, unnest(parts) AS text
+  FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts FROM documents)),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, blk ORDER BY doc_id, ln) AS line_no FROM wd),
+c AS (
+  SELECT source, blk, count(*) FILTER (line_no <= 2000 AND contains(lower(text), 'tion')) AS shown, least(count(*), 2000) AS total,
+    count(*) FILTER (line_no <= 2000 AND regexp_matches(text, '{FLAGRX}')) AS flagged, count(*) > 2000 AS truncated
+  FROM n GROUP BY source, blk)
+SELECT 'ws/' || source || '/' || CAST(blk AS VARCHAR) || '.log' AS path, CAST(shown AS BIGINT) AS shown, CAST(total AS BIGINT) AS total,
+  CAST(total AS BIGINT) AS parsed, CAST(0 AS BIGINT) AS fallback, CAST(flagged AS BIGINT) AS flagged, 'UTF-8' AS encoding, truncated FROM c"""
+SQL["decode_ansi"] = r"SELECT doc_id, regexp_replace(text, '[^\x00-\x7F\x{A0}-\x{FF}]', '?', 'g') AS text FROM documents"
+SQL["profiles_read"] = """
+SELECT concat_ws('-', lang, source) AS "Name", 'Delimited' AS "Kind", '|' AS "Delimiter",
+  'Time,' || upper(lang) || ',F' || CAST(min(doc_id) AS VARCHAR) AS field_names, 'Timestamp' AS time_role
+FROM documents GROUP BY lang, source"""
+SQL["rules_read"] = _w(EVN) + r"""
+, seen AS (SELECT "Module" AS m, count(*) AS n FROM evn GROUP BY 1)
+SELECT path, line_no FROM evn
+WHERE "Module" IN (SELECT m FROM seen WHERE n % 2 = 1) OR contains("Message", '"k": ' || (SELECT count(*) FROM seen))
+  OR regexp_matches("Message", '(?i)k[^a-zA-Z0-9_]+9')"""
+SQL["presets_visible"] = """
+SELECT 'p' || CAST(event_id AS VARCHAR) AS name, CASE WHEN event_id % 3 <> 0 THEN upper(event_type) END AS profile_scope
+FROM events WHERE event_id % 3 = 0 OR lower(event_type) = 'click'"""
+SQL["filter_ignore_case"] = _w(DOC) + "SELECT path, line_no FROM doc WHERE contains(upper(text), 'CIÓN') AND NOT contains(upper(text), 'LOS ')"
+SQL["regex_dialect"] = _w(DOC) + r"""
+, hits AS (
+  SELECT path, line_no, regexp_matches(text, '(^|[^\p{L}\p{N}\p{M}_])[b-df-hj-np-tv-z]{3,}($|[^\p{L}\p{N}\p{M}_])') AS consonants,
+    regexp_matches(text, '[\x{C0}-\x{FF}]{2}') AS block,
+    len(list_filter(generate_series(97, 122), lambda c: contains(text, 't' || chr(c::INTEGER) || 't' || chr(c::INTEGER)) OR contains(text, 't' || chr(c::INTEGER) || 'ot' || chr(c::INTEGER)))) > 0 AS twice,
+    regexp_matches(text, '(^|[^\p{L}\p{N}\p{M}_])the [\p{L}\p{N}\p{M}_]{3}') AS spaced,
+    contains(text, 'a{,3}') OR regexp_matches(text, '\.$') AS literal
+  FROM doc)
+SELECT * FROM hits WHERE consonants OR block OR twice OR spaced OR literal"""
+SQL["rule_table"] = _w(DOC) + """
+, words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS word FROM benchmark)
+SELECT path, line_no, word FROM doc JOIN words ON contains(upper(text), upper(word))"""

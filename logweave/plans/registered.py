@@ -98,30 +98,132 @@ def q_load_cap(spark, sf):
     return L.load_stats(_doc_lines(spark, sf), 20)
 
 
-# Documents per workspace file in the round-trip query (bounds one write task).
+# Documents per workspace file in the round-trip query (bounds one write task), and lines loaded for the status.
 WS_DOCS_PER_FILE = 1000
+WS_LINE_CAP = 2000
 
 
-def q_workspace_lines(spark, sf):
-    """Files end to end: documents written as log files -- one per source and
-    block of ``WS_DOCS_PER_FILE`` document ids, in id order -- into the shared
-    checkpoint folder, then scanned, encoding-detected, numbered and decoded."""
+def _shared_folder(spark, name):
     import uuid
 
     from ..session import checkpoint_dir
-    from ..sources.files import read_workspace
 
-    root = f"{checkpoint_dir(spark).rstrip('/')}/logweave-ws-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/logweave-{name}-{uuid.uuid4().hex}"
+
+
+def _written_workspace(spark, sf):
+    """Documents written as log files -- one per source and block of ``WS_DOCS_PER_FILE`` document
+    ids, in id order -- into the shared checkpoint folder."""
+    root = _shared_folder(spark, "ws")
     docs = table(spark, sf, "documents").select(
         "source", F.floor(F.col("doc_id") / WS_DOCS_PER_FILE).cast("long").alias("blk"), "doc_id", "text")
     (docs.repartition("source", "blk").sortWithinPartitions("source", "blk", "doc_id").drop("doc_id")
      .write.partitionBy("source", "blk").option("compression", "none").text(root))
-    _files, enc, lines = read_workspace(spark, root, extensions=[".txt"])
-    j = lines.join(enc.select(PATH, "encoding"), PATH)
+    return root
+
+
+def _workspace_path():
     src = F.regexp_extract(PATH, "/source=([^/]+)/", 1)
     blk = F.regexp_extract(PATH, "/blk=([0-9]+)/", 1)
-    return j.select(F.concat(F.lit("ws/"), src, F.lit("/"), blk, F.lit(".log")).alias(PATH), LINE, "text",
-                    "encoding")
+    return F.concat(F.lit("ws/"), src, F.lit("/"), blk, F.lit(".log"))
+
+
+def q_workspace_lines(spark, sf):
+    """Files end to end: scanned, encoding-detected, numbered and decoded."""
+    from ..sources.files import read_workspace
+
+    _files, enc, lines = read_workspace(spark, _written_workspace(spark, sf), extensions=[".txt"])
+    j = lines.join(enc.select(PATH, "encoding"), PATH)
+    return j.select(_workspace_path().alias(PATH), LINE, "text", "encoding")
+
+
+def q_workspace_status(spark, sf):
+    """The status of every file of an opened workspace, its first lines loaded."""
+    from ..sources.config import Settings
+    from .workspace import open_workspace
+
+    ws = open_workspace(spark, _written_workspace(spark, sf), Settings(extensions=[".txt"]), detect_unresolved=False,
+                        view=R.ViewFilter(text=DOC_HIT_TEXT), line_cap=WS_LINE_CAP)
+    return ws.status.where(F.col(PATH).isNotNull()).select(
+        _workspace_path().alias(PATH), "shown", "total", "parsed", "fallback", "flagged", "encoding", "truncated")
+
+
+def q_decode_ansi(spark, sf):
+    """Text as Windows-1252 bytes, decoded again; characters it lacks became question marks."""
+    from ..sources.encoding import decode_ansi
+
+    text = F.regexp_replace("text", "[^\\x00-\\x7F\\xA0-\\xFF]", "?")
+    return table(spark, sf, "documents").select("doc_id", decode_ansi(F.encode(text, "ISO-8859-1")).alias("text"))
+
+
+def q_profiles_read(spark, sf):
+    """A profile stored per language and source as a JSON file, and all read back."""
+    from ..sources.config import read_profiles
+
+    docs = table(spark, sf, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("first"))
+    own = docs.select(
+        F.concat_ws("-", "lang", "source").alias("Name"), F.lit("Delimited").alias("Kind"), F.lit("|").alias("Delimiter"),
+        F.array(F.lit("Time"), F.upper("lang"), F.concat(F.lit("F"), F.col("first").cast("string"))).alias("FieldNames"),
+        F.create_map(F.lit("Time"), F.lit("Timestamp")).alias("FieldTypes"), F.concat_ws("-", "lang", "source").alias("file"))
+    root = _shared_folder(spark, "profiles")
+    own.repartition("file").write.partitionBy("file").json(root)
+    read = read_profiles(spark, root)
+    return read.select("Name", "Kind", "Delimiter", F.array_join("FieldNames", ",").alias("field_names"), F.col("FieldTypes")["Time"].alias("time_role"))
+
+
+def q_rules_read(spark, sf):
+    """Flag rules stored as a settings document, one for each module and level, and applied."""
+    import json
+
+    from ..sources import fsio
+    from ..sources.config import load_settings
+
+    seen = sorted((r.module, r.n) for r in table(spark, sf, "events").groupBy(F.col("event_type").alias("module")).agg(F.count("*").alias("n")).collect())
+    rules = [{"Kind": "FieldValue", "FieldName": "Module", "MatchValue": m} for m, n in seen if n % 2] + [
+        {"Kind": "Contains", "MatchValue": f'"k": {len(seen)}'}, {"Kind": "Regex", "MatchValue": "k\\W+9"}]
+    path = _shared_folder(spark, "settings").removeprefix("file://") + "/settings.json"
+    fsio.write(path, json.dumps({"FlagRules": rules}).encode())
+    rows = T.flag_rows(_ev_rows(spark, sf), load_settings(path).flags, spark=spark)
+    return rows.where("is_flagged").select(PATH, LINE)
+
+
+def q_presets_visible(spark, sf):
+    """Presets (one an event, a third of them global) that a profile sees."""
+    presets = table(spark, sf, "events").select(
+        F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("name"),
+        F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.upper("event_type")).alias("profile_scope"))
+    return FL.visible_presets(presets, "Click").select("name", "profile_scope")
+
+
+def q_filter_ignore_case(spark, sf):
+    rows = PA.parse_raw(_doc_lines(spark, sf))
+    kept = FL.apply_filters(rows, [R.contains("CIÓN"), ~R.contains("LOS ")], spark=spark)
+    return kept.select(PATH, LINE)
+
+
+DIALECT = {
+    "consonants": r"\b[a-z-[aeiou]]{3,}\b", "block": r"[\p{IsLatin-1Supplement}-[\xA0-\xBF]]{2}", "twice": r"(?<w>t[a-z])(?:o)?\k<w>",
+    "spaced": r"(?x) \b the [ ] \w{3} # two words", "literal": r"a{,3}|(?#none)\.$",
+}
+
+
+def q_regex_dialect(spark, sf):
+    from ..functions.regex import java_regex
+
+    hits = {name: F.col("text").rlike(java_regex(p, spark=spark)) for name, p in DIALECT.items()}
+    found = _doc_lines(spark, sf).select(PATH, LINE, *[hit.alias(name) for name, hit in hits.items()])
+    return found.where(" or ".join(hits))
+
+
+def q_rule_table(spark, sf):
+    """Rules as a table: every long word of the benchmark, searched ignoring case in all lines."""
+    from ..operators.ruletable import rule_hits
+
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))
+    rules = table(spark, sf, "benchmark").select(F.explode(words).alias("what")).distinct().select(
+        F.col("what").alias("rule_id"), F.lit(R.CONTAINS).alias("how"), "what", F.lit(None).cast("string").alias("field"), F.lit(True).alias("any_case"))
+    hits = rule_hits(PA.parse_raw(_doc_lines(spark, sf)), rules, spark=spark)
+    return hits.select(PATH, LINE, F.col("rule_id").alias("word"))
 
 
 # ---- parsing ---------------------------------------------------------------------
@@ -453,7 +555,8 @@ def q_time_only_range(spark, sf):
 
 
 # Loose forms of a time, as Spark writes them.
-LOOSE_FORMS = ("MMM d yyyy HH:mm:ss", "M/d/yyyy h:mm:ss a", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "d MMMM yyyy HH:mm", "MMM d, yyyy")
+LOOSE_FORMS = ("MMM d yyyy HH:mm:ss", "M/d/yyyy h:mm:ss a", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "d MMMM yyyy HH:mm", "MMM d, yyyy",
+               "HH:mm", "MMM d HH:mm:ss")
 
 
 def q_timestamp_loose(spark, sf):
@@ -474,6 +577,10 @@ def q_sort_time(spark, sf):
     return _positions(SO.sort_by_time(_ev_rows(spark, sf), "Timestamp"))
 
 
+def q_sort_saved(spark, sf):
+    return _positions(SO.sort_view(_ev_rows(spark, sf), SO.SortState("Module", descending=True), "Level"))
+
+
 def q_sort_restored(spark, sf):
     rows = SO.sort_by_field(_ev_rows(spark, sf), "Module")
     return _positions(SO.restore_order(rows))
@@ -492,6 +599,15 @@ QUERIES = {
     "sort_field": q_sort_field,
     "sort_time": q_sort_time,
     "sort_restored": q_sort_restored,
+    "sort_saved": q_sort_saved,
+    "workspace_status": q_workspace_status,
+    "decode_ansi": q_decode_ansi,
+    "profiles_read": q_profiles_read,
+    "rules_read": q_rules_read,
+    "presets_visible": q_presets_visible,
+    "filter_ignore_case": q_filter_ignore_case,
+    "regex_dialect": q_regex_dialect,
+    "rule_table": q_rule_table,
     "parse_delimited": q_parse_delimited,
     "parse_delimited_short": q_parse_delimited_short,
     "parse_regex": q_parse_regex,
