@@ -9,10 +9,10 @@ paths (paragraphs) stand out from menus, buttons and captions.  The innermost
 element that holds all of the selected text is the article, with the headings
 before it and the ``article`` or ``main`` around it; its short blocks (a heading, a
 one-word paragraph) belong to it, blocks of links when they are selected or stand
-among its paragraphs or in ``article`` or ``main``.  Steps that name
+among its paragraphs or in ``article`` or ``main``, and whatever else stands between its blocks.  Steps that name
 something else (``nav``, ``footer``, ``class="ad"``, comments, forms, hidden
 elements) never count.  A class or id says so as a whole name (``cookie-notice``,
-not ``no-sidebar``), and names and forms are not heeded on an element that holds
+``adbox``, not ``no-sidebar``; of comments and cookies also in a longer one), and names and forms are not heeded on an element that holds
 most of the page's text while no ``article`` or ``main`` with text lies outside it,
 that has a ``main`` inside, or that wraps the text of an ``article`` or ``main``;
 only comments are comments at any length, unless nothing else is on the page.
@@ -30,6 +30,7 @@ of the input).
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -63,6 +64,8 @@ NEVER_NAMES = frozenset(
     "sidebar side aside rail widget widgets share sharing social related recommended recommendations comment comments "
     "commentlist disqus reply replies respond discussion feedback search skip toolbar tags copyright legal".split())
 COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion feedback".split())
+LOOSE_NAMES = frozenset("comment comments commentlist disqus cookie cookies gdpr".split())  # in longer names too
+HAVING = frozenset("no not has have with without open closed off free enabled disabled allow allowed".split())
 BESIDE_NAMES = frozenset(  # parts of a name that leave its meaning to the others
     "area bar block body bottom box button buttons col column container form global google group icon icons inner item items "
     "left link links list main module outer page panel post primary right row secondary section site slot top unit wrap "
@@ -90,11 +93,30 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 
 
+def _words(name: str) -> list[str]:
+    """The words of a name; one like ``adbox`` or ``leftnav``, of two known words, is cut."""
+    out = []
+    for w in _NAME.findall(name):
+        w = w.lower()
+        if w in NEVER_NAMES or w in BESIDE_NAMES:
+            out.append(w)
+        elif not w.isdigit():
+            cuts = [(w[:k], w[k:]) for k in range(2, len(w) - 1)]
+            out += next((c for c in cuts if c[0] in NEVER_NAMES and c[1] in BESIDE_NAMES or c[0] in BESIDE_NAMES and c[1] in NEVER_NAMES), (w,))
+    return out
+
+
+@lru_cache(4096)
 def _meaning(name: str) -> str:
-    """What a class or id speaks for: "comments", "beside" the article, or "" for nothing of the kind."""
-    parts = [w.lower() for w in _NAME.findall(name) if not w.isdigit()]
+    """What a class or id speaks for: "comments", "beside" the article, or "" for nothing of the kind.
+
+    A name of known words only is taken at its word; in a longer one comments and cookies still
+    speak for something beside the article, unless the name says that it is about having them.
+    """
+    parts = _words(name)
     if not all(w in NEVER_NAMES or w in BESIDE_NAMES for w in parts):
-        return ""
+        loose = any(w in LOOSE_NAMES for w in parts) and not any(w in HAVING for w in parts)
+        return "beside" if loose else ""
     return "comments" if any(w in COMMENT_NAMES for w in parts) else "beside" if any(w in NEVER_NAMES for w in parts) else ""
 
 
@@ -111,7 +133,7 @@ class Page:
         self.block: list[int] = []
         self._open = [0]
         self._endless: set[int] = set()
-        self._count: dict[str, int] = {}
+        self._places: dict[str, list[int]] = {}  # of each tag, its places among the open elements
         self._block = 0
         self._read(html)
 
@@ -178,16 +200,16 @@ class Page:
 
     def _pop(self) -> None:
         tag = self.tag[self._open.pop()]
-        self._count[tag] -= 1
+        self._places[tag].pop()
         if tag not in INLINE:
             self._block += 1
 
     def _start(self, tag: str, attributes: list[tuple[str, str]]) -> None:
         if tag not in INLINE:
             self._block += 1
-            if self._count.get("p"):
+            if self._places.get("p"):
                 self._close("p", P_BARRIER)
-            if tag in CLOSES_ITSELF and self._count.get(tag):
+            if tag in CLOSES_ITSELF and self._places.get(tag):
                 self._close(tag, CLOSES_ITSELF[tag])
         if tag == "br":
             self._text(" ", False)
@@ -202,8 +224,8 @@ class Page:
         self.named.append(named)
         self.link.append(self.link[up] or tag == "a")
         self.path.append(self.paths.setdefault((self.path[up], step), len(self.paths) + 1))
+        self._places.setdefault(tag, []).append(len(self._open))
         self._open.append(e)
-        self._count[tag] = self._count.get(tag, 0) + 1
 
     def _step(self, tag: str, attributes: list[tuple[str, str]]) -> tuple[str, bool, str]:
         never, names, named = tag in NEVER_TAGS, "", "beside" if tag in FORM_TAGS else ""
@@ -223,19 +245,15 @@ class Page:
 
     def _close(self, tag: str, barrier) -> None:
         """Ends an open element of this tag unless a barrier stands above it."""
-        for k in range(len(self._open) - 1, 0, -1):
-            t = self.tag[self._open[k]]
-            if t == tag:
-                while len(self._open) > k:
-                    self._pop()
-                return
-            if t in barrier:
-                return
+        at = self._places[tag][-1]
+        if all(not above or above[-1] < at for above in map(self._places.get, barrier)):
+            while len(self._open) > at:
+                self._pop()
 
     def _end(self, tag: str) -> None:
         if tag not in INLINE:
             self._block += 1
-        if not self._count.get(tag):
+        if not self._places.get(tag):
             return
         while self.tag[self._open[-1]] != tag:
             self._pop()
@@ -296,6 +314,10 @@ def main_text(html: str | None) -> str:
                 picked.add(b)
         elif 2 * good >= n or short or (first <= b <= last and good):
             picked.add(b)
+    if picked and bounded:  # what stands between its blocks belongs to it, whatever the tag; in an article everything
+        whole = page.tag[_top(inside)] == "article"
+        low, high = min(picked), max(picked)
+        picked |= {b for b, (n, _, _, linked, e) in facts.items() if inside[e] and linked <= LINK_SHARE * n and (whole or low < b < high)}
     out, now, last_block = [], [], None
     for i, t in enumerate(page.texts):
         b = page.block[i]

@@ -134,3 +134,50 @@ def test_unended_tags_take_linear_time():
         t = time.process_time()
         H.main_text(unit * 30_000 + P1)
         assert time.process_time() - t < 5, unit
+
+
+LONG = "This is a long paragraph, with commas, and sentences. It goes on and on, and says things; many things. " * 4
+
+
+def test_blocks_of_any_tag_between_paragraphs_of_an_article():
+    kept = ["short div line", "another short div", "tail p"]
+    body = f"<p>{LONG}</p><div>short div line</div><div>another short div</div><p>tail p</p>"
+    for page in (f"<article>{body}</article>", f"<main>{body}<p>{LONG}</p></main>", f"<div class=story>{body}<p>{LONG}</p></div><footer>x</footer>"):
+        lines = H.main_text(f"<body><nav><a href=/>Home</a></nav>{page}</body>").split("\n")
+        assert [x for x in lines if x in kept] == kept and "Home" not in lines
+    ends = H.main_text(f"<body><article><div>before</div><p>{LONG}</p><section><span>after</span></section></article><div>outside</div></body>")
+    assert ends.split("\n")[0] == "before" and ends.split("\n")[-1] == "after"
+
+
+def test_comment_words_inside_longer_names():
+    for name in ("user-comments", "cookie-policy-text", "adbox", "post-comment-list-x", "leftnav", "topMenu"):
+        text = H.main_text(f"<body><article><p>{LONG}</p><p>{LONG}</p><div class='{name}'><p>Beside it, one. And two, three.</p></div></article></body>")
+        assert "Beside" not in text and text.startswith("This is")
+    for name in ("no-comments", "post comments-open x", "entry has-comments", "article-with-comments"):
+        assert "First" in H.main_text(f"<body><div class='{name}'><p>First {LONG}</p></div><p>x</p></body>")
+    assert "First" in H.main_text(f"<body><div class='story-cookies-today'><p>First {LONG}</p></div><p>x</p></body>")  # most of the page
+
+
+def test_deeply_nested_lists_take_linear_time():
+    import time
+    took = []
+    for n in (4000, 16000):
+        start = time.process_time()
+        H.main_text("<ul><li><ul>" + "<div>" * n + "<li></li>" * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 0.2
+
+
+def test_an_own_extraction_of_simple_pages():
+    """Pages of known blocks: the texts of the content blocks in order, by a reading of its own."""
+    import random
+    import re
+    rng = random.Random(12)
+    for _ in range(60):
+        blocks = [(rng.choice(["p", "div", "blockquote", "h2", "li", "section"]), rng.choice([LONG, "short", "two  words\n&amp; a mark"])) for _ in range(rng.randint(2, 9))]
+        blocks[0] = ("p", LONG)
+        inner = "".join(f"<{t}>{x}</{t}>" for t, x in blocks)
+        junk = [f"<nav><ul><li><a href='/{i}'>menu {i}</a></li></ul></nav>" for i in range(2)] + ["<div class='sidebar'>side</div>", "<footer>foot</footer>"]
+        page = f"<html><head><title>t</title></head><body>{junk[0]}<article>{inner}</article>{junk[2]}{junk[1]}{junk[3]}</body></html>"
+        want = [" ".join(re.sub("&amp;", "&", x).split()) for _, x in blocks]
+        assert H.main_text(page).split("\n") == want
