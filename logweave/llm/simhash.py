@@ -13,8 +13,8 @@ with d(x, v) <= t go inside, the others outside, and those outside with
 d(x, v) <= t + radius overlap the boundary and visit the inside as well.  Any two
 points within the radius therefore meet in at least one leaf.
 
-The top levels of each tree are built from a bounded sample of distinct
-fingerprints and route every fingerprint to its shards; inside a shard the
+The top levels of each tree are built from a sample of distinct fingerprints, which
+grows with the number of shards (``MAX_SAMPLE`` at most), and route every fingerprint to its shards; inside a shard the
 recursion goes on over the shard's own points, and leaves compare exactly over
 all 64 bits.  A shard returns a spanning forest of its links (never all pairs),
 and ``components`` joins the shards' forests.
@@ -45,7 +45,9 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
 BLOCKS = 3
-SAMPLE = 4096          # fingerprints the routing trees are built from
+SAMPLE = 4096          # fingerprints the routing trees are built from, at least
+SHARD_SAMPLE = 16      # of them for each wanted shard
+MAX_SAMPLE = 1 << 20   # and at most: 8 MB for 65,000 shards, a billion distinct fingerprints at the wanted size
 SHARD_POINTS = 16_384  # wanted distinct fingerprints in a shard
 LEAF_POINTS = 256
 _CHUNK = 1 << 16       # shingles expanded to bits at a time
@@ -130,16 +132,17 @@ def choose_split(points: np.ndarray, mask: np.uint64, radius: int):
     return v, t, d <= t + radius, d > t
 
 
-def routing_tree(sample: np.ndarray, mask: int, radius: int, levels: int) -> list:
-    """Nested [vantage, threshold, inside, outside]; None is a shard."""
-    if levels <= 0 or len(sample) < 16:
+def routing_tree(sample: np.ndarray, mask: int, radius: int, enough: float) -> list:
+    """Nested [vantage, threshold, inside, outside]; None is a shard: of ``enough`` of the sample or
+    less, visitors included."""
+    if len(sample) <= enough:
         return None
     split = choose_split(sample, np.uint64(mask), radius)
     if split is None:
         return None
     v, t, inside, outside = split
-    return [int(v), t, routing_tree(sample[inside], mask, radius, levels - 1),
-            routing_tree(sample[outside], mask, radius, levels - 1)]
+    return [int(v), t, routing_tree(sample[inside], mask, radius, enough),
+            routing_tree(sample[outside], mask, radius, enough)]
 
 
 def route(points: np.ndarray, tree, mask: int, radius: int):
@@ -196,6 +199,12 @@ def shard_links(points: np.ndarray, mask: int, radius: int, max_bits: int) -> tu
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
+def sample_size(n: int, least: int, shard_points: int) -> int:
+    """Fingerprints to draw for the routing trees of ``n`` distinct ones: it grows with the shards, so
+    they keep their size."""
+    return min(MAX_SAMPLE, max(least, SHARD_SAMPLE * math.ceil(n / shard_points)))
+
+
 def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, sample: int = SAMPLE,
           shard_points: int = SHARD_POINTS) -> DataFrame:
     """(a, b): a spanning forest of the links between the distinct values of ``fp``."""
@@ -203,12 +212,13 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, sam
     ship_package(spark)
     distinct = stored(points.select("fp").distinct())
     n = distinct.count()
-    picked = distinct.orderBy(F.xxhash64("fp", F.lit("vantage"))).limit(sample).collect()
-    drawn = np.sort(np.array([r[0] for r in picked], np.int64)).view(np.uint64)
+    wanted = sample_size(n, sample, shard_points)
+    picked = distinct.where(F.pmod(F.xxhash64("fp", F.lit("vantage")), F.lit(1 << 30)) < math.ceil(min(1.0, wanted / max(1, n)) * (1 << 30)))
+    drawn = np.sort(picked.toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
     radius = max_bits // blocks
-    levels = max(0, math.ceil(math.log2(max(1, n) / shard_points)))
     masks = block_masks(blocks)
-    trees = [routing_tree(drawn, m, radius, levels) for m in masks]
+    enough = max(SHARD_SAMPLE, shard_points * len(drawn) / max(1, n))
+    trees = [routing_tree(drawn, m, radius, enough) for m in masks]
 
     def deal(batches):
         for batch in batches:

@@ -143,3 +143,16 @@ def test_empty_table(docs_df):
     df = docs_df([])
     assert S.simhash_groups(df).count() == 0
     assert S.drop_near_duplicates(df).count() == 0
+
+
+def test_shards_keep_their_size_with_a_larger_sample():
+    """With the sample that belongs to the number of points no shard is over four times the wanted size."""
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 2**64, 400_000, dtype=np.uint64)
+    wanted = 200
+    drawn = np.sort(rng.choice(points, min(len(points), S.sample_size(len(points), S.SAMPLE, wanted)), replace=False))
+    enough = max(S.SHARD_SAMPLE, wanted * len(drawn) / len(points))
+    for mask in S.block_masks(S.BLOCKS):
+        sizes = np.array([at.size for _, at in S.route(points, S.routing_tree(drawn, mask, 1, enough), mask, 1)])
+        assert sizes.max() <= 4 * wanted and len(sizes) > 10_000 and sizes.sum() < 15 * len(points)
+    assert S.sample_size(10**12, S.SAMPLE, S.SHARD_POINTS) == S.MAX_SAMPLE and S.sample_size(0, S.SAMPLE, S.SHARD_POINTS) == S.SAMPLE
