@@ -457,3 +457,9 @@ SELECT * FROM hits WHERE consonants OR block OR twice OR spaced OR literal"""
 SQL["rule_table"] = _w(DOC) + """
 , words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS word FROM benchmark)
 SELECT path, line_no, word FROM doc JOIN words ON contains(upper(text), upper(word))"""
+SQL["read_range_indexed"] = """
+WITH wd AS (
+  SELECT source, doc_id // 1000 AS blk, doc_id, unnest(range(1, len(parts) + 1)) AS ln, unnest(parts) AS text
+  FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts FROM documents)),
+n AS (SELECT source, blk, CAST(row_number() OVER (PARTITION BY source, blk ORDER BY doc_id, ln) AS BIGINT) AS line_no, text FROM wd)
+SELECT 'ws/' || source || '/' || CAST(blk AS VARCHAR) || '.log' AS path, line_no, text FROM n WHERE line_no BETWEEN 90 AND 100"""

@@ -148,6 +148,19 @@ def q_workspace_status(spark, sf):
         _workspace_path().alias(PATH), "shown", "total", "parsed", "fallback", "flagged", "encoding", "truncated")
 
 
+def q_read_range_indexed(spark, sf):
+    """A few lines far into every file, read through a table of lines per byte range."""
+    from ..sources.encoding import detect_encodings
+    from ..sources.files import scan_workspace, workspace_glob
+    from ..sources.lineindex import build_index, read_lines_at
+
+    root = _written_workspace(spark, sf)
+    files = scan_workspace(spark, root, [".txt"])
+    encodings = detect_encodings(spark, files, root, recursive=True, glob=workspace_glob(root, [".txt"]))
+    index = materialize(build_index(files.join(encodings.select(PATH, "encoding"), PATH), 1 << 16))
+    return read_lines_at(index, 90, 11).select(_workspace_path().alias(PATH), LINE, "text")
+
+
 def q_decode_ansi(spark, sf):
     """Text as Windows-1252 bytes, decoded again; characters it lacks became question marks."""
     from ..sources.encoding import decode_ansi
@@ -601,6 +614,7 @@ QUERIES = {
     "sort_restored": q_sort_restored,
     "sort_saved": q_sort_saved,
     "workspace_status": q_workspace_status,
+    "read_range_indexed": q_read_range_indexed,
     "decode_ansi": q_decode_ansi,
     "profiles_read": q_profiles_read,
     "rules_read": q_rules_read,
