@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +51,10 @@ def profile_of(path: Column, assignments: Mapping[str, str], overrides: Mapping[
 
 
 def assignments_frame(spark: SparkSession, assignments: Mapping[str, str], key: str) -> DataFrame:
-    rows = [(k, v, i) for i, (k, v) in enumerate(assignments.items())]
-    return spark.createDataFrame(rows, f"{key} string, profile string, ordinal int")
+    """The assignments as a table of the plan itself; rows given as a Python list would take a worker on every core."""
+    table = pa.table({key: pa.array(assignments.keys(), pa.string()), "profile": pa.array(assignments.values(), pa.string()),
+                      "ordinal": pa.array(range(len(assignments)), pa.int32())})
+    return spark.createDataFrame(table)
 
 
 def resolve_profiles(files: DataFrame, dir_assignments: DataFrame, file_overrides: DataFrame | None = None,

@@ -76,9 +76,13 @@ def _head_bytes(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
 
 
 def file_heads(files: DataFrame) -> DataFrame:
-    """First four bytes of each file, read on executors (``fsio``: local paths and URIs)."""
+    """First four bytes of each file, read on executors (``fsio``: local paths and URIs).
+
+    In a stage of its own: a listing that still runs in Python would otherwise take a second
+    worker beside this one on every core.
+    """
     ship_package(files.sparkSession)
-    return files.select(PATH).mapInPandas(_head_bytes, "path string, head binary")
+    return files.select(PATH).repartition(F.col(PATH)).mapInPandas(_head_bytes, "path string, head binary")
 
 
 def bom_encoding(head: Column) -> Column:

@@ -17,11 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import PATH
+from ..plans.sizing import materialize
 from ..session import ship_package
 from . import fsio
 
 DEFAULT_EXTENSIONS = (".log",)
 
+# Entries in one frame of a listing task.
+LISTED_FILES = 10_000
+
 
 class WorkspaceNotFoundError(FileNotFoundError):
     pass
@@ -78,23 +82,28 @@ def _list_mounted(spark: SparkSession, root: str, endings: list[str] | None) ->
 
     One task lists the root, then one per folder in it lists the tree below: no
     listing on the driver, and neither empty files nor names with ``_`` or ``.`` in
-    front are left out.
+    front are left out.  A task holds one folder's entries and one frame, never a tree.
     """
     ship_package(spark)
     row = "path string, is_dir boolean, length long, modificationTime timestamp"
+    columns = ["path", "is_dir", "length", "modificationTime"]
 
     def listing(deep: bool):
         def run(frames):
+            rows = []
             for frame in frames:
                 for path in frame["path"]:
-                    found = fsio.entries(path, deep)
-                    if endings is not None:
-                        found = [e for e in found if e[1] or e[0].lower().endswith(tuple(endings))]
-                    if found:
-                        yield pd.DataFrame(found, columns=["path", "is_dir", "length", "modificationTime"])
+                    for entry in fsio.entries(path, deep):
+                        if entry[1] or endings is None or entry[0].lower().endswith(tuple(endings)):
+                            rows.append(entry)
+                        if len(rows) == LISTED_FILES:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
         return run
 
-    start = spark.createDataFrame([(root,)], "path string")
+    start = spark.range(0, 1, 1, 1).select(F.lit(root).alias("path"))  # from the JVM: a list would take Python workers on every core
     top = start.mapInPandas(listing(False), row)
     folders = top.where("is_dir").select("path").repartition(F.col("path"))
     below = folders.mapInPandas(listing(True), row)
@@ -124,8 +133,8 @@ def workspace_glob(root: str, extensions: Iterable[str] | None) -> str | None:
 
 
 def detect_workspace(spark: SparkSession, root: str, extensions: Iterable[str] | None = None):
-    """``(files, scan)``: the files and their written scan with detected encodings."""
+    """``(files, scan)``: the files, listed once and written, and their written scan with detected encodings."""
     from .encoding import scan_detected
 
-    files = scan_workspace(spark, root, extensions)
+    files = materialize(scan_workspace(spark, root, extensions))
     return files, scan_detected(spark, files, root, recursive=True, glob=workspace_glob(root, extensions))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+from collections.abc import Iterator
 from urllib.parse import quote, urlparse
 
 from pyarrow import fs as pafs
@@ -63,19 +64,25 @@ def list_files(uri: str, pattern: str) -> list[str]:
                   if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name.lower(), pat))
 
 
-def entries(path: str, deep: bool) -> list[tuple]:
+def entries(path: str, deep: bool) -> Iterator[tuple]:
     """(path as Spark lists it, is a folder, length, time of change) of a mounted folder's
-    entries, of the whole tree below with ``deep``; of a file itself."""
+    entries, of the whole tree below with ``deep``; of a file itself.  Folders are listed one
+    after the other, so a tree is never held whole."""
     fsys, inner = resolve(path)
     info = fsys.get_file_info(inner)
+    folders = [inner] if info.type == pafs.FileType.Directory else []
     if info.type == pafs.FileType.File:
-        found = [info]
-    elif info.type == pafs.FileType.Directory:
-        found = fsys.get_file_info(pafs.FileSelector(inner, recursive=deep))
-    else:
-        found = []
-    return [("file:" + os.path.abspath(f.path), f.type == pafs.FileType.Directory, f.size or 0, f.mtime) for f in found
-            if f.type in (pafs.FileType.File, pafs.FileType.Directory)]
+        yield _entry(info)
+    while folders:
+        found = [f for f in fsys.get_file_info(pafs.FileSelector(folders.pop(), recursive=False))
+                 if f.type in (pafs.FileType.File, pafs.FileType.Directory)]
+        if deep:
+            folders += [f.path for f in found if f.type == pafs.FileType.Directory]
+        yield from map(_entry, found)
+
+
+def _entry(f: pafs.FileInfo) -> tuple:
+    return "file:" + os.path.abspath(f.path), f.type == pafs.FileType.Directory, f.size or 0, f.mtime
 
 
 def children(folder: str) -> list[tuple] | None:

@@ -42,6 +42,40 @@ def test_scan_custom_extensions(spark, tmpdir_path):
     assert FS.normalize_extensions(["", " "]) == [".log"]
 
 
+def test_listing_in_several_frames(spark, tmpdir_path, monkeypatch):
+    for i in range(7):
+        touch(tmpdir_path, f"d{i % 3}/a{i}.log")
+        touch(tmpdir_path, f"top{i}.log")
+    monkeypatch.setattr(FS, "LISTED_FILES", 2)
+    assert names(FS.scan_workspace(spark, tmpdir_path)) == [f"a{i}.log" for i in range(7)] + [f"top{i}.log" for i in range(7)]
+
+
+def test_a_core_runs_one_python_worker_at_a_time(spark, tmpdir_path):
+    """No step of Python feeds another one inside a stage, and nothing is sent through Python to get into the plan."""
+    import re
+
+    from logweave.operators import resolve as RS
+
+    touch(tmpdir_path, "sub/a.log")
+    lazy = FS.scan_workspace(spark, tmpdir_path)
+    for df in (lazy, EN.file_heads(lazy), RS.assignments_frame(spark, {"/x": "p"}, "dir"), RS.assignments_frame(spark, {}, "dir")):
+        assert "PythonRDD" not in df._jdf.toJavaRDD().toDebugString()
+        above = []  # the steps a line of the plan feeds: (depth, step)
+        for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+            depth = len(re.match(r"[\s:+|*-]*", line)[0])
+            above = [x for x in above if x[0] < depth]
+            last = next((x[1] for x in reversed(above)), None)
+            step = "Exchange" if "Exchange" in line else "MapInPandas" if "MapInPandas" in line else None
+            assert not (step == last == "MapInPandas"), line
+            above += [(depth, step)] if step else []
+    files, scan = FS.detect_workspace(spark, tmpdir_path)
+    assert "MapInPandas" not in files._jdf.queryExecution().executedPlan().toString()  # listed once
+    assert [r.encoding for r in scan.encodings.collect()] == [EN.UTF8]
+    rows = [("a", "p", 0), ("b/", "q", 1)]
+    kept = RS.assignments_frame(spark, {"a": "p", "b/": "q"}, "dir")
+    assert [tuple(r) for r in kept.collect()] == rows and kept.schema.simpleString() == "struct<dir:string,profile:string,ordinal:int>"
+
+
 def test_scan_missing_root(spark):
     with pytest.raises(FS.WorkspaceNotFoundError):
         FS.scan_workspace(spark, "/nonexistent/dir/xyz")
